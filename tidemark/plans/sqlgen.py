@@ -76,3 +76,9 @@ def key_bucket(expr: str) -> str:
 def row_hash(cols: Sequence[str]) -> str:
     parts = [f"CASE WHEN {s(c)} IS NULL THEN 'N;' ELSE {s('length(' + s(c) + ')')} || ':' || {s(c)} || ';' END" for c in sorted(cols, key=str.lower)]
     return "sha256(" + " || ".join(parts) + ")"
+
+
+def pct_round(num: str, den: str, digits: int = 1) -> str:
+    """Twin of ``windows.pct_round``."""
+    scale = 10**digits
+    return f"(CAST(floor((CAST({num} AS BIGINT) * {200 * scale} + NULLIF(CAST({den} AS BIGINT), 0)) / (NULLIF(CAST({den} AS BIGINT), 0) * 2)) AS DOUBLE) / {scale})"

@@ -41,6 +41,9 @@ def norm(v):
     if isinstance(v, (dt.datetime, dt.date)):
         if hasattr(v, "to_pydatetime"):
             v = v.to_pydatetime()
+        # DuckDB hands DATE to pandas as a midnight timestamp; compare both as a date.
+        if isinstance(v, dt.datetime) and v.time() == dt.time(0):
+            return v.date().isoformat()
         return v.isoformat()
     if isinstance(v, dict):
         return tuple(sorted((k, norm(x)) for k, x in v.items()))
