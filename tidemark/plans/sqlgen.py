@@ -82,3 +82,20 @@ def pct_round(num: str, den: str, digits: int = 1) -> str:
     """Twin of ``windows.pct_round``."""
     scale = 10**digits
     return f"(CAST(floor((CAST({num} AS BIGINT) * {200 * scale} + NULLIF(CAST({den} AS BIGINT), 0)) / (NULLIF(CAST({den} AS BIGINT), 0) * 2)) AS DOUBLE) / {scale})"
+
+
+def streak_ref_ctes(base: str, part: str, flag: str, name: str, prefix: str) -> str:
+    """Twin of ``windows.streak_reference`` as two CTEs ``{prefix}1``, ``{prefix}2``."""
+    w = f"PARTITION BY {part} ORDER BY interval_end"
+    return (
+        f"{prefix}1 AS (SELECT *, SUM(CASE WHEN {flag} THEN 1 ELSE 0 END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __cs FROM {base}),\n"
+        f"{prefix}2 AS (SELECT *, CAST(greatest(0, __cs - coalesce(MAX(CASE WHEN NOT ({flag}) THEN __cs END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS {name} FROM {prefix}1)"
+    )
+
+
+def streak_fix_ctes(base: str, part: str, flag: str, name: str, prefix: str, order: str = "interval_end") -> str:
+    """Twin of ``windows.breach_streak`` (gaps-and-islands)."""
+    return (
+        f"{prefix}1 AS (SELECT *, SUM(CASE WHEN {flag} THEN 0 ELSE 1 END) OVER (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __grp FROM {base}),\n"
+        f"{prefix}2 AS (SELECT *, CAST(CASE WHEN {flag} THEN SUM(CASE WHEN {flag} THEN 1 ELSE 0 END) OVER (PARTITION BY {part}, __grp ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE 0 END AS BIGINT) AS {name} FROM {prefix}1)"
+    )
