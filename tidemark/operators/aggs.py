@@ -72,11 +72,13 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fal
                 (F.col(f"s{i}") if c in numeric else F.lit(None).cast("double")).alias("stddev"),
             )
         )
-    rows = F.col("__rows")
-    out = wide.select(rows.alias("row_count"), F.explode(F.array(*structs)).alias("p")).select("row_count", "p.*")
+    rows = F.col("row_count")
+    out = wide.select(F.col("__rows").alias("row_count"), F.explode(F.array(*structs)).alias("p")).select("row_count", "p.*")
 
     def pct(x: Column) -> Column:
-        return F.round(F.when(rows > 0, x * 100.0 / rows), 2).cast("double")
+        from tidemark.operators.windows import pct_round
+
+        return pct_round(x, rows, 2)
 
     return out.select(
         "column_name",
@@ -149,13 +151,17 @@ def correlation(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFram
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """A13 re-aimed: equal-width bucket counts between the column's min and max.
 
-    The bounds come from one aggregate joined back as a single broadcast row (size 1).
+    The two bounds come from one aggregate (two scalars to the driver); the bucket
+    expression then uses literals, so the counting is one map-side-combined aggregate.
     """
     x = F.col(col).cast("double")
-    bounds = df.agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    j = df.select(x.alias("__x")).where(F.col("__x").isNotNull()).join(F.broadcast(bounds), how="inner")
-    width = F.col("__hi") - F.col("__lo")
-    b = F.when(width == 0, F.lit(1)).otherwise(F.least(F.lit(bins), (F.floor((F.col("__x") - F.col("__lo")) / width * bins) + 1).cast("int")))
+    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = r["lo"], r["hi"]
+    j = df.select(x.alias("__x")).where(F.col("__x").isNotNull())
+    if lo is None or hi == lo:
+        b = F.lit(1)
+    else:
+        b = F.least(F.lit(bins), (F.floor((F.col("__x") - F.lit(lo)) / F.lit(hi - lo) * bins) + 1).cast("int"))
     return j.groupBy(b.alias("bucket")).agg(
         F.count(F.lit(1)).alias("bucket_count"), F.min("__x").alias("bucket_min"), F.max("__x").alias("bucket_max")
     )
@@ -190,15 +196,20 @@ def result_summary(df: DataFrame, label: str, table: str, digits: int = 2) -> Da
     """
     from pyspark.sql import Window
 
+    from tidemark.operators.windows import pct_round
+
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct(table).alias("table_count"))
     total = F.sum("row_count").over(Window.partitionBy(F.lit(1)))
-    return g.withColumn("pct", F.round(F.col("row_count") * 100.0 / total, digits).cast("double"))
+    return g.withColumn("pct", pct_round(F.col("row_count"), total, digits))
 
 
 def duplicate_count(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Rows minus distinct rows (or distinct keys), one row."""
     cols = list(keys) if keys else df.columns
-    distinct = df.select(*cols).distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-    total = df.agg(F.count(F.lit(1)).alias("row_count"))
-    j = total.join(distinct, how="inner")  # two one-row frames
-    return j.select("row_count", "distinct_rows", (F.col("row_count") - F.col("distinct_rows")).alias("duplicate_rows"))
+    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    return g.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("row_count"),
+        F.count(F.lit(1)).alias("distinct_rows"),
+        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
+        F.count(F.when(F.col("__n") > 1, 1)).alias("duplicated_keys"),
+    )

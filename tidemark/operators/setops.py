@@ -34,20 +34,22 @@ def union_all(*dfs: DataFrame, allow_missing: bool = False) -> DataFrame:
     return out
 
 
-def dedup_rows(df: DataFrame, keys: Sequence[str] | None = None, order: Sequence | None = None) -> DataFrame:
-    """Distinct rows, or one row per key.
+def dedup_rows(df: DataFrame, keys: Sequence[str] | None = None, keep: str = "min") -> DataFrame:
+    """Distinct rows, or exactly one row per key.
 
-    With ``keys`` and ``order`` the kept row is the first by ``order`` (deterministic);
-    with ``keys`` only Spark keeps an arbitrary row per key (``dropDuplicates``).
+    With ``keys`` the kept row is the smallest (``keep="min"``) or largest remaining
+    row in column order: ``min(struct(other columns))`` is a declarative aggregate,
+    combined map-side, so a hot key never lands whole in one task (unlike a
+    ``row_number`` window) and the choice is deterministic (unlike ``dropDuplicates``).
     """
     if not keys:
         return df.distinct()
-    if order:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    return df.dropDuplicates(list(keys))
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.select(*keys).distinct()
+    pick = F.min if keep == "min" else F.max
+    g = df.groupBy(*keys).agg(pick(F.struct(*others)).alias("__row"))
+    return g.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others])
 
 
 def column_multiset_diff(a: DataFrame, b: DataFrame, cols: Sequence[str], distinct: bool = True) -> DataFrame:
