@@ -137,21 +137,23 @@ def boolean_pattern_label(has_t: Column, has_f: Column, has_null: Column, has_ot
 
 
 def boolean_patterns(df: DataFrame, cols: Iterable[str] | None = None, case_sensitive: bool = True) -> DataFrame:
-    """Detect t/f/NULL text columns in ONE aggregate over all string columns.
+    """Detect t/f/NULL columns in ONE aggregate over all columns (not one job per column).
 
     Returns ``(column_name, has_t, has_f, has_null, has_other, pattern)``; ``pattern`` is
-    NULL for columns that hold other values.
+    NULL for columns holding other values. A non-string column can only be
+    ``null_only`` (all NULL), as in the reference's distinct-value test.
     """
-    names = list(cols) if cols is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    names = list(cols) if cols is not None else list(df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for c in names:
-        v = F.col(f"`{c}`") if case_sensitive else F.lower(F.col(f"`{c}`"))
-        aggs += [
-            F.max(F.coalesce(v == "t", F.lit(False))).alias(f"{c}__t"),
-            F.max(F.coalesce(v == "f", F.lit(False))).alias(f"{c}__f"),
-            F.max(v.isNull()).alias(f"{c}__n"),
-            F.max(F.coalesce(~v.isin("t", "f"), F.lit(False))).alias(f"{c}__o"),
-        ]
+        raw = F.col(f"`{c}`")
+        if isinstance(types[c], T.StringType):
+            v = raw if case_sensitive else F.lower(raw)
+            t_, f_, o_ = F.coalesce(v == "t", F.lit(False)), F.coalesce(v == "f", F.lit(False)), F.coalesce(~v.isin("t", "f"), F.lit(False))
+        else:
+            t_, f_, o_ = F.lit(False), F.lit(False), raw.isNotNull()
+        aggs += [F.max(t_).alias(f"{c}__t"), F.max(f_).alias(f"{c}__f"), F.max(raw.isNull()).alias(f"{c}__n"), F.max(o_).alias(f"{c}__o")]
     wide = df.agg(*aggs)
     longf = wide.select(
         F.explode(

@@ -54,10 +54,19 @@ FROM events WHERE event_id % 5 <> 0""",
         """SELECT o_orderkey,
   CASE WHEN o_orderstatus = 'F' THEN 't' WHEN o_orderstatus = 'O' THEN 'f' END AS o_isfinal,
   CASE WHEN o_orderstatus = 'F' THEN 'T' WHEN o_orderstatus = 'O' THEN 'f' ELSE 'f' END AS o_flag_upper,
+  CASE WHEN o_orderstatus = 'F' THEN 't' END AS o_t_only, CAST(NULL AS VARCHAR) AS o_unused,
   o_orderstatus, o_orderpriority
 FROM orders""",
         (),
     ),
+    "typed_target": (
+        "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice, o_orderdate, o_orderpriority FROM tgt_orders",
+        ("tgt_orders",),
+    ),
+    "decimal_lineitem": (
+        "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(15,2)) AS l_extendedprice, CAST(l_discount AS DECIMAL(4,2)) AS l_discount, l_quantity FROM lineitem",
+        (),
+    ),
     "run_results": (
         """SELECT strftime(queued_date, '%Y%m%d') AS run_id, table_name, src_count, tgt_count,
   CASE WHEN src_count = tgt_count THEN 'PASS' WHEN tgt_count * 10 >= src_count * 9 THEN 'WARN' ELSE 'FAIL' END AS status

@@ -1 +1,68 @@
-"""Queries."""
+"""Document-preparation queries (G1-G5) on ``documents`` and ``embeddings``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import docs as D
+from tidemark.plans.registry import query
+from tidemark.sources import fixtures as fx
+
+SIZE, OVERLAP = 500, 50
+
+
+def _chunk_sql(src: str) -> str:
+    return f"""SELECT doc_id, CAST(i + 1 AS INTEGER) AS chunk_no, CAST(doc_id AS VARCHAR) || '-' || CAST(i + 1 AS VARCHAR) AS chunk_id,
+  CAST(s AS INTEGER) AS chunk_start, substring(text, CAST(s AS INTEGER), {SIZE}) AS chunk_text,
+  CAST(length(substring(text, CAST(s AS INTEGER), {SIZE})) AS INTEGER) AS chunk_chars
+FROM (SELECT doc_id, text, unnest(generate_series(1, greatest(1, length(text) - {OVERLAP}), {SIZE - OVERLAP})) AS s,
+             unnest(range(0, CAST(ceil(greatest(1, length(text) - {OVERLAP}) / {SIZE - OVERLAP}) AS BIGINT))) AS i
+      FROM {src} WHERE length(text) > 0)"""
+
+
+@query("doc_chunks", _chunk_sql("documents"))
+def doc_chunks(spark, sf):
+    """G1: 500-character chunks with 50 characters of overlap over whole documents."""
+    return D.chunk(fx.load(spark, sf, "documents"), size=SIZE, overlap=OVERLAP)
+
+
+@query(
+    "doc_incremental",
+    _chunk_sql("(SELECT d.* FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents l WHERE l.doc_id % 2 = 0 AND l.doc_id = d.doc_id))"),
+)
+def doc_incremental(spark, sf):
+    """Chunks only for documents missing from the processed ledger (ledger = even ids)."""
+    docs = fx.load(spark, sf, "documents")
+    ledger = docs.where(F.col("doc_id") % 2 == 0).select("doc_id")
+    return D.chunk(D.unprocessed(docs, ledger), size=SIZE, overlap=OVERLAP)
+
+
+@query(
+    "doc_changes",
+    """WITH p AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' (old)' ELSE text END) AS prev_hash FROM documents WHERE doc_id % 10 <> 3),
+c AS (SELECT doc_id, sha256(text) AS cur_hash FROM documents WHERE doc_id % 13 <> 5)
+SELECT * FROM (SELECT coalesce(p.doc_id, c.doc_id) AS doc_id,
+  CASE WHEN prev_hash IS NULL THEN 'INSERT' WHEN cur_hash IS NULL THEN 'DELETE' WHEN prev_hash <> cur_hash THEN 'UPDATE' END AS change, cur_hash
+  FROM p FULL OUTER JOIN c ON p.doc_id = c.doc_id) WHERE change IS NOT NULL""",
+)
+def doc_changes(spark, sf):
+    """Changed-rows-only re-index between a previous and a current snapshot."""
+    d = fx.load(spark, sf, "documents")
+    prev = d.where(F.col("doc_id") % 10 != 3).select(
+        "doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" (old)"))).otherwise(F.col("text")).alias("text")
+    )
+    cur = d.where(F.col("doc_id") % 13 != 5).select("doc_id", "text")
+    return D.changed(prev, cur)
+
+
+@query(
+    "vector_topk",
+    """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 4) AS score, label
+FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10""",
+)
+def vector_topk(spark, sf):
+    """Exact cosine top-10 against the vector of id 0 (the query vector is a 64-float literal)."""
+    e = fx.load(spark, sf, "embeddings")
+    q = e.where(F.col("vec_id") == 0).select("embedding").first()["embedding"]
+    return D.topk(e, q, 10)

@@ -34,6 +34,7 @@ def query(name: str, sql: str | None = None, fixtures: tuple[str, ...] = ()):
 def load_all() -> None:
     # Importing the modules registers their queries.
     from tidemark.plans import (  # noqa: F401
+        q_columns,
         q_docs,
         q_monitor,
         q_profile,

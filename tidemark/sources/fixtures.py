@@ -111,11 +111,30 @@ def bool_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
         F.when(F.col("o_orderstatus") == "F", "t").when(F.col("o_orderstatus") == "O", "f").alias("o_isfinal"),
         F.when(F.col("o_orderstatus") == "F", "T").when(F.col("o_orderstatus") == "O", "f").otherwise("f").alias("o_flag_upper"),
+        F.when(F.col("o_orderstatus") == "F", "t").alias("o_t_only"),
+        F.lit(None).cast("string").alias("o_unused"),
         "o_orderstatus",
         "o_orderpriority",
     )
 
 
+def typed_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target copy whose types drifted: price as text, customer key as double."""
+    t = tgt_orders(spark, sf_dir)
+    return t.withColumn("o_totalprice", F.col("o_totalprice").cast("string")).withColumn("o_custkey", F.col("o_custkey").cast("double"))
+
+
+def decimal_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with money columns stored as decimals."""
+    li = load(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.col("l_extendedprice").cast("decimal(15,2)").alias("l_extendedprice"),
+        F.col("l_discount").cast("decimal(4,2)").alias("l_discount"),
+        "l_quantity",
+    )
+
+
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-result rows: one run per day of events, one row per message type (table)."""
     f = feed(spark, sf_dir)
