@@ -83,6 +83,6 @@ def length_compare(src: DataFrame, tgt: DataFrame, key: str, cols: Sequence[str]
     x = j.select(F.explode(arr).alias("p")).select("p.*")
     return x.groupBy("column_name").agg(
         F.count(F.when(~F.col("source_length").eqNullSafe(F.col("target_length")), 1)).alias("length_mismatch_rows"),
-        F.max("source_length").alias("max_source_length"),
-        F.max("target_length").alias("max_target_length"),
+        F.max("source_length").cast("long").alias("max_source_length"),
+        F.max("target_length").cast("long").alias("max_target_length"),
     )

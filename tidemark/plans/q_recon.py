@@ -194,3 +194,253 @@ def normalize_format_q(spark, sf):
         normalize_format(F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit("  X  Y"))).alias("priority_norm"),
         normalize_format(F.concat(F.col("o_totalprice").cast("string"), F.lit("00"))).alias("padded_norm"),
     )
+
+
+# ====================================================================== multi-table run
+from tidemark.operators import recon_run as RR  # noqa: E402
+from tidemark.plans.oracle_fixtures import register  # noqa: E402
+
+CFG = R.ReconConfig(key_priority=("o_orderkey", "c_custkey", "p_partkey"), source_label="SRC", target_label="TGT")
+
+register("customer_fmt", "SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN upper(c_name) ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+register("supplier_chg", "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 10 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier")
+register("region_renamed", "SELECT r_regionkey AS x_regionkey, r_name AS x_name FROM region")
+register("tgt_empty", "SELECT * FROM tgt_orders WHERE o_orderkey < 0", ("tgt_orders",))
+
+
+def _pairs(spark, sf):
+    cust = fx.load(spark, sf, "customer")
+    sup = fx.load(spark, sf, "supplier")
+    reg = fx.load(spark, sf, "region")
+    return [
+        RR.PairSpec("orders", "orders_tgt", fx.src_orders(spark, sf), fx.tgt_orders(spark, sf)),
+        RR.PairSpec("customer", "customer_tgt", cust, cust.withColumn("c_name", F.when(F.col("c_custkey") % 17 == 0, F.upper("c_name")).otherwise(F.col("c_name")))),
+        RR.PairSpec("part", "part_tgt", fx.load(spark, sf, "part"), fx.load(spark, sf, "part")),
+        RR.PairSpec("supplier", "supplier_tgt", sup, sup.withColumn("s_acctbal", F.when(F.col("s_suppkey") % 10 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")))),
+        RR.PairSpec("nation", "nation_tgt", fx.load(spark, sf, "nation"), None),
+        RR.PairSpec("region", "region_tgt", reg, reg.select(F.col("r_regionkey").alias("x_regionkey"), F.col("r_name").alias("x_name"))),
+    ]
+
+
+# (name, source SQL, target SQL, key or None, compared non-key columns)
+_SQL_PAIRS = [
+    ("orders", "src_orders", "tgt_orders", "o_orderkey", sorted(COLS)),
+    ("customer", "customer", "customer_fmt", "c_custkey", ["c_acctbal", "c_mktsegment", "c_name", "c_nationkey"]),
+    ("part", "part", "part", "p_partkey", ["p_brand", "p_name", "p_retailprice", "p_size", "p_type"]),
+    ("supplier", "supplier", "supplier_chg", None, ["s_acctbal", "s_name", "s_nationkey", "s_suppkey"]),
+]
+_RUN_FX = ("src_orders", "tgt_orders", "customer_fmt", "supplier_chg", "region_renamed")
+
+
+def _keyed_pair_ctes(p: str, src: str, tgt: str, key: str, cols, has_filter: bool = False) -> str:
+    full_rule = "sc = tc AND greatest(sc, tc) <= 20000000" if has_filter else "greatest(sc, tc) <= 5000"
+    stats = lambda: ", ".join(
+        f"count(CASE WHEN s__n = 1 AND t__n = 1 AND {G.raw_mismatch(c)} AND NOT {G.is_format(c)} THEN 1 END) AS v{i}, "
+        f"count(CASE WHEN s__n = 1 AND t__n = 1 AND {G.is_format(c)} THEN 1 END) AS f{i}"
+        for i, c in enumerate(cols)
+    )
+    pick = ", ".join(f"CASE WHEN m.mode = 'FULL_KEYED' THEN f.v{i} ELSE s.v{i} END AS v{i}, CASE WHEN m.mode = 'FULL_KEYED' THEN f.f{i} ELSE s.f{i} END AS f{i}" for i, _ in enumerate(cols))
+    unp = " UNION ALL ".join(f"SELECT '{c}' AS name, v{i} AS v, f{i} AS f FROM {p}_r" for i, c in enumerate(cols))
+    order = "ORDER BY v + f DESC, name"
+    return f"""{p}_c AS (SELECT (SELECT count(*) FROM {src}) AS sc, (SELECT count(*) FROM {tgt}) AS tc),
+{p}_m AS (SELECT sc, tc,
+  CASE WHEN sc = 0 OR tc = 0 THEN 'FULL_KEYED' WHEN {full_rule} THEN 'FULL_KEYED' ELSE 'SAMPLE_KEYED' END AS mode,
+  greatest(1, least(least(CASE WHEN greatest(sc, tc) > 20000000 THEN 500000 ELSE 50000 END,
+    greatest(1000, CAST(floor(CAST(CASE WHEN least(sc, tc) = 0 THEN 1 ELSE least(sc, tc) END AS DOUBLE) * 0.2) AS BIGINT))), sc)) AS n
+  FROM {p}_c),
+{p}_t AS (SELECT CAST(floor(least(1.0, CAST(n AS DOUBLE) / greatest(sc, 1)) * 4294967296.0) AS BIGINT) AS thr FROM {p}_m),
+{G.keyed_join_ctes(src, tgt, key, cols, name=p + 'f')},
+{G.keyed_join_ctes(src, tgt, key, cols, how='LEFT', src_where=G.key_bucket(key) + f' < (SELECT thr FROM {p}_t)', name=p + 's')},
+{p}fa AS (SELECT coalesce(sum(CASE WHEN t__n IS NULL THEN s__n END), 0) AS only_s, coalesce(sum(CASE WHEN s__n IS NULL THEN t__n END), 0) AS only_t,
+  coalesce(sum(CASE WHEN s__n IS NOT NULL AND t__n IS NOT NULL THEN s__n * t__n END), 0) AS matched, {stats()} FROM {p}f),
+{p}sa AS (SELECT coalesce(sum(CASE WHEN t__n IS NULL THEN s__n END), 0) AS only_s, CAST(NULL AS BIGINT) AS only_t,
+  coalesce(sum(CASE WHEN t__n IS NOT NULL THEN s__n * t__n END), 0) AS matched, {stats()} FROM {p}s),
+{p}_r AS (SELECT m.sc, m.tc, m.mode, m.n,
+  CASE WHEN m.mode = 'FULL_KEYED' THEN f.only_s ELSE s.only_s END AS only_s,
+  CASE WHEN m.mode = 'FULL_KEYED' THEN f.only_t ELSE s.only_t END AS only_t,
+  CASE WHEN m.mode = 'FULL_KEYED' THEN f.matched ELSE s.matched END AS matched, {pick}
+  FROM {p}_m m, {p}fa f, {p}sa s),
+{p}_l AS ({unp}),
+{p}_ls AS (SELECT coalesce(string_agg(name, ', ' {order}) FILTER (WHERE v + f > 0), '') AS mismatched_columns,
+  count(*) FILTER (WHERE v + f > 0) AS mismatched_column_count,
+  coalesce(string_agg(name, ', ' {order}) FILTER (WHERE v > 0), '') AS value_mismatch_columns,
+  coalesce(string_agg(name, ', ' {order}) FILTER (WHERE v = 0 AND f > 0), '') AS format_only_mismatch_columns FROM {p}_l),
+{p}_row AS (SELECT '{p}' AS source_table, '{p}_tgt' AS target_table, 'OK' AS table_status,
+  CASE WHEN only_s > 0 OR coalesce(only_t, 0) > 0 OR value_mismatch_columns <> '' THEN 'DATA_MISMATCH'
+       WHEN format_only_mismatch_columns <> '' THEN 'FORMAT_VARIANCE' ELSE 'DATA_MATCH' END AS data_status,
+  CAST(sc AS BIGINT) AS source_row_count, CAST(tc AS BIGINT) AS target_row_count, mode AS comparison_mode, '{key}' AS key_column,
+  CAST(matched AS BIGINT) AS matched_row_count, CAST(only_s AS BIGINT) AS rows_only_in_source, CAST(only_t AS BIGINT) AS rows_only_in_target,
+  CAST(CASE WHEN mode = 'SAMPLE_KEYED' THEN n END AS BIGINT) AS sample_size,
+  mismatched_columns, mismatched_column_count, value_mismatch_columns, format_only_mismatch_columns
+  FROM {p}_r, {p}_ls)"""
+
+
+def _hash_pair_ctes(p: str, src: str, tgt: str, cols) -> str:
+    return f"""{p}_hs AS (SELECT {G.row_hash(cols)} AS h, count(*) AS sn FROM {src} GROUP BY 1),
+{p}_ht AS (SELECT {G.row_hash(cols)} AS h, count(*) AS tn FROM {tgt} GROUP BY 1),
+{p}_hj AS (SELECT coalesce(sn, 0) AS sn, coalesce(tn, 0) AS tn FROM {p}_hs FULL OUTER JOIN {p}_ht ON {p}_hs.h = {p}_ht.h),
+{p}_row AS (SELECT '{p}' AS source_table, '{p}_tgt' AS target_table, 'OK' AS table_status,
+  CASE WHEN sum(greatest(sn - tn, 0)) + sum(greatest(tn - sn, 0)) > 0 THEN 'DATA_MISMATCH' ELSE 'DATA_MATCH' END AS data_status,
+  CAST(sum(sn) AS BIGINT) AS source_row_count, CAST(sum(tn) AS BIGINT) AS target_row_count, 'FULL_HASH' AS comparison_mode,
+  CAST(NULL AS VARCHAR) AS key_column, CAST(0 AS BIGINT) AS matched_row_count,
+  CAST(sum(greatest(sn - tn, 0)) AS BIGINT) AS rows_only_in_source, CAST(sum(greatest(tn - sn, 0)) AS BIGINT) AS rows_only_in_target,
+  CAST(NULL AS BIGINT) AS sample_size, '' AS mismatched_columns, CAST(0 AS BIGINT) AS mismatched_column_count,
+  '' AS value_mismatch_columns, '' AS format_only_mismatch_columns FROM {p}_hj)"""
+
+
+_OVERALL = "CASE WHEN data_status = 'DATA_MISMATCH' THEN 'FAIL' WHEN data_status IN ('NOT_COMPARED', 'FORMAT_VARIANCE') THEN 'WARN' ELSE 'PASS' END"
+_COLS_OUT = [f.name for f in RR.RESULT_SCHEMA.fields]
+
+
+def _run_sql() -> str:
+    ctes = []
+    for name, src, tgt, key, cols in _SQL_PAIRS:
+        ctes.append(_keyed_pair_ctes(name, src, tgt, key, cols) if key else _hash_pair_ctes(name, src, tgt, cols))
+    rows = [f"SELECT source_table, target_table, table_status, data_status, {_OVERALL} AS overall_status, " + ", ".join(_COLS_OUT[5:]) + f" FROM {n}_row" for n, *_ in _SQL_PAIRS]
+    rows.append(
+        "SELECT 'nation', 'nation_tgt', 'MISSING_IN_TARGET', 'NOT_COMPARED', 'FAIL', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'SKIPPED', CAST(NULL AS VARCHAR), "
+        "CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)"
+    )
+    rows.append(
+        "SELECT 'region', 'region_tgt', 'OK', 'NOT_COMPARED', 'WARN', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'SKIPPED', CAST(NULL AS VARCHAR), "
+        "CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(0 AS BIGINT), '', ''"
+    )
+    return "WITH " + ",\n".join(ctes) + ",\nrun AS (" + "\nUNION ALL\n".join(rows) + ")\n"
+
+
+_RUN = _run_sql()
+
+
+def recon_results(spark, sf):
+    return RR.reconcile_many(spark, _pairs(spark, sf), CFG)
+
+
+@query("recon_run", _RUN + "SELECT * FROM run", _RUN_FX)
+def recon_run(spark, sf):
+    """One result row per table pair (keyed full/sample, hash, missing, skipped)."""
+    return recon_results(spark, sf)
+
+
+@query("recon_status", _RUN + "SELECT source_table, comparison_mode, data_status, overall_status FROM run", _RUN_FX)
+def recon_status(spark, sf):
+    """Data status and overall status per pair."""
+    return recon_results(spark, sf).select("source_table", "comparison_mode", "data_status", "overall_status")
+
+
+@query(
+    "triage_rows",
+    _RUN + """SELECT *, row_number() OVER (ORDER BY overall_status DESC, mismatched_column_count DESC NULLS LAST, source_table) AS triage_rank
+FROM run WHERE overall_status IN ('FAIL', 'WARN', 'ERROR')""",
+    _RUN_FX,
+)
+def triage_rows(spark, sf):
+    """L1/L4: flagged pairs in triage order."""
+    return RR.triage(recon_results(spark, sf))
+
+
+_EMPTY = "WITH " + _keyed_pair_ctes("orders", "src_orders", "tgt_empty", KEY, sorted(COLS)) + f"\nSELECT source_table, target_table, table_status, data_status, {_OVERALL} AS overall_status, " + ", ".join(_COLS_OUT[5:]) + " FROM orders_row"
+
+
+@query("recon_empty_side", _EMPTY, ("src_orders", "tgt_empty"))
+def recon_empty_side(spark, sf):
+    """One side empty -> every row of the other side is unmatched (no join is run)."""
+    spec = RR.PairSpec("orders", "orders_tgt", fx.src_orders(spark, sf), fx.tgt_orders(spark, sf).where(F.col(KEY) < 0))
+    return RR.reconcile_many(spark, [spec], CFG)
+
+
+_SAMPLE = "WITH " + _keyed_pair_ctes("o", "src_orders", "tgt_orders", KEY, sorted(COLS)) + """
+SELECT CAST(n AS BIGINT) AS sample_size, (SELECT count(*) FROM os) AS sampled_keys, CAST((SELECT sum(s__n) FROM os) AS BIGINT) AS sampled_rows,
+  CAST(sa.only_s AS BIGINT) AS rows_only_in_source, CAST(NULL AS BIGINT) AS rows_only_in_target, CAST(sa.matched AS BIGINT) AS matched_row_count
+FROM o_m, osa sa"""
+
+
+@query("recon_sample_keyed", _SAMPLE, FX)
+def recon_sample_keyed(spark, sf):
+    """Deterministic md5-bucket sample of source keys, left-joined to the target."""
+    s, t = fx.src_orders(spark, sf), fx.tgt_orders(spark, sf)
+    from tidemark.operators.aggs import row_counts
+
+    c = row_counts(s, t).first()
+    n = R.sample_size(c["source_row_count"], c["target_row_count"], CFG)
+    summary, _ = R.compare_sampled(s, t, KEY, COLS, R.sample_threshold(n, c["source_row_count"]))
+    return summary.select(F.lit(n).cast("long").alias("sample_size"), "*")
+
+
+_PLAN_PAIRS = [("orders", "src_orders", "tgt_orders", True, False), ("orders_filtered", "src_orders", "tgt_orders", True, True),
+               ("customer", "customer", "customer_fmt", True, False), ("part", "part", "part", True, False),
+               ("supplier", "supplier", "supplier_chg", False, False), ("orders_empty", "src_orders", "tgt_empty", True, True)]
+
+
+def _plan_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{n}' AS pair, (SELECT count(*) FROM {s}) AS source_row_count, (SELECT count(*) FROM {t}) AS target_row_count, {str(k).upper()} AS has_key, {str(h).upper()} AS has_filter"
+        for n, s, t, k, h in _PLAN_PAIRS
+    )
+    return f"""WITH c AS ({parts}),
+p AS (SELECT *, CASE WHEN NOT has_key THEN 'FULL_HASH' WHEN source_row_count = 0 OR target_row_count = 0 THEN 'FULL_KEYED'
+  WHEN (has_filter AND source_row_count = target_row_count AND greatest(source_row_count, target_row_count) <= 20000000)
+    OR (NOT has_filter AND greatest(source_row_count, target_row_count) <= 5000) THEN 'FULL_KEYED' ELSE 'SAMPLE_KEYED' END AS comparison_mode FROM c)
+SELECT *, CAST(CASE WHEN comparison_mode = 'SAMPLE_KEYED' THEN greatest(1, least(least(CASE WHEN greatest(source_row_count, target_row_count) > 20000000 THEN 500000 ELSE 50000 END,
+    greatest(1000, CAST(floor(CAST(CASE WHEN least(source_row_count, target_row_count) = 0 THEN 1 ELSE least(source_row_count, target_row_count) END AS DOUBLE) * 0.2) AS BIGINT))), source_row_count)) END AS BIGINT) AS sample_size
+FROM p"""
+
+
+@query("recon_plan", _plan_sql(), ("src_orders", "tgt_orders", "customer_fmt", "supplier_chg", "tgt_empty"))
+def recon_plan(spark, sf):
+    """R10/R11 for many pairs in one pass: full vs sample vs hash decision and sample size."""
+    cust = fx.load(spark, sf, "customer")
+    sup = fx.load(spark, sf, "supplier")
+    frames = {
+        "src_orders": fx.src_orders(spark, sf), "tgt_orders": fx.tgt_orders(spark, sf), "customer": cust,
+        "customer_fmt": cust, "part": fx.load(spark, sf, "part"), "supplier": sup, "supplier_chg": sup,
+        "tgt_empty": fx.tgt_orders(spark, sf).where(F.col(KEY) < 0),
+    }
+    u = None
+    for i, (n, s, t, k, h) in enumerate(_PLAN_PAIRS):
+        for side, name in ((0, s), (1, t)):
+            part = frames[name].select(F.lit(n).alias("pair"), F.lit(side).alias("side"))
+            u = part if u is None else u.unionByName(part)
+    g = u.groupBy("pair").agg(F.count(F.when(F.col("side") == 0, 1)).alias("source_row_count"), F.count(F.when(F.col("side") == 1, 1)).alias("target_row_count"))
+    flags = {n: (k, h) for n, _, _, k, h in _PLAN_PAIRS}
+    hk = F.lit(False)
+    hf = F.lit(False)
+    for n, (k, h) in flags.items():
+        hk = F.when(F.col("pair") == n, F.lit(k)).otherwise(hk)
+        hf = F.when(F.col("pair") == n, F.lit(h)).otherwise(hf)
+    return R.plan_compare(g.withColumn("has_key", hk).withColumn("has_filter", hf), CFG)
+
+
+_U3_SQL = (
+    "WITH u AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, 's' AS side FROM src_orders UNION ALL SELECT '{c}', CAST({c} AS VARCHAR), 't' FROM tgt_orders" for c in ALL_COLS)
+    + """),
+g AS (SELECT column_name, value, count(CASE WHEN side = 's' THEN 1 END) AS sn, count(CASE WHEN side = 't' THEN 1 END) AS tn FROM u GROUP BY 1, 2)
+SELECT column_name, CAST(sum(CASE WHEN sn > 0 AND tn = 0 THEN 1 ELSE 0 END) AS BIGINT) AS source_only_values,
+       CAST(sum(CASE WHEN tn > 0 AND sn = 0 THEN 1 ELSE 0 END) AS BIGINT) AS target_only_values
+FROM g GROUP BY column_name"""
+)
+
+
+@query("mismatch_columns_distinct", _U3_SQL, FX)
+def mismatch_columns_distinct(spark, sf):
+    """Per column, distinct values present on one side only (one unpivot, one grouped count)."""
+    return setops.column_multiset_diff(fx.src_orders(spark, sf), fx.tgt_orders(spark, sf), ALL_COLS, distinct=True)
+
+
+_LC = G.keyed_join_ctes("src_orders", "tgt_orders", KEY, COLS, how="INNER")
+
+
+@query(
+    "length_compare",
+    f"WITH {_LC},\nx AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, length(CAST(s__{c} AS VARCHAR)) AS sl, length(CAST(t__{c} AS VARCHAR)) AS tl FROM j WHERE s__n = 1 AND t__n = 1" for c in COLS)
+    + """)
+SELECT column_name, count(CASE WHEN sl IS DISTINCT FROM tl THEN 1 END) AS length_mismatch_rows, CAST(max(sl) AS BIGINT) AS max_source_length,
+  CAST(max(tl) AS BIGINT) AS max_target_length FROM x GROUP BY column_name""",
+    FX,
+)
+def length_compare(spark, sf):
+    """J10 re-aimed: keyed length comparison per column (no theta join)."""
+    from tidemark.operators.joins import length_compare as lc
+
+    return lc(fx.src_orders(spark, sf), fx.tgt_orders(spark, sf), KEY, COLS)
