@@ -110,54 +110,95 @@ def _finish(df: DataFrame, spec: PairSpec, mode: str, key: str | None, sample_n:
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields])
 
 
-def pair_result(spark: SparkSession, spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig) -> DataFrame:
-    """One summary row for one pair (the per-pair body of R14)."""
+def plan_pair(spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig):
+    """R2/R10/R11 for one pair: ``(mode, key, other_columns, sample_n, threshold)``."""
     if spec.target is None:
-        row = (spec.source_table, spec.target_table, "MISSING_IN_TARGET", "NOT_COMPARED", "FAIL", None, None, "SKIPPED", None, None, None, None, None, None, None, None, None)
-        return spark.createDataFrame([row], RESULT_SCHEMA)
+        return "MISSING", None, [], None, None
     cols = spec.comparable()
     if not cols:
-        base = spark.range(1).select(*[F.lit(0).cast("long").alias(n) for n in ("source_row_count", "target_row_count", "matched_row_count", "rows_only_in_source", "rows_only_in_target")], *_lists([]))
-        return _finish(base, spec, "SKIPPED", None, None)
+        return "SKIPPED", None, [], None, None
     sc, tc = counts
     key = R.pick_first(cols, cfg.key_priority)
     key = next((c for c in cols if key and c.lower() == key.lower()), None)
     if key is None:
-        h = R.hash_diff(spec.source.select(*cols), spec.target.select(*cols), cols)
-        return _finish(h.select("*", F.lit(0).cast("long").alias("matched_row_count"), *_lists([])), spec, "FULL_HASH", None, None)
+        return "FULL_HASH", None, cols, None, None
     others = [c for c in cols if c != key]
     if sc == 0 or tc == 0:
+        return "EMPTY_SIDE", key, others, None, None
+    has_filter = R.pick_first(spec.source.columns, cfg.filter_priority) is not None
+    full = (sc == tc and max(sc, tc) <= cfg.full_compare_row_limit) if has_filter else max(sc, tc) <= cfg.no_timestamp_full_compare_rows
+    if full:
+        return "FULL_KEYED", key, others, None, None
+    n = R.sample_size(sc, tc, cfg)
+    return "SAMPLE_KEYED", key, others, n, R.sample_threshold(n, sc)
+
+
+def pair_join(spec: PairSpec, plan) -> DataFrame | None:
+    """The keyed join a planned pair is compared on (full outer, or sampled left join)."""
+    mode, key, others, _n, thr = plan
+    if mode == "FULL_KEYED":
+        return R.keyed_join(spec.source, spec.target, key, others)
+    if mode == "SAMPLE_KEYED":
+        sampled = spec.source.where(R.key_bucket(F.col(f"`{key}`")) < F.lit(thr))
+        return R.keyed_join(sampled, spec.target, key, others, how="left")
+    return None
+
+
+def pair_result(spark: SparkSession, spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig) -> DataFrame:
+    """One summary row for one pair (the per-pair body of R14)."""
+    plan = plan_pair(spec, counts, cfg)
+    mode, key, others, n, _thr = plan
+    if mode == "MISSING":
+        row = (spec.source_table, spec.target_table, "MISSING_IN_TARGET", "NOT_COMPARED", "FAIL", None, None, "SKIPPED", None, None, None, None, None, None, None, None, None)
+        return spark.createDataFrame([row], RESULT_SCHEMA)
+    if mode == "SKIPPED":
+        base = spark.range(1).select(*[F.lit(0).cast("long").alias(x) for x in ("source_row_count", "target_row_count", "matched_row_count", "rows_only_in_source", "rows_only_in_target")], *_lists([]))
+        return _finish(base, spec, "SKIPPED", None, None)
+    sc, tc = counts
+    if mode == "FULL_HASH":
+        h = R.hash_diff(spec.source.select(*others), spec.target.select(*others), others)
+        return _finish(h.select("*", F.lit(0).cast("long").alias("matched_row_count"), *_lists([])), spec, "FULL_HASH", None, None)
+    if mode == "EMPTY_SIDE":
+        # Nothing to join; every row of the non-empty side is unmatched.
         base = spark.range(1).select(
             F.lit(sc).cast("long").alias("source_row_count"), F.lit(tc).cast("long").alias("target_row_count"),
             F.lit(0).cast("long").alias("matched_row_count"), F.lit(sc).cast("long").alias("rows_only_in_source"),
             F.lit(tc).cast("long").alias("rows_only_in_target"), *_lists([]),
         )
         return _finish(base, spec, "FULL_KEYED", key, None)
-    has_filter = R.pick_first(spec.source.columns, cfg.filter_priority) is not None
-    full = (sc == tc and max(sc, tc) <= cfg.full_compare_row_limit) if has_filter else max(sc, tc) <= cfg.no_timestamp_full_compare_rows
-    if full:
-        j = R.keyed_join(spec.source, spec.target, key, others)
-        both = F.col("s__n").isNotNull() & F.col("t__n").isNotNull()
-        agg = j.agg(
-            F.coalesce(F.sum(F.when(F.col("t__n").isNull(), F.col("s__n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
-            F.coalesce(F.sum(F.when(F.col("s__n").isNull(), F.col("t__n"))), F.lit(0)).cast("long").alias("rows_only_in_target"),
-            F.coalesce(F.sum(F.when(both, F.col("s__n") * F.col("t__n"))), F.lit(0)).cast("long").alias("matched_row_count"),
-            *_column_stats(others),
-        )
-        base = agg.select("*", F.lit(sc).cast("long").alias("source_row_count"), F.lit(tc).cast("long").alias("target_row_count"), *_lists(others))
-        return _finish(base, spec, "FULL_KEYED", key, None)
-    n = R.sample_size(sc, tc, cfg)
-    thr = R.sample_threshold(n, sc)
-    sampled = spec.source.where(R.key_bucket(F.col(f"`{key}`")) < F.lit(thr))
-    j = R.keyed_join(sampled, spec.target, key, others, how="left")
+    j = pair_join(spec, plan)
+    present = F.col("t__n").isNotNull()
+    only_t = F.coalesce(F.sum(F.when(F.col("s__n").isNull(), F.col("t__n"))), F.lit(0)).cast("long") if mode == "FULL_KEYED" else F.lit(None).cast("long")
     agg = j.agg(
-        F.coalesce(F.sum(F.when(F.col("t__n").isNull(), F.col("s__n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
-        F.lit(None).cast("long").alias("rows_only_in_target"),
-        F.coalesce(F.sum(F.when(F.col("t__n").isNotNull(), F.col("s__n") * F.col("t__n"))), F.lit(0)).cast("long").alias("matched_row_count"),
+        F.coalesce(F.sum(F.when(~present, F.col("s__n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
+        only_t.alias("rows_only_in_target"),
+        F.coalesce(F.sum(F.when(present & F.col("s__n").isNotNull(), F.col("s__n") * F.col("t__n"))), F.lit(0)).cast("long").alias("matched_row_count"),
         *_column_stats(others),
     )
     base = agg.select("*", F.lit(sc).cast("long").alias("source_row_count"), F.lit(tc).cast("long").alias("target_row_count"), *_lists(others))
-    return _finish(base, spec, "SAMPLE_KEYED", key, n)
+    return _finish(base, spec, mode, key, n)
+
+
+def pair_comment(spark: SparkSession, spec: PairSpec, counts, cfg: R.ReconConfig) -> DataFrame:
+    """``(source_table, comments)`` for one pair: result row + capped column text."""
+    plan = plan_pair(spec, counts, cfg)
+    mode, key, others, _n, _thr = plan
+    result = pair_result(spark, spec, counts, cfg)
+    j = pair_join(spec, plan)
+    if j is not None and others:
+        cc = mismatch_comment(comment_column_parts(R.mismatch_rows(j, others, cfg.detect_format), key, cfg), cfg).select("column_comment")
+    else:
+        cc = spark.range(1).select(F.lit("").alias("column_comment"))
+    only_src, only_tgt = [], []
+    if spec.target is not None:
+        ex = {e.lower() for e in spec.excluded}
+        tl, sl = {c.lower() for c in spec.target.columns}, {c.lower() for c in spec.source.columns}
+        only_src = sorted(c for c in spec.source.columns if c.lower() not in tl or c.lower() in ex)
+        only_tgt = sorted(c for c in spec.target.columns if c.lower() not in sl or c.lower() in ex)
+    # Both sides are single rows: tag them with the table name and join on it.
+    k = F.lit(spec.source_table).alias("__pair")
+    r = result.select(k, "*").join(cc.select(k, "column_comment"), "__pair")
+    return r.select("source_table", comment_expr(cfg, only_src, only_tgt).alias("comments"))
 
 
 def side_counts(specs: Sequence[PairSpec]) -> dict[int, tuple[int, int]]:
@@ -191,6 +232,16 @@ def reconcile_many(spark: SparkSession, specs: Sequence[PairSpec], cfg: R.ReconC
     return out
 
 
+def comments_many(spark: SparkSession, specs: Sequence[PairSpec], cfg: R.ReconConfig = R.ReconConfig()) -> DataFrame:
+    """R13 for all pairs: ``(source_table, comments)``."""
+    counts = side_counts(specs)
+    out = None
+    for i, s in enumerate(specs):
+        r = pair_comment(spark, s, counts.get(i), cfg)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def triage(results: DataFrame, statuses: Sequence[str] = ("FAIL", "WARN", "ERROR")) -> DataFrame:
     """L1/L4: flagged rows with their triage rank (status desc, mismatched columns desc nulls last, table)."""
     from pyspark.sql import Window

@@ -67,6 +67,18 @@ FROM orders""",
         "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(15,2)) AS l_extendedprice, CAST(l_discount AS DECIMAL(4,2)) AS l_discount, l_quantity FROM lineitem",
         (),
     ),
+    "val_source": (
+        """SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 't' WHEN o_orderstatus = 'O' THEN 'f' END AS o_isfinal,
+  o_totalprice, o_orderdate, o_orderpriority, 'note-' || CAST(o_custkey AS VARCHAR) AS o_note FROM orders""",
+        (),
+    ),
+    "val_target": (
+        """WITH t AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 0 END AS o_isfinal,
+  CAST(CASE WHEN o_orderkey % 37 = 0 THEN o_totalprice + 0.01 ELSE o_totalprice END AS DECIMAL(12,2)) AS o_totalprice,
+  o_orderdate, o_orderpriority, o_orderdate AS azure_load_date, o_custkey % 10 AS o_target_only FROM orders)
+SELECT * FROM t UNION ALL SELECT * FROM t WHERE o_orderkey % 50 = 0""",
+        (),
+    ),
     "run_results": (
         """SELECT strftime(queued_date, '%Y%m%d') AS run_id, table_name, src_count, tgt_count,
   CASE WHEN src_count = tgt_count THEN 'PASS' WHEN tgt_count * 10 >= src_count * 9 THEN 'WARN' ELSE 'FAIL' END AS status

@@ -444,3 +444,167 @@ def length_compare(spark, sf):
     from tidemark.operators.joins import length_compare as lc
 
     return lc(fx.src_orders(spark, sf), fx.tgt_orders(spark, sf), KEY, COLS)
+
+
+# ---------------------------------------------------------------------- R15 validation
+_VS = ["o_custkey", "o_isfinal", "o_note", "o_orderdate", "o_orderkey", "o_orderpriority", "o_totalprice"]
+_VS_STR = {"o_isfinal", "o_note", "o_orderpriority"}
+_VT = ["o_orderkey", "o_custkey", "o_isfinal", "o_totalprice", "o_orderdate", "o_orderpriority", "o_target_only"]
+_VC = sorted(set(_VS) & set(_VT))
+
+
+def _validate_sql() -> str:
+    bp = ", ".join(
+        (f"bool_and({c} IS NULL OR {c} IN ('t', 'f')) AS b_{c}" if c in _VS_STR else f"bool_and({c} IS NULL) AS b_{c}") for c in _VS
+    )
+
+    def s_expr(c):
+        if c not in _VS_STR:  # a non-text column is boolean only when all NULL: both forms give NULL
+            return f"CAST({c} AS VARCHAR) AS {c}"
+        rec = f"CAST(CASE WHEN lower(trim({c})) = 't' THEN 1 WHEN lower(trim({c})) = 'f' THEN 0 END AS VARCHAR)"
+        return f"CASE WHEN (SELECT b_{c} FROM bp) THEN {rec} ELSE CAST({c} AS VARCHAR) END AS {c}"
+
+    cols = ", ".join(_VC)
+    return f"""WITH bp AS (SELECT {bp} FROM val_source),
+t AS (SELECT o_orderkey, o_custkey, o_isfinal, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderdate, o_orderpriority, o_target_only FROM val_target),
+td AS (SELECT DISTINCT * FROM t),
+ss AS (SELECT {', '.join(s_expr(c) for c in _VC)} FROM val_source),
+ts AS (SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _VC)} FROM td)
+SELECT 'orders' AS table_name, (SELECT count(*) FROM val_source) AS source_count, (SELECT count(*) FROM t) AS target_full_count,
+  (SELECT count(*) FROM td) AS target_filter_count, (SELECT count(*) FROM td) AS target_post_dedup_count,
+  (SELECT count(*) FROM t) - (SELECT count(*) FROM td) AS duplicate_count,
+  list_filter([{', '.join(f"CASE WHEN b_{c} THEN '{c}' END" for c in _VS)}], lambda x: x IS NOT NULL) AS converted_boolean_columns,
+  ['o_totalprice'] AS decimal_columns,
+  (SELECT count(*) FROM (SELECT {cols} FROM ss EXCEPT ALL SELECT {cols} FROM ts)) AS source_only_count,
+  (SELECT count(*) FROM (SELECT {cols} FROM ts EXCEPT ALL SELECT {cols} FROM ss)) AS target_only_count,
+  ['o_target_only'] AS missing_in_source, ['o_note'] AS missing_in_target
+FROM bp"""
+
+
+_VALIDATE = f"""WITH v AS ({_validate_sql()}),
+w AS (SELECT *, concat_ws(' | ', CASE WHEN source_count <> target_post_dedup_count THEN 'count mismatch' END,
+    CASE WHEN len(missing_in_source) > 0 THEN 'missing columns in source' END, CASE WHEN len(missing_in_target) > 0 THEN 'missing columns in target' END,
+    CASE WHEN source_only_count + target_only_count > 0 THEN 'data mismatch' END, CASE WHEN duplicate_count > 0 THEN 'duplicates in target' END) AS c FROM v)
+SELECT * EXCLUDE (c), CASE WHEN c = '' THEN 'All checks passed' ELSE c END AS comment FROM w"""
+
+
+@query("validate_table", _VALIDATE, ("val_source", "val_target"))
+def validate_table(spark, sf):
+    """Boolean recode, decimal cast, dedup rule, EXCEPT ALL both ways, missing columns, comment."""
+    return RR.validate_table(spark, "orders", fx.val_source(spark, sf), fx.val_target(spark, sf))
+
+
+# ---------------------------------------------------------------------- R16 database compare
+from tidemark.plans import q_schema as _q_schema  # noqa: E402,F401  (registers the metadata fixtures)
+_DB_SRC = ["orders", "customer", "part", "supplier", "nation", "region"]
+_DB_WINDOW = "o_orderdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1996-12-31 00:00:00'"
+
+
+def _db_frames(spark, sf):
+    src = {t: fx.load(spark, sf, t) for t in _DB_SRC}
+    src["orders"] = fx.src_orders(spark, sf)
+    dst = {
+        "orders": fx.tgt_orders(spark, sf),
+        "customer": src["customer"].withColumn("c_acctbal", F.col("c_acctbal").cast("string")),
+        "part": src["part"].drop("p_type"),
+        "supplier": src["supplier"],
+        "region": src["region"].where(F.col("r_regionkey") > 100),
+    }
+    return src, dst
+
+
+register(
+    "db_meta_src",
+    """SELECT table_name, column_name, data_type, ordinal_position FROM meta_prod WHERE table_name IN ('customer', 'part', 'supplier', 'nation', 'region')
+UNION ALL SELECT 'orders', column_name, data_type, ordinal_position FROM meta_prod WHERE table_name = 'orders'""",
+    ("meta_prod",),
+)
+register(
+    "db_meta_dst",
+    """SELECT table_name, column_name, CASE WHEN table_name = 'customer' AND column_name = 'c_acctbal' THEN 'string' ELSE data_type END AS data_type, ordinal_position
+FROM db_meta_src WHERE table_name IN ('orders', 'customer', 'part', 'supplier', 'region') AND NOT (table_name = 'part' AND column_name = 'p_type')""",
+    ("db_meta_src",),
+)
+
+
+def _db_data_sql(name: str, src: str, dst: str, cols) -> str:
+    h = G.row_hash(cols)
+    return f"""SELECT '{name}' AS tablename, CAST(coalesce(sum(sn), 0) AS BIGINT) AS source_count, CAST(coalesce(sum(dn), 0) AS BIGINT) AS destination_count,
+  count(CASE WHEN dn IS NULL THEN 1 END) AS s_only, count(CASE WHEN sn IS NULL THEN 1 END) AS d_only
+FROM (SELECT {h} AS h, count(*) AS sn FROM {src} GROUP BY 1) a FULL OUTER JOIN (SELECT {h} AS h, count(*) AS dn FROM {dst} GROUP BY 1) b ON a.h = b.h"""
+
+
+_DB_SQL = f"""WITH sig AS (SELECT table_name, count(*) AS n, string_agg(column_name || ':' || data_type, ',' ORDER BY ordinal_position) AS s FROM db_meta_src GROUP BY 1),
+dig AS (SELECT table_name, count(*) AS n, string_agg(column_name || ':' || data_type, ',' ORDER BY ordinal_position) AS s FROM db_meta_dst GROUP BY 1),
+ddl AS (SELECT sig.table_name, CASE WHEN dig.table_name IS NULL THEN 'Table missing in destination' WHEN sig.n <> dig.n THEN 'DDL mismatch'
+                                    WHEN sig.s <> dig.s THEN 'Column data type mismatch' END AS early FROM sig LEFT JOIN dig ON sig.table_name = dig.table_name),
+data AS ({_db_data_sql('orders', f'(SELECT * FROM src_orders WHERE {_DB_WINDOW})', f'(SELECT * FROM tgt_orders WHERE {_DB_WINDOW})', ALL_COLS)}
+  UNION ALL {_db_data_sql('supplier', 'supplier', 'supplier', ['s_suppkey', 's_name', 's_nationkey', 's_acctbal'])}
+  UNION ALL {_db_data_sql('region', 'region', '(SELECT * FROM region WHERE r_regionkey > 100)', ['r_regionkey', 'r_name'])})
+SELECT ddl.table_name AS tablename,
+  CASE WHEN early IS NULL THEN data.source_count END AS source_count, CASE WHEN early IS NULL THEN data.destination_count END AS destination_count,
+  coalesce(early, CASE WHEN data.source_count > 0 AND data.destination_count > 0
+                       THEN CASE WHEN s_only = 0 AND d_only = 0 THEN 'Data matches' ELSE 'Data mismatch' END ELSE 'No data to compare' END) AS result_status
+FROM ddl LEFT JOIN data ON ddl.table_name = data.tablename"""
+
+
+@query("compare_database", _DB_SQL, ("db_meta_dst", "src_orders", "tgt_orders"))
+def compare_database(spark, sf):
+    """Missing table -> DDL -> type list -> counts + EXCEPT DISTINCT both ways -> label."""
+    src, dst = _db_frames(spark, sf)
+    win = F.col("o_orderdate").between(F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"), F.lit("1996-12-31 00:00:00").cast("timestamp_ntz"))
+    return RR.compare_database(spark, src, dst, windows={"orders": win})
+
+
+# ---------------------------------------------------------------------- R13 comments
+def _comment_sql() -> str:
+    ctes = []
+    bodies = []
+    for name, src, tgt, key, cols in _SQL_PAIRS:
+        if key:
+            ctes.append(_keyed_pair_ctes(name, src, tgt, key, cols))
+            p = name
+            ex = f"'{key}=' || key || ': SRC=''' || coalesce(source_value, 'None') || ''' vs TGT=''' || coalesce(target_value, 'None') || ''' [' || mismatch_type || ']'"
+            ctes.append(
+                f"""{p}_mm AS (SELECT * FROM ({G.mismatch_rows_sql(p + 'f', cols)}) WHERE (SELECT mode FROM {p}_m) = 'FULL_KEYED'
+  UNION ALL SELECT * FROM ({G.mismatch_rows_sql(p + 's', cols)}) WHERE (SELECT mode FROM {p}_m) = 'SAMPLE_KEYED'),
+{p}_cs AS (SELECT column_name, count(*) AS total, count(CASE WHEN mismatch_type = 'VALUE' THEN 1 END) AS v,
+  count(CASE WHEN mismatch_type = 'FORMAT' THEN 1 END) AS f FROM {p}_mm GROUP BY 1),
+{p}_ex AS (SELECT column_name, string_agg({ex}, '; ' ORDER BY key) AS examples
+  FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY key) AS rn FROM {p}_mm) WHERE rn <= 3 GROUP BY 1),
+{p}_parts AS (SELECT c.column_name, upper(c.column_name) || ': ' || c.total || ' row(s) differ [' || c.v || ' VALUE, ' || c.f || ' FORMAT]'
+    || coalesce(' (e.g. ' || e.examples || ')', '') AS part, row_number() OVER (ORDER BY c.total DESC, c.column_name) AS rk
+  FROM {p}_cs c LEFT JOIN {p}_ex e ON c.column_name = e.column_name),
+{p}_cc AS (SELECT CASE WHEN count(*) > 0 THEN 'COLUMN MISMATCHES -> ' || string_agg(part, '; ' ORDER BY rk) FILTER (WHERE rk <= 15) || '.'
+    || CASE WHEN count(*) > 15 THEN ' (+' || CAST(count(*) - 15 AS VARCHAR) || ' more mismatched column(s) not shown).' ELSE '' END ELSE '' END AS column_comment FROM {p}_parts)"""
+            )
+            cnt = "CASE WHEN source_row_count <> target_row_count THEN 'Row count mismatch (expected in this env): SRC=' || source_row_count || ', TGT=' || target_row_count || '.' END"
+            lab = "CASE WHEN comparison_mode = 'FULL_KEYED' THEN 'Full' ELSE 'Sample (' || sample_size || ' keys)' END"
+            keyed = (
+                f"concat_ws(' ', {lab} || ' key-based compare on ' || upper(key_column) || ': ' || matched_row_count || ' matched row(s) checked.', "
+                "CASE WHEN rows_only_in_source > 0 THEN rows_only_in_source || ' key(s) present in SRC but not found in TGT.' END, "
+                "CASE WHEN comparison_mode = 'FULL_KEYED' AND rows_only_in_target > 0 THEN rows_only_in_target || ' key(s) present in TGT but not found in SRC.' END, "
+                "CASE WHEN column_comment <> '' THEN column_comment WHEN matched_row_count > 0 THEN 'All compared columns match on matched rows.' END)"
+            )
+            bodies.append(
+                f"SELECT source_table, concat_ws(' ', {cnt}, {keyed}, 'No time filter column found -- full table compared, no date filter.') AS comments FROM {p}_row, {p}_cc"
+            )
+        else:
+            ctes.append(_hash_pair_ctes(name, src, tgt, cols))
+            cnt = "CASE WHEN source_row_count <> target_row_count THEN 'Row count mismatch (expected in this env): SRC=' || source_row_count || ', TGT=' || target_row_count || '.' END"
+            hs = ("'No key column found -- fell back to full-row hash compare; column-level diagnostics unavailable for this table. ' || "
+                  "CASE WHEN rows_only_in_source > 0 OR rows_only_in_target > 0 THEN rows_only_in_source || ' row-hash(es) only in SRC, ' || rows_only_in_target || ' only in TGT.' ELSE 'All row hashes match.' END")
+            bodies.append(f"SELECT source_table, concat_ws(' ', {cnt}, {hs}, 'No time filter column found -- full table compared, no date filter.') AS comments FROM {name}_row")
+    bodies.append("SELECT 'nation', 'Table exists in SRC but was not found in TGT (expected name: nation_tgt).'")
+    bodies.append(
+        "SELECT 'region', '2 column(s) in SRC not comparable (absent in TGT, or excluded): r_name, r_regionkey. "
+        "2 column(s) in TGT not comparable (absent in SRC, or excluded): x_name, x_regionkey. "
+        "No comparable common columns after exclusions -- data comparison skipped.'"
+    )
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(bodies)
+
+
+@query("recon_comments", _comment_sql(), _RUN_FX)
+def recon_comments(spark, sf):
+    """The comment text per pair, column details capped at 15 columns x 3 examples."""
+    return RR.comments_many(spark, _pairs(spark, sf), CFG)

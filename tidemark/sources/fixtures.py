@@ -152,3 +152,30 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("FAIL")
         .alias("status"),
     )
+
+
+def val_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation source: boolean-coded text column and a source-only note column."""
+    o = load(spark, sf_dir, "orders")
+    return o.select(
+        "o_orderkey", "o_custkey",
+        F.when(F.col("o_orderstatus") == "F", "t").when(F.col("o_orderstatus") == "O", "f").alias("o_isfinal"),
+        "o_totalprice", "o_orderdate", "o_orderpriority",
+        F.concat(F.lit("note-"), F.col("o_custkey").cast("string")).alias("o_note"),
+    )
+
+
+def val_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation target: 1/0 flag, decimal price (changed every 37th key), load-date and
+    target-only columns, and every 50th order loaded twice."""
+    o = load(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    t = o.select(
+        k, "o_custkey",
+        F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).alias("o_isfinal"),
+        F.when(k % 37 == 0, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice")).cast("decimal(12,2)").alias("o_totalprice"),
+        "o_orderdate", "o_orderpriority",
+        F.col("o_orderdate").alias("azure_load_date"),
+        (F.col("o_custkey") % 10).alias("o_target_only"),
+    )
+    return t.unionByName(t.where(k % 50 == 0))
