@@ -50,7 +50,7 @@ def mismatch_columns(spark, sf):
     summary = R.mismatch_summary(R.mismatch_rows(_joined(spark, sf), COLS))
     # The summary has one row per column (bounded by the schema width): a global rank is cheap.
     w = Window.orderBy(F.col("mismatch_count").desc(), F.col("column_name"))
-    return summary.withColumn("column_rank", F.row_number().over(w))
+    return summary.withColumn("column_rank", F.row_number().over(w).cast("long"))
 
 
 _EXAMPLES_SQL = f"""WITH {JOIN},

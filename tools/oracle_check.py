@@ -58,6 +58,26 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "TINYINT", "double": "DOUBLE", "float": "FLOAT",
+    "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "date": "DATE",
+}
+
+
+def spark_type(t: str) -> str:
+    if t.startswith("array<") and t.endswith(">"):
+        return spark_type(t[6:-1]) + "[]"
+    if t.startswith("decimal"):
+        return t.upper().replace(" ", "")
+    return SPARK_TO_DUCK.get(t, t.upper())
+
+
+def type_diffs(sdf_schema, duck_rel):
+    st = {f.name: spark_type(f.dataType.simpleString()) for f in sdf_schema.fields}
+    dt = {n: str(t).replace(" ", "") if str(t).startswith("DECIMAL") else str(t) for n, t in zip(duck_rel.columns, duck_rel.types)}
+    return {n: (st.get(n), dt.get(n)) for n in sorted(set(st) | set(dt)) if st.get(n) != dt.get(n)}
+
+
 def frame_rows(pdf):
     cols = sorted(pdf.columns)
     out = []
@@ -87,7 +107,9 @@ def main():
     for name in names:
         t0 = time.time()
         try:
-            sdf = QUERIES[name](spark, args.sf).toPandas()
+            sframe = QUERIES[name](spark, args.sf)
+            sschema = sframe.schema
+            sdf = sframe.toPandas()
         except Exception as e:  # noqa: BLE001
             print(f"SPARKERR {name}: {str(e)[:800]}")
             bad.append(name)
@@ -102,6 +124,9 @@ def main():
             print(f"DUCKERR {name}: {str(e)[:800]}")
             bad.append(name)
             continue
+        tdiff = type_diffs(sschema, con.sql(ORACLES[name]))
+        if tdiff:
+            print(f"TYPES {name}: {tdiff}")
         scols, srows = frame_rows(sdf)
         dcols, drows = frame_rows(ddf)
         if scols != dcols:
