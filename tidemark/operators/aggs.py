@@ -53,14 +53,22 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fal
     cols = list(cols) if cols is not None else df.columns
     numeric = set(numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("__rows")]
+    distinct = []
     for i, c in enumerate(cols):
         col = F.col(f"`{c}`")
         aggs.append(F.count(F.when(col.isNull(), 1)).alias(f"n{i}"))
-        aggs.append((F.approx_count_distinct(col) if approx else F.countDistinct(col)).alias(f"d{i}"))
+        distinct.append((F.approx_count_distinct(col) if approx else F.countDistinct(col)).alias(f"d{i}"))
         if c in numeric:
             aggs.append(F.avg(col.cast("double")).alias(f"m{i}"))
             aggs.append(F.stddev(col.cast("double")).alias(f"s{i}"))
-    wide = df.agg(*aggs)
+    if approx:
+        wide = df.agg(*aggs, *distinct)
+    else:
+        # Exact distinct counts expand every row once per column; keeping the plain
+        # aggregates out of that Expand halves the work. Both sides are one row.
+        plain = df.agg(*aggs).withColumn("__k", F.lit(1))
+        dist = df.agg(*distinct).withColumn("__k", F.lit(1))
+        wide = plain.join(dist, "__k")
     structs = []
     for i, c in enumerate(cols):
         structs.append(

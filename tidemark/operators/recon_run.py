@@ -94,20 +94,22 @@ def _lists(cols: Sequence[str]) -> list[Column]:
 
 
 def _finish(df: DataFrame, spec: PairSpec, mode: str, key: str | None, sample_n: int | None) -> DataFrame:
-    fmt_only = F.col("format_only_mismatch_columns") != ""
-    value_cols = F.col("value_mismatch_columns") != ""
+    """Status columns and constants in ONE projection (each ``withColumn`` would re-analyse the plan)."""
+    fmt_only = (F.col("format_only_mismatch_columns") != "").cast("int")
+    value_cols = (F.col("value_mismatch_columns") != "").cast("int")
     hash_mm = F.coalesce(F.col("rows_only_in_source"), F.lit(0)) + F.coalesce(F.col("rows_only_in_target"), F.lit(0))
-    ds = R.data_status(F.lit(mode), F.col("rows_only_in_source"), F.col("rows_only_in_target"), value_cols.cast("int"), fmt_only.cast("int"), hash_mm)
-    out = df.withColumn("data_status", ds).withColumn("overall_status", R.overall_status(F.lit("OK"), F.col("data_status")))
-    out = (
-        out.withColumn("source_table", F.lit(spec.source_table))
-        .withColumn("target_table", F.lit(spec.target_table))
-        .withColumn("table_status", F.lit("OK"))
-        .withColumn("comparison_mode", F.lit(mode))
-        .withColumn("key_column", F.lit(key).cast("string"))
-        .withColumn("sample_size", F.lit(sample_n).cast("long"))
-    )
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields])
+    ds = R.data_status(F.lit(mode), F.col("rows_only_in_source"), F.col("rows_only_in_target"), value_cols, fmt_only, hash_mm)
+    consts = {
+        "source_table": F.lit(spec.source_table),
+        "target_table": F.lit(spec.target_table),
+        "table_status": F.lit("OK"),
+        "data_status": ds,
+        "overall_status": R.overall_status(F.lit("OK"), ds),
+        "comparison_mode": F.lit(mode),
+        "key_column": F.lit(key).cast("string"),
+        "sample_size": F.lit(sample_n).cast("long"),
+    }
+    return df.select(*[consts.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields])
 
 
 def plan_pair(spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig):
@@ -149,8 +151,10 @@ def pair_result(spark: SparkSession, spec: PairSpec, counts: tuple[int, int] | N
     plan = plan_pair(spec, counts, cfg)
     mode, key, others, n, _thr = plan
     if mode == "MISSING":
+        from tidemark.sources.readers import literal_rows
+
         row = (spec.source_table, spec.target_table, "MISSING_IN_TARGET", "NOT_COMPARED", "FAIL", None, None, "SKIPPED", None, None, None, None, None, None, None, None, None)
-        return spark.createDataFrame([row], RESULT_SCHEMA)
+        return literal_rows(spark, [row], RESULT_SCHEMA)
     if mode == "SKIPPED":
         base = spark.range(1).select(*[F.lit(0).cast("long").alias(x) for x in ("source_row_count", "target_row_count", "matched_row_count", "rows_only_in_source", "rows_only_in_target")], *_lists([]))
         return _finish(base, spec, "SKIPPED", None, None)
@@ -433,7 +437,9 @@ def compare_database(
         elif [(f.name, f.dataType.simpleString()) for f in s.schema.fields] != [(f.name, f.dataType.simpleString()) for f in d.schema.fields]:
             row = (name, None, None, "Column data type mismatch")
         if row is not None:
-            part = spark.createDataFrame([row], schema)
+            from tidemark.sources.readers import literal_rows
+
+            part = literal_rows(spark, [row], schema)
         else:
             cond = (windows or {}).get(name)
             if cond is not None:

@@ -9,6 +9,8 @@ orphan table. The DuckDB twins build the same sets from ``information_schema``.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import schema as S
@@ -16,7 +18,7 @@ from tidemark.operators.aggs import row_counts
 from tidemark.plans.oracle_fixtures import register
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as fx
-from tidemark.sources.readers import META_SCHEMA, table_columns
+from tidemark.sources.readers import META_SCHEMA, literal_rows, table_columns
 
 ALL_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 META_TABLES = ["orders", "lineitem", "customer", "part", "supplier", "nation", "region"]
@@ -39,10 +41,12 @@ def _renamed(meta, t, c, table, column, dtype, pos_delta=1):
     )
 
 
+@lru_cache(maxsize=16)
 def meta_prod(spark, sf):
     return _meta(spark, sf, META_TABLES)
 
 
+@lru_cache(maxsize=16)
 def meta_tst(spark, sf):
     p = meta_prod(spark, sf)
     dt = F.when(_is("customer", "c_acctbal"), "string").when(_is("part", "p_size"), "bigint").otherwise(F.col("data_type"))
@@ -54,6 +58,7 @@ def meta_tst(spark, sf):
     return base.unionByName(_renamed(p, "lineitem", "l_shipdate", "lineitem", "l_comment", "string"))
 
 
+@lru_cache(maxsize=16)
 def meta_cda(spark, sf):
     p = meta_prod(spark, sf)
     dt = F.when(_is("part", "p_retailprice"), "decimal(12,2)").otherwise(F.col("data_type"))
@@ -363,7 +368,7 @@ def dq_expected_columns(spark, sf):
     """Q-10: completeness of expected columns (expected list joined to the metadata)."""
     from tidemark.operators.quality import expected_columns
 
-    exp = spark.createDataFrame(_EXPECTED, "table_name string, column_name string")
+    exp = literal_rows(spark, _EXPECTED, "table_name string, column_name string")
     return expected_columns(meta_prod(spark, sf), exp)
 
 

@@ -7,6 +7,8 @@ rows in DuckDB.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ GEN_CODE_MAP = {"G1": "B1", "G2": "B2"}
 STATUS_CODES = ["QUOTED", "BOUND", "DECLINED"]
 
 
+@lru_cache(maxsize=256)
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy reader of one driver table; cached per session so footers are read once."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -48,7 +48,32 @@ def table_columns(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataF
     comparisons downstream are joins instead of driver dictionaries.
     """
     data = [r for name, df in frames.items() for r in _meta_rows(name, df.schema)]
-    return spark.createDataFrame(data, META_SCHEMA)
+    return literal_rows(spark, data, META_SCHEMA)
+
+
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_rows(spark: SparkSession, data, ddl: str) -> DataFrame:
+    """Small literal table as an inline ``VALUES`` relation.
+
+    Spark folds it into a LocalRelation at analysis time: no Python is needed to
+    scan it and the optimizer knows it is tiny, so joins against it broadcast.
+    """
+    schema = T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl
+    names = [f.name for f in schema.fields]
+    if not data:
+        return spark.createDataFrame([], schema)
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in data)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def catalog_columns(spark: SparkSession, database: str, prefixes: Iterable[str] = ()) -> DataFrame:
