@@ -42,5 +42,6 @@ def load_all() -> None:
         q_recon,
         q_schema,
         q_sources,
+        q_streams,
         q_widgets,
     )
