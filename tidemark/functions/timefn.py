@@ -45,13 +45,20 @@ def slots(spark: SparkSession, start, end, minutes: int = 30) -> DataFrame:
 def slots_from_bounds(bounds: DataFrame, start_col: str, end_col: str, minutes: int = 30) -> DataFrame:
     """M1 over a bounds frame (any number of rows, e.g. one per partition of work)."""
     st = step(minutes)
+    s, e = F.col(start_col), F.col(end_col)
     return (
-        bounds.where(F.col(end_col) > F.col(start_col))
-        .select(F.explode(F.sequence(F.col(start_col), F.col(end_col) - st, st)).alias("interval_start"))
+        bounds.select(explode_slots(s, e, minutes).alias("interval_start"))
         .select("interval_start", (F.col("interval_start") + st).alias("interval_end"), F.to_date("interval_start").alias("run_date"))
     )
 
 
+def explode_slots(start: Column, end: Column, minutes: int = 30) -> Column:
+    """Slot starts in ``[start, end)``; the guard sits inside the expression so constant
+    folding of literal bounds never evaluates an invalid ``sequence`` (X11)."""
+    st = step(minutes)
+    return F.explode(F.when(end > start, F.sequence(start, end - st, st)))
+
+
 def day_bounds(df: DataFrame, ts_col: str):
     """Whole-day bounds covering a timestamp column: ``(first midnight, midnight after the last row)``.
 

@@ -30,9 +30,11 @@ from tidemark.sinks import _exists, merge_into
 FACT_KEYS = ["run_date", "interval_start", "interval_end", "message_type", "brand"]
 
 
-def read_files(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None, fmt: str = "parquet", max_files: int | None = None, recursive: bool = False) -> DataFrame:
     """T6 source: new files of a folder, read once each (the file log lives in the checkpoint)."""
     r = spark.readStream.schema(schema).format(fmt)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     if max_files:
@@ -93,9 +95,9 @@ def upsert_counts(spark: SparkSession, counts: DataFrame, path: str, cfg: FeedCo
     return w.start()
 
 
-def ingest_files(spark: SparkSession, folder: str, schema: T.StructType, out_path: str, checkpoint: str, glob: str | None = None):
+def ingest_files(spark: SparkSession, folder: str, schema: T.StructType, out_path: str, checkpoint: str, glob: str | None = None, recursive: bool = False):
     """Copy new files into a parquet table exactly once (availableNow trigger)."""
-    s = read_files(spark, folder, schema, glob)
+    s = read_files(spark, folder, schema, glob, recursive=recursive)
     return s.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
