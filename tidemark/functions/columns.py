@@ -146,14 +146,14 @@ def boolean_patterns(df: DataFrame, cols: Iterable[str] | None = None, case_sens
     names = list(cols) if cols is not None else list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
-    for c in names:
+    for i, c in enumerate(names):
         raw = F.col(f"`{c}`")
         if isinstance(types[c], T.StringType):
             v = raw if case_sensitive else F.lower(raw)
             t_, f_, o_ = F.coalesce(v == "t", F.lit(False)), F.coalesce(v == "f", F.lit(False)), F.coalesce(~v.isin("t", "f"), F.lit(False))
         else:
             t_, f_, o_ = F.lit(False), F.lit(False), raw.isNotNull()
-        aggs += [F.max(t_).alias(f"{c}__t"), F.max(f_).alias(f"{c}__f"), F.max(raw.isNull()).alias(f"{c}__n"), F.max(o_).alias(f"{c}__o")]
+        aggs += [F.max(t_).alias(f"t{i}"), F.max(f_).alias(f"f{i}"), F.max(raw.isNull()).alias(f"n{i}"), F.max(o_).alias(f"o{i}")]
     wide = df.agg(*aggs)
     longf = wide.select(
         F.explode(
@@ -161,12 +161,12 @@ def boolean_patterns(df: DataFrame, cols: Iterable[str] | None = None, case_sens
                 *[
                     F.struct(
                         F.lit(c).alias("column_name"),
-                        F.col(f"`{c}__t`").alias("has_t"),
-                        F.col(f"`{c}__f`").alias("has_f"),
-                        F.col(f"`{c}__n`").alias("has_null"),
-                        F.col(f"`{c}__o`").alias("has_other"),
+                        F.coalesce(F.col(f"t{i}"), F.lit(False)).alias("has_t"),
+                        F.coalesce(F.col(f"f{i}"), F.lit(False)).alias("has_f"),
+                        F.coalesce(F.col(f"n{i}"), F.lit(False)).alias("has_null"),
+                        F.coalesce(F.col(f"o{i}"), F.lit(False)).alias("has_other"),
                     )
-                    for c in names
+                    for i, c in enumerate(names)
                 ]
             )
         ).alias("p")

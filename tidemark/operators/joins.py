@@ -65,7 +65,7 @@ def length_compare(src: DataFrame, tgt: DataFrame, key: str, cols: Sequence[str]
     """
     from tidemark.operators.recon import keyed_join
 
-    j = keyed_join(src, tgt, key, cols, how="inner").where((F.col("s__n") == 1) & (F.col("t__n") == 1))
+    j = keyed_join(src, tgt, key, cols, how="inner").where((F.col("__s_n") == 1) & (F.col("__t_n") == 1))
 
     def ln(c: str, p: str) -> Column:
         return F.length(F.col(f"`{p}__{c}`").cast("string"))

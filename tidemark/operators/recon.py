@@ -54,18 +54,21 @@ def _c(name: str) -> Column:
 
 
 def reduce_by_key(df: DataFrame, key: str, cols: Sequence[str], prefix: str) -> DataFrame:
-    """One row per key: ``{prefix}__n`` rows and ``{prefix}__<col>`` values (exact when n = 1)."""
-    aggs = [F.count(F.lit(1)).alias(f"{prefix}__n")] + [F.min(_c(c)).alias(f"{prefix}__{c}") for c in cols]
+    """One row per key: ``__{prefix}_n`` rows and ``{prefix}__<col>`` values (exact when n = 1).
+
+    The count name cannot collide with a prefixed column name (``{prefix}__<col>``).
+    """
+    aggs = [F.count(F.lit(1)).alias(f"__{prefix}_n")] + [F.min(_c(c)).alias(f"{prefix}__{c}") for c in cols]
     return df.groupBy(_c(key).alias(KEY)).agg(*aggs)
 
 
 def keyed_join(src: DataFrame, tgt: DataFrame, key: str, cols: Sequence[str], how: str = "full_outer") -> DataFrame:
-    """One full-outer join of the key-reduced sides (presence = ``s__n``/``t__n`` not NULL)."""
+    """One full-outer join of the key-reduced sides (presence = ``__s_n``/``__t_n`` not NULL)."""
     return reduce_by_key(src, key, cols, "s").join(reduce_by_key(tgt, key, cols, "t"), KEY, how)
 
 
 def _both_unique() -> Column:
-    return (F.col("s__n") == 1) & (F.col("t__n") == 1)
+    return (F.col("__s_n") == 1) & (F.col("__t_n") == 1)
 
 
 def _raw_mismatch(c: str) -> Column:
@@ -125,13 +128,13 @@ def mismatch_examples(mismatches: DataFrame, n: int = 3, key_order: Column | Non
 
 def keyed_counts(joined: DataFrame, cols: Sequence[str] = (), detect_format: bool = True) -> DataFrame:
     """R4 summary in ONE aggregate over the join: presence classes, duplicates and per-column mismatch counts."""
-    both = F.col("s__n").isNotNull() & F.col("t__n").isNotNull()
+    both = F.col("__s_n").isNotNull() & F.col("__t_n").isNotNull()
     aggs = [
-        F.coalesce(F.sum("s__n"), F.lit(0)).cast("long").alias("source_row_count"),
-        F.coalesce(F.sum("t__n"), F.lit(0)).cast("long").alias("target_row_count"),
-        F.coalesce(F.sum(F.when(F.col("t__n").isNull(), F.col("s__n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
-        F.coalesce(F.sum(F.when(F.col("s__n").isNull(), F.col("t__n"))), F.lit(0)).cast("long").alias("rows_only_in_target"),
-        F.coalesce(F.sum(F.when(both, F.col("s__n") * F.col("t__n"))), F.lit(0)).cast("long").alias("matched_row_count"),
+        F.coalesce(F.sum("__s_n"), F.lit(0)).cast("long").alias("source_row_count"),
+        F.coalesce(F.sum("__t_n"), F.lit(0)).cast("long").alias("target_row_count"),
+        F.coalesce(F.sum(F.when(F.col("__t_n").isNull(), F.col("__s_n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
+        F.coalesce(F.sum(F.when(F.col("__s_n").isNull(), F.col("__t_n"))), F.lit(0)).cast("long").alias("rows_only_in_target"),
+        F.coalesce(F.sum(F.when(both, F.col("__s_n") * F.col("__t_n"))), F.lit(0)).cast("long").alias("matched_row_count"),
         F.count(F.when(both & ~_both_unique(), 1)).alias("duplicate_keys"),
     ]
     any_mismatch = F.lit(False)
@@ -167,11 +170,12 @@ def hash_diff(src: DataFrame, tgt: DataFrame, cols: Sequence[str]) -> DataFrame:
     s = src.groupBy(row_hash(src, cols).alias("h")).agg(F.count(F.lit(1)).alias("sn"))
     t = tgt.groupBy(row_hash(tgt, cols).alias("h")).agg(F.count(F.lit(1)).alias("tn"))
     j = s.join(t, "h", "full_outer").select(F.coalesce("sn", F.lit(0)).alias("sn"), F.coalesce("tn", F.lit(0)).alias("tn"))
+    z = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")  # noqa: E731  (empty inputs give 0, not NULL)
     return j.agg(
-        F.sum("sn").cast("long").alias("source_row_count"),
-        F.sum("tn").cast("long").alias("target_row_count"),
-        F.sum(F.greatest(F.col("sn") - F.col("tn"), F.lit(0))).cast("long").alias("rows_only_in_source"),
-        F.sum(F.greatest(F.col("tn") - F.col("sn"), F.lit(0))).cast("long").alias("rows_only_in_target"),
+        z("sn").alias("source_row_count"),
+        z("tn").alias("target_row_count"),
+        z(F.greatest(F.col("sn") - F.col("tn"), F.lit(0))).alias("rows_only_in_source"),
+        z(F.greatest(F.col("tn") - F.col("sn"), F.lit(0))).alias("rows_only_in_target"),
     )
 
 
@@ -225,13 +229,13 @@ def compare_sampled(src: DataFrame, tgt: DataFrame, key: str, cols: Sequence[str
     """
     sampled = src.where(key_bucket(_c(key)) < F.lit(threshold))
     joined = keyed_join(sampled, tgt, key, cols, how="left")
-    both = F.col("t__n").isNotNull()
+    both = F.col("__t_n").isNotNull()
     summary = joined.agg(
         F.count(F.lit(1)).alias("sampled_keys"),
-        F.coalesce(F.sum("s__n"), F.lit(0)).cast("long").alias("sampled_rows"),
-        F.coalesce(F.sum(F.when(~both, F.col("s__n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
+        F.coalesce(F.sum("__s_n"), F.lit(0)).cast("long").alias("sampled_rows"),
+        F.coalesce(F.sum(F.when(~both, F.col("__s_n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
         F.lit(None).cast("long").alias("rows_only_in_target"),
-        F.coalesce(F.sum(F.when(both, F.col("s__n") * F.col("t__n"))), F.lit(0)).cast("long").alias("matched_row_count"),
+        F.coalesce(F.sum(F.when(both, F.col("__s_n") * F.col("__t_n"))), F.lit(0)).cast("long").alias("matched_row_count"),
     )
     return summary, mismatch_rows(joined, cols, detect_format)
 

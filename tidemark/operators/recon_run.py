@@ -171,12 +171,12 @@ def pair_result(spark: SparkSession, spec: PairSpec, counts: tuple[int, int] | N
         )
         return _finish(base, spec, "FULL_KEYED", key, None)
     j = pair_join(spec, plan)
-    present = F.col("t__n").isNotNull()
-    only_t = F.coalesce(F.sum(F.when(F.col("s__n").isNull(), F.col("t__n"))), F.lit(0)).cast("long") if mode == "FULL_KEYED" else F.lit(None).cast("long")
+    present = F.col("__t_n").isNotNull()
+    only_t = F.coalesce(F.sum(F.when(F.col("__s_n").isNull(), F.col("__t_n"))), F.lit(0)).cast("long") if mode == "FULL_KEYED" else F.lit(None).cast("long")
     agg = j.agg(
-        F.coalesce(F.sum(F.when(~present, F.col("s__n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
+        F.coalesce(F.sum(F.when(~present, F.col("__s_n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
         only_t.alias("rows_only_in_target"),
-        F.coalesce(F.sum(F.when(present & F.col("s__n").isNotNull(), F.col("s__n") * F.col("t__n"))), F.lit(0)).cast("long").alias("matched_row_count"),
+        F.coalesce(F.sum(F.when(present & F.col("__s_n").isNotNull(), F.col("__s_n") * F.col("__t_n"))), F.lit(0)).cast("long").alias("matched_row_count"),
         *_column_stats(others),
     )
     base = agg.select("*", F.lit(sc).cast("long").alias("source_row_count"), F.lit(tc).cast("long").alias("target_row_count"), *_lists(others))

@@ -71,7 +71,7 @@ _FO = G.keyed_join_ctes("src_orders", "tgt_orders", KEY, ["o_totalprice"])
     "join_full_outer",
     f"""WITH {_FO}
 SELECT k AS o_orderkey, s__o_totalprice AS source_totalprice, t__o_totalprice AS target_totalprice,
-  CASE WHEN s__n IS NULL THEN 'TARGET_ONLY' WHEN t__n IS NULL THEN 'SOURCE_ONLY' ELSE 'BOTH' END AS presence
+  CASE WHEN __s_n IS NULL THEN 'TARGET_ONLY' WHEN __t_n IS NULL THEN 'SOURCE_ONLY' ELSE 'BOTH' END AS presence
 FROM j""",
     FX,
 )
@@ -82,7 +82,7 @@ def join_full_outer(spark, sf):
         F.col(R.KEY).alias("o_orderkey"),
         F.col("s__o_totalprice").alias("source_totalprice"),
         F.col("t__o_totalprice").alias("target_totalprice"),
-        F.when(F.col("s__n").isNull(), "TARGET_ONLY").when(F.col("t__n").isNull(), "SOURCE_ONLY").otherwise("BOTH").alias("presence"),
+        F.when(F.col("__s_n").isNull(), "TARGET_ONLY").when(F.col("__t_n").isNull(), "SOURCE_ONLY").otherwise("BOTH").alias("presence"),
     )
 
 
@@ -235,8 +235,8 @@ _RUN_FX = ("src_orders", "tgt_orders", "customer_fmt", "supplier_chg", "region_r
 def _keyed_pair_ctes(p: str, src: str, tgt: str, key: str, cols, has_filter: bool = False) -> str:
     full_rule = "sc = tc AND greatest(sc, tc) <= 20000000" if has_filter else "greatest(sc, tc) <= 5000"
     stats = lambda: ", ".join(
-        f"count(CASE WHEN s__n = 1 AND t__n = 1 AND {G.raw_mismatch(c)} AND NOT {G.is_format(c)} THEN 1 END) AS v{i}, "
-        f"count(CASE WHEN s__n = 1 AND t__n = 1 AND {G.is_format(c)} THEN 1 END) AS f{i}"
+        f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND {G.raw_mismatch(c)} AND NOT {G.is_format(c)} THEN 1 END) AS v{i}, "
+        f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND {G.is_format(c)} THEN 1 END) AS f{i}"
         for i, c in enumerate(cols)
     )
     pick = ", ".join(f"CASE WHEN m.mode = 'FULL_KEYED' THEN f.v{i} ELSE s.v{i} END AS v{i}, CASE WHEN m.mode = 'FULL_KEYED' THEN f.f{i} ELSE s.f{i} END AS f{i}" for i, _ in enumerate(cols))
@@ -251,10 +251,10 @@ def _keyed_pair_ctes(p: str, src: str, tgt: str, key: str, cols, has_filter: boo
 {p}_t AS (SELECT CAST(floor(least(1.0, CAST(n AS DOUBLE) / greatest(sc, 1)) * 4294967296.0) AS BIGINT) AS thr FROM {p}_m),
 {G.keyed_join_ctes(src, tgt, key, cols, name=p + 'f')},
 {G.keyed_join_ctes(src, tgt, key, cols, how='LEFT', src_where=G.key_bucket(key) + f' < (SELECT thr FROM {p}_t)', name=p + 's')},
-{p}fa AS (SELECT coalesce(sum(CASE WHEN t__n IS NULL THEN s__n END), 0) AS only_s, coalesce(sum(CASE WHEN s__n IS NULL THEN t__n END), 0) AS only_t,
-  coalesce(sum(CASE WHEN s__n IS NOT NULL AND t__n IS NOT NULL THEN s__n * t__n END), 0) AS matched, {stats()} FROM {p}f),
-{p}sa AS (SELECT coalesce(sum(CASE WHEN t__n IS NULL THEN s__n END), 0) AS only_s, CAST(NULL AS BIGINT) AS only_t,
-  coalesce(sum(CASE WHEN t__n IS NOT NULL THEN s__n * t__n END), 0) AS matched, {stats()} FROM {p}s),
+{p}fa AS (SELECT coalesce(sum(CASE WHEN __t_n IS NULL THEN __s_n END), 0) AS only_s, coalesce(sum(CASE WHEN __s_n IS NULL THEN __t_n END), 0) AS only_t,
+  coalesce(sum(CASE WHEN __s_n IS NOT NULL AND __t_n IS NOT NULL THEN __s_n * __t_n END), 0) AS matched, {stats()} FROM {p}f),
+{p}sa AS (SELECT coalesce(sum(CASE WHEN __t_n IS NULL THEN __s_n END), 0) AS only_s, CAST(NULL AS BIGINT) AS only_t,
+  coalesce(sum(CASE WHEN __t_n IS NOT NULL THEN __s_n * __t_n END), 0) AS matched, {stats()} FROM {p}s),
 {p}_r AS (SELECT m.sc, m.tc, m.mode, m.n,
   CASE WHEN m.mode = 'FULL_KEYED' THEN f.only_s ELSE s.only_s END AS only_s,
   CASE WHEN m.mode = 'FULL_KEYED' THEN f.only_t ELSE s.only_t END AS only_t,
@@ -349,7 +349,7 @@ def recon_empty_side(spark, sf):
 
 
 _SAMPLE = "WITH " + _keyed_pair_ctes("o", "src_orders", "tgt_orders", KEY, sorted(COLS)) + """
-SELECT CAST(n AS BIGINT) AS sample_size, (SELECT count(*) FROM os) AS sampled_keys, CAST((SELECT sum(s__n) FROM os) AS BIGINT) AS sampled_rows,
+SELECT CAST(n AS BIGINT) AS sample_size, (SELECT count(*) FROM os) AS sampled_keys, CAST((SELECT sum(__s_n) FROM os) AS BIGINT) AS sampled_rows,
   CAST(sa.only_s AS BIGINT) AS rows_only_in_source, CAST(NULL AS BIGINT) AS rows_only_in_target, CAST(sa.matched AS BIGINT) AS matched_row_count
 FROM o_m, osa sa"""
 
@@ -433,7 +433,7 @@ _LC = G.keyed_join_ctes("src_orders", "tgt_orders", KEY, COLS, how="INNER")
 @query(
     "length_compare",
     f"WITH {_LC},\nx AS ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, length(CAST(s__{c} AS VARCHAR)) AS sl, length(CAST(t__{c} AS VARCHAR)) AS tl FROM j WHERE s__n = 1 AND t__n = 1" for c in COLS)
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, length(CAST(s__{c} AS VARCHAR)) AS sl, length(CAST(t__{c} AS VARCHAR)) AS tl FROM j WHERE __s_n = 1 AND __t_n = 1" for c in COLS)
     + """)
 SELECT column_name, count(CASE WHEN sl IS DISTINCT FROM tl THEN 1 END) AS length_mismatch_rows, CAST(max(sl) AS BIGINT) AS max_source_length,
   CAST(max(tl) AS BIGINT) AS max_target_length FROM x GROUP BY column_name""",

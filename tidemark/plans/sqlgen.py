@@ -19,15 +19,15 @@ def norm(expr: str) -> str:
 
 
 def reduced(alias: str, table: str, key: str, cols: Sequence[str], prefix: str, where: str = "") -> str:
-    agg = ", ".join([f"count(*) AS {prefix}__n"] + [f"min({c}) AS {prefix}__{c}" for c in cols])
+    agg = ", ".join([f"count(*) AS __{prefix}_n"] + [f"min({c}) AS {prefix}__{c}" for c in cols])
     w = f" WHERE {where}" if where else ""
     return f"{alias} AS (SELECT {key} AS k, {agg} FROM {table}{w} GROUP BY {key})"
 
 
 def keyed_join_ctes(src: str, tgt: str, key: str, cols: Sequence[str], how: str = "FULL OUTER", src_where: str = "", name: str = "j") -> str:
     """CTEs ``<name>_s``, ``<name>_t`` and ``<name>`` (one row per key, column k)."""
-    sel_s = ", ".join(f"{name}_s.{p}__{c}" for p in ["s"] for c in ["n", *cols])
-    sel_t = ", ".join(f"{name}_t.{p}__{c}" for p in ["t"] for c in ["n", *cols])
+    sel_s = ", ".join([f"{name}_s.__s_n"] + [f"{name}_s.s__{c}" for c in cols])
+    sel_t = ", ".join([f"{name}_t.__t_n"] + [f"{name}_t.t__{c}" for c in cols])
     return (
         reduced(f"{name}_s", src, key, cols, "s", src_where)
         + ",\n"
@@ -51,7 +51,7 @@ def mismatch_rows_sql(joined: str, cols: Sequence[str]) -> str:
         parts.append(
             f"SELECT {s('k')} AS key, '{c}' AS column_name, {s('s__' + c)} AS source_value, {s('t__' + c)} AS target_value, "
             f"CASE WHEN {is_format(c)} THEN 'FORMAT' ELSE 'VALUE' END AS mismatch_type "
-            f"FROM {joined} WHERE s__n = 1 AND t__n = 1 AND {raw_mismatch(c)}"
+            f"FROM {joined} WHERE __s_n = 1 AND __t_n = 1 AND {raw_mismatch(c)}"
         )
     return "\nUNION ALL\n".join(parts)
 
@@ -59,13 +59,13 @@ def mismatch_rows_sql(joined: str, cols: Sequence[str]) -> str:
 def keyed_counts_sql(joined: str, cols: Sequence[str]) -> str:
     anym = " OR ".join(raw_mismatch(c) for c in cols) or "FALSE"
     return f"""SELECT
-  CAST(coalesce(sum(s__n), 0) AS BIGINT) AS source_row_count,
-  CAST(coalesce(sum(t__n), 0) AS BIGINT) AS target_row_count,
-  CAST(coalesce(sum(CASE WHEN t__n IS NULL THEN s__n END), 0) AS BIGINT) AS rows_only_in_source,
-  CAST(coalesce(sum(CASE WHEN s__n IS NULL THEN t__n END), 0) AS BIGINT) AS rows_only_in_target,
-  CAST(coalesce(sum(CASE WHEN s__n IS NOT NULL AND t__n IS NOT NULL THEN s__n * t__n END), 0) AS BIGINT) AS matched_row_count,
-  count(CASE WHEN s__n IS NOT NULL AND t__n IS NOT NULL AND NOT (s__n = 1 AND t__n = 1) THEN 1 END) AS duplicate_keys,
-  count(CASE WHEN s__n = 1 AND t__n = 1 AND ({anym}) THEN 1 END) AS mismatched_rows
+  CAST(coalesce(sum(__s_n), 0) AS BIGINT) AS source_row_count,
+  CAST(coalesce(sum(__t_n), 0) AS BIGINT) AS target_row_count,
+  CAST(coalesce(sum(CASE WHEN __t_n IS NULL THEN __s_n END), 0) AS BIGINT) AS rows_only_in_source,
+  CAST(coalesce(sum(CASE WHEN __s_n IS NULL THEN __t_n END), 0) AS BIGINT) AS rows_only_in_target,
+  CAST(coalesce(sum(CASE WHEN __s_n IS NOT NULL AND __t_n IS NOT NULL THEN __s_n * __t_n END), 0) AS BIGINT) AS matched_row_count,
+  count(CASE WHEN __s_n IS NOT NULL AND __t_n IS NOT NULL AND NOT (__s_n = 1 AND __t_n = 1) THEN 1 END) AS duplicate_keys,
+  count(CASE WHEN __s_n = 1 AND __t_n = 1 AND ({anym}) THEN 1 END) AS mismatched_rows
 FROM {joined}"""
 
 
