@@ -239,3 +239,30 @@ def test_chunks_cover_whole_text(spark):
     rebuilt = d1[0].chunk_text + "".join(r.chunk_text[50:] for r in d1[1:])
     assert rebuilt == text and [r.chunk_start for r in d1] == [1, 451, 901]
     assert [r.chunk_text for r in rows if r.doc_id == 3] == ["short"] and not [r for r in rows if r.doc_id == 2]
+
+
+def test_field_resolution_and_event_time(spark):
+    # Struct field, dotted column, literal; timestamp column else date at midnight.
+    nested = spark.createDataFrame([((("quote", "B1")),)], "headers struct<messageType:string, brand:string>")
+    flat = spark.createDataFrame([("quote",)], "`headers.messageType` string")
+    assert nested.select(C.field_or(nested, "headers", "messageType")).first()[0] == "quote"
+    assert flat.select(C.field_or(flat, "headers", "messageType")).first()[0] == "quote"
+    assert flat.select(C.field_or(flat, "headers", "brand", "UNKNOWN")).first()[0] == "UNKNOWN"
+    d = spark.createDataFrame([(dt.date(2024, 1, 2),)], "eHubQueuedDatestamp date")
+    ts, has_date = C.pick_event_time(d, "enqueuedTime", "ehubqueueddatestamp")
+    assert has_date and d.select(ts).first()[0] == dt.datetime(2024, 1, 2)
+
+
+def test_scope_filter_and_routing(spark):
+    # D7 (X9: exclusion is case-insensitive) and P9.
+    from tidemark.operators.schema import in_scope
+
+    m = spark.createDataFrame(
+        [("TRUE", "T_A", "Azure_Load_Date"), ("true", "t_a", "c1"), ("false", "t_b", "c2"), ("true", "t$c", "c3")],
+        "in_scope string, table_name string, column_name string",
+    )
+    got = [(r.table_name, r.column_name) for r in in_scope(m, exclude_columns=["AZURE_LOAD_DATE"]).collect()]
+    assert got == [("t_a", "c1")]
+    r = spark.createDataFrame([("account",), ("bill",), ("zeta",)], "n string")
+    out = [x[0] for x in r.select(C.route_name(F.col("n"), {"a": "pc_", "b": "bc_"})).collect()]
+    assert out == ["pc_account", "bc_bill", "zeta"]

@@ -221,3 +221,9 @@ def duplicate_count(df: DataFrame, keys: Sequence[str] | None = None) -> DataFra
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
         F.count(F.when(F.col("__n") > 1, 1)).alias("duplicated_keys"),
     )
+
+
+def distinct_tables(meta: DataFrame, by: str | None = None) -> DataFrame:
+    """Distinct table names (per source when ``by`` is given)."""
+    cols = [by, "table_name"] if by else ["table_name"]
+    return meta.select(*cols).distinct()

@@ -333,3 +333,17 @@ def discover_pairs(src_meta: DataFrame, tgt_meta: DataFrame, domains: Mapping[st
         F.when(has, F.col("columns_only_in_source")).alias("columns_only_in_source"),
         F.when(has, F.col("columns_only_in_target")).alias("columns_only_in_target"),
     )
+
+
+def in_scope(meta: DataFrame, scope_col: str | None = "in_scope", tables: Sequence[str] = (), exclude_columns: Sequence[str] = (), name_pattern: str = r"[^a-z0-9_-]") -> DataFrame:
+    """Keep in-scope metadata rows: scope flag true (case-insensitive), optional table
+    list, table names without unexpected characters, audit columns excluded (case-insensitive, X9)."""
+    out = meta.withColumn("table_name", F.lower("table_name")).withColumn("column_name", F.lower("column_name"))
+    if scope_col and scope_col in [c.lower() for c in meta.columns]:
+        out = out.where(F.lower(F.col(scope_col).cast("string")) == "true")
+    if tables:
+        out = out.where(F.col("table_name").isin([t.lower() for t in tables]))
+    out = out.where(~F.col("table_name").rlike(name_pattern))
+    if exclude_columns:
+        out = out.where(~F.col("column_name").isin([c.lower() for c in exclude_columns]))
+    return out

@@ -225,9 +225,9 @@ def feed_counts(spark, sf):
     ("grid",),
 )
 def feed_counts_no_time(spark, sf):
-    """M4: feed without a usable time column -> every slot is a breach."""
+    """M4: feed without a time column and without a date column -> every slot is a breach."""
     s, e = bounds(spark, sf)
-    return M.feed_counts(spark, fx.feed(spark, sf).drop("enqueued_time"), s, e, CFG)
+    return M.feed_counts(spark, fx.feed(spark, sf).drop("enqueued_time", "queued_date"), s, e, CFG)
 
 
 @query(

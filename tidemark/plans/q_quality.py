@@ -134,13 +134,14 @@ def dq_quarantine(spark, sf):
 
 @query(
     "dq_sequence_gaps",
-    """SELECT * FROM (SELECT conv_id, min(turn) AS min_seq, max(turn) AS max_seq, count(DISTINCT turn) AS present, count(*) AS row_count,
-  CAST(max(turn) - min(turn) + 1 - count(DISTINCT turn) AS BIGINT) AS missing FROM conversations GROUP BY conv_id)
+    """SELECT * FROM (SELECT l_orderkey, min(l_linenumber) AS min_seq, max(l_linenumber) AS max_seq, count(DISTINCT l_linenumber) AS present,
+  count(*) AS row_count, CAST(max(l_linenumber) - min(l_linenumber) + 1 - count(DISTINCT l_linenumber) AS BIGINT) AS missing
+  FROM lineitem GROUP BY l_orderkey)
 WHERE missing > 0 OR row_count > present""",
 )
 def dq_sequence_gaps(spark, sf):
-    """Q-14: conversations whose turn numbers have gaps or repeats."""
-    return Q.sequence_gaps(fx.load(spark, sf, "conversations"), ["conv_id"], "turn")
+    """Q-14: orders whose line numbers have gaps or repeats (one grouped pass)."""
+    return Q.sequence_gaps(fx.load(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber")
 
 
 @query(
