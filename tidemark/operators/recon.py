@@ -71,13 +71,46 @@ def _both_unique() -> Column:
     return (F.col("__s_n") == 1) & (F.col("__t_n") == 1)
 
 
+# The per-column expressions below are built as SQL text: one JVM call per
+# expression instead of one per function node (wide tables have many columns).
+
+
+def sql_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def normalize_format_sql(x: str) -> str:
+    """SQL twin of ``functions.columns.normalize_format`` (same regular expressions)."""
+    y = f"regexp_replace(trim(lower({x})), '\\\\s+', ' ')"
+    return (
+        f"CASE WHEN {y} RLIKE '^-?\\\\d+\\\\.\\\\d+$' "
+        f"THEN regexp_replace(regexp_replace({y}, '0+$', ''), '\\\\.$', '') ELSE {y} END"
+    )
+
+
+def _side(c: str, p: str) -> str:
+    return f"CAST({sql_ident(p + '__' + c)} AS STRING)"
+
+
+def raw_mismatch_sql(c: str) -> str:
+    return f"(NOT ({_side(c, 's')} <=> {_side(c, 't')}))"
+
+
+def is_format_sql(c: str) -> str:
+    s, t = _side(c, "s"), _side(c, "t")
+    return f"({raw_mismatch_sql(c)} AND {s} IS NOT NULL AND {t} IS NOT NULL AND ({normalize_format_sql(s)} <=> {normalize_format_sql(t)}))"
+
+
 def _raw_mismatch(c: str) -> Column:
-    return ~_c(f"s__{c}").cast("string").eqNullSafe(_c(f"t__{c}").cast("string"))
+    return F.expr(raw_mismatch_sql(c))
 
 
 def _is_format(c: str) -> Column:
-    s, t = _c(f"s__{c}").cast("string"), _c(f"t__{c}").cast("string")
-    return _raw_mismatch(c) & s.isNotNull() & t.isNotNull() & normalize_format(s).eqNullSafe(normalize_format(t))
+    return F.expr(is_format_sql(c))
 
 
 def mismatch_rows(joined: DataFrame, cols: Sequence[str], detect_format: bool = True) -> DataFrame:
@@ -86,24 +119,22 @@ def mismatch_rows(joined: DataFrame, cols: Sequence[str], detect_format: bool =
     Values are compared on their string form (types may differ between sides);
     one array-of-struct + explode covers all columns in a single pass.
     """
-    structs = []
-    for c in cols:
-        s, t = _c(f"s__{c}").cast("string"), _c(f"t__{c}").cast("string")
-        mtype = F.when(_is_format(c), "FORMAT").otherwise("VALUE") if detect_format else F.lit("VALUE")
-        structs.append(
-            F.when(
-                _raw_mismatch(c),
-                F.struct(F.lit(c).alias("column_name"), s.alias("source_value"), t.alias("target_value"), mtype.alias("mismatch_type")),
-            )
-        )
-    if not structs:
+    if not cols:
         return joined.limit(0).select(
             F.col(KEY).cast("string").alias("key"),
             *[F.lit(None).cast("string").alias(n) for n in ("column_name", "source_value", "target_value", "mismatch_type")],
         )
+    items = []
+    for c in cols:
+        mtype = f"CASE WHEN {is_format_sql(c)} THEN 'FORMAT' ELSE 'VALUE' END" if detect_format else "'VALUE'"
+        items.append(
+            f"CASE WHEN {raw_mismatch_sql(c)} THEN named_struct('column_name', {sql_str(c)}, 'source_value', {_side(c, 's')}, "
+            f"'target_value', {_side(c, 't')}, 'mismatch_type', {mtype}) END"
+        )
+    arr = f"filter(array({', '.join(items)}), x -> x IS NOT NULL) AS __m"
     return (
         joined.where(_both_unique())
-        .select(F.col(KEY), F.filter(F.array(*structs), lambda x: x.isNotNull()).alias("__m"))
+        .selectExpr(KEY, arr)
         .where(F.size("__m") > 0)
         .select(F.col(KEY).cast("string").alias("key"), F.explode("__m").alias("m"))
         .select("key", "m.column_name", "m.source_value", "m.target_value", "m.mismatch_type")
@@ -137,10 +168,8 @@ def keyed_counts(joined: DataFrame, cols: Sequence[str] = (), detect_format: boo
         F.coalesce(F.sum(F.when(both, F.col("__s_n") * F.col("__t_n"))), F.lit(0)).cast("long").alias("matched_row_count"),
         F.count(F.when(both & ~_both_unique(), 1)).alias("duplicate_keys"),
     ]
-    any_mismatch = F.lit(False)
-    for c in cols:
-        any_mismatch = any_mismatch | _raw_mismatch(c)
-    aggs.append(F.count(F.when(_both_unique() & any_mismatch, 1)).alias("mismatched_rows"))
+    any_mismatch = " OR ".join(raw_mismatch_sql(c) for c in cols) or "FALSE"
+    aggs.append(F.expr(f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND ({any_mismatch}) THEN 1 END)").alias("mismatched_rows"))
     return joined.agg(*aggs)
 
 

@@ -59,57 +59,54 @@ class PairSpec:
 
 def _column_stats(cols: Sequence[str]) -> list[Column]:
     out = []
-    both = R._both_unique()
     for i, c in enumerate(cols):
-        fmt = R._is_format(c)
-        out.append(F.count(F.when(both & R._raw_mismatch(c) & ~fmt, 1)).alias(f"__v{i}"))
-        out.append(F.count(F.when(both & fmt, 1)).alias(f"__f{i}"))
+        raw, fmt = R.raw_mismatch_sql(c), R.is_format_sql(c)
+        out.append(F.expr(f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND {raw} AND NOT {fmt} THEN 1 END) AS __v{i}"))
+        out.append(F.expr(f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND {fmt} THEN 1 END) AS __f{i}"))
     return out
 
 
 def _lists(cols: Sequence[str]) -> list[Column]:
     """mismatched / value / format-only column lists ordered by mismatch count (desc), then name."""
     if not cols:
-        empty = F.lit("")
-        return [empty.alias("mismatched_columns"), F.lit(0).cast("long").alias("mismatched_column_count"), empty.alias("value_mismatch_columns"), empty.alias("format_only_mismatch_columns")]
-    arr = F.array(
-        *[
-            F.struct(
-                (-(F.col(f"__v{i}") + F.col(f"__f{i}"))).alias("neg"),
-                F.lit(c).alias("name"),
-                F.col(f"__v{i}").alias("v"),
-                F.col(f"__f{i}").alias("f"),
-            )
-            for i, c in enumerate(cols)
-        ]
-    )
-    srt = F.array_sort(F.filter(arr, lambda x: x["neg"] < 0))
-    names = lambda a: F.array_join(F.transform(a, lambda x: x["name"]), ", ")
+        return [F.expr(x) for x in ("'' AS mismatched_columns", "CAST(0 AS BIGINT) AS mismatched_column_count", "'' AS value_mismatch_columns", "'' AS format_only_mismatch_columns")]
+    arr = "array(" + ", ".join(
+        f"named_struct('neg', -(__v{i} + __f{i}), 'name', {R.sql_str(c)}, 'v', __v{i}, 'f', __f{i})" for i, c in enumerate(cols)
+    ) + ")"
+    srt = f"array_sort(filter({arr}, x -> x.neg < 0))"
     return [
-        names(srt).alias("mismatched_columns"),
-        F.size(srt).cast("long").alias("mismatched_column_count"),
-        names(F.filter(srt, lambda x: x["v"] > 0)).alias("value_mismatch_columns"),
-        names(F.filter(srt, lambda x: (x["v"] == 0) & (x["f"] > 0))).alias("format_only_mismatch_columns"),
+        F.expr(f"array_join(transform({srt}, x -> x.name), ', ') AS mismatched_columns"),
+        F.expr(f"CAST(size({srt}) AS BIGINT) AS mismatched_column_count"),
+        F.expr(f"array_join(transform(filter({srt}, x -> x.v > 0), x -> x.name), ', ') AS value_mismatch_columns"),
+        F.expr(f"array_join(transform(filter({srt}, x -> x.v = 0 AND x.f > 0), x -> x.name), ', ') AS format_only_mismatch_columns"),
     ]
 
 
 def _finish(df: DataFrame, spec: PairSpec, mode: str, key: str | None, sample_n: int | None) -> DataFrame:
-    """Status columns and constants in ONE projection (each ``withColumn`` would re-analyse the plan)."""
-    fmt_only = (F.col("format_only_mismatch_columns") != "").cast("int")
-    value_cols = (F.col("value_mismatch_columns") != "").cast("int")
-    hash_mm = F.coalesce(F.col("rows_only_in_source"), F.lit(0)) + F.coalesce(F.col("rows_only_in_target"), F.lit(0))
-    ds = R.data_status(F.lit(mode), F.col("rows_only_in_source"), F.col("rows_only_in_target"), value_cols, fmt_only, hash_mm)
+    """Status columns and constants in ONE projection written as SQL text (one JVM call)."""
+    value_issue = (
+        "coalesce(rows_only_in_source, 0) + coalesce(rows_only_in_target, 0) > 0"
+        if mode == "FULL_HASH"
+        else "coalesce(rows_only_in_source, 0) > 0 OR coalesce(rows_only_in_target, 0) > 0 OR value_mismatch_columns <> ''"
+    )
+    fmt = "FALSE" if mode == "FULL_HASH" else "format_only_mismatch_columns <> ''"
+    ds = (
+        "'NOT_COMPARED'" if mode == "SKIPPED"
+        else f"CASE WHEN {value_issue} THEN 'DATA_MISMATCH' WHEN {fmt} THEN 'FORMAT_VARIANCE' ELSE 'DATA_MATCH' END"
+    )
+    overall = f"CASE WHEN ({ds}) = 'DATA_MISMATCH' THEN 'FAIL' WHEN ({ds}) IN ('NOT_COMPARED', 'FORMAT_VARIANCE') THEN 'WARN' ELSE 'PASS' END"
     consts = {
-        "source_table": F.lit(spec.source_table),
-        "target_table": F.lit(spec.target_table),
-        "table_status": F.lit("OK"),
+        "source_table": R.sql_str(spec.source_table),
+        "target_table": R.sql_str(spec.target_table),
+        "table_status": "'OK'",
         "data_status": ds,
-        "overall_status": R.overall_status(F.lit("OK"), ds),
-        "comparison_mode": F.lit(mode),
-        "key_column": F.lit(key).cast("string"),
-        "sample_size": F.lit(sample_n).cast("long"),
+        "overall_status": overall,
+        "comparison_mode": R.sql_str(mode),
+        "key_column": R.sql_str(key) if key else "NULL",
+        "sample_size": str(sample_n) if sample_n is not None else "NULL",
     }
-    return df.select(*[consts.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields])
+    exprs = [f"CAST({consts.get(f.name, R.sql_ident(f.name))} AS {f.dataType.simpleString()}) AS {f.name}" for f in RESULT_SCHEMA.fields]
+    return df.selectExpr(*exprs)
 
 
 def plan_pair(spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig):
