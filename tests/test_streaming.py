@@ -73,3 +73,31 @@ def test_merge_into_is_idempotent(spark):
     merge_into(spark, path, b, ["run_date", "k"])
     twice = sorted(spark.read.parquet(path).select("run_date", "k", "v").collect())
     assert once == twice == sorted(merge_rows(t, b, ["run_date", "k"]).collect())
+
+
+def test_publish_upserts_then_applies_retention(spark):
+    from tidemark.operators.monitor import publish
+
+    cfg = FeedConfig(retention_days=1)
+    path = stage_path(spark, "publish")
+    rows = lambda day, n: (dt.date(2024, 1, day), dt.datetime(2024, 1, day), dt.datetime(2024, 1, day, 0, 30), "x", "B1", n, 0, 0)
+    schema = "run_date date, interval_start timestamp_ntz, interval_end timestamp_ntz, message_type string, brand string, message_count long, is_sla_breach int, is_unexpected_brand int"
+    publish(spark, path, spark.createDataFrame([rows(1, 5), rows(2, 6)], schema), cfg, "2024-01-02")
+    publish(spark, path, spark.createDataFrame([rows(2, 7), rows(3, 8)], schema), cfg, "2024-01-03")
+    got = sorted((r.run_date.day, r.message_count) for r in spark.read.parquet(path).collect())
+    assert got == [(2, 7), (3, 8)]
+
+
+def test_catalog_sinks(spark):
+    from tidemark import sinks
+
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    sinks.replace_results(df, "t_results")
+    sinks.append_results(spark.createDataFrame([(2, "b", 1.5)], "k int, v string, extra double"), "t_results")
+    assert spark.table("t_results").count() == 2
+    sinks.swap_table(spark, spark.table("t_results").where("k = 2"), "t_results")
+    assert [r.k for r in spark.table("t_results").collect()] == [2]
+    sinks.ensure_partitioned(spark, "t_part", "k int, d string", "d")
+    spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-05")], "k int, d string").write.insertInto("t_part")
+    assert sinks.drop_older_partitions(spark, "t_part", "d", "2024-01-03") == ["2024-01-01"]
+    assert [r.k for r in spark.table("t_part").collect()] == [2]

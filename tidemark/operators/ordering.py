@@ -1,0 +1,29 @@
+"""Sorting, top-N, emptiness and triage helpers."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def sort_rows(df: DataFrame, spec: Sequence[tuple[str, str]]) -> DataFrame:
+    """L1: multi-key ORDER BY; spec items are ``(column, "asc"|"desc"|"desc_nulls_last"|"asc_nulls_first"...)``."""
+    cols: list[Column] = [getattr(F.col(c), how)() for c, how in spec]
+    return df.orderBy(*cols)
+
+
+def top_n(df: DataFrame, order: Sequence[Column], n: int, tie_break: Sequence[str] = ()) -> DataFrame:
+    """L2: first ``n`` rows by a total order (TakeOrderedAndProject: n rows per partition reach the merge)."""
+    return df.orderBy(*order, *[F.col(c) for c in tie_break]).limit(n)
+
+
+def is_empty(df: DataFrame) -> bool:
+    """L3: emptiness probe that stops at the first row."""
+    return df.isEmpty()
+
+
+def triage(df: DataFrame, statuses: Sequence[str] = ("FAIL", "WARN", "ERROR"), status_col: str = "overall_status", then: Sequence[Column] = ()) -> DataFrame:
+    """L4: rows with a flagged status, worst first."""
+    return df.where(F.col(status_col).isin(list(statuses))).orderBy(F.col(status_col).desc(), *then)

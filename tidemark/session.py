@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.warehouse.dir", os.environ.get("TIDEMARK_WAREHOUSE", tempfile.mkdtemp(prefix="tidemark-wh-")))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -21,8 +21,24 @@ from tidemark.session import checkpoint_root
 
 
 def append_results(df: DataFrame, table: str, fmt: str = "parquet") -> None:
-    """K1: append with schema merge (new result columns are added)."""
-    df.write.format(fmt).mode("append").option("mergeSchema", "true").saveAsTable(table)
+    """K1: append with schema evolution (new result columns are added to the table).
+
+    Delta merges the schema itself; for parquet tables the new columns are added
+    with ``ALTER TABLE ... ADD COLUMNS`` and the rows are appended aligned by name
+    (missing columns as NULL).
+    """
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        df.write.format(fmt).saveAsTable(table)
+        return
+    have = {c.lower() for c in spark.table(table).columns}
+    new = [f for f in df.schema.fields if f.name.lower() not in have]
+    if new and fmt != "delta":
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS (" + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new) + ")")
+    target = spark.table(table).schema
+    mine = {c.lower(): c for c in df.columns}
+    aligned = df.select(*[(F.col(f"`{mine[f.name.lower()]}`") if f.name.lower() in mine else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields])
+    aligned.write.format(fmt).mode("append").option("mergeSchema", "true").saveAsTable(table)
 
 
 def replace_results(df: DataFrame, table: str, fmt: str = "parquet") -> None:
@@ -35,6 +51,19 @@ def ensure_partitioned(spark: SparkSession, table: str, ddl: str, by: str, fmt:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ddl}) USING {fmt} PARTITIONED BY ({by})")
 
 
+def swap_table(spark: SparkSession, df: DataFrame, table: str, fmt: str = "parquet") -> None:
+    """K8: copy-swap rewrite: write ``<table>__new``, drop the old table, rename the new one.
+
+    The derived frame may read ``table`` itself: it is fully written before the old
+    table is dropped, so a plan never reads and overwrites the same table.
+    """
+    new = f"{table}__new"
+    spark.sql(f"DROP TABLE IF EXISTS {new}")
+    df.write.format(fmt).saveAsTable(new)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """K7: publish as a temporary view."""
     df.createOrReplaceTempView(name)
