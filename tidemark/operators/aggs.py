@@ -140,10 +140,13 @@ def top_values(df: DataFrame, cols: Sequence[str], n: int = 5) -> DataFrame:
     """
     from pyspark.sql import Window
 
+    from tidemark.operators.windows import first_n_per
+
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
     g = df.select(F.explode(arr).alias("p")).select("p.*").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("value_count"))
-    w = Window.partitionBy("column_name").orderBy(F.col("value_count").desc(), F.col("value").asc_nulls_first())
-    return g.withColumn("value_rank", F.row_number().over(w).cast("long")).where(F.col("value_rank") <= n)
+    # A column can have as many distinct values as rows: rank in two salted levels (exact).
+    order = [F.col("value_count").desc(), F.col("value").asc_nulls_first()]
+    return first_n_per(g, ["column_name"], order, n, "value_rank", salt=F.xxhash64("value"))
 
 
 def correlation(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:

@@ -151,10 +151,15 @@ def mismatch_summary(mismatches: DataFrame) -> DataFrame:
 
 
 def mismatch_examples(mismatches: DataFrame, n: int = 3, key_order: Column | None = None) -> DataFrame:
-    """Up to ``n`` examples per column, first keys first (stable, unlike a generated id)."""
-    order = key_order if key_order is not None else F.col("key")
-    w = Window.partitionBy("column_name").orderBy(order, F.col("key"))
-    return mismatches.withColumn("example_rank", F.row_number().over(w).cast("long")).where(F.col("example_rank") <= n)
+    """Up to ``n`` examples per column, first keys first (stable, unlike a generated id).
+
+    Two-level (salted by a hash of the key) so a column with billions of
+    mismatches is ranked by many tasks; the result is exact.
+    """
+    from tidemark.operators.windows import first_n_per
+
+    order = [key_order if key_order is not None else F.col("key"), F.col("key")]
+    return first_n_per(mismatches, ["column_name"], order, n, "example_rank", salt=F.xxhash64("key"))
 
 
 def keyed_counts(joined: DataFrame, cols: Sequence[str] = (), detect_format: bool = True) -> DataFrame:

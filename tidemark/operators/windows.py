@@ -57,9 +57,20 @@ def breach_streak(df: DataFrame, part: Sequence[str], order: Sequence[str], flag
     return out.withColumn(name, F.when(flag, F.sum(F.when(flag, 1).otherwise(0)).over(w2)).otherwise(F.lit(0))).drop("__grp")
 
 
-def first_n_per(df: DataFrame, part: Sequence[str], order: Sequence, n: int, name: str = "rank") -> DataFrame:
-    """First ``n`` rows per partition by a total order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col(name) <= n)
+def first_n_per(df: DataFrame, part: Sequence[str], order: Sequence, n: int, name: str = "rank", salt: Column | None = None, buckets: int = 1024) -> DataFrame:
+    """First ``n`` rows per group by a total order.
+
+    With ``salt`` (a column spreading a group's rows, e.g. a hash of the row key)
+    the selection is two-level and still exact: the first ``n`` of every
+    (group, bucket) are kept, then the first ``n`` of the group among those
+    ``n * buckets`` candidates. A hot group is therefore ranked by many tasks
+    instead of being sorted whole in one.
+    """
+    if salt is not None:
+        b = F.pmod(salt, F.lit(buckets))
+        w1 = Window.partitionBy(*part, b).orderBy(*order)
+        df = df.withColumn("__salt_rank", F.row_number().over(w1)).where(F.col("__salt_rank") <= n).drop("__salt_rank")
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long")).where(F.col(name) <= n)
 
 
 def pct_of_total(df: DataFrame, col: str, name: str = "pct", digits: int = 2) -> DataFrame:
