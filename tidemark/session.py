@@ -49,3 +49,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 8, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized from the input volume (apply with ``SparkSession.builder.config``).
+
+    Shuffle partitions: enough for ~256 MB per reduce task and at least two waves of
+    the cluster's cores; AQE coalesces small ones and splits skewed ones at run
+    time. Scan splits match the same target. Broadcasts stay at the default
+    10 MB threshold: every explicit broadcast in this library is behind a size
+    check, everything else is left to AQE's runtime statistics.
+    """
+    cores = executors * cores_per_executor
+    partitions = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(10 << 20),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
