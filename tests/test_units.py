@@ -266,3 +266,24 @@ def test_scope_filter_and_routing(spark):
     r = spark.createDataFrame([("account",), ("bill",), ("zeta",)], "n string")
     out = [x[0] for x in r.select(C.route_name(F.col("n"), {"a": "pc_", "b": "bc_"})).collect()]
     assert out == ["pc_account", "bc_bill", "zeta"]
+
+
+def test_csv_tsv_roundtrip_listing_and_sql(spark):
+    # S3, K10, S6, S7, R2
+    from tidemark import sinks
+    from tidemark.sources import readers as S
+
+    path = sinks.stage_path(spark, "tsv")
+    df = spark.createDataFrame([("t1", "c1", "YES"), ("t2", "c2", "NO")], "table_name string, column_name string, is_nullable string")
+    sinks.export_tsv(df, path)
+    back = spark.read.option("header", True).option("sep", "\t").csv(path)
+    assert sorted(map(tuple, back.collect())) == [("t1", "c1", "YES"), ("t2", "c2", "NO")]
+    assert S.read_csv(spark, path, "x string").count() == 2
+    df.createOrReplaceTempView("tm_meta")
+    assert S.run_sql(spark, "SELECT count(*) AS n FROM tm_meta WHERE is_nullable = :v", {"v": "YES"}).first().n == 1
+    spark.sql("CREATE TABLE IF NOT EXISTS tm_keep (a int) USING parquet")
+    spark.sql("CREATE TABLE IF NOT EXISTS tm_skip__apply (a int) USING parquet")
+    names = {r.tableName for r in S.list_tables(spark, "default", exclude=["__apply"]).collect()}
+    assert "tm_keep" in names and "tm_skip__apply" not in names
+    assert R.pick_first(["ID", "PublicID", "x"], ["id", "publicid"]) == "id"
+    assert R.pick_first(["x"], ["id"]) is None

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def chunk(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 500, overlap: int = 50) -> DataFrame:
+def chunk(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 500, overlap: int = 50, keep: Sequence[str] = ()) -> DataFrame:
     """Fixed-size character chunks with overlap over the WHOLE text.
 
     Chunk starts are ``1, 1 + (size - overlap), ...`` up to ``length - overlap``, so
     the last chunk always reaches the end and no chunk lies inside the previous
-    chunk's overlap. Empty or NULL texts give no chunk.
+    chunk's overlap. Empty or NULL texts give no chunk. ``keep`` columns are
+    carried onto every chunk (narrow, no join).
     """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
@@ -28,6 +29,7 @@ def chunk(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: i
     x = df.where(n > 0).select("*", F.posexplode(F.sequence(F.lit(1), last, F.lit(step))).alias("__pos", "chunk_start"))
     return x.select(
         F.col(id_col),
+        *[F.col(k) for k in keep],
         (F.col("__pos") + 1).alias("chunk_no"),
         F.concat_ws("-", F.col(id_col).cast("string"), (F.col("__pos") + 1).cast("string")).alias("chunk_id"),
         "chunk_start",

@@ -66,3 +66,19 @@ def vector_topk(spark, sf):
     e = fx.load(spark, sf, "embeddings")
     q = e.where(F.col("vec_id") == 0).select("embedding").first()["embedding"]
     return D.topk(e, q, 10)
+
+
+@query(
+    "doc_chunks_rows",
+    f"""SELECT conv_id, turn, CAST(i + 1 AS INTEGER) AS chunk_no,
+  CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '-' || CAST(i + 1 AS VARCHAR) AS chunk_id,
+  CAST(s AS INTEGER) AS chunk_start, substring(text, CAST(s AS INTEGER), 200) AS chunk_text
+FROM (SELECT conv_id, turn, text, unnest(generate_series(1, greatest(1, length(text) - 20), 180)) AS s,
+             unnest(range(0, CAST(ceil(greatest(1, length(text) - 20) / 180) AS BIGINT))) AS i
+      FROM conversations WHERE length(text) > 0)""",
+)
+def doc_chunks_rows(spark, sf):
+    """The same chunking over structured rows (conversation turns), id = (conversation, turn, chunk)."""
+    c = fx.load(spark, sf, "conversations").withColumn("row_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    ch = D.chunk(c, id_col="row_id", size=200, overlap=20, keep=["conv_id", "turn"])
+    return ch.select("conv_id", "turn", F.col("chunk_no").cast("int").alias("chunk_no"), "chunk_id", F.col("chunk_start").cast("int").alias("chunk_start"), "chunk_text")
