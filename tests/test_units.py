@@ -287,3 +287,17 @@ def test_csv_tsv_roundtrip_listing_and_sql(spark):
     assert "tm_keep" in names and "tm_skip__apply" not in names
     assert R.pick_first(["ID", "PublicID", "x"], ["id", "publicid"]) == "id"
     assert R.pick_first(["x"], ["id"]) is None
+
+
+def test_distributed_quantiles_equal_percentile(spark):
+    # A14/Q-17: the path for unbounded value sets (forced with a tiny bound) is exact.
+    from tidemark.operators.quantiles import exact_quantiles
+
+    rows = [(g, float((i * 37) % 101) if i % 9 else None, float(i % 5)) for g in ("a", "b") for i in range(400)] + [("c", 7.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    want = {(r.g, c, p): r[c][i] for r in df.groupBy("g").agg(*[F.percentile(c, probs).alias(c) for c in ("x", "y")]).collect() for c in ("x", "y") for i, p in enumerate(probs)}
+    for bound in (10, 10_000):
+        got = {(r.g, r.column_name, r.prob): r.quantile for r in exact_quantiles(df, ["x", "y"], probs, by=["g"], partitions=3, max_values_per_task=bound).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)

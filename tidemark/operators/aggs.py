@@ -179,20 +179,18 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def quartiles(df: DataFrame, cols: Sequence[str], digits: int = 4) -> DataFrame:
-    """A14 re-aimed: exact quartiles (linear interpolation) per column, long form."""
-    wide = df.agg(*[F.percentile(F.col(c).cast("double"), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(cols)])
-    arr = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.round(F.col(f"q{i}")[0], digits).alias("q1"),
-                F.round(F.col(f"q{i}")[1], digits).alias("median"),
-                F.round(F.col(f"q{i}")[2], digits).alias("q3"),
-            )
-            for i, c in enumerate(cols)
-        ]
+    """A14 re-aimed: exact quartiles (linear interpolation) per column, long form.
+
+    ``quantiles.exact_quantiles`` checks the number of distinct values first and
+    never merges an unbounded value set in one task.
+    """
+    from tidemark.operators.quantiles import exact_quantiles
+
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    g = q.groupBy("column_name").agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     )
-    return wide.select(F.explode(arr).alias("p")).select("p.*")
+    return g.select("column_name", *[F.round(n, digits).alias(n) for n in ("q1", "median", "q3")])
 
 
 def category_counts(df: DataFrame, col: str) -> DataFrame:

@@ -194,17 +194,27 @@ def trace(layers: Mapping[str, DataFrame], key: str) -> DataFrame:
 
 
 def latency(df: DataFrame, t1: str, t2: str, by: Sequence[str], sla_seconds: int) -> DataFrame:
-    """Q-17: per group: rows, missing second timestamps, exact p50/p95/max latency (s) and SLA breaches."""
+    """Q-17: per group: rows, missing second timestamps, exact p50/p95/max latency (s) and SLA breaches.
+
+    The exact percentiles come from ``quantiles.exact_quantiles`` (size-checked, no
+    unbounded one-task merge); the counts are one aggregate; both are per group.
+    """
+    from tidemark.operators.quantiles import exact_quantiles
+
     lat = F.timestamp_diff("SECOND", _c(t1), _c(t2))
     x = df.select(*by, lat.alias("__lat"), _c(t2).isNull().alias("__missing"))
-    return x.groupBy(*by).agg(
+    counts = x.groupBy(*by).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count(F.when(F.col("__missing"), 1)).alias("missing_ingest"),
-        F.percentile(F.col("__lat").cast("double"), 0.5).alias("p50_seconds"),
-        F.percentile(F.col("__lat").cast("double"), 0.95).alias("p95_seconds"),
         F.max("__lat").alias("max_seconds"),
         F.count(F.when(F.col("__lat") > sla_seconds, 1)).alias("sla_breaches"),
     )
+    q = exact_quantiles(x, ["__lat"], [0.5, 0.95], by=by)
+    qs = q.groupBy(*by).agg(
+        F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("p50_seconds"),
+        F.max(F.when(F.col("prob") == 0.95, F.col("quantile"))).alias("p95_seconds"),
+    )
+    return counts.join(qs, list(by), "left").select(*by, "row_count", "missing_ingest", "p50_seconds", "p95_seconds", "max_seconds", "sla_breaches")
 
 
 def coverage(df: DataFrame, col: str, expected: Sequence[str]) -> DataFrame:
