@@ -24,9 +24,9 @@ SELECT f.* FROM feed_fact f, b WHERE f.interval_start >= b.lo AND f.interval_sta
     ("feed_fact",),
 )
 def stream_feed_counts(spark, sf):
-    """Watermarked 30-minute counts streamed into a zero-filled, upserted fact."""
+    """Feed events streamed (de-duplicated within a 1-day watermark) into the zero-filled, upserted slot fact."""
     path = stage_path(spark, "stream-fact")
-    counts = S.windowed_counts(S.feed_stream(spark, sf), CFG, delay="1 day", watermarked=False)
-    q = S.upsert_counts(spark, counts, path, CFG, checkpoint=path + "-ck")
+    events = S.dedup_stream(S.feed_stream(spark, sf), ["event_id"], "enqueued_time", "1 day")
+    q = S.upsert_counts(spark, events, path, CFG, checkpoint=path + "-ck")
     q.awaitTermination()
     return spark.read.parquet(path).select("run_date", "interval_start", "interval_end", "message_type", "brand", "message_count", "is_sla_breach", "is_unexpected_brand")
