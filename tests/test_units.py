@@ -301,3 +301,18 @@ def test_distributed_quantiles_equal_percentile(spark):
         got = {(r.g, r.column_name, r.prob): r.quantile for r in exact_quantiles(df, ["x", "y"], probs, by=["g"], partitions=3, max_values_per_task=bound).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_isolated_run_turns_a_failing_pair_into_an_error_row(spark):
+    # Retry, ERROR row, error-rate gate.
+    from tidemark.operators import recon_run as RR
+
+    good = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    bad_src = spark.createDataFrame([(1, "x")], "id long, v string").withColumn("v", F.col("v").cast("int"))  # fails at run time (ANSI)
+    specs = [RR.PairSpec("good", "good_tgt", good, good), RR.PairSpec("bad", "bad_tgt", bad_src, good)]
+    cfg = R.ReconConfig(key_priority=("id",))
+    rows = {r.source_table: r for r in RR.reconcile_many(spark, specs, cfg, isolate=True, max_workers=2).collect()}
+    assert rows["good"].overall_status == "PASS" and rows["good"].matched_row_count == 2
+    assert (rows["bad"].table_status, rows["bad"].overall_status) == ("ERROR", "ERROR")
+    with pytest.raises(RuntimeError):
+        RR.reconcile_many(spark, specs, cfg, isolate=True, max_error_rate=0.25)

@@ -223,14 +223,52 @@ def side_counts(specs: Sequence[PairSpec]) -> dict[int, tuple[int, int]]:
     return got
 
 
-def reconcile_many(spark: SparkSession, specs: Sequence[PairSpec], cfg: R.ReconConfig = R.ReconConfig()) -> DataFrame:
-    """Result rows for all pairs as one DataFrame (one count job, then lazy)."""
-    counts = side_counts(specs)
-    out = None
-    for i, s in enumerate(specs):
-        r = pair_result(spark, s, counts.get(i), cfg)
-        out = r if out is None else out.unionByName(r)
-    return out
+def reconcile_many(
+    spark: SparkSession,
+    specs: Sequence[PairSpec],
+    cfg: R.ReconConfig = R.ReconConfig(),
+    isolate: bool = False,
+    max_workers: int = 8,
+    retries: int = 1,
+    max_error_rate: float | None = None,
+) -> DataFrame:
+    """Result rows for all pairs.
+
+    Default: one count job, then ONE lazily unioned frame (cheapest; a runtime
+    error in any pair fails the whole job). ``isolate=True`` follows the
+    reference's run semantics: every pair is compared in its own job on a bounded
+    thread pool, retried ``retries`` times, a pair that still fails becomes an
+    ERROR row, and the run raises when the share of errors exceeds
+    ``max_error_rate``. Only the one-row results reach the driver.
+    """
+    if not isolate:
+        counts = side_counts(specs)
+        out = None
+        for i, s in enumerate(specs):
+            r = pair_result(spark, s, counts.get(i), cfg)
+            out = r if out is None else out.unionByName(r)
+        return out
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.sources.readers import literal_rows
+
+    def one(spec: PairSpec):
+        err = None
+        for _ in range(retries + 1):
+            try:
+                counts = side_counts([spec]).get(0)
+                return tuple(pair_result(spark, spec, counts, cfg).first()), None
+            except Exception as e:  # noqa: BLE001  (a failed table becomes an ERROR row)
+                err = e
+        row = (spec.source_table, spec.target_table, "ERROR", "NOT_COMPARED", "ERROR", None, None, "NONE") + (None,) * 9
+        return row, f"{type(err).__name__}: {str(err).splitlines()[0][:300]}"
+
+    with ThreadPoolExecutor(max_workers=max(1, max_workers)) as pool:
+        results = list(pool.map(one, specs))
+    errors = [e for _, e in results if e]
+    if max_error_rate is not None and specs and len(errors) / len(specs) > max_error_rate:
+        raise RuntimeError(f"reconciliation error rate {len(errors) / len(specs):.1%} above {max_error_rate:.1%}: {errors[:3]}")
+    return literal_rows(spark, [r for r, _ in results], RESULT_SCHEMA)
 
 
 def comments_many(spark: SparkSession, specs: Sequence[PairSpec], cfg: R.ReconConfig = R.ReconConfig()) -> DataFrame:

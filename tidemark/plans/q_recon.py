@@ -608,3 +608,9 @@ def _comment_sql() -> str:
 def recon_comments(spark, sf):
     """The comment text per pair, column details capped at 15 columns x 3 examples."""
     return RR.comments_many(spark, _pairs(spark, sf), CFG)
+
+
+@query("recon_run_isolated", _RUN + "SELECT * FROM run", _RUN_FX)
+def recon_run_isolated(spark, sf):
+    """R14 with the reference's run semantics: one job per pair on a thread pool (8), retry, error rows."""
+    return RR.reconcile_many(spark, _pairs(spark, sf), CFG, isolate=True, max_workers=8, retries=1)
