@@ -316,3 +316,24 @@ def test_isolated_run_turns_a_failing_pair_into_an_error_row(spark):
     assert (rows["bad"].table_status, rows["bad"].overall_status) == ("ERROR", "ERROR")
     with pytest.raises(RuntimeError):
         RR.reconcile_many(spark, specs, cfg, isolate=True, max_error_rate=0.25)
+
+
+def test_recent_rows_with_timestamp_millis_and_no_time_column(spark):
+    # Q-5: a timestamp column, an epoch-millis candidate, or the total when neither exists.
+    from tidemark.operators.quality import recent_row_count
+
+    ts = spark.createDataFrame([(dt.datetime(2024, 1, 9),), (dt.datetime(2023, 1, 1),)], "updated timestamp_ntz")
+    ms = spark.createDataFrame([(1704758400000,), (1672531200000,)], "updatetime long")  # 2024-01-09 and 2023-01-01 UTC
+    none = spark.createDataFrame([("a",), ("b",)], "x string")
+    got = {r.table_name: (r.time_column, r.recent_rows, r.total_rows) for r in recent_row_count({"ts": ts, "ms": ms, "none": none}, "2024-01-10 00:00:00", 7, ["updatetime"]).collect()}
+    assert got == {"ts": ("updated", 1, 2), "ms": ("updatetime", 1, 2), "none": (None, 2, 2)}
+
+
+def test_catalog_columns(spark):
+    # S5 over the catalog: prefix-filtered tables, lower-cased names, one metadata frame.
+    from tidemark.sources.readers import catalog_columns
+
+    spark.sql("CREATE TABLE IF NOT EXISTS pc_alpha (ID bigint, Name string) USING parquet")
+    spark.sql("CREATE TABLE IF NOT EXISTS zz_other (a int) USING parquet")
+    m = catalog_columns(spark, "default", ["pc_"])
+    assert sorted((r.table_name, r.column_name, r.data_type, r.ordinal_position) for r in m.collect()) == [("pc_alpha", "id", "bigint", 1), ("pc_alpha", "name", "string", 2)]
