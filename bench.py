@@ -2,7 +2,7 @@
 
 Every query is executed in full through the ``noop`` sink (all stages run, nothing
 is collected to the driver). After one warm-up pass each query is timed
-``BENCH_REPEAT`` times (default 2) and the best time is kept. Prints ONE JSON line.
+``BENCH_REPEAT`` times (default 3) and the best time is kept. Prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = sys.argv[1:] or HEADLINE
 
     from tidemark.plans.registry import QUERIES, load_all

@@ -39,10 +39,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _long(parts: list[Column], fields: list[str]) -> Column:
-    return F.explode(F.array(*parts))
-
-
 def profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, digits: int = 4) -> DataFrame:
     """A6/A8-A10/Q-1: one aggregate for the whole table, then one row per column.
 

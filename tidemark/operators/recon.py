@@ -16,9 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tidemark.functions.columns import normalize_format
 
 KEY = "__key__"
 

@@ -10,7 +10,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.timefn import date_lit, day_bounds, slot_floor, slots, ts_lit
+from tidemark.functions.timefn import day_bounds, slot_floor, slots, ts_lit
 from tidemark.operators import monitor as M
 from tidemark.operators.aggs import counts_with_total, slot_counts
 from tidemark.operators.joins import spine, zero_fill

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality as Q
-from tidemark.plans import sqlgen as G
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as fx
 

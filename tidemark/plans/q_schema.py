@@ -18,7 +18,7 @@ from tidemark.operators.aggs import row_counts
 from tidemark.plans.oracle_fixtures import register
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as fx
-from tidemark.sources.readers import META_SCHEMA, literal_rows, table_columns
+from tidemark.sources.readers import literal_rows, table_columns
 
 ALL_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 META_TABLES = ["orders", "lineitem", "customer", "part", "supplier", "nation", "region"]

@@ -6,8 +6,6 @@ folder under the shared checkpoint folder and returns that fact as a batch frame
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidemark.operators.monitor import FeedConfig
 from tidemark.plans.registry import query
 from tidemark.sinks import stage_path

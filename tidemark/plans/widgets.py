@@ -7,7 +7,6 @@ here run over ``slots x types x brands`` rows, partitioned by series.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tidemark.operators.joins import spine
 from tidemark.operators.monitor import FeedConfig, bucket_brand, breach_flags
 from tidemark.session import checkpoint_root
-from tidemark.sinks import _exists, merge_into
+from tidemark.sinks import merge_into
 
 FACT_KEYS = ["run_date", "interval_start", "interval_end", "message_type", "brand"]
 
