@@ -48,11 +48,17 @@ def exact_quantiles(
     pre-counted values (its one-task merge is then bounded); otherwise the
     range-partitioned path below is used. Both are exact.
     """
-    # One-pass HyperLogLog estimate of the widest group (2x margin for its error).
-    est = df.groupBy(*by).agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"__d{i}") for i, c in enumerate(value_cols)])
-    widest = est.agg(F.greatest(*[F.max(f"__d{i}") for i in range(len(value_cols))]) if len(value_cols) > 1 else F.max("__d0")).first()[0] or 0
+    # Size check. A group cannot have more distinct values than rows, and counting rows
+    # is cheap (a bare parquet count reads footers only); only groups above the bound
+    # need the one-pass HyperLogLog estimate (2x margin for its error).
+    rows = df.count() if not by else (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
+    if rows <= max_values_per_task:
+        widest = rows
+    else:
+        est = df.groupBy(*by).agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"__d{i}") for i, c in enumerate(value_cols)])
+        widest = 2 * (est.agg(F.greatest(*[F.max(f"__d{i}") for i in range(len(value_cols))]) if len(value_cols) > 1 else F.max("__d0")).first()[0] or 0)
     plist = F.array(*[F.lit(float(p)) for p in probs])
-    if 2 * widest <= max_values_per_task:
+    if widest <= max_values_per_task:
         # Bounded: the built-in exact percentile, one per column in ONE aggregate (its partial
         # aggregation combines equal values map-side); only the small result is unpivoted.
         g = df.groupBy(*by).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), [float(p) for p in probs]).alias(f"__q{i}") for i, c in enumerate(value_cols)])
