@@ -337,3 +337,24 @@ def test_catalog_columns(spark):
     spark.sql("CREATE TABLE IF NOT EXISTS zz_other (a int) USING parquet")
     m = catalog_columns(spark, "default", ["pc_"])
     assert sorted((r.table_name, r.column_name, r.data_type, r.ordinal_position) for r in m.collect()) == [("pc_alpha", "id", "bigint", 1), ("pc_alpha", "name", "string", 2)]
+
+
+def test_rewrite_widens_types_and_compacts(spark):
+    # K9: ALTER COLUMN TYPE + OPTIMIZE as one rewrite into a new path.
+    from tidemark import sinks
+
+    src = spark.range(100).select(F.col("id").cast("int").alias("k"), (F.col("id") % 3).cast("string").alias("d")).repartition(10)
+    out = sinks.stage_path(spark, "rewrite")
+    sinks.rewrite_table(src, out, casts={"k": "bigint"}, files=2)
+    back = spark.read.parquet(out)
+    assert dict(back.dtypes)["k"] == "bigint" and back.count() == 100 and back.rdd.getNumPartitions() <= 2
+
+
+def test_quarantine_split(spark):
+    # Q-13: valid rows and invalid rows with the failed rule names.
+    from tidemark.operators.quality import quarantine
+
+    df = spark.createDataFrame([(1, 5.0), (2, -1.0), (3, None)], "id int, q double")
+    valid, invalid = quarantine(df, {"positive": "q > 0", "present": "q IS NOT NULL"})
+    assert [r.id for r in valid.collect()] == [1]
+    assert sorted((r.id, r.reasons) for r in invalid.collect()) == [(2, "positive"), (3, "positive;present")]
