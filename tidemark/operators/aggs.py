@@ -60,10 +60,19 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fal
     if approx:
         wide = df.agg(*aggs, *distinct)
     else:
-        # Exact distinct counts expand every row once per column; keeping the plain
-        # aggregates out of that Expand halves the work. Both sides are one row.
+        # Exact distinct counts: one single-column branch per column (group by the value
+        # in its own type, combined map-side, then count the non-NULL keys). Each branch
+        # scans one column; unlike Expand, rows are never replicated per column.
+        branches = [
+            df.groupBy(F.col(f"`{c}`").alias("__v")).agg(F.lit(1).alias("__x")).agg(F.count("__v").alias("__d")).select(F.lit(i).alias("__i"), "__d")
+            for i, c in enumerate(cols)
+        ]
+        dist_long = branches[0]
+        for b in branches[1:]:
+            dist_long = dist_long.unionByName(b)
+        # Pivot the (tiny, one row per column) result back into the wide row.
+        dist = dist_long.agg(*[F.max(F.when(F.col("__i") == i, F.col("__d"))).alias(f"d{i}") for i in range(len(cols))]).withColumn("__k", F.lit(1))
         plain = df.agg(*aggs).withColumn("__k", F.lit(1))
-        dist = df.agg(*distinct).withColumn("__k", F.lit(1))
         wide = plain.join(dist, "__k")
     structs = []
     for i, c in enumerate(cols):
