@@ -358,3 +358,14 @@ def test_quarantine_split(spark):
     valid, invalid = quarantine(df, {"positive": "q > 0", "present": "q IS NOT NULL"})
     assert [r.id for r in valid.collect()] == [1]
     assert sorted((r.id, r.reasons) for r in invalid.collect()) == [(2, "positive"), (3, "positive;present")]
+
+
+def test_run_level_column_exclusion(spark):
+    # Audit columns excluded by the run configuration are neither compared nor reported as mismatches.
+    from tidemark.operators import recon_run as RR
+
+    s = spark.createDataFrame([(1, "a", "2024-01-01")], "id long, v string, load_date string")
+    t = spark.createDataFrame([(1, "a", "2024-02-02")], "id long, v string, load_date string")
+    cfg = R.ReconConfig(key_priority=("id",), excluded_columns=("LOAD_DATE",))
+    r = RR.reconcile_many(spark, [RR.PairSpec("t", "t_tgt", s, t)], cfg).first()
+    assert (r.overall_status, r.mismatched_columns) == ("PASS", "")

@@ -113,7 +113,8 @@ def plan_pair(spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig
     """R2/R10/R11 for one pair: ``(mode, key, other_columns, sample_n, threshold)``."""
     if spec.target is None:
         return "MISSING", None, [], None, None
-    cols = spec.comparable()
+    run_excluded = {e.lower() for e in cfg.excluded_columns}
+    cols = [c for c in spec.comparable() if c.lower() not in run_excluded]
     if not cols:
         return "SKIPPED", None, [], None, None
     sc, tc = counts
@@ -192,7 +193,7 @@ def pair_comment(spark: SparkSession, spec: PairSpec, counts, cfg: R.ReconConfig
         cc = spark.range(1).select(F.lit("").alias("column_comment"))
     only_src, only_tgt = [], []
     if spec.target is not None:
-        ex = {e.lower() for e in spec.excluded}
+        ex = {e.lower() for e in spec.excluded} | {e.lower() for e in cfg.excluded_columns}
         tl, sl = {c.lower() for c in spec.target.columns}, {c.lower() for c in spec.source.columns}
         only_src = sorted(c for c in spec.source.columns if c.lower() not in tl or c.lower() in ex)
         only_tgt = sorted(c for c in spec.target.columns if c.lower() not in sl or c.lower() in ex)
