@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import normalize_type, strip_prefix, type_family
+from tidemark.functions.columns import NUMERIC_TYPES, normalize_type, strip_prefix
 
 # Severity order used to pick the worst status.
 SEVERITY_RANK = {"PASS": 0, "WARN": 1, "FAIL": 2, "ERROR": 3}
@@ -36,15 +36,49 @@ def _sorted_join(flag: Column, text: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(items), lambda x: x["v"]), sep)
 
 
-def _bool_text(c: Column) -> Column:
-    return F.when(c, "True").otherwise("False")
+def _fam_sql(x: str) -> str:
+    d = f"lower(trim(coalesce({x}, '')))"
+    names = ", ".join(f"'{n}'" for n in NUMERIC_TYPES)
+    return f"(CASE WHEN substring_index({d}, '(', 1) IN ({names}) THEN 'numeric' ELSE {d} END)"
 
 
-def pair_findings(base: DataFrame, other: DataFrame, label: str, base_label: Column | str, ignore: Sequence[str] = (), numeric_as_warning: bool = True) -> DataFrame:
+def _agg_sql(flag: str, text: str, sep: str, name: str) -> Column:
+    """SQL twin of ``_sorted_join``: one JVM call per finding list."""
+    return F.expr(
+        f"array_join(transform(array_sort(collect_list(CASE WHEN {flag} THEN named_struct('k', c, 'v', {text}) END)), x -> x.v), '{sep}') AS {name}"
+    )
+
+
+def _findings(j: DataFrame, label: str, bl: str) -> DataFrame:
+    """Group the (table, column) comparison rows into the five finding lists.
+
+    ``j`` has ``t, c, bdt, odt, bnl, onl, inb, ino`` and ``bl`` is SQL text for the
+    baseline label (a literal or a column).
+    """
+    both = "inb AND ino"
+    differ = f"{both} AND bdt <> odt"
+    numeric = f"({_fam_sql('bdt')} = 'numeric' AND {_fam_sql('odt')} = 'numeric')"
+    ty = f"concat(upper(c), ': ', {bl}, '=', bdt, ' vs {label}=', odt)"
+    nt = (
+        f"concat(upper(c), ': ', {bl}, '_nullable=', CASE WHEN bnl THEN 'True' ELSE 'False' END, "
+        f"' vs {label}_nullable=', CASE WHEN onl THEN 'True' ELSE 'False' END)"
+    )
+    return j.groupBy("t").agg(
+        _agg_sql("inb AND NOT ino", "upper(c)", ", ", "missing_columns"),
+        _agg_sql("ino AND NOT inb", "upper(c)", ", ", "additional_columns"),
+        _agg_sql(f"{differ} AND NOT {numeric}", ty, "; ", "datatype_mismatches"),
+        _agg_sql(f"{differ} AND {numeric}", ty, "; ", "numeric_type_variances"),
+        _agg_sql(f"{both} AND bnl <> onl", nt, "; ", "nullability_mismatches"),
+    )
+
+
+def pair_findings(base: DataFrame, other: DataFrame, label: str, base_label: str, ignore: Sequence[str] = ()) -> DataFrame:
     """Per table present on both sides, the finding lists of ``other`` against ``base``.
 
     ``base``/``other`` are ``norm_meta`` frames. Returns ``t, missing_columns,
     additional_columns, datatype_mismatches, numeric_type_variances, nullability_mismatches``.
+    Differing numeric types are reported as numeric variances (WARN), others as
+    datatype mismatches (FAIL).
     """
     ig = [i.lower() for i in ignore]
     b = base.where(~F.col("c").isin(ig)) if ig else base
@@ -52,21 +86,7 @@ def pair_findings(base: DataFrame, other: DataFrame, label: str, base_label: Col
     b = b.select("t", "c", F.col("dt").alias("bdt"), F.col("nl").alias("bnl"), F.lit(True).alias("inb"))
     o = o.select("t", "c", F.col("dt").alias("odt"), F.col("nl").alias("onl"), F.lit(True).alias("ino"))
     j = b.join(o, ["t", "c"], "full_outer").withColumn("inb", F.coalesce("inb", F.lit(False))).withColumn("ino", F.coalesce("ino", F.lit(False)))
-    bl = F.lit(base_label) if isinstance(base_label, str) else base_label
-    both = F.col("inb") & F.col("ino")
-    differ = both & (F.col("bdt") != F.col("odt"))
-    numeric = (type_family(F.col("bdt")) == "numeric") & (type_family(F.col("odt")) == "numeric")
-    is_numeric = differ & numeric if numeric_as_warning else F.lit(False)
-    is_dtype = differ & ~numeric if numeric_as_warning else differ
-    ty = F.concat(F.upper("c"), F.lit(": "), bl, F.lit("="), F.col("bdt"), F.lit(f" vs {label}="), F.col("odt"))
-    nt = F.concat(F.upper("c"), F.lit(": "), bl, F.lit("_nullable="), _bool_text(F.col("bnl")), F.lit(f" vs {label}_nullable="), _bool_text(F.col("onl")))
-    return j.groupBy("t").agg(
-        _sorted_join(F.col("inb") & ~F.col("ino"), F.upper("c"), ", ").alias("missing_columns"),
-        _sorted_join(F.col("ino") & ~F.col("inb"), F.upper("c"), ", ").alias("additional_columns"),
-        _sorted_join(is_dtype, ty, "; ").alias("datatype_mismatches"),
-        _sorted_join(is_numeric, ty, "; ").alias("numeric_type_variances"),
-        _sorted_join(both & (F.col("bnl") != F.col("onl")), nt, "; ").alias("nullability_mismatches"),
-    )
+    return _findings(j, label, "'" + base_label.replace("'", "") + "'")
 
 
 def pair_severity(label: str, exists: Column, prefix: str = "") -> Column:
@@ -161,18 +181,7 @@ def _cda_findings(base_meta: DataFrame, cda: DataFrame, base_label: DataFrame, i
         "t", "c", F.coalesce("baseline_source", "__bs").alias("bl"), "bdt", "bnl", "odt", "onl",
         F.coalesce("inb", F.lit(False)).alias("inb"), F.coalesce("ino", F.lit(False)).alias("ino"),
     )
-    both = F.col("inb") & F.col("ino")
-    differ = both & (F.col("bdt") != F.col("odt"))
-    numeric = (type_family(F.col("bdt")) == "numeric") & (type_family(F.col("odt")) == "numeric")
-    ty = F.concat(F.upper("c"), F.lit(": "), F.col("bl"), F.lit("="), F.col("bdt"), F.lit(" vs CDA="), F.col("odt"))
-    nt = F.concat(F.upper("c"), F.lit(": "), F.col("bl"), F.lit("_nullable="), _bool_text(F.col("bnl")), F.lit(" vs CDA_nullable="), _bool_text(F.col("onl")))
-    return j.groupBy("t").agg(
-        _sorted_join(F.col("inb") & ~F.col("ino"), F.upper("c"), ", ").alias("missing_columns"),
-        _sorted_join(F.col("ino") & ~F.col("inb"), F.upper("c"), ", ").alias("additional_columns"),
-        _sorted_join(differ & ~numeric, ty, "; ").alias("datatype_mismatches"),
-        _sorted_join(differ & numeric, ty, "; ").alias("numeric_type_variances"),
-        _sorted_join(both & (F.col("bnl") != F.col("onl")), nt, "; ").alias("nullability_mismatches"),
-    )
+    return _findings(j, "CDA", "bl")
 
 
 # ------------------------------------------------------------------ DDL labels
