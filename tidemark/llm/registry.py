@@ -1,10 +1,15 @@
 """The operators' queries and their DuckDB SQL."""
 
-from tidemark.llm import decontaminate, quality, shard
+from tidemark.llm import chunks, decontaminate, jaccard, packing, quality, resample, shard, simple8b
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_token_files": simple8b.op2_token_files,
+    "op3_chunk_dedup": chunks.op3_chunk_dedup,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_sharding": shard.op5_sharding,
+    "op6_best_two_fit": packing.op6_best_two_fit,
+    "op9_jaccard_components": jaccard.op9_jaccard_components,
+    "op10_importance_resampling": resample.op10_importance_resampling,
 }
 ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op4_benchmark_decontamination": decontaminate.OP4_SQL}
