@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_bytes, staged, table
+from tidemark.llm.exchange import UNIT_BYTES, arrays, meet, parts, ranges_of, split_by_range, unit_name
 from tidemark.llm.words import mix, shingle_hashes, word_hashes
 
 
@@ -55,78 +56,74 @@ def set_digests(h, n) -> list[bytes]:
     return out
 
 
+def alone(blobs: list[bytes]) -> list[bytes]:
+    """Of one range of hashes: how many of each document's no other class holds."""
+    import numpy as np
+
+    rows = [parts(x) for x in blobs]  # hashes (5 bytes each), each document's number of them, its class
+    low = np.concatenate([r[0] for r in rows])
+    value = np.zeros((len(low), 8), np.uint8)
+    value[:, :5] = low
+    value = value.view("<u8")[:, 0]
+    counts = np.concatenate([r[1] for r in rows])
+    doc = np.repeat(np.arange(len(counts)), counts)
+    name = np.concatenate([r[2] for r in rows])[doc]
+    order = np.argsort(value, kind="stable")
+    v, m = value[order], name[order]
+    mine = np.zeros(len(counts), np.uint32)
+    if len(v):
+        edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        one = np.minimum.reduceat(m, edge) == np.maximum.reduceat(m, edge)
+        one = np.repeat(one, np.diff(np.concatenate([edge, [len(v)]])))
+        mine = np.bincount(doc[order[one]], minlength=len(counts)).astype(np.uint32)
+    ends = np.cumsum([len(r[1]) for r in rows])
+    return [mine[e - len(r[1]) : e].tobytes() for e, r in zip(ends, rows, strict=True)]
+
+
 def sets_and_shares(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``docs`` has ``id``, ``key``, ``text``. One row for each of its rows: ``id``, ``key``, ``n``, ``digest``, and ``may``:
+    """``docs`` has ``id``, ``key``, ``text``. One row for each of its rows: ``id``, ``key``, ``n``, ``digest``, ``may``:
     whether enough of the set is in other classes' sets too, and ``score``: how much, in thousandths."""
-    ranges = 1 << max(4, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    ranges = ranges_of(docs.sparkSession)
+    top = ranges.bit_length() - 1
     kind = docs.schema["id"].dataType.simpleString()
-    packed = f"range int, batch long, names binary, counts binary, hashes binary, ids array<{kind}>, keys array<long>, sizes array<int>, digests array<binary>"
 
     def pack(batches):
-        """For each range of hashes: the batch's hashes in it, 5 bytes each, with their documents' numbers of them."""
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest
 
-        top = ranges.bit_length() - 1
-        for b in by_bytes(batches, 2):
+        for b in by_bytes(batches, 2, UNIT_BYTES):
             h, n = shingle_sets(b.column(2), k)
             digests = set_digests(h, n)
-            names = np.array([int.from_bytes(d[:4], "little") for d in digests], np.uint32)
+            names = np.array([int.from_bytes(d[:8], "little") for d in digests], np.uint64)
             of = np.repeat(np.arange(len(n)), n)
             half = (h & np.uint64(1)) == 0  # half of the universe
             h, of = h[half], of[half]
-            where = (h >> np.uint64(64 - top)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            h, of, where = h[order], of[order], where[order]
-            cut = np.searchsorted(where, np.arange(ranges + 1))
+            order, cut = split_by_range(h, ranges)
+            h, of = h[order], of[order]
             low = ((h >> np.uint64(64 - top - 40)) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            batch = xxh3_64_intdigest(np.asarray(b.column(1)).tobytes()) - (1 << 63)
-            counts = [np.bincount(of[cut[r] : cut[r + 1]], minlength=len(n)).astype("<u4").tobytes() for r in range(ranges)]
-            first = lambda x: [x] + [None] * (ranges - 1)
-            columns = [pa.array(np.arange(ranges, dtype=np.int32)), pa.array([batch] * ranges, pa.int64()), pa.array([names.tobytes()] * ranges, pa.binary()), pa.array(counts, pa.binary()), pa.array([low[cut[r] : cut[r + 1]].tobytes() for r in range(ranges)], pa.binary())]
-            columns += [pa.array(first(x), pa.list_(t)) for x, t in ((b.column(0).to_pylist(), b.schema.field(0).type), (b.column(1).to_pylist(), pa.int64()), (n.tolist(), pa.int32()), (digests, pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["range", "batch", "names", "counts", "hashes", "ids", "keys", "sizes", "digests"])
-
-    def count(t):
-        """Of one range: each document's hashes that no other class holds."""
-        import numpy as np
-        import pyarrow as pa
+            rows = [arrays(low[cut[r] : cut[r + 1]].copy(), np.bincount(of[cut[r] : cut[r + 1]], minlength=len(n)).astype(np.uint32), names) for r in range(ranges)]
+            keys, ids = np.asarray(b.column(1)), b.column(0).to_pylist()
+            unit = unit_name(keys)
+            columns = [[unit] * (ranges + 1), [*range(ranges), -1], [*rows, None], [None] * ranges + [arrays(ids, keys, n, digests)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["unit", "range", "data", "own"])
+
+    id_type = {"bigint": "int64", "int": "int32", "string": "string"}.get(kind)
+    if id_type is None:
+        raise TypeError(f"ids of type {kind}")
 
-        rows = t.select(["names", "counts", "hashes"]).to_pydict()
-        low = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in rows["hashes"]]
-        value = np.zeros((sum(map(len, low)), 8), np.uint8)
-        value[:, :5] = np.concatenate(low)
-        value = value.view("<u8")[:, 0]
-        each = [np.frombuffer(x, "<u4") for x in rows["counts"]]
-        name = np.concatenate([np.repeat(np.frombuffer(x, np.uint32), c) for x, c in zip(rows["names"], each, strict=True)])
-        order = np.argsort(value, kind="stable")
-        v, m = value[order], name[order]
-        edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-        alone = np.zeros(len(v), bool)
-        if len(v):
-            same = np.minimum.reduceat(m, edge) == np.maximum.reduceat(m, edge)
-            alone[order] = np.repeat(same, np.diff(np.concatenate([edge, [len(v)]])))
-        doc = np.repeat(np.arange(sum(map(len, each))), np.concatenate(each))
-        mine = np.bincount(doc[alone], minlength=sum(map(len, each))).astype("<u4")
-        ends = np.cumsum([len(c) for c in each])
-        parts = [mine[e - len(c) : e].tobytes() for c, e in zip(each, ends, strict=True)]
-        return t.drop_columns(["range", "names", "counts", "hashes"]).add_column(1, "alone", pa.array(parts, pa.binary()))
-
-    def gather(t):
+    def gather(unit, own, answers):
         import numpy as np
         import pyarrow as pa
 
-        alone = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in t["alone"].to_pylist())
-        full = t.filter(pa.compute.is_valid(t["ids"])).slice(0, 1)
-        n = np.array(full["sizes"][0].as_py(), np.int64)
-        may = (n > 0) & (100 * (n - alone) >= percent * n)
-        flat = [full[c].combine_chunks().flatten() for c in ("ids", "keys", "sizes", "digests")]
-        score = (1000 * (n - alone) // np.maximum(n, 1)).astype(np.int32)
-        return pa.Table.from_arrays([*flat, pa.array(may), pa.array(score)], ["id", "key", "n", "digest", "may", "score"])
+        ids, keys, n, digests = parts(own)
+        single = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in answers)
+        may = (n > 0) & (100 * (n - single) >= percent * n)
+        score = (1000 * (n - single) // np.maximum(n, 1)).astype(np.int32)
+        columns = [pa.array(ids, id_type), pa.array(keys), pa.array(n.astype(np.int32)), pa.array(digests, pa.binary()), pa.array(may), pa.array(score)]
+        return pa.table(columns, ["id", "key", "n", "digest", "may", "score"])
 
-    counted = docs.mapInArrow(pack, packed).groupBy("range").applyInArrow(count, f"batch long, alone binary, ids array<{kind}>, keys array<long>, sizes array<int>, digests array<binary>")
-    return counted.groupBy("batch").applyInArrow(gather, f"id {kind}, key long, n int, digest binary, may boolean, score int")
+    packed = docs.mapInArrow(pack, "unit long, range int, data binary, own binary")
+    return meet(packed, alone, gather, f"id {kind}, key long, n int, digest binary, may boolean, score int")
 
 
 class Bands:
@@ -275,9 +272,9 @@ def by_single_shingles(sets: DataFrame, short: DataFrame) -> DataFrame:
             of = pa.array(np.repeat(np.arange(len(h)), [len(x) for x in h]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(np.concatenate(h))], ["node", "shingle"])
 
-    alone = lambda d: d.select("node", "tokens").mapInArrow(each, "node long, shingle long")
-    mine = alone(sets.join(short.select("node").distinct(), "node", "left_semi")).select(F.col("node").alias("x"), "shingle")
-    return alone(sets).join(mine, "shingle").filter("x <> node").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    single = lambda d: d.select("node", "tokens").mapInArrow(each, "node long, shingle long")
+    mine = single(sets.join(short.select("node").distinct(), "node", "left_semi")).select(F.col("node").alias("x"), "shingle")
+    return single(sets).join(mine, "shingle").filter("x <> node").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def links(sets: DataFrame, percent: int, few: int = 8, rounds: int = 6, delete_upto: int = DELETIONS_UPTO) -> DataFrame:

@@ -67,7 +67,7 @@ def line_key(line: Column) -> Column:
     return let(normal_line(line), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, max_share_pct: float) -> DataFrame:
+def frequent_lines(lines: DataFrame, rows: DataFrame, min_docs: int, max_share_pct: float) -> DataFrame:
     """Lines ``(host, line)`` that over ``min_docs`` documents of the host hold, and over the share of them.
 
     A document counts once for each line; both counts combine before they are shuffled, so a line or
@@ -75,7 +75,7 @@ def frequent_lines(lines: DataFrame, min_docs: int, max_share_pct: float) -> Dat
     """
     one = lines.select("host", "line", "id", "key").distinct()
     counts = one.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs)
-    hosts = lines.select("host", "id", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
+    hosts = rows.select("host", "id", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
     return counts.join(hosts, "host").filter(100 * F.col("docs") > max_share_pct * F.col("all_docs")).select("host", "line", "docs")
 
 
@@ -90,7 +90,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = docs.withColumns({"q_id": F.col(id_col), "q_key": F.xxhash64(host, text)})
     cells = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANK_CHARS, "")) > 0), lambda x: F.struct(line_key(x).alias("line"), F.size(blank_words(x)).alias("n")))
     lines = keyed.select(F.monotonically_increasing_id().alias("row"), F.col("q_id").alias("id"), F.col("q_key").alias("key"), host.alias("host"), F.explode(cells).alias("x")).select("row", "id", "key", "host", "x.line", "x.n")
-    frequent = staged(frequent_lines(lines, min_docs, max_share_pct).select("host", "line"), "frequent-lines")
+    rows = keyed.select(host.alias("host"), F.col("q_id").alias("id"), F.col("q_key").alias("key"))
+    frequent = staged(frequent_lines(lines, rows, min_docs, max_share_pct).select("host", "line"), "frequent-lines")
     # Identical rows give the same sums: one of them is taken.
     hit = lines.join(frequent, ["host", "line"]).groupBy("row", "id", "key").agg(F.sum("n").alias("lost"), F.collect_set("line").alias("bad"))
     lost = hit.groupBy(F.col("id").alias("l_id"), F.col("key").alias("l_key")).agg(F.max("lost").cast("long").alias("lost"), F.first("bad").alias("bad"))
@@ -135,7 +136,7 @@ r AS (
 l AS (
   SELECT doc_id, host, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
   FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-f AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS docs FROM l GROUP BY ALL) JOIN (SELECT host, count(DISTINCT doc_id) AS all_docs FROM l GROUP BY ALL) USING (host)
+f AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS docs FROM l GROUP BY ALL) JOIN (SELECT host, count(DISTINCT doc_id) AS all_docs FROM d GROUP BY ALL) USING (host)
   WHERE docs > 20 AND 100 * docs > 5.0 * all_docs),
 x AS (SELECT doc_id, sum(n) AS lost FROM l JOIN f USING (host, line) GROUP BY doc_id),
 z AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_words FROM m LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)),
