@@ -1,39 +1,78 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its output is the next one's documents."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir); its rows are written as Parquet and read again as
+the next one's documents.
+
+1. Documents that the quality rules reject go; lines above the limits go from those that stay.
+2. Of documents linked by near-equal shingle sets the one of the least id stays, and of rows alike in id and text one.
+3. Repeated chunks go; a document of which nothing but blanks is left goes.
+4. Documents that hold a window of a benchmark item go.
+5. What is left is packed into sequences.
+
+All but the last return the columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage_dir, table
+from tidemark.llm.chunks import dedup_chunks
+from tidemark.llm.common import BLANK_CHARS, stage_dir, table
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.jaccard import jaccard_join
+from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality_rules
 
 
+def with_text(frame: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    new = frame.withColumn("text", text)
+    if "n_chars" in columns:
+        new = new.withColumn("n_chars", F.length("text").cast(frame.schema["n_chars"].dataType))
+    return new.select(columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines above the limits go from those that stay."""
-    out = quality_rules(docs).filter("q_kept")
-    return out.withColumns({"text": F.col("q_text"), "n_chars": F.length("q_text").cast("long")}).select(docs.columns)
+    return with_text(quality_rules(docs).filter("q_kept"), F.col("q_text"), docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep = jaccard_join(docs).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+    keyed = docs.withColumn("__own", F.xxhash64("text", "doc_id"))
+    kept = keyed.join(keep, (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return kept.dropDuplicates(["__own", "doc_id"]).select(docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = dedup_chunks(docs)
+    left = (F.col("x_n_removed") == 0) | (F.length(F.translate("x_text", BLANK_CHARS, "")) > 0)
+    return with_text(out.filter(left), F.col("x_text"), docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("c_contaminated")).select(docs.columns)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
     ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
-#: Packing by a tokenizer can't be said in SQL: tests/llm holds the stages against brute force.
+#: Linking, chunking and packing can't be said in SQL: tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again."""
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = stage_dir(spark, f"pipeline-{name}")

@@ -1,6 +1,6 @@
 """The operators' queries and their DuckDB SQL."""
 
-from tidemark.llm import chunks, decontaminate, jaccard, packing, quality, resample, shard, simple8b, suffixes
+from tidemark.llm import chunks, decontaminate, jaccard, packing, quality, resample, shard, simple8b, suffixes, trie
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_sharding": shard.op5_sharding,
     "op6_best_two_fit": packing.op6_best_two_fit,
+    "op7_ngram_trie": trie.op7_ngram_trie,
     "op8_substring_removal": suffixes.op8_substring_removal,
     "op9_jaccard_components": jaccard.op9_jaccard_components,
     "op10_importance_resampling": resample.op10_importance_resampling,
