@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-UNIT_BYTES = 32 << 20
+UNIT_BYTES = 8 << 20
 
 
 def ranges_of(spark: SparkSession) -> int:

@@ -89,7 +89,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text, host = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(host_col), F.lit(""))
     keyed = docs.withColumns({"q_id": F.col(id_col), "q_key": F.xxhash64(host, text)})
     cells = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANK_CHARS, "")) > 0), lambda x: F.struct(line_key(x).alias("line"), F.size(blank_words(x)).alias("n")))
-    lines = keyed.select(F.monotonically_increasing_id().alias("row"), F.col("q_id").alias("id"), F.col("q_key").alias("key"), host.alias("host"), F.explode(cells).alias("x")).select("row", "id", "key", "host", "x.line", "x.n")
+    numbered = keyed.withColumn("q_row", F.monotonically_increasing_id())  # before the lines part, so all of a row's have one number
+    lines = numbered.select(F.col("q_row").alias("row"), F.col("q_id").alias("id"), F.col("q_key").alias("key"), host.alias("host"), F.explode(cells).alias("x")).select("row", "id", "key", "host", "x.line", "x.n")
     rows = keyed.select(host.alias("host"), F.col("q_id").alias("id"), F.col("q_key").alias("key"))
     frequent = staged(frequent_lines(lines, rows, min_docs, max_share_pct).select("host", "line"), "frequent-lines")
     # Identical rows give the same sums: one of them is taken.

@@ -44,20 +44,21 @@ class Sketch:
         return [i for i in range(max(1, bisect_left(self.at, lo)), min(bisect_right(self.at, hi) + 1, len(self.at))) if self.groups[i] > 1]
 
     def refine(self, ends: DataFrame, which: list[int], cells: int) -> None:
-        """One query: each of the intervals is cut into cells of equal width; a cell gives its last end and its groups."""
-        width = -(-sum(self.at[i] - self.at[i - 1] for i in which) // cells)
-        merged: list[list[int]] = []
+        """One query: each of the intervals is cut into equal cells, two or more; a cell gives its first
+        and last end and its groups, so an interval always comes out with fewer unknown ends."""
+        each = max(2, cells // len(which))
+        inside, number, cell = F.lit(False), F.lit(0), F.lit(None).cast("long")
         for i in which:
-            if merged and merged[-1][1] == self.at[i - 1]:
-                merged[-1][1] = self.at[i]
-            else:
-                merged.append([self.at[i - 1], self.at[i]])
-        inside, number = F.lit(False), F.lit(0)
-        for lo, hi in merged:
-            inside = inside | ((F.col("end") > lo) & (F.col("end") <= hi))
-            number = number + F.when(F.col("end") > lo, 1).otherwise(0)
-        found = ends.filter(inside).groupBy(number.alias("interval"), F.floor((F.col("end") - 1) / F.lit(width)).alias("cell")).agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
-        got = {r["end"]: r["n"] for r in found.collect()}  # about `cells` rows, and two for each interval
+            lo, hi = self.at[i - 1], self.at[i]
+            here = (F.col("end") > lo) & (F.col("end") <= hi)
+            inside = inside | here
+            number = F.when(here, i).otherwise(number)
+            cell = F.when(here, F.floor((F.col("end") - lo - 1) * each / F.lit(hi - lo))).otherwise(cell)
+        found = ends.filter(inside).groupBy(number.alias("interval"), cell.alias("cell")).agg(F.min("end").alias("first"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
+        got = {}
+        for r in found.collect():  # at most `cells` rows, or two for each interval
+            got[r["end"]] = r["n"] - 1
+            got[r["first"]] = 1
         known = dict(zip(self.at, self.groups, strict=True))
         for i in which:
             known.pop(self.at[i])

@@ -40,9 +40,21 @@ def widths_of(values):
     return out
 
 
-def pack(values, block: int = 1024):
-    """Words, offsets of blocks and escaped values of ``values`` (uint64). All blocks take one step together:
-    each finds the selector that covers most of what lies ahead, and makes one word of it."""
+def pack(values, block: int = 1024, together: int = 256):
+    """Words, offsets of blocks and escaped values of ``values`` (uint64), ``together`` blocks at a time."""
+    import numpy as np
+
+    words, sizes, escaped = [], [np.zeros(1, np.int64)], []
+    for at in range(0, len(values), block * together):
+        w, made, more = pack_blocks(values[at : at + block * together], block, sum(map(len, escaped)))
+        words.append(w), sizes.append(made), escaped.append(more)
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
+    return join(words), np.cumsum(np.concatenate(sizes)).astype(np.uint64), join(escaped)
+
+
+def pack_blocks(values, block: int, known: int):
+    """Words, each block's number of them, and escaped values, of which ``known`` stand before. All blocks take one step
+    together: each finds the selector that covers most of what lies ahead, and makes one word of it."""
     import numpy as np
 
     n = len(values)
@@ -51,7 +63,6 @@ def pack(values, block: int = 1024):
     bits = np.array([60] + [0] + [60 // c for c in COUNTS[2:]])
     wide = 120
     padded = np.zeros((blocks, block + wide), np.uint64)
-    padded[:, :block].reshape(-1)[:0]
     body = np.zeros(blocks * block, np.uint64)
     body[:n] = values
     padded[:, :block] = body.reshape(blocks, block)
@@ -77,7 +88,7 @@ def pack(values, block: int = 1024):
             b, c = live[rows], int(counts[s])
             part = padded[b[:, None], at[rows][:, None] + np.arange(c)]
             if s == 0:
-                low = np.arange(len(escaped), len(escaped) + len(rows)).astype(np.uint64)
+                low = np.arange(len(rows)).astype(np.uint64) + np.uint64(known + len(escaped))
                 escaped.extend(part[:, 0].tolist())
             elif s == 1:
                 low = np.zeros(len(rows), np.uint64)
@@ -86,8 +97,7 @@ def pack(values, block: int = 1024):
             words[b, made[b]] = np.uint64(int(s) << 60) | low
             head[b] += c
         made[live] += 1
-    offsets = np.concatenate([[0], np.cumsum(made)]).astype(np.uint64)
-    return words[np.arange(block) < made[:, None]], offsets, np.array(escaped, np.uint64)
+    return words[np.arange(block) < made[:, None]], made, np.array(escaped, np.uint64)
 
 
 def unpack(words, offsets, escaped, n: int, block: int = 1024):
@@ -150,8 +160,8 @@ def from_file(data: bytes):
     return unpack(words, offsets, escaped, int(sizes.sum()), block), [None if z else int(x) for x, z in zip(ids, nulls, strict=True)], sizes.astype(np.int64)
 
 
-def write_ids(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 4_000_000, end: int = 0) -> DataFrame:
-    """Writes files of about ``file_ids`` ids each, documents in ascending order of id (nulls first), and
+def write_ids(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 1_000_000, end: int = 0) -> DataFrame:
+    """Writes files of about ``file_ids`` ids each (more only for a document of more), documents in ascending order of id (nulls first), and
     returns the manifest: ``part``, ``file``, ``path``, ``docs``, ``ids`` and ``start``, the ids before it.
 
     A null text is empty; repeated ids stay separate documents. Files get their names only when whole, and a

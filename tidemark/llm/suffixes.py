@@ -33,7 +33,7 @@ from tidemark.llm.exchange import UNIT_BYTES, arrays, meet, parts, ranges_of, sp
 from tidemark.llm.words import mix
 
 SHORT = 32
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 class Prefixes:

@@ -1,8 +1,8 @@
 """Ids of whole texts by a public tokenizer, through a table of the distinct pieces of the texts at hand.
 
-Both tokenizers cut a text before a run of ASCII blanks that follows another character, and what stands
-behind the cut doesn't depend on what stands before it. So a piece (such a run and the word behind it) is
-encoded once, however often it occurs. A text with other blanks, where that isn't so, is encoded whole.
+Both tokenizers cut a text before a run of ASCII blanks that follows another character, and between a letter or
+digit and a full stop or comma; what stands behind the cut doesn't depend on what stands before it. So a piece
+between such cuts is encoded once, however often it occurs. A text with other blanks, where that isn't so, is encoded whole.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ class Encoder:
     ``most``: the distinct pieces that are held at once; beyond it the table starts anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+$").findall
+        self.pieces = re.compile(r"[ \t-\r]*+(?:[^ \t-\r.,]++(?<=[^\W_])(?=[.,])|[^ \t-\r]++)|[ \t-\r]++$").findall
         self.odd = re.compile(r"[^\S \t-\r]").search
         self.most = most
         self.clear()
@@ -33,12 +33,31 @@ class Encoder:
         self.ids, self.ends = array("I"), array("q", [0])
 
     def learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.at[piece] = len(self.ends) - 1
-                self.ids.extend(e.ids)
-                self.ends.append(len(self.ids))
+        """Pieces of one blank and letters are words to both tokenizers. They are encoded end to end in one text, and
+        its ids dealt out by word, which is much faster than a call for each."""
+        import numpy as np
+
+        joined, alone = [], []
+        for p in new:
+            (joined if p[0] == " " and p[1:].isalpha() else alone).append(p)
+        for k in range(0, len(joined), 2_000):
+            part = joined[k : k + 2_000]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            sizes = np.bincount(np.array(e.word_ids))
+            if len(sizes) == len(part):
+                self.keep(part, e.ids, sizes)
+            else:
+                alone += part
+        for k in range(0, len(alone), 2_000):
+            part = alone[k : k + 2_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.keep(part, list(chain.from_iterable(ids)), np.array([len(x) for x in ids]))
+
+    def keep(self, part: list[str], ids: list[int], sizes) -> None:
+        first = len(self.ends) - 1
+        self.at.update(zip(part, range(first, first + len(part)), strict=True))
+        self.ends.frombytes((sizes.cumsum() + len(self.ids)).astype("i8").tobytes())
+        self.ids.extend(ids)
 
     def __call__(self, texts: list):
         import numpy as np
@@ -50,7 +69,7 @@ class Encoder:
         if len(self.at) + len(new) > self.most:
             self.clear()
             new = distinct
-        self.learn(sorted(new))
+        self.learn(list(new))
         which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
         ids, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
         sizes = ends[which + 1] - ends[which]
