@@ -368,7 +368,7 @@ def near_copies(seed, n, words, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("how", [{}, {"few": 3, "rounds": 1}, {"few": 1, "rounds": 3, "delete_upto": 0}])
+@pytest.mark.parametrize("how", [{}, {"rounds": 0}, {"rounds": 5, "delete_upto": 0}])
 def test_components(spark, tmp_path, how):
     texts = [*near_copies(1, 40, 120, 4), *near_copies(2, 25, 30, 1), *near_copies(3, 20, 14, 1), *near_copies(4, 15, 600, 18), *(prose(500 + i, 5 + i % 9) for i in range(60))]
     texts += [" ".join(WORDS[: n + 1]) for n in range(9)] + [None, "", " \n", "Same text", "same  TEXT"]
@@ -397,8 +397,10 @@ def test_segments_find_all_partners():
         for upto in (0, 64):
             la, pa, ea = jaccard.signatures(a, bands, band, upto)
             lb, pb, eb = jaccard.signatures(b, bands, band, upto)
-            assert not ea or np.isin(la[pa], lb).any(), trial
-            assert not eb or np.isin(lb[pb], la).any(), trial
+            for one, spare, enough, other in ((la, pa, ea, lb), (lb, pb, eb, la)):
+                # Whichever lists are spared, one of the probed ones is the other's too.
+                mine = one[spare >= 0]
+                assert not enough or np.isin(mine, other).sum() > max(spare.max(), 0), trial
 
 
 # n-gram trie

@@ -9,12 +9,13 @@ Two documents link when their sets of distinct shingles have a Jaccard similarit
 3. *Segments.* Sizes lie in bands, each so wide that partners are in the same or the next one. For a band
    the universe is dealt by hash into segments, more than the shingles two partners in it can differ by, so
    partners agree in a segment. All filled segments of a document are indexed, in small sets also their
-   one-deletion neighbourhoods; probed are as many as the principle needs, those that promise the shortest
-   lists first (a filled segment that agrees counts one, one that may differ by a shingle two, an empty one
-   nothing). A set whose segments don't suffice is compared by its single shingles instead.
-4. *Links.* A list may be as long as the corpus, so its pairs are not emitted. In a round each list names one
-   pivot, the member that shares most, and the others are verified against it. Lists that lie in one
-   component are done; the others go on without their pivot. Lists of few members are verified pair by pair.
+   one-deletion neighbourhoods; probed are as many as the principle needs, those of the shortest lists (a
+   filled segment that agrees counts one, one that may differ by a shingle two, an empty one nothing). A set
+   whose segments don't suffice is compared by its single shingles instead.
+4. *Links.* A list may be as long as the corpus. In a turn each list names one pivot, the member that shares most,
+   and members of other components are verified against it; a list that lies in one component is done. What
+   is left is compared in blocks of bounded size by short forms of the sets, never within a component, and
+   only pairs that these can't rule out are verified.
 
 Components are found by joins: the least label among neighbours, until nothing changes.
 
@@ -25,7 +26,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_bytes, staged, table
@@ -158,9 +159,10 @@ DELETIONS_UPTO = 64
 
 
 def signatures(h, bands: Bands, band: int, delete_upto: int = DELETIONS_UPTO):
-    """Rows ``(list, probe)`` of one set in one band, and whether its segments suffice.
+    """Rows ``(list, spare)`` of one set in one band, and whether its segments suffice.
 
-    ``list``: a hash of band, segment, kind (whole, or one shingle less) and contents.
+    ``list``: a hash of band, segment, kind (whole, or one shingle less) and contents. ``spare``: how many of the
+    set's filled segments need no probe; -1 in rows that are only indexed.
     """
     import numpy as np
 
@@ -176,22 +178,21 @@ def signatures(h, bands: Bands, band: int, delete_upto: int = DELETIONS_UPTO):
     sums = np.add.reduceat(value, edge)
     tag = mix(seg[edge].astype(np.uint64) * np.uint64(4) + seed)
     whole, less = mix(sums ^ tag), mix(sums ^ tag ^ np.uint64(1))  # lists of whole segments, and of those one shingle short of them
-    # The more shingles a segment has, the fewer sets will hold just these: the longest segments are probed.
-    ranked = np.argsort(-sizes, kind="stable")
-    exact = ranked[:need]
-    twice = ranked[: max(0, need - len(ranked))]  # each of these counts one more if it may differ by a shingle
-    rows = [(whole, np.isin(np.arange(len(whole)), exact))]
+    filled = len(edge)
+    # With too few filled segments each that may differ by a shingle counts for two.
+    twice = np.argsort(sizes, kind="stable")[: max(0, need - filled)]
+    rows = [(whole, max(0, filled - need))]
     small = bands.low[band] <= delete_upto
-    enough = len(ranked) >= need or (small and 2 * len(ranked) >= need)
+    enough = filled >= need or (small and 2 * filled >= need)
     if small:
-        owner = np.repeat(np.arange(len(edge)), sizes)
+        owner = np.repeat(np.arange(filled), sizes)
         short = sums[owner] - value
-        rows.append((mix(short ^ tag[owner] ^ np.uint64(1)), np.zeros(len(owner), bool)))  # indexed: this segment less one
+        rows.append((mix(short ^ tag[owner] ^ np.uint64(1)), -1))  # this segment less one
         if enough and len(twice):
-            rows.append((less[twice], np.ones(len(twice), bool)))  # the partner's segment less one is mine
+            rows.append((less[twice], 0))  # the partner's segment less one is mine
             mine = np.isin(owner, twice) & (sizes[owner] > 1)
-            rows.append((mix(short[mine] ^ tag[owner[mine]]), np.ones(int(mine.sum()), bool)))  # mine less one is the partner's
-    return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), enough
+            rows.append((mix(short[mine] ^ tag[owner[mine]]), 0))  # mine less one is the partner's
+    return np.concatenate([r for r, _ in rows]), np.concatenate([np.full(len(r), spare) for r, spare in rows]), enough
 
 
 def similar(a, b, percent: int) -> bool:
@@ -236,28 +237,39 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def candidates(sets: DataFrame, bands: Bands, delete_upto: int) -> DataFrame:
-    """``list``, ``node``, ``probe``, ``score`` for the bands of each set; ``list`` is null in a row for a set whose segments don't suffice."""
+    """``list``, ``node``, ``band``, ``spare``, ``score``; ``list`` is null in a row for a set whose segments don't suffice."""
 
     def rows(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            node, lists, probes, scores = [], [], [], []
+            lists, columns = [], []
             for x, t, score in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 h = np.frombuffer(t, "<u8")
                 for band in (bands.of(len(h)), bands.of(len(h)) + 1):
                     if band > bands.of(len(h)) and len(h) * 100 // bands.percent < bands.low[band]:
                         continue  # no partner is so large
-                    s, p, enough = signatures(h, bands, band, delete_upto)
-                    node.append(np.full(len(s) + (not enough), x))
-                    scores.append(np.full(len(s) + (not enough), score, np.int32))
+                    s, spare, enough = signatures(h, bands, band, delete_upto)
                     lists += [pa.array(s.view(np.int64))] + [pa.nulls(1, pa.int64())] * (not enough)
-                    probes.append(np.concatenate([p, np.ones(int(not enough), bool)]))
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(lists), pa.array(np.concatenate(node)), pa.array(np.concatenate(probes)), pa.array(np.concatenate(scores))], ["list", "node", "probe", "score"])
+                    spare = np.concatenate([spare, np.full(int(not enough), -1)])
+                    columns.append(np.stack([np.full(len(spare), v) for v in (x, band)] + [spare, np.full(len(spare), score)]))
+            if columns:
+                node, band, spare, score = np.concatenate(columns, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(lists), pa.array(node), *(pa.array(v.astype(np.int32)) for v in (band, spare, score))], ["list", "node", "band", "spare", "score"])
 
-    return sets.select("node", "tokens", "score").mapInArrow(rows, "list long, node long, probe boolean, score int")
+    return sets.select("node", "tokens", "score").mapInArrow(rows, "list long, node long, band int, spare int, score int")
+
+
+def allocated(made: DataFrame) -> DataFrame:
+    """``list``, ``node``, ``probe``, ``score`` of lists that two sets share: a set spares its longest lists as probes."""
+    lists = made.filter("list IS NOT NULL")
+    shared = lists.join(lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "list")
+    own = Window.partitionBy("node", "band", F.col("spare") >= 0).orderBy(F.desc("size"), "list")
+    ranked = shared.withColumn("probe", (F.col("spare") >= 0) & (F.row_number().over(own) > F.col("spare")))
+    members = ranked.groupBy("list", "node").agg(F.max("probe").alias("probe"), F.max("score").alias("score"))
+    probed = ranked.filter("probe").select("list").distinct()
+    return members.join(probed, "list", "left_semi")
 
 
 def by_single_shingles(sets: DataFrame, short: DataFrame) -> DataFrame:
@@ -277,57 +289,107 @@ def by_single_shingles(sets: DataFrame, short: DataFrame) -> DataFrame:
     return single(sets).join(mine, "shingle").filter("x <> node").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def links(sets: DataFrame, percent: int, few: int = 8, rounds: int = 6, delete_upto: int = DELETIONS_UPTO) -> DataFrame:
-    """Links between ``sets`` (``node``, ``n``, ``tokens``, ``score``), enough of them to give the components of all links.
+def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``node``, ``label`` with the components that the new links join."""
+    ends = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    joined = components(ends.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    return staged(labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label")), "jaccard-labels")
+
 
-    In a turn each list's member of the highest score is the pivot and is held against the others. A list whose
-    members all link with it is done, and one whose others lie in one component; the rest goes on without its
-    pivot. From the second turn on lists of up to ``few`` are verified pair by pair, and what ``rounds`` turns
-    have left.
+def linked_components(sets: DataFrame, percent: int, rounds: int = 1, delete_upto: int = DELETIONS_UPTO) -> DataFrame:
+    """``node``, ``label``: the components of all links between ``sets`` (``node``, ``n``, ``tokens``, ``score``).
+
+    In a turn each list's member of the highest score is the pivot and is held against the members of other
+    components. The list goes on without its pivot while its members are of several components; after
+    ``rounds`` turns the pairs of different components that are left are bounded in blocks, and those within
+    the bound are verified.
     """
     made = staged(candidates(sets, Bands(percent), delete_upto), "jaccard-lists")
-    short = made.filter("list IS NULL").select("node").distinct()
-    members = made.filter("list IS NOT NULL")
-    found, tested = [], None
+    labels, tested = sets.select("node", F.col("node").alias("label")), None
 
     def test(pairs: DataFrame) -> None:
-        nonlocal tested
+        nonlocal labels, tested
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        found.append(staged(verify(pairs, sets, percent), "jaccard-links"))
         tested = pairs if tested is None else tested.union(pairs)
+        found = staged(verify(pairs, sets, percent), "jaccard-links")
+        if found.limit(1).count():
+            labels = relabelled(labels, found)
 
+    short = made.filter("list IS NULL").select("node").distinct()
     if short.limit(1).count():
         test(by_single_shingles(sets, short).select(F.col("a").alias("x"), F.col("b").alias("y")))
-    for turn in range(rounds + 1):
-        if turn:
-            label = components(_all(found), "jaccard-components")
-            marked = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = marked.groupBy("list").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("left")).filter("l0 <> l1").select("list", "left")
-            members = staged(marked.join(mixed, "list"), "jaccard-left")
-            small = members if turn == rounds else members.filter(F.col("left") <= few)
-            one, two = small.select("list", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("probe").alias("px")), small.select("list", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("probe").alias("py"))
-            every = one.join(two, "list").filter("x < y AND lx <> ly AND (px OR py)").select("x", "y")
-            if small.limit(1).count():
-                test(every)
-            members = members.filter(F.col("left") > few).select("list", "node", "probe", "score")
-            if turn == rounds or not members.limit(1).count():
-                break
-        top = members.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.max("probe").alias("any"), F.max(F.struct("score", "node")).alias("p")).filter("size > 1 AND any")
-        others = staged(members.join(top.select("list", F.col("p.node").alias("pivot")), "list").filter("node <> pivot"), "jaccard-others")
-        test(others.select(F.col("node").alias("x"), F.col("pivot").alias("y")))
-        failed = staged(tested.join(_all(found), ["a", "b"], "left_anti"), "jaccard-failed")
-        both = failed.union(failed.select("b", "a")).toDF("node", "pivot")
-        open_lists = others.join(both, ["node", "pivot"]).select("list").distinct()
-        members = staged(others.join(open_lists, "list").select("list", "node", "probe", "score"), "jaccard-open")
-    return _all(found)
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
+    members = staged(allocated(made), "jaccard-members")
+    for _ in range(rounds):
+        now = members.join(labels, "node")
+        top = now.groupBy("list").agg(F.max(F.struct("score", "node", "label")).alias("p"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("probe").alias("any")).filter("l0 <> l1 AND any")
+        others = staged(now.join(top.select("list", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label")), "list").filter("node <> pivot"), "jaccard-others")
+        if not others.limit(1).count():
+            return labels
+        test(others.filter("label <> pivot_label").select(F.col("node").alias("x"), F.col("pivot").alias("y")))
+        members = others.select("list", "node", "probe", "score")
+    now = members.join(labels, "node")
+    mixed = now.groupBy("list").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("probe").alias("any"), F.count(F.lit(1)).alias("size")).filter("l0 <> l1 AND any").select("list", "size")
+    left = staged(now.join(mixed, "list"), "jaccard-left")
+    if left.limit(1).count():
+        test(close_pairs(left, sets, percent))
+    return labels
+
+
+#: Members of a list that are held against each other in one place.
+BLOCK = 128
+
+
+def close_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x``, ``y`` of different labels in a list of ``left`` (``list``, ``node``, ``label``, ``size``) that may link.
+
+    A list is cut into blocks, and each two of them meet with 16 bits of each shingle: common ones there, and
+    shingles of a set that have the same 16 bits, bound the intersection from above. Only pairs whose bound
+    reaches the limit leave the task.
+    """
+
+    def short(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            cut = [np.unique((np.frombuffer(t, "<u8") >> np.uint64(17)).astype(np.uint16)).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.binary())], ["node", "n", "cut"])
+
+    def bound(t):
+        import numpy as np
+        import pyarrow as pa
+
+        t = t.sort_by([("list", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
+        key = np.stack([t[c].to_numpy() for c in ("list", "lo", "hi")])
+        edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
+        node, label, block, n = (t[c].to_numpy() for c in ("node", "label", "block", "n"))
+        cuts, out = t["cut"].to_pylist(), [np.zeros((0, 2), np.int64)]
+        for i, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            values = [np.frombuffer(c, np.uint16) for c in cuts[i:e]]
+            held = np.array([len(v) for v in values])
+            column = np.unique(np.concatenate(values), return_inverse=True)[1]
+            grid = np.zeros((e - i, column.max() + 1), np.float32)
+            grid[np.repeat(np.arange(e - i), held), column] = 1
+            first, second = np.flatnonzero(block[i:e] == key[1, i]), np.flatnonzero(block[i:e] == key[2, i])
+            common = grid[first] @ grid[second].T
+            size, twins = n[i:e], n[i:e] - held
+            most = common + np.minimum(twins[first][:, None], twins[second][None, :])
+            close = (100 + percent) * most >= percent * (size[first][:, None] + size[second][None, :])
+            close &= label[i:e][first][:, None] != label[i:e][second][None, :]
+            a, b = np.nonzero(close)
+            out.append(np.stack([node[i:e][first[a]], node[i:e][second[b]]], axis=1))
+        pairs = np.concatenate(out)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+
+    places = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    one = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "list"), F.col("blocks")))
+    met = one.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("list", "node", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    cut = sets.select("node", "n", "tokens").mapInArrow(short, "node long, n int, cut binary")
+    sent = met.join(cut, "node").withColumn("place", F.pmod(F.xxhash64("list", "lo", "hi"), F.lit(places)))
+    return sent.groupBy("place").applyInArrow(bound, "x long, y long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, **how) -> DataFrame:
@@ -349,7 +411,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Rows alike in id and text give the same set; one is kept.
     texts = named.select(F.col("key").alias("node"), "text").join(reps, "node").select("node", "text", "score")
     sets = staged(texts.mapInArrow(tokens, "node long, score int, n int, tokens binary").groupBy("node").agg(F.max("score").alias("score"), F.max("n").alias("n"), F.first("tokens").alias("tokens")), "jaccard-tokens")
-    label = components(links(sets, percent, **how))
+    label = linked_components(sets, percent, **how)
     # From classes to documents: a class has the label of its representative, or stands alone.
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("r")).select("digest", "least", F.col("r.key").alias("node"))
     labelled = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
