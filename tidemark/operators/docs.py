@@ -52,13 +52,13 @@ def changed(prev: DataFrame, cur: DataFrame, key: str = "doc_id", text_col: str
 
     Only ``(key, hash)`` pairs are shuffled, never the texts.
     """
-    p = prev.select(key, F.sha2(F.col(text_col), 256).alias("prev_hash"))
-    c = cur.select(key, F.sha2(F.col(text_col), 256).alias("cur_hash"))
+    p = prev.select(key, F.sha2(F.col(text_col), 256).alias("prev_hash"), F.lit(True).alias("in_prev"))
+    c = cur.select(key, F.sha2(F.col(text_col), 256).alias("cur_hash"), F.lit(True).alias("in_cur"))
     j = p.join(c, key, "full_outer")
     action = (
-        F.when(F.col("prev_hash").isNull(), "INSERT")
-        .when(F.col("cur_hash").isNull(), "DELETE")
-        .when(F.col("prev_hash") != F.col("cur_hash"), "UPDATE")
+        F.when(F.col("in_prev").isNull(), "INSERT")
+        .when(F.col("in_cur").isNull(), "DELETE")
+        .when(~F.col("prev_hash").eqNullSafe(F.col("cur_hash")), "UPDATE")
     )
     return j.select(key, action.alias("change"), "cur_hash").where(F.col("change").isNotNull())
 

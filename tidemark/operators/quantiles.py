@@ -15,12 +15,17 @@ final task: memory grows with the number of distinct values. Here:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Workers need no copy of the library on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _running_counts(batches):
     import pandas as pd

@@ -32,9 +32,9 @@ class ReconConfig:
     min_sample_size: int = 1_000
     full_compare_row_limit: int = 20_000_000
     large_table_sample_size: int = 500_000
-    no_timestamp_full_compare_rows: int = 5_000
     max_examples: int = 3
     max_comment_columns: int = 15
+    sample: bool = False  # compare samples of keys; by default every row is compared
     detect_format: bool = True
     source_label: str = "SRC"
     target_label: str = "TGT"
@@ -52,11 +52,13 @@ def _c(name: str) -> Column:
 
 
 def reduce_by_key(df: DataFrame, key: str, cols: Sequence[str], prefix: str) -> DataFrame:
-    """One row per key: ``__{prefix}_n`` rows and ``{prefix}__<col>`` values (exact when n = 1).
+    """One row per key: ``__{prefix}_n`` rows, ``__{prefix}_h`` (their contents as a multiset) and ``{prefix}__<col>`` values (exact when n = 1).
 
     The count name cannot collide with a prefixed column name (``{prefix}__<col>``).
     """
-    aggs = [F.count(F.lit(1)).alias(f"__{prefix}_n")] + [F.min(_c(c)).alias(f"{prefix}__{c}") for c in cols]
+    # The rows of a key as a multiset: the sum of their hashes (order and partitioning don't matter).
+    whole = F.xxhash64(*[F.coalesce(_c(c).cast("string"), F.lit("\u0000")) for c in sorted(cols, key=str.lower)]) if cols else F.lit(0)
+    aggs = [F.count(F.lit(1)).alias(f"__{prefix}_n"), F.sum(whole.cast("decimal(38,0)")).alias(f"__{prefix}_h")] + [F.min(_c(c)).alias(f"{prefix}__{c}") for c in cols]
     return df.groupBy(_c(key).alias(KEY)).agg(*aggs)
 
 
@@ -233,16 +235,14 @@ def sample_size(source_count: int, target_count: int, cfg: ReconConfig) -> int:
 
 def plan_compare(counts: DataFrame, cfg: ReconConfig) -> DataFrame:
     """R10/R11 for many pairs at once: ``counts`` has ``source_row_count``, ``target_row_count``,
-    ``has_key`` and ``has_filter``; adds ``comparison_mode`` and ``sample_size``."""
+    ``has_key`` and ``has_filter``; adds ``comparison_mode`` and ``sample_size``. Sampling is never chosen by size, only on request."""
     s, t = F.col("source_row_count"), F.col("target_row_count")
     bigger = F.greatest(s, t)
     smaller = F.when(F.least(s, t) == 0, F.lit(1)).otherwise(F.least(s, t))
     base = F.when(bigger > cfg.full_compare_row_limit, F.lit(cfg.large_table_sample_size)).otherwise(F.lit(cfg.sample_size))
     n = F.least(base, F.greatest(F.lit(cfg.min_sample_size), F.floor(smaller * F.lit(cfg.sample_fraction_cap)).cast("long")))
     n = F.greatest(F.lit(1), F.least(n, s))
-    full = F.when(
-        F.col("has_filter"), (s == t) & (bigger <= cfg.full_compare_row_limit)
-    ).otherwise(bigger <= cfg.no_timestamp_full_compare_rows)
+    full = F.lit(not cfg.sample)
     mode = (
         F.when(~F.col("has_key"), "FULL_HASH")
         .when((s == 0) | (t == 0), "FULL_KEYED")

@@ -32,6 +32,8 @@ RESULT_SCHEMA = T.StructType(
         T.StructField("matched_row_count", T.LongType()),
         T.StructField("rows_only_in_source", T.LongType()),
         T.StructField("rows_only_in_target", T.LongType()),
+        T.StructField("duplicate_keys", T.LongType()),
+        T.StructField("duplicate_key_differences", T.LongType()),
         T.StructField("sample_size", T.LongType()),
         T.StructField("mismatched_columns", T.StringType()),
         T.StructField("mismatched_column_count", T.LongType()),
@@ -87,14 +89,19 @@ def _finish(df: DataFrame, spec: PairSpec, mode: str, key: str | None, sample_n:
     value_issue = (
         "coalesce(rows_only_in_source, 0) + coalesce(rows_only_in_target, 0) > 0"
         if mode == "FULL_HASH"
-        else "coalesce(rows_only_in_source, 0) > 0 OR coalesce(rows_only_in_target, 0) > 0 OR value_mismatch_columns <> ''"
+        else "coalesce(rows_only_in_source, 0) > 0 OR coalesce(rows_only_in_target, 0) > 0 OR value_mismatch_columns <> '' OR coalesce(duplicate_key_differences, 0) > 0"
     )
+    # A sample that matches says nothing of the other rows: it is no pass, and counts that differ are a mismatch.
+    matched = "'DATA_MATCH'"
+    if mode == "SAMPLE_KEYED":
+        value_issue += " OR source_row_count <> target_row_count"
+        matched = "'SAMPLE_MATCH'"
     fmt = "FALSE" if mode == "FULL_HASH" else "format_only_mismatch_columns <> ''"
     ds = (
         "'NOT_COMPARED'" if mode == "SKIPPED"
-        else f"CASE WHEN {value_issue} THEN 'DATA_MISMATCH' WHEN {fmt} THEN 'FORMAT_VARIANCE' ELSE 'DATA_MATCH' END"
+        else f"CASE WHEN {value_issue} THEN 'DATA_MISMATCH' WHEN {fmt} THEN 'FORMAT_VARIANCE' ELSE {matched} END"
     )
-    overall = f"CASE WHEN ({ds}) = 'DATA_MISMATCH' THEN 'FAIL' WHEN ({ds}) IN ('NOT_COMPARED', 'FORMAT_VARIANCE') THEN 'WARN' ELSE 'PASS' END"
+    overall = f"CASE WHEN ({ds}) = 'DATA_MISMATCH' THEN 'FAIL' WHEN ({ds}) IN ('NOT_COMPARED', 'FORMAT_VARIANCE', 'SAMPLE_MATCH') THEN 'WARN' ELSE 'PASS' END"
     consts = {
         "source_table": R.sql_str(spec.source_table),
         "target_table": R.sql_str(spec.target_table),
@@ -109,6 +116,9 @@ def _finish(df: DataFrame, spec: PairSpec, mode: str, key: str | None, sample_n:
     return df.selectExpr(*exprs)
 
 
+_NO_DUPLICATE_SQL = ("CAST(0 AS BIGINT) AS duplicate_keys", "CAST(0 AS BIGINT) AS duplicate_key_differences")
+
+
 def plan_pair(spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig):
     """R2/R10/R11 for one pair: ``(mode, key, other_columns, sample_n, threshold)``."""
     if spec.target is None:
@@ -125,9 +135,7 @@ def plan_pair(spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig
     others = [c for c in cols if c != key]
     if sc == 0 or tc == 0:
         return "EMPTY_SIDE", key, others, None, None
-    has_filter = R.pick_first(spec.source.columns, cfg.filter_priority) is not None
-    full = (sc == tc and max(sc, tc) <= cfg.full_compare_row_limit) if has_filter else max(sc, tc) <= cfg.no_timestamp_full_compare_rows
-    if full:
+    if not cfg.sample:
         return "FULL_KEYED", key, others, None, None
     n = R.sample_size(sc, tc, cfg)
     return "SAMPLE_KEYED", key, others, n, R.sample_threshold(n, sc)
@@ -151,30 +159,34 @@ def pair_result(spark: SparkSession, spec: PairSpec, counts: tuple[int, int] | N
     if mode == "MISSING":
         from tidemark.sources.readers import literal_rows
 
-        row = (spec.source_table, spec.target_table, "MISSING_IN_TARGET", "NOT_COMPARED", "FAIL", None, None, "SKIPPED", None, None, None, None, None, None, None, None, None)
+        row = (spec.source_table, spec.target_table, "MISSING_IN_TARGET", "NOT_COMPARED", "FAIL", None, None, "SKIPPED", None, None, None, None, None, None, None, None, None, None, None)
         return literal_rows(spark, [row], RESULT_SCHEMA)
     if mode == "SKIPPED":
-        base = spark.range(1).select(*[F.lit(0).cast("long").alias(x) for x in ("source_row_count", "target_row_count", "matched_row_count", "rows_only_in_source", "rows_only_in_target")], *_lists([]))
+        base = spark.range(1).select(*[F.lit(0).cast("long").alias(x) for x in ("source_row_count", "target_row_count", "matched_row_count", "rows_only_in_source", "rows_only_in_target", "duplicate_keys", "duplicate_key_differences")], *_lists([]))
         return _finish(base, spec, "SKIPPED", None, None)
     sc, tc = counts
     if mode == "FULL_HASH":
         h = R.hash_diff(spec.source.select(*others), spec.target.select(*others), others)
-        return _finish(h.select("*", F.lit(0).cast("long").alias("matched_row_count"), *_lists([])), spec, "FULL_HASH", None, None)
+        return _finish(h.select("*", F.lit(0).cast("long").alias("matched_row_count"), *[F.expr(x) for x in _NO_DUPLICATE_SQL], *_lists([])), spec, "FULL_HASH", None, None)
     if mode == "EMPTY_SIDE":
         # Nothing to join; every row of the non-empty side is unmatched.
         base = spark.range(1).select(
             F.lit(sc).cast("long").alias("source_row_count"), F.lit(tc).cast("long").alias("target_row_count"),
             F.lit(0).cast("long").alias("matched_row_count"), F.lit(sc).cast("long").alias("rows_only_in_source"),
-            F.lit(tc).cast("long").alias("rows_only_in_target"), *_lists([]),
+            F.lit(tc).cast("long").alias("rows_only_in_target"), *[F.expr(x) for x in _NO_DUPLICATE_SQL], *_lists([]),
         )
         return _finish(base, spec, "FULL_KEYED", key, None)
     j = pair_join(spec, plan)
-    present = F.col("__t_n").isNotNull()
-    only_t = F.coalesce(F.sum(F.when(F.col("__s_n").isNull(), F.col("__t_n"))), F.lit(0)).cast("long") if mode == "FULL_KEYED" else F.lit(None).cast("long")
+    # A key's rows are matched one to one; what one side has more of is only there.
+    total = lambda x: F.expr(f"CAST(coalesce(sum({x}), 0) AS BIGINT)")
+    s_n, t_n = "coalesce(__s_n, 0)", "coalesce(__t_n, 0)"
+    only_t = total(f"greatest({t_n} - {s_n}, 0)") if mode == "FULL_KEYED" else F.lit(None).cast("long")
     agg = j.agg(
-        F.coalesce(F.sum(F.when(~present, F.col("__s_n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
+        total(f"greatest({s_n} - {t_n}, 0)").alias("rows_only_in_source"),
         only_t.alias("rows_only_in_target"),
-        F.coalesce(F.sum(F.when(present & F.col("__s_n").isNotNull(), F.col("__s_n") * F.col("__t_n"))), F.lit(0)).cast("long").alias("matched_row_count"),
+        total(f"least({s_n}, {t_n})").alias("matched_row_count"),
+        total("CASE WHEN __s_n > 1 OR __t_n > 1 THEN 1 ELSE 0 END").alias("duplicate_keys"),
+        total("CASE WHEN __s_n > 1 AND __s_n = __t_n AND __s_h <> __t_h THEN 1 ELSE 0 END").alias("duplicate_key_differences"),
         *_column_stats(others),
     )
     base = agg.select("*", F.lit(sc).cast("long").alias("source_row_count"), F.lit(tc).cast("long").alias("target_row_count"), *_lists(others))
@@ -261,7 +273,7 @@ def reconcile_many(
                 return tuple(pair_result(spark, spec, counts, cfg).first()), None
             except Exception as e:  # noqa: BLE001  (a failed table becomes an ERROR row)
                 err = e
-        row = (spec.source_table, spec.target_table, "ERROR", "NOT_COMPARED", "ERROR", None, None, "NONE") + (None,) * 9
+        row = (spec.source_table, spec.target_table, "ERROR", "NOT_COMPARED", "ERROR", None, None, "NONE") + (None,) * 11
         return row, f"{type(err).__name__}: {str(err).splitlines()[0][:300]}"
 
     with ThreadPoolExecutor(max_workers=max(1, max_workers)) as pool:

@@ -233,7 +233,7 @@ _RUN_FX = ("src_orders", "tgt_orders", "customer_fmt", "supplier_chg", "region_r
 
 
 def _keyed_pair_ctes(p: str, src: str, tgt: str, key: str, cols, has_filter: bool = False) -> str:
-    full_rule = "sc = tc AND greatest(sc, tc) <= 20000000" if has_filter else "greatest(sc, tc) <= 5000"
+    full_rule = "TRUE"  # no sampling but on request
     stats = lambda: ", ".join(
         f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND {G.raw_mismatch(c)} AND NOT {G.is_format(c)} THEN 1 END) AS v{i}, "
         f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND {G.is_format(c)} THEN 1 END) AS f{i}"
@@ -251,14 +251,16 @@ def _keyed_pair_ctes(p: str, src: str, tgt: str, key: str, cols, has_filter: boo
 {p}_t AS (SELECT CAST(floor(least(1.0, CAST(n AS DOUBLE) / greatest(sc, 1)) * 4294967296.0) AS BIGINT) AS thr FROM {p}_m),
 {G.keyed_join_ctes(src, tgt, key, cols, name=p + 'f')},
 {G.keyed_join_ctes(src, tgt, key, cols, how='LEFT', src_where=G.key_bucket(key) + f' < (SELECT thr FROM {p}_t)', name=p + 's')},
-{p}fa AS (SELECT coalesce(sum(CASE WHEN __t_n IS NULL THEN __s_n END), 0) AS only_s, coalesce(sum(CASE WHEN __s_n IS NULL THEN __t_n END), 0) AS only_t,
-  coalesce(sum(CASE WHEN __s_n IS NOT NULL AND __t_n IS NOT NULL THEN __s_n * __t_n END), 0) AS matched, {stats()} FROM {p}f),
+{p}fa AS (SELECT coalesce(sum(greatest(coalesce(__s_n, 0) - coalesce(__t_n, 0), 0)), 0) AS only_s, coalesce(sum(greatest(coalesce(__t_n, 0) - coalesce(__s_n, 0), 0)), 0) AS only_t,
+  coalesce(sum(least(coalesce(__s_n, 0), coalesce(__t_n, 0))), 0) AS matched, count(*) FILTER (WHERE __s_n > 1 OR __t_n > 1) AS dups,
+  (SELECT count(*) FROM (SELECT {key} AS k, list_sort(list({G.row_hash(cols)})) AS h FROM {src} GROUP BY 1 HAVING count(*) > 1) a
+    JOIN (SELECT {key} AS k, list_sort(list({G.row_hash(cols)})) AS h FROM {tgt} GROUP BY 1) b ON a.k = b.k WHERE len(a.h) = len(b.h) AND a.h <> b.h) AS dup_diffs, {stats()} FROM {p}f),
 {p}sa AS (SELECT coalesce(sum(CASE WHEN __t_n IS NULL THEN __s_n END), 0) AS only_s, CAST(NULL AS BIGINT) AS only_t,
   coalesce(sum(CASE WHEN __t_n IS NOT NULL THEN __s_n * __t_n END), 0) AS matched, {stats()} FROM {p}s),
 {p}_r AS (SELECT m.sc, m.tc, m.mode, m.n,
   CASE WHEN m.mode = 'FULL_KEYED' THEN f.only_s ELSE s.only_s END AS only_s,
   CASE WHEN m.mode = 'FULL_KEYED' THEN f.only_t ELSE s.only_t END AS only_t,
-  CASE WHEN m.mode = 'FULL_KEYED' THEN f.matched ELSE s.matched END AS matched, {pick}
+  CASE WHEN m.mode = 'FULL_KEYED' THEN f.matched ELSE s.matched END AS matched, f.dups, f.dup_diffs, {pick}
   FROM {p}_m m, {p}fa f, {p}sa s),
 {p}_l AS ({unp}),
 {p}_ls AS (SELECT coalesce(string_agg(name, ', ' {order}) FILTER (WHERE v + f > 0), '') AS mismatched_columns,
@@ -266,10 +268,11 @@ def _keyed_pair_ctes(p: str, src: str, tgt: str, key: str, cols, has_filter: boo
   coalesce(string_agg(name, ', ' {order}) FILTER (WHERE v > 0), '') AS value_mismatch_columns,
   coalesce(string_agg(name, ', ' {order}) FILTER (WHERE v = 0 AND f > 0), '') AS format_only_mismatch_columns FROM {p}_l),
 {p}_row AS (SELECT '{p}' AS source_table, '{p}_tgt' AS target_table, 'OK' AS table_status,
-  CASE WHEN only_s > 0 OR coalesce(only_t, 0) > 0 OR value_mismatch_columns <> '' THEN 'DATA_MISMATCH'
+  CASE WHEN only_s > 0 OR coalesce(only_t, 0) > 0 OR value_mismatch_columns <> '' OR dup_diffs > 0 THEN 'DATA_MISMATCH'
        WHEN format_only_mismatch_columns <> '' THEN 'FORMAT_VARIANCE' ELSE 'DATA_MATCH' END AS data_status,
   CAST(sc AS BIGINT) AS source_row_count, CAST(tc AS BIGINT) AS target_row_count, mode AS comparison_mode, '{key}' AS key_column,
   CAST(matched AS BIGINT) AS matched_row_count, CAST(only_s AS BIGINT) AS rows_only_in_source, CAST(only_t AS BIGINT) AS rows_only_in_target,
+  CAST(dups AS BIGINT) AS duplicate_keys, CAST(dup_diffs AS BIGINT) AS duplicate_key_differences,
   CAST(CASE WHEN mode = 'SAMPLE_KEYED' THEN n END AS BIGINT) AS sample_size,
   mismatched_columns, mismatched_column_count, value_mismatch_columns, format_only_mismatch_columns
   FROM {p}_r, {p}_ls)"""
@@ -284,6 +287,7 @@ def _hash_pair_ctes(p: str, src: str, tgt: str, cols) -> str:
   CAST(sum(sn) AS BIGINT) AS source_row_count, CAST(sum(tn) AS BIGINT) AS target_row_count, 'FULL_HASH' AS comparison_mode,
   CAST(NULL AS VARCHAR) AS key_column, CAST(0 AS BIGINT) AS matched_row_count,
   CAST(sum(greatest(sn - tn, 0)) AS BIGINT) AS rows_only_in_source, CAST(sum(greatest(tn - sn, 0)) AS BIGINT) AS rows_only_in_target,
+  CAST(0 AS BIGINT) AS duplicate_keys, CAST(0 AS BIGINT) AS duplicate_key_differences,
   CAST(NULL AS BIGINT) AS sample_size, '' AS mismatched_columns, CAST(0 AS BIGINT) AS mismatched_column_count,
   '' AS value_mismatch_columns, '' AS format_only_mismatch_columns FROM {p}_hj)"""
 
@@ -299,11 +303,11 @@ def _run_sql() -> str:
     rows = [f"SELECT source_table, target_table, table_status, data_status, {_OVERALL} AS overall_status, " + ", ".join(_COLS_OUT[5:]) + f" FROM {n}_row" for n, *_ in _SQL_PAIRS]
     rows.append(
         "SELECT 'nation', 'nation_tgt', 'MISSING_IN_TARGET', 'NOT_COMPARED', 'FAIL', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'SKIPPED', CAST(NULL AS VARCHAR), "
-        "CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)"
+        "CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)"
     )
     rows.append(
         "SELECT 'region', 'region_tgt', 'OK', 'NOT_COMPARED', 'WARN', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'SKIPPED', CAST(NULL AS VARCHAR), "
-        "CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(0 AS BIGINT), '', ''"
+        "CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(0 AS BIGINT), '', ''"
     )
     return "WITH " + ",\n".join(ctes) + ",\nrun AS (" + "\nUNION ALL\n".join(rows) + ")\n"
 
@@ -378,8 +382,7 @@ def _plan_sql() -> str:
     )
     return f"""WITH c AS ({parts}),
 p AS (SELECT *, CASE WHEN NOT has_key THEN 'FULL_HASH' WHEN source_row_count = 0 OR target_row_count = 0 THEN 'FULL_KEYED'
-  WHEN (has_filter AND source_row_count = target_row_count AND greatest(source_row_count, target_row_count) <= 20000000)
-    OR (NOT has_filter AND greatest(source_row_count, target_row_count) <= 5000) THEN 'FULL_KEYED' ELSE 'SAMPLE_KEYED' END AS comparison_mode FROM c)
+  ELSE 'FULL_KEYED' END AS comparison_mode FROM c)
 SELECT *, CAST(CASE WHEN comparison_mode = 'SAMPLE_KEYED' THEN greatest(1, least(least(CASE WHEN greatest(source_row_count, target_row_count) > 20000000 THEN 500000 ELSE 50000 END,
     greatest(1000, CAST(floor(CAST(CASE WHEN least(source_row_count, target_row_count) = 0 THEN 1 ELSE least(source_row_count, target_row_count) END AS DOUBLE) * 0.2) AS BIGINT))), source_row_count)) END AS BIGINT) AS sample_size
 FROM p"""

@@ -92,7 +92,9 @@ def merge_into(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[
     if not parts:
         return
     if _exists(spark, path):
-        existing = spark.read.parquet(path).where(F.col(part_col).isin(parts))
+        known = [p for p in parts if p is not None]
+        touched = F.col(part_col).isin(known) | F.col(part_col).isNull() if None in parts else F.col(part_col).isin(known)
+        existing = spark.read.parquet(path).where(touched)
         merged = merge_rows(existing, batch.select(*existing.columns), keys)
     else:
         merged = batch

@@ -19,6 +19,8 @@ resumes exactly where it stopped.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,7 +122,7 @@ def upsert_counts(spark: SparkSession, events: DataFrame, path: str, cfg: FeedCo
     replayed batch (after a failure) overwrites its own increment: exactly once.
     De-duplicate upstream with ``dedup_stream`` (its state is bounded by the watermark).
     """
-    ck = checkpoint or f"{checkpoint_root(spark)}/stream-{abs(hash(path))}"
+    ck = checkpoint or f"{checkpoint_root(spark)}/stream-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
     w = events.writeStream.option("checkpointLocation", ck).foreachBatch(lambda df, bid: _apply_increment(spark, df, bid, path, cfg))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
