@@ -369,3 +369,38 @@ def test_run_level_column_exclusion(spark):
     cfg = R.ReconConfig(key_priority=("id",), excluded_columns=("LOAD_DATE",))
     r = RR.reconcile_many(spark, [RR.PairSpec("t", "t_tgt", s, t)], cfg).first()
     assert (r.overall_status, r.mismatched_columns) == ("PASS", "")
+
+
+def _pair(spark, s, t):
+    from tidemark.operators import recon_run as RR
+
+    src, tgt = (spark.createDataFrame(x, "id int, v string") for x in (s, t))
+    return RR.reconcile_many(spark, [RR.PairSpec("s", "t", src, tgt)]).first()
+
+
+def test_duplicate_keys_are_compared(spark):
+    r = _pair(spark, [(1, "a"), (1, "b"), (2, "x")], [(1, "ZZZ"), (1, "YYY"), (2, "x")])
+    assert (r.overall_status, r.duplicate_keys, r.duplicate_key_differences, r.matched_row_count) == ("FAIL", 1, 1, 3)
+    r = _pair(spark, [(1, "a"), (1, "a"), (2, "x")], [(1, "a"), (2, "x")])
+    assert (r.overall_status, r.rows_only_in_source) == ("FAIL", 1)
+    assert _pair(spark, [(1, "a"), (1, "b")], [(1, "b"), (1, "a")]).overall_status == "PASS"
+
+
+def test_no_size_is_sampled(spark):
+    from tidemark.operators import recon as R, recon_run as RR
+
+    src = spark.range(20_000).selectExpr("id", "'a' AS v")
+    for tgt, status in ((spark.range(25_000).selectExpr("id", "'a' AS v"), "FAIL"), (src.selectExpr("id", "if(id = 77, 'b', v) AS v"), "FAIL"), (src, "PASS")):
+        assert RR.reconcile_many(spark, [RR.PairSpec("s", "t", src, tgt)]).first().overall_status == status
+    r = RR.reconcile_many(spark, [RR.PairSpec("s", "t", src, src)], R.ReconConfig(sample=True)).first()
+    assert (r.comparison_mode, r.data_status, r.overall_status) == ("SAMPLE_KEYED", "SAMPLE_MATCH", "WARN")
+
+
+def test_null_texts_and_null_keys(spark):
+    from tidemark.operators import docs, monitor
+
+    a = spark.createDataFrame([(1, None), (2, "x"), (3, None), (4, "y")], "doc_id int, text string")
+    b = spark.createDataFrame([(1, None), (2, None), (4, "y"), (5, None)], "doc_id int, text string")
+    assert {(r[0], r[1]) for r in docs.changed(a, b).select("doc_id", "change").collect()} == {(2, "UPDATE"), (3, "DELETE"), (5, "INSERT")}
+    t = spark.createDataFrame([(None, 1), (1, 1)], "k int, n int")
+    assert sorted(monitor.merge_rows(t, spark.createDataFrame([(None, 9)], "k int, n int"), ["k"]).collect(), key=str) == [(1, 1), (None, 9)]
