@@ -111,6 +111,22 @@ def earliest(value, order):
     return out
 
 
+def narrow(x):
+    """The least of ``x``, and what each has more, in the narrowest type that holds it."""
+    import numpy as np
+
+    base = int(x.min()) if len(x) else 0
+    more = x.astype(np.int64).astype(np.uint64) - np.uint64(base & (1 << 64) - 1)
+    return base, more.astype(np.min_scalar_type(int(more.max()) if len(x) else 0))
+
+
+def wide(packed):
+    import numpy as np
+
+    base, more = packed
+    return (more.astype(np.uint64) + np.uint64(base & (1 << 64) - 1)).astype(np.int64)
+
+
 def send(unit: int, names, values, docs, ids, keys, ranges: int, own: tuple):
     """A unit's rows: entries of rank ``names`` and whole value ``values``, in order, ``docs`` telling whose they are.
     Entries with the value of an earlier entry of the unit stay here."""
@@ -134,13 +150,15 @@ def send(unit: int, names, values, docs, ids, keys, ranges: int, own: tuple):
         again[by] = order[by] > order[by][head]  # not for the twins of the first, alike in id and text
         go = ~again
     at, cut = split_by_range(names[go], ranges)
-    low, high = names[go][at], values[go][at]
+    # 40 bits below the range tell ranks apart well enough: a false twin is only looked at more closely.
+    low = ((names[go][at] >> np.uint64(64 - 40 - (ranges.bit_length() - 1))) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].copy()
+    high = values[go][at]
     who, which = docs[go][at], number[go][at]
     rows = []
     for r in range(ranges):
         s = slice(cut[r], cut[r + 1])
         mine, of = np.unique(who[s], return_inverse=True)
-        rows.append(arrays(low[s], high[s], ids[mine], keys[mine].astype(np.uint32), of.astype(np.uint32), which[s].astype(np.uint32)))
+        rows.append(arrays(low[s], high[s], narrow(ids[mine]), keys[mine].astype(np.uint32), narrow(of), narrow(which[s])))
     held = arrays(*own, np.flatnonzero(go)[at].astype(np.uint32), cut, again)
     columns = [[unit] * (ranges + 1), [*range(ranges), -1], [*rows, None], [None] * ranges + [held]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["unit", "range", "data", "own"])
@@ -152,7 +170,10 @@ def answer(blobs: list[bytes]) -> list[bytes]:
 
     rows = [parts(b) for b in blobs]
     sizes = [len(r[0]) for r in rows]
-    name, value = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+    short, value = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+    name = np.zeros((len(short), 8), np.uint8)
+    name[:, :5] = short
+    name = name.view("<u8")[:, 0]
     code = np.zeros(len(name), np.uint8)
     by = np.argsort(name)
     v = name[by]
@@ -162,8 +183,10 @@ def answer(blobs: list[bytes]) -> list[bytes]:
     twin[:-1] |= same
     some = np.sort(by[twin])
     if len(some):
-        ids, keys = (np.concatenate([r[i][r[4]] for r in rows])[some] for i in (2, 3))
-        which = np.concatenate([r[5] for r in rows])[some]
+        of = [wide(r[4]) for r in rows]
+        ids = np.concatenate([wide(r[2])[i] for r, i in zip(rows, of, strict=True)])[some]
+        keys = np.concatenate([r[3][i] for r, i in zip(rows, of, strict=True)])[some]
+        which = np.concatenate([wide(r[5]) for r in rows])[some]
         n, w = name[some], value[some]
         by = np.lexsort((which, keys, ids, w, n))
         n, w, ids, keys, which = (x[by] for x in (n, w, ids, keys, which))
@@ -215,7 +238,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 names.append(hashes.of(at, at + SHORT))
                 values.append(mix(hashes.of(lo, hi + length) + (at - lo).astype(np.uint64)))
                 of.append(first + np.searchsorted(starts, lo, side="right") - 1)
-            whole = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            whole = zstandard.ZstdCompressor(level=5).compress(b"".join(texts))
             own = (ids, null, keys, np.array([len(t) for t in texts]), whole)
             yield send(unit_name(ids, keys), *(np.concatenate(x) for x in (names, values, of)), ids, keys.astype(np.uint32), ranges, own)
 
