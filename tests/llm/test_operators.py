@@ -517,3 +517,46 @@ def test_no_labels_and_no_items(spark, stored):
 def test_words(spark):
     got = spark.createDataFrame([("a b\x0bc d\n",), (None,), ("",)], "t string").select(blank_words("t").alias("w")).collect()
     assert [r.w for r in got] == [["a", "b", "c d"], [], []]
+
+
+class Ends:
+    """What a sketch asks of the table of prefix sums, without Spark."""
+
+    def __init__(self, ends):
+        self.ends = ends
+
+
+@pytest.mark.parametrize("cells", [2, 8, 64])
+def test_sketch_finds_the_least_capacity(cells, monkeypatch):
+    def refine(self, ends, which, cells):
+        each, got = max(2, cells // len(which)), {}
+        for i in which:
+            lo, hi, found = self.at[i - 1], self.at[i], {}
+            for e in (e for e in ends.ends if lo < e <= hi):
+                found.setdefault((e - lo - 1) * each // (hi - lo), []).append(e)
+            for x in found.values():
+                got[max(x)] = len(x) - 1
+                got[min(x)] = 1
+        known = dict(zip(self.at, self.groups, strict=True))
+        for i in which:
+            known.pop(self.at[i])
+        self.at, self.groups = map(list, zip(*sorted((known | got).items()), strict=True))
+
+    monkeypatch.setattr(shard.Sketch, "refine", refine)
+    r = random.Random(cells)
+    for _ in range(60):
+        sizes = [r.randrange(16, 90) * r.choice([1, 1, 1, 50]) for _ in range(r.randrange(1, 60))]
+        ends = np.cumsum(sizes).tolist()
+
+        def feasible(capacity, shards, sizes=sizes):
+            used, at = 1, 0
+            for n in sizes:
+                used, at = (used + 1, n) if at + n > capacity else (used, at + n)
+            return used <= shards
+
+        for shards in (1, 2, 5, 9, 70):
+            sketch = shard.Sketch(ends[-1], len(ends))
+            capacity, _ = shard.search(sketch, Ends(ends), shards, max(sizes), cells)
+            assert feasible(capacity, shards) and (capacity == max(max(sizes), -(-ends[-1] // shards)) or not feasible(capacity - 1, shards))
+            cuts = [0, *shard.balanced(sketch, Ends(ends), shards, capacity, cells)]
+            assert cuts[-1] == ends[-1] and set(cuts) <= {0, *ends} and max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) <= capacity

@@ -146,12 +146,16 @@ class Bands:
         return r + s - 2 * -(-self.percent * (r + s) // (100 + self.percent))
 
     def most(self, n: int, band: int) -> int:
-        """The most that a set of ``n`` can differ by from a partner, the larger of both being in ``band``."""
-        top = min(self.low[band + 1] - 1, n * 100 // self.percent)
-        return max(self.differ(n, s) for s in (top, max(n, top - 1))) if top >= n else self.differ(n, n)
+        """The most that a set of ``n`` can differ by from a partner, the larger of both being in ``band``.
+
+        It grows with the sum of both sizes but for its remainder, so the largest sums are looked through.
+        """
+        top = max(n, min(self.low[band + 1] - 1, n * 100 // self.percent))
+        least = -(-n * self.percent // 100)
+        return max(self.differ(n, s) for s in range(max(least, top - 8), top + 1))
 
     def segments(self, band: int) -> int:
-        return 3 * (self.differ(self.low[band + 1] - 1, self.low[band + 1] - 1) + 1) // 2
+        return 3 * (self.most(self.low[band + 1] - 1, band) + 1) // 2
 
 
 #: Sets of up to this many shingles also index one-deletion neighbourhoods.
@@ -179,18 +183,21 @@ def signatures(h, bands: Bands, band: int, delete_upto: int = DELETIONS_UPTO):
     tag = mix(seg[edge].astype(np.uint64) * np.uint64(4) + seed)
     whole, less = mix(sums ^ tag), mix(sums ^ tag ^ np.uint64(1))  # lists of whole segments, and of those one shingle short of them
     filled = len(edge)
-    # With too few filled segments each that may differ by a shingle counts for two.
-    twice = np.argsort(sizes, kind="stable")[: max(0, need - filled)]
+    # With too few filled segments each that may differ by a shingle counts for two (not one of a single shingle: the
+    # partner's might be empty, and empty ones aren't indexed).
+    order = np.argsort(sizes, kind="stable")
+    several = order[sizes[order] > 1]
+    twice = several[: max(0, need - filled)]
     rows = [(whole, max(0, filled - need))]
     small = bands.low[band] <= delete_upto
-    enough = filled >= need or (small and 2 * filled >= need)
+    enough = filled >= need or (small and filled + len(several) >= need)
     if small:
         owner = np.repeat(np.arange(filled), sizes)
         short = sums[owner] - value
         rows.append((mix(short ^ tag[owner] ^ np.uint64(1)), -1))  # this segment less one
         if enough and len(twice):
             rows.append((less[twice], 0))  # the partner's segment less one is mine
-            mine = np.isin(owner, twice) & (sizes[owner] > 1)
+            mine = np.isin(owner, twice)
             rows.append((mix(short[mine] ^ tag[owner[mine]]), 0))  # mine less one is the partner's
     return np.concatenate([r for r, _ in rows]), np.concatenate([np.full(len(r), spare) for r, spare in rows]), enough
 
