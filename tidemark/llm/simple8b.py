@@ -40,7 +40,7 @@ def widths_of(values):
     return out
 
 
-def pack(values, block: int = 1024, together: int = 256):
+def pack(values, block: int = 1024, together: int = 1024):
     """Words, offsets of blocks and escaped values of ``values`` (uint64), ``together`` blocks at a time."""
     import numpy as np
 
@@ -233,7 +233,8 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[e - s : e].tobytes()) for e, s in zip(ends, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ends - sizes + row["start"]), pa.array(sizes), pa.array(crc, pa.int64())], schema=out)
 
-    return manifest.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or few small rows would come to one task
+    return manifest.repartition(files, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:

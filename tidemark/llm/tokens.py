@@ -1,8 +1,9 @@
 """Ids of whole texts by a public tokenizer, through a table of the distinct pieces of the texts at hand.
 
-Both tokenizers cut a text before a run of ASCII blanks that follows another character, and between a letter or
-digit and a full stop or comma; what stands behind the cut doesn't depend on what stands before it. So a piece
-between such cuts is encoded once, however often it occurs. A text with other blanks, where that isn't so, is encoded whole.
+Both tokenizers cut a text before a run of ASCII blanks that follows another character, and between an ASCII letter
+or digit and a full stop or comma; what stands behind the cut doesn't depend on what stands before it. So a
+piece between such cuts is encoded once, however often it occurs. A text with other blanks, where that isn't
+so, is encoded whole. Pieces are found and hashed (64 bits) over a whole batch at once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,34 @@ import re
 from array import array
 from itertools import chain
 
+from tidemark.llm.words import mix
+
+
+def piece_starts(data, limits):
+    """Where pieces start in ``data``, texts end to end that begin at ``limits``."""
+    import numpy as np
+
+    kind = np.zeros(256, np.uint8)
+    kind[[32, *range(9, 14)]] = 1
+    kind[[44, 46]] = 2
+    kind[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 3
+    k = kind[data]
+    new = np.zeros(len(data), bool)
+    new[1:] = ((k[1:] == 1) & (k[:-1] != 1)) | ((k[1:] == 2) & (k[:-1] == 3))
+    new[limits[limits < len(data)]] = True
+    return new
+
+
+def hashes_of(data, start):
+    """64-bit hashes of the pieces of ``data`` that begin at ``start``."""
+    import numpy as np
+
+    size = np.diff(np.append(start, len(data)))
+    byte = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+    power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    place = np.arange(len(data)) - np.repeat(start, size)
+    return mix(np.add.reduceat(byte[data] * power[place], start) + size.astype(np.uint64))
+
 
 class Encoder:
     """``Encoder(path)(texts)`` gives all ids (uint32) and each text's number of ids; null counts as empty.
@@ -18,31 +47,30 @@ class Encoder:
     ``most``: the distinct pieces that are held at once; beyond it the table starts anew.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = re.compile(r"[ \t-\r]*+(?:[^ \t-\r.,]++(?<=[^\W_])(?=[.,])|[^ \t-\r]++)|[ \t-\r]++$").findall
         self.odd = re.compile(r"[^\S \t-\r]").search
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[int, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, names: list[int], new: list[str]) -> None:
         """Pieces of one blank and letters are words to both tokenizers. They are encoded end to end in one text, and
         its ids dealt out by word, which is much faster than a call for each."""
         import numpy as np
 
         joined, alone = [], []
-        for p in new:
-            (joined if p[0] == " " and p[1:].isalpha() else alone).append(p)
+        for x in zip(names, new, strict=True):
+            (joined if x[1][0] == " " and x[1][1:].isalpha() else alone).append(x)
         for k in range(0, len(joined), 2_000):
             part = joined[k : k + 2_000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            e = self.tokenizer.encode("".join([p for _, p in part]), add_special_tokens=False)
             sizes = np.bincount(np.array(e.word_ids))
             if len(sizes) == len(part):
                 self.keep(part, e.ids, sizes)
@@ -50,32 +78,43 @@ class Encoder:
                 alone += part
         for k in range(0, len(alone), 2_000):
             part = alone[k : k + 2_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p for _, p in part], add_special_tokens=False)]
             self.keep(part, list(chain.from_iterable(ids)), np.array([len(x) for x in ids]))
 
-    def keep(self, part: list[str], ids: list[int], sizes) -> None:
+    def keep(self, part: list, ids: list[int], sizes) -> None:
         first = len(self.ends) - 1
-        self.at.update(zip(part, range(first, first + len(part)), strict=True))
+        self.at.update(zip([n for n, _ in part], range(first, first + len(part)), strict=True))
         self.ends.frombytes((sizes.cumsum() + len(self.ids)).astype("i8").tobytes())
         self.ids.extend(ids)
 
     def __call__(self, texts: list):
         import numpy as np
 
-        cut = [self.pieces(t) if t and not self.odd(t) else [t] if t else [] for t in texts]
-        pieces = list(chain.from_iterable(cut))
-        distinct = set(pieces)
-        new = distinct.difference(self.at)
-        if len(self.at) + len(new) > self.most:
+        raw = [(t or "").encode() for t in texts]
+        limits = np.concatenate([[0], np.cumsum([len(t) for t in raw], dtype=np.int64)])
+        if not limits[-1]:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        whole = b"".join(raw)
+        data = np.frombuffer(whole, np.uint8)
+        new = piece_starts(data, limits[:-1])
+        for k, t in enumerate(texts):
+            if t and self.odd(t):
+                new[limits[k] + 1 : limits[k + 1]] = False
+        start = np.flatnonzero(new)
+        distinct, first, which = np.unique(hashes_of(data, start), return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        fresh = [i for i, n in enumerate(names) if n not in self.at]
+        if len(self.at) + len(fresh) > self.most:
             self.clear()
-            new = distinct
-        self.learn(list(new))
-        which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+            fresh = range(len(names))
+        end = np.append(start[1:], len(data))
+        self.learn([names[i] for i in fresh], [whole[start[first[i]] : end[first[i]]].decode() for i in fresh])
+        which = np.array([self.at[n] for n in names], np.int64)[which]
         ids, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
         sizes = ends[which + 1] - ends[which]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         flat = ids[np.arange(upto[-1]) + np.repeat(ends[which] - upto[:-1], sizes)]
-        docs = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
+        docs = np.searchsorted(start, limits)
         return flat, np.diff(upto[docs])
 
 
