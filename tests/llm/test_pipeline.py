@@ -16,7 +16,7 @@ def staged(spark, tmp_path_factory):
     r = random.Random(8)
     passage = prose(900, 60)
     items = [(i, prose(i, 150)) for i in range(60)]
-    items += [(100 + i, t) for i, t in enumerate(near_copies(3, 8, 200, 4))] + [(120 + i, prose(5, 150)) for i in range(3)]
+    items += [(100 + i, t) for i, t in enumerate(near_copies(7_000, 8, 200, 4))] + [(120 + i, prose(5, 150)) for i in range(3)]
     items += [(200 + i, f"{prose(300 + i, 80)} {passage} {prose(400 + i, 80)}") for i in range(6)]
     items += [(300, "spam spam spam " * 40), (301, "too short"), (302, None), (303, ""), (None, prose(777, 100))]
     leak = prose(555, 30)
