@@ -183,7 +183,12 @@ def test_two_smaller_pieces_replace_one():
 
 def test_packing(spark, stored, tokenizer):
     vocab, ids_of = tokenizer("word_bpe_49k.json")
-    got = packing.pack(stored, vocab, room=256, group_rows=50).collect()
+    from tidemark.llm.tokens import Encoder
+
+    more = [*ODD_TEXTS, "A\u0301 J\u030c T\u0308 I\u0307x", "\u212a\u0130 STRASSE \u00df\u1e9e", "A.B,C Dd. 5.5"]
+    ids, sizes = Encoder(vocab, fold=True)(more)
+    assert [[*x, 0] for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(t).tolist() for t in more]
+    got = packing.pack(stored, vocab, room=256, group_rows=50, fold=True).collect()
     want = Counter()
     for r in stored.collect():
         ids = ids_of(r.text)

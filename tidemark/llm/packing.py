@@ -68,15 +68,15 @@ def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
     return out
 
 
-def pieces(docs: DataFrame, vocab: str, room: int, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, vocab: str, room: int, id_col: str = "doc_id", text_col: str = "text", end: int = 0, fold: bool = False) -> DataFrame:
     """One row for each piece: ``row`` (a number of the document's row), ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``."""
 
     def cut(batches):
         import numpy as np
         import pyarrow as pa
 
-        encode = Encoder(vocab)
-        for b in by_bytes(batches, 2):
+        encode = Encoder(vocab, fold=fold)
+        for b in by_bytes(batches, 2, 1 << 20):
             ids, sizes = with_end(*encode(b.column(2).to_pylist()), end)
             data = memoryview(ids.astype("<u4").tobytes())
             count = -(-sizes // room)
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, vocab: str, room: int, id_col: str = "doc_id", text_
 
 
 def pack(docs: DataFrame, vocab: str, room: int = 2048, group_rows: int = 32_768, **columns) -> DataFrame:
-    """Every piece with its ``sequence_id`` and ``offset`` there."""
+    """Every piece with its ``sequence_id`` and ``offset`` there. ``fold``: the tokenizer lower-cases and takes blanks alike."""
     cut = staged(pieces(docs, vocab, room, **columns), "pieces")
     groups = -(-cut.count() // group_rows) or 1
     dealt = cut.withColumn("g", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
@@ -119,4 +119,4 @@ def pack(docs: DataFrame, vocab: str, room: int = 2048, group_rows: int = 32_768
 def op6_best_two_fit(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), fold=True)

@@ -195,7 +195,7 @@ def write_ids(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", te
             return row
 
         manifest = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
-        for b in by_bytes(batches, 1):
+        for b in by_bytes(batches, 1, 1 << 20):
             flat, each = with_end(*encode(b.column(1).to_pylist()), end)
             ids.append(flat), sizes.append(each), names.extend(b.column(0).to_pylist())
             if sum(map(len, ids)) >= file_ids:

@@ -44,16 +44,19 @@ def hashes_of(data, start):
 class Encoder:
     """``Encoder(path)(texts)`` gives all ids (uint32) and each text's number of ids; null counts as empty.
 
-    ``most``: the distinct pieces that are held at once; beyond it the table starts anew.
+    ``most``: the distinct pieces that are held at once; beyond it the table starts anew. ``fold``: the tokenizer
+    lower-cases and takes all blanks alike, so texts are folded before pieces are told apart (but not those with
+    combining marks, which may compose with a small letter alone).
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 600_000, fold: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.odd = re.compile(r"[^\S \t-\r]").search
         self.most = most
+        self.folded = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz") if fold else None
         self.clear()
 
     def clear(self) -> None:
@@ -91,6 +94,8 @@ class Encoder:
         import numpy as np
 
         raw = [(t or "").encode() for t in texts]
+        if self.folded:
+            raw = [t if b"\xcc" in t or b"\xcd" in t else t.translate(self.folded) for t in raw]
         limits = np.concatenate([[0], np.cumsum([len(t) for t in raw], dtype=np.int64)])
         if not limits[-1]:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
