@@ -3,7 +3,7 @@
 A task packs the values of some tens of MB of texts by their range and sends each range's to one place: one row
 for each range, and one row of the unit's own with what its documents need afterwards. Each range is
 answered by one task, whose answers meet the unit's own row again. Values travel as arrays, so that a row is
-some KB and not some bytes. The number of ranges follows the session's shuffle partitions.
+some KB and not some bytes. The number of ranges is about twice the session's shuffle partitions.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 
 
 def ranges_of(spark: SparkSession) -> int:
-    return 1 << max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    return 2 << max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
 def unit_name(*arrays_of_documents) -> int:

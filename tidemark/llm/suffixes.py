@@ -33,7 +33,7 @@ from tidemark.llm.exchange import UNIT_BYTES, arrays, meet, parts, ranges_of, sp
 from tidemark.llm.words import mix
 
 SHORT = 32
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 class Prefixes:
@@ -150,8 +150,9 @@ def send(unit: int, names, values, docs, ids, keys, ranges: int, own: tuple):
         again[by] = order[by] > order[by][head]  # not for the twins of the first, alike in id and text
         go = ~again
     at, cut = split_by_range(names[go], ranges)
-    # 40 bits below the range tell ranks apart well enough: a false twin is only looked at more closely.
-    low = ((names[go][at] >> np.uint64(64 - 40 - (ranges.bit_length() - 1))) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].copy()
+    # 40 bits below the range tell ranks apart well enough: a false twin is only looked at more closely. Where the
+    # rank is the whole value it isn't sent twice.
+    low = np.zeros((0, 5), np.uint8) if names is values else ((names[go][at] >> np.uint64(64 - 40 - (ranges.bit_length() - 1))) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].copy()
     high = values[go][at]
     who, which = docs[go][at], number[go][at]
     rows = []
@@ -169,11 +170,14 @@ def answer(blobs: list[bytes]) -> list[bytes]:
     import numpy as np
 
     rows = [parts(b) for b in blobs]
-    sizes = [len(r[0]) for r in rows]
+    sizes = [len(r[1]) for r in rows]
     short, value = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
-    name = np.zeros((len(short), 8), np.uint8)
-    name[:, :5] = short
-    name = name.view("<u8")[:, 0]
+    if len(short) == len(value):
+        name = np.zeros((len(short), 8), np.uint8)
+        name[:, :5] = short
+        name = name.view("<u8")[:, 0]
+    else:
+        name = value
     code = np.zeros(len(name), np.uint8)
     by = np.argsort(name)
     v = name[by]
@@ -259,7 +263,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         ids, null, keys, sizes, whole, texts, rest = open_unit(parts(own))
         code = codes(tuple(rest), answers)
-        names, values, of, sure, where, seen = [], [], [], [], [], 0
+        values, of, sure, where, seen = [], [], [], [], 0
         base = np.concatenate([[0], np.cumsum(sizes)])
         for first, _, data, starts in slices(texts):
             one = Prefixes(data, 0)
@@ -271,12 +275,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             lo, hi = lo[mine == 2], hi[mine == 2]
             count = hi - lo + 1
             s = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            names.append(one.of(s, s + length))
-            values.append(names[-1] ^ Prefixes(data, 1).of(s, s + length) if len(s) else names[-1])
+            values.append(one.of(s, s + length) ^ Prefixes(data, 1).of(s, s + length) if len(s) else np.zeros(0, np.uint64))
             of.append(first + np.searchsorted(starts, s, side="right") - 1)
             where.append(s + base[first])
         own = (ids, null, keys, sizes, whole, np.concatenate(sure), np.concatenate(where))
-        return pa.Table.from_batches([send(unit, *(np.concatenate(x) for x in (names, values, of)), ids, keys.astype(np.uint32), ranges, own)])
+        ranks = np.concatenate(values)
+        return pa.Table.from_batches([send(unit, ranks, ranks, np.concatenate(of), ids, keys.astype(np.uint32), ranges, own)])
 
     def remove(unit, own, answers):
         import numpy as np
