@@ -475,6 +475,20 @@ def test_trie(spark, tmp_path):
         assert sum(p(context, w) for (w,) in grams[0]) + p(context, "unknown") == pytest.approx(1)
 
 
+def test_trie_query_keeps_ngrams_found_once(spark, tmp_path):
+    r = random.Random(5)
+    texts = [" ".join(r.choice(WORDS) for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    held_out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    _, score, n, grams = brute_model([t for i, t in enumerate(texts) if not held_out(i)], least=1)
+    assert sum(c == 1 for c in grams[2].values()) > 100
+    for row in QUERIES["op7_ngram_trie"](spark, str(tmp_path)).collect():
+        whole, base, known = score(texts[row.doc_id])
+        assert row.held_out == held_out(row.doc_id) and row.train_tokens == n and row.n_known == known
+        assert row.base_score == pytest.approx(base, abs=1e-6)
+        assert row.score == pytest.approx(whole, abs=0.003 * row.n_tokens + 1e-6)
+
+
 # importance resampling
 
 
