@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import dedup_chunks
+from tidemark.llm.chunks import REGISTERED, dedup_chunks
 from tidemark.llm.common import BLANK_CHARS, stage_dir, table
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard import jaccard_join
@@ -44,7 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_chunks(docs)
+    out = dedup_chunks(docs, **REGISTERED)
     left = (F.col("x_n_removed") == 0) | (F.length(F.translate("x_text", BLANK_CHARS, "")) > 0)
     return with_text(out.filter(left), F.col("x_text"), docs.columns)
 

@@ -297,6 +297,24 @@ def test_chunks_resist_shifts(spark):
     assert all(got[i].x_n_removed > 0.7 * len(passage) and got[i].x_n_removed <= len(passage) + 80 for i in range(1, 12))
 
 
+def test_short_passages_go_whole(spark, tmp_path):
+    """Each passage of 51 words stands in two documents, in other surroundings: all of it goes from the second, and no more than a chance byte or two."""
+    n, docs, where = 150, [], {}
+    for i in range(n):
+        passage = prose(10_000 + i, 51)
+        docs.append((i, f"{prose(20_000 + i, 20 + i % 37)} {passage} {prose(30_000 + i, 25)}"))
+        before = f"Ünï {prose(40_000 + i, 30 + i % 41)} ".encode()
+        docs.append((n + i, before.decode() + f"{passage} é{prose(50_000 + i, 35)}"))
+        where[n + i] = len(before), len(before) + len(passage)
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in chunks.dedup_chunks(spark.read.parquet(f"{tmp_path}/documents.parquet"), **chunks.REGISTERED).collect()}
+    assert all(got[i].x_n_removed == 0 for i in range(n))
+    for i, (a, e) in where.items():
+        assert [(s.start <= a, s.end >= e) for s in got[i].x_spans] == [(True, True)], i
+        assert got[i].x_n_removed <= e - a + 12
+    assert {r.doc_id: r.n_removed for r in QUERIES["op3_chunk_dedup"](spark, str(tmp_path)).collect()} == {d: r.x_n_removed for d, r in got.items()}
+
+
 # exact substrings
 
 

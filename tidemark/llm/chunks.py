@@ -2,8 +2,10 @@
 
 A chunk ends where the gear hash of the last 16 bytes has its top bits zero, but not before ``least`` bytes
 and at ``most`` at the latest, so an insertion moves only the ends around it. Chunks are told apart by a
-128-bit digest; every occurrence but the first (by document id, then place) is a duplicate, and runs of
-adjacent duplicates of at least ``run_bytes`` are removed from the text.
+128-bit digest; every occurrence but the first (by document id, then place) is a duplicate. With ``context``, a run of
+adjacent duplicates then grows byte by byte, by up to so many bytes on each side, as long as the bytes around it are
+those around the first occurrence of its first and last chunk, so that chunk ends don't limit what is found. Runs of
+at least ``run_bytes`` are removed from the text.
 
 Digests combine before they are shuffled, only the repeated ones meet the occurrences again, and adaptive
 execution splits a digest that many documents hold. A document's removed chunks never outnumber its chunks.
@@ -18,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, table
+from tidemark.llm.common import by_bytes, staged, table
 
 WINDOW = 16
+#: What the query and the pipeline run with: chunks of about 32 bytes find passages of some 50 words, whose runs grow to their ends.
+REGISTERED = {"least": 16, "bits": 4, "context": 512}
 
 
 def gear_table():
@@ -99,20 +103,109 @@ def chunks(docs: DataFrame, least: int, most: int, bits: int) -> DataFrame:
 
 
 def duplicate_chunks(docs: DataFrame, least: int, most: int, bits: int) -> DataFrame:
-    """Occurrences but the first: one row for each document that has any, ``id``, ``key``, ``cells`` (``start``, ``size``)."""
+    """Occurrences but the first: one row for each document that has any, ``id``, ``key``, ``cells`` (``start``, ``size``, ``first``)."""
     place = F.struct("id", "key", "start")
     first = chunks(docs, least, most, bits).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = chunks(docs, least, most, bits).join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-    return again.groupBy("id", "key").agg(F.collect_set(F.struct("start", "size")).alias("cells"))
+    return again.groupBy("id", "key").agg(F.collect_set(F.struct("start", "size", "first")).alias("cells"))
 
 
-def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 32, most: int = 512, bits: int = 5, run_bytes: int = 100) -> DataFrame:
+def runs_of(cells) -> list[list]:
+    """Adjacent cells as ``[start, end, first cell, last cell]``."""
+    runs: list[list] = []
+    for c in sorted(cells or (), key=lambda c: c["start"]):
+        if runs and runs[-1][1] == c["start"]:
+            runs[-1][1:] = c["start"] + c["size"], runs[-1][2], c
+        else:
+            runs.append([c["start"], c["start"] + c["size"], c, c])
+    return runs
+
+
+def surroundings(docs: DataFrame, cells: DataFrame, context: int) -> DataFrame:
+    """What stands around the first occurrences of the runs' ends: ``id``, ``key``, ``around`` (``at``, ``left``, ``bytes``):
+    the bytes before the run that starts at ``at``, or behind the one that ends there."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def ends(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            of, own, left, places, at = [], [], [], [], []
+            for i, marks in enumerate(b.column(2).to_pylist()):
+                for start, stop, head, tail in runs_of(marks):
+                    for edge, is_left, cell in ((start, True, head), (stop, False, tail)):
+                        there = cell["first"]["start"] + (0 if is_left else cell["size"])
+                        if not is_left or start and there:
+                            of.append(i), own.append(edge), left.append(is_left), places.append(cell["first"]), at.append(there)
+            take = pa.array(of, pa.int64())
+            f_id = pa.array([f["id"] for f in places], b.column(0).type)
+            f_key = pa.array([f["key"] for f in places], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(own, pa.int32()), pa.array(left, pa.bool_()), f_id, f_key, pa.array(at, pa.int32())], ["id", "key", "own", "left", "f_id", "f_key", "at"])
+
+    edges = cells.mapInArrow(ends, f"id {kind}, key long, own int, left boolean, f_id {kind}, f_key long, at int")
+    wanted = edges.groupBy("f_id", "f_key").agg(F.collect_set(F.struct("at", "left")).alias("wanted"))
+    meant = (F.col("key") == F.col("f_key")) & F.col("id").eqNullSafe(F.col("f_id"))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for b in by_bytes(batches, 2):
+            of, at, left, found = [], [], [], []
+            for i, (t, places) in enumerate(zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                for p in places:
+                    there = t[max(0, p["at"] - context) : p["at"]] if p["left"] else t[p["at"] : p["at"] + context]
+                    if there:
+                        of.append(i), at.append(p["at"]), left.append(p["left"]), found.append(there)
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(left, pa.bool_()), pa.array(found, pa.binary())], ["f_id", "f_key", "at", "left", "bytes"])
+
+    texts = docs.join(wanted, meant).select("id", "key", "text", "wanted")
+    # Rows alike in id and text give the same bytes.
+    there = texts.mapInArrow(cut, f"f_id {kind}, f_key long, at int, left boolean, bytes binary").groupBy("f_id", "f_key", "at", "left").agg(F.min("bytes").alias("bytes"))
+    there = there.select(*[F.col(c).alias(f"t_{c}") for c in there.columns])
+    same = (F.col("f_key") == F.col("t_f_key")) & F.col("f_id").eqNullSafe(F.col("t_f_id")) & (F.col("at") == F.col("t_at")) & (F.col("left") == F.col("t_left"))
+    return edges.join(there, same).groupBy("id", "key").agg(F.collect_set(F.struct(F.col("own").alias("at"), "left", F.col("t_bytes").alias("bytes"))).alias("around"))
+
+
+def grown(t: bytes, doc, runs: list[list], around) -> list[list[int]]:
+    """``runs`` of the document ``doc`` (id, key), each grown while its bytes are those of ``around``; runs that meet are one. Whole characters only;
+    a run doesn't grow into the first occurrence it is told by."""
+    near = {(x["at"], x["left"]): x["bytes"] for x in around or ()}
+    out: list[list[int]] = []
+    for a, e, head, _ in runs:
+        before, behind = near.get((a, True), b""), near.get((e, False), b"")
+        first = head["first"]
+        floor = first["start"] + head["size"] if (first["id"], first["key"]) == doc else 0
+        n = 0
+        while n < len(before) and a - n > floor and t[a - n - 1] == before[-n - 1]:
+            n += 1
+        while n and t[a - n] & 0xC0 == 0x80:
+            n -= 1
+        m = 0
+        while m < len(behind) and e + m < len(t) and t[e + m] == behind[m]:
+            m += 1
+        while m and e + m < len(t) and t[e + m] & 0xC0 == 0x80:
+            m -= 1
+        if out and out[-1][1] >= a - n:
+            out[-1] = [min(out[-1][0], a - n), max(out[-1][1], e + m)]
+        else:
+            out.append([a - n, e + m])
+    return out
+
+
+def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 32, most: int = 512, bits: int = 5, run_bytes: int = 100, context: int = 0) -> DataFrame:
     """``docs`` with ``x_text`` (what is left), ``x_n_bytes``, ``x_n_removed`` and ``x_spans`` (removed runs as
     ``start``, ``end`` in bytes)."""
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     cells = duplicate_chunks(named, least, most, bits)
-    cells = cells.select(F.col("id").alias("x_id"), F.col("key").alias("x_key"), F.col("cells").alias("x_cells"))
-    marked = docs.withColumn("x_key2", F.xxhash64(text_col)).join(cells, (F.col("x_key2") == F.col("x_key")) & F.col(id_col).eqNullSafe(F.col("x_id")), "left").drop("x_id", "x_key", "x_key2")
+    if context:
+        cells = staged(cells, "chunks")
+        around = surroundings(named, cells, context).select(F.col("id").alias("x_id"), F.col("key").alias("x_key"), "around")
+        cells = cells.join(around, (F.col("key") == F.col("x_key")) & F.col("id").eqNullSafe(F.col("x_id")), "left").select("id", "key", "cells", "around")
+    else:
+        cells = cells.withColumn("around", F.lit(None).cast("array<struct<at:int,left:boolean,bytes:binary>>"))
+    cells = cells.select(F.struct("id", "key", "cells", "around").alias("x_cells"))
+    marked = docs.withColumn("x_key2", F.xxhash64(text_col)).join(cells, (F.col("x_key2") == F.col("x_cells.key")) & F.col(id_col).eqNullSafe(F.col("x_cells.id")), "left").drop("x_key2")
     where, text_at = marked.columns.index("x_cells"), marked.columns.index(text_col)
     names = [*docs.columns, "x_text", "x_n_bytes", "x_n_removed", "x_spans"]
 
@@ -122,12 +215,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in by_bytes(batches, text_at):
             left, sizes, removed, spans = [], [], [], []
             for t, marks in zip(b.column(text_at).cast(pa.binary()).to_pylist(), b.column(where).to_pylist(), strict=True):
-                runs: list[list[int]] = []
-                for start, size in sorted((c["start"], c["size"]) for c in marks or ()):
-                    if runs and runs[-1][1] == start:
-                        runs[-1][1] += size
-                    else:
-                        runs.append([start, start + size])
+                runs = grown(t, (marks["id"], marks["key"]), runs_of(marks["cells"]), marks["around"]) if marks else []
                 runs = [r for r in runs if r[1] - r[0] >= run_bytes]
                 if runs:
                     at, out = 0, []
@@ -149,5 +237,5 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op3_chunk_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), **REGISTERED)
     return out.select("doc_id", F.col("x_n_bytes").alias("n_bytes"), F.col("x_n_removed").alias("n_removed"), F.size("x_spans").cast("long").alias("n_spans"), F.sha2(F.coalesce("x_text", F.lit("")), 256).alias("kept_sha256"))
