@@ -386,6 +386,16 @@ def test_duplicate_keys_are_compared(spark):
     assert _pair(spark, [(1, "a"), (1, "b")], [(1, "b"), (1, "a")]).overall_status == "PASS"
 
 
+def test_differences_of_duplicate_keys_are_told(spark):
+    from tidemark.operators import recon_run as RR
+
+    src, tgt, same = (spark.createDataFrame(x, "id int, v string") for x in ([(1, "a"), (1, "b"), (2, "x")], [(1, "ZZZ"), (1, "YYY"), (2, "x")], [(1, "b"), (1, "a"), (2, "x")]))
+    assert [R.keyed_counts(R.keyed_join(src, t, "id", ["v"]), ["v"]).first().mismatched_rows for t in (tgt, same)] == [1, 0]
+    differ, match = (RR.comments_many(spark, [RR.PairSpec("s", "t", src, t)]).first().comments for t in (tgt, same))
+    assert "1 duplicate key(s) with as many rows in SRC and TGT whose rows differ." in differ and "All compared columns match" not in differ
+    assert "duplicate key(s)" not in match and "All compared columns match on matched rows." in match
+
+
 def test_no_size_is_sampled(spark):
     from tidemark.operators import recon as R, recon_run as RR
 

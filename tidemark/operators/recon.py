@@ -5,8 +5,8 @@ key (``count`` plus ``min`` of every compared column, combined map-side), then t
 two reduced sides are full-outer joined on the key. A hot or duplicated key is
 collapsed before the shuffle, so it neither skews one task nor multiplies rows;
 the join output holds exactly one row per distinct key. Column values are only
-compared where the key is unique on both sides; duplicated keys are counted and
-reported (the reference would compare every pair, which we never emit).
+compared where the key is unique on both sides; duplicated keys are counted, reported
+and compared as multisets (the reference would compare every pair, which we never emit).
 """
 
 from __future__ import annotations
@@ -163,7 +163,10 @@ def mismatch_examples(mismatches: DataFrame, n: int = 3, key_order: Column | Non
 
 
 def keyed_counts(joined: DataFrame, cols: Sequence[str] = (), detect_format: bool = True) -> DataFrame:
-    """R4 summary in ONE aggregate over the join: presence classes, duplicates and per-column mismatch counts."""
+    """R4 summary in ONE aggregate over the join: presence classes, duplicates and per-column mismatch counts.
+
+    A duplicated key with as many rows on both sides counts as one mismatched row if its rows differ as a multiset.
+    """
     both = F.col("__s_n").isNotNull() & F.col("__t_n").isNotNull()
     aggs = [
         F.coalesce(F.sum("__s_n"), F.lit(0)).cast("long").alias("source_row_count"),
@@ -174,7 +177,8 @@ def keyed_counts(joined: DataFrame, cols: Sequence[str] = (), detect_format: boo
         F.count(F.when(both & ~_both_unique(), 1)).alias("duplicate_keys"),
     ]
     any_mismatch = " OR ".join(raw_mismatch_sql(c) for c in cols) or "FALSE"
-    aggs.append(F.expr(f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND ({any_mismatch}) THEN 1 END)").alias("mismatched_rows"))
+    duplicates = "(__s_n > 1 AND __s_n = __t_n AND __s_h <> __t_h)" if cols else "FALSE"
+    aggs.append(F.expr(f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND ({any_mismatch}) OR {duplicates} THEN 1 END)").alias("mismatched_rows"))
     return joined.agg(*aggs)
 
 

@@ -374,7 +374,8 @@ def comment_expr(cfg: R.ReconConfig, only_src: Sequence[str], only_tgt: Sequence
         F.concat(label, F.lit(" key-based compare on "), key_label, F.lit(": "), F.col("matched_row_count").cast("string"), F.lit(" matched row(s) checked.")),
         F.when(F.col("rows_only_in_source") > 0, F.concat(F.col("rows_only_in_source").cast("string"), F.lit(f" key(s) present in {s} but not found in {t}."))),
         F.when((mode == "FULL_KEYED") & (F.col("rows_only_in_target") > 0), F.concat(F.col("rows_only_in_target").cast("string"), F.lit(f" key(s) present in {t} but not found in {s}."))),
-        F.when(F.col("column_comment") != "", F.col("column_comment")).when(F.col("matched_row_count") > 0, F.lit("All compared columns match on matched rows.")),
+        F.when(F.col("duplicate_key_differences") > 0, F.concat(F.col("duplicate_key_differences").cast("string"), F.lit(f" duplicate key(s) with as many rows in {s} and {t} whose rows differ."))),
+        F.when(F.col("column_comment") != "", F.col("column_comment")).when((F.col("matched_row_count") > 0) & (F.coalesce("duplicate_key_differences", F.lit(0)) == 0), F.lit("All compared columns match on matched rows.")),
     )
     body = F.when(mode == "SKIPPED", F.lit("No comparable common columns after exclusions -- data comparison skipped.")).otherwise(
         F.concat_ws(" ", count_mm, F.when(mode == "FULL_HASH", hash_txt).otherwise(keyed), F.lit("No time filter column found -- full table compared, no date filter."))
