@@ -414,3 +414,12 @@ def test_null_texts_and_null_keys(spark):
     assert {(r[0], r[1]) for r in docs.changed(a, b).select("doc_id", "change").collect()} == {(2, "UPDATE"), (3, "DELETE"), (5, "INSERT")}
     t = spark.createDataFrame([(None, 1), (1, 1)], "k int, n int")
     assert sorted(monitor.merge_rows(t, spark.createDataFrame([(None, 9)], "k int, n int"), ["k"]).collect(), key=str) == [(1, 1), (None, 9)]
+
+
+def test_validation_window_holds_for_any_size(spark):
+    from tidemark.operators import recon_run as RR
+
+    for n in (100, 3_000, 3_001):
+        src, tgt = (spark.range(n).selectExpr("id", "if(id < 10, '2024-01-01', '2024-02-01') AS creationtime", "'u' AS updatetime", v) for v in ("if(id = 5, 'b', 'a') AS v", "if(id >= 10, 'c', 'a') AS v"))
+        r = RR.validate_table(spark, "t", src, tgt, window=("2024-01-01", "2024-01-31")).first()
+        assert (r.source_count, r.target_full_count, r.target_filter_count, r.source_only_count, r.target_only_count) == (10, n, 10, 1, 1)

@@ -401,15 +401,14 @@ def validate_table(
     created_col: str = "creationtime",
     updated_col: str = "updatetime",
     window: tuple[str, str] | None = None,
-    filter_threshold: int = 3000,
     null_mode: str = "keep_null",
 ) -> DataFrame:
     """R15 for one table, one result row.
 
     Boolean t/f columns of the source are found with ONE aggregate and recoded;
     target decimals become doubles; the target is de-duplicated unless it carries
-    both time columns; above ``filter_threshold`` target rows and with a creation
-    column both sides are filtered to ``window``; the common columns are compared as
+    both time columns; both sides are filtered to ``window`` whenever it is given, of
+    whatever size they are (the target needs the creation column for it); the common columns are compared as
     text with EXCEPT ALL semantics (grouped row-hash counts, one shuffle per side).
     """
     from tidemark.functions.columns import boolean_patterns, decimals_to_double, lower_columns, recode_boolean
@@ -427,12 +426,9 @@ def validate_table(
     )
     tgt_d = tgt.dropDuplicates() if dedup else tgt
     if window and created_col in tgt.columns:
-        # The incremental-filter rule depends on the target size: decided on the driver.
-        full_now = tcounts.first()["__full"]
-        if full_now > filter_threshold:
-            lo, hi = window
-            cond = (F.col(created_col) >= F.lit(lo)) & (F.col(created_col) <= F.lit(hi))
-            src, tgt_d = src.where(cond), tgt_d.where(cond)
+        lo, hi = window
+        cond = (F.col(created_col) >= F.lit(lo)) & (F.col(created_col) <= F.lit(hi))
+        src, tgt_d = src.where(cond), tgt_d.where(cond)
     common = sorted(set(src.columns) & set(tgt_d.columns))
     s = src.select(*[(recode_boolean(F.col(c), null_mode) if c in bool_cols else F.col(c)).cast("string").alias(c) for c in common])
     t = tgt_d.select(*[F.col(c).cast("string").alias(c) for c in common])
