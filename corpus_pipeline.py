@@ -2,7 +2,8 @@
 the next one's documents.
 
 1. Documents that the quality rules reject go; lines above the limits go from those that stay.
-2. Of documents linked by near-equal shingle sets the one of the least id stays, and of rows alike in id and text one.
+2. Of documents linked by near-equal shingle sets one stays, that of the least id (null ids last; of texts of one id
+   that of the least hash), and of rows alike in id and text one.
 3. Repeated chunks go; a document of which nothing but blanks is left goes.
 4. Documents that hold a window of a benchmark item go.
 5. What is left is packed into sequences.
@@ -37,7 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = jaccard_join(docs).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+    keep = jaccard_join(docs).filter("first").select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
     keyed = docs.withColumn("__own", F.xxhash64("text", "doc_id"))
     kept = keyed.join(keep, (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     return kept.dropDuplicates(["__own", "doc_id"]).select(docs.columns)

@@ -56,6 +56,20 @@ def test_one_of_each_group(staged):
     assert set(texts(frames["near_duplicates"])) == want and {5, 100} <= want and not {120, 121, 122} & want
 
 
+def test_null_and_repeated_ids_leave_one_of_each_group(spark, tmp_path):
+    groups = [list(near_copies(9_000 + 100 * i, 4, 200, 1)) for i in range(4)]
+    ids = [[None] * 4, [7] * 4, [9, 9, None, 11], [13, 12, 12, 12]]
+    items = [(d, t) for texts, names in zip(groups, ids, strict=True) for d, t in zip(names, texts, strict=True)]
+    items += [(20, prose(71, 90)), (20, prose(72, 90)), (None, prose(73, 90)), (None, prose(74, 90)), (None, ""), (None, None)]
+    items += [(None, groups[0][0]), (7, groups[1][0])]
+    rows = [(d, t, "en", "a", None if t is None else len(t)) for d, t in items]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/d")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()]
+    assert [sorted({d for d, t in left if t in texts}, key=str) for texts in groups] == [[None], [7], [9], [12]]
+    assert [sum(t in texts for _, t in left) for texts in groups] == [1, 1, 1, 1]
+    assert sorted((x for x in left if x[1] not in sum(groups, [])), key=str) == sorted(items[16:22], key=str)
+
+
 def test_passage_stays_once(staged):
     frames, _ = staged
     before, after = texts(frames["near_duplicates"]), texts(frames["substring_dedup"])

@@ -400,7 +400,9 @@ def close_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, **how) -> DataFrame:
-    """One row for each row of ``docs``: ``id``, ``key`` (a hash of the text), ``n_shingles``, ``component_id``."""
+    """One row for each row of ``docs``: ``id``, ``key`` (a hash of the text), ``n_shingles``, ``component_id``, ``first``
+    (whether the row is the one that stands for its component, the least by id, null ids last, then key; rows alike in id and text
+    are one)."""
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col, F.col(id_col)).alias("key"), F.col(text_col).alias("text"))
     rows = staged(sets_and_shares(named, k, percent), "jaccard-sets")
     reps = rows.filter("may").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("r"), F.max("score").alias("score")).select(F.col("r.key").alias("node"), "score")
@@ -420,12 +422,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = staged(texts.mapInArrow(tokens, "node long, score int, n int, tokens binary").groupBy("node").agg(F.max("score").alias("score"), F.max("n").alias("n"), F.first("tokens").alias("tokens")), "jaccard-tokens")
     label = linked_components(sets, percent, **how)
     # From classes to documents: a class has the label of its representative, or stands alone.
-    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("r")).select("digest", "least", F.col("r.key").alias("node"))
+    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("r")).select("digest", "least", "r", F.col("r.key").alias("node"))
     labelled = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named_by = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = labelled.join(named_by, "label").select("digest", "component_id")
+    named_by = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.min("r").alias("least_row"))
+    by_class = labelled.join(named_by, "label").select("digest", "component_id", F.col("least_row.id").alias("r_id"), F.col("least_row.key").alias("r_key"))
     out = rows.join(by_class, "digest", "left")
-    return out.select("id", "key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key"))).otherwise(True).alias("first"))
 
 
 def op9_jaccard_components(spark, sf_dir: str) -> DataFrame:
