@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by prefix doubling over ranked positions.
+"""Exact removal of repeated byte strings by minimizer fingerprints, in place of prefix doubling over ranked positions.
 
 Removed is each byte under a string of ``length`` bytes that also starts earlier (in a smaller document id, or
 earlier in the same document). Positions with equal prefixes share a rank; ranks come from longer and
@@ -9,8 +9,8 @@ longer prefixes, and a position drops out as soon as its rank is its own:
    does. The ranks of all documents meet by value, and positions of a rank of their own drop out.
 2. *Whole reach.* A position stands for the run of windows that chose it. Where the run's bytes are those of an
    earlier position's run, all its windows repeat, and it is done.
-3. *Whole length.* The windows of those still open are ranked by their ``length`` bytes, the prefix at double
-   and double length again; a window of a rank that an earlier window has is removed.
+3. *Whole length.* The windows of those still open are ranked by their ``length`` bytes, hashed anew and
+   not made of earlier ranks; a window of a rank that an earlier window has is removed.
 
 A rank is a hash of the prefix, which the task that holds the text takes from running sums at any offset, so
 only positions and ranks are shuffled. Within a unit of texts runs alike are sent once, so a text or passage
