@@ -1,6 +1,6 @@
 """The operators' queries and their DuckDB SQL."""
 
-from tidemark.llm import chunks, decontaminate, jaccard, packing, quality, resample, shard, simple8b, suffixes, trie
+from tidemark.llm import chunks, decontaminate, jaccard, langid, packing, quality, resample, shard, simple8b, suffixes, trie, veccodes, whiten
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_substring_removal": suffixes.op8_substring_removal,
     "op9_jaccard_components": jaccard.op9_jaccard_components,
     "op10_importance_resampling": resample.op10_importance_resampling,
+    "op11_language_spans": langid.op11_language_spans,
+    "op12_spectrum_whitening": whiten.op12_spectrum_whitening,
+    "op13_dictionary_codes": veccodes.op13_dictionary_codes,
 }
-ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op4_benchmark_decontamination": decontaminate.OP4_SQL}
+ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op4_benchmark_decontamination": decontaminate.OP4_SQL, "op13_dictionary_codes": veccodes.OP13_SQL}
