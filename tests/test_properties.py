@@ -15,7 +15,7 @@ SCHEMA = "id long, s string, n long"
 @given(rows)
 def test_self_compare_is_clean(spark, data):
     df = spark.createDataFrame(data, SCHEMA)
-    r = R.keyed_counts(R.keyed_join(df, df, "id", ["s", "n"]), ["s", "n"]).first()
+    r = R.KeyedCompare(df, df, "id", ["s", "n"]).counts().first()
     assert (r.rows_only_in_source, r.rows_only_in_target, r.mismatched_rows) == (0, 0, 0)
     h = R.hash_diff(df, df, ["id", "s", "n"]).first()
     assert (h.rows_only_in_source, h.rows_only_in_target) == (0, 0)
@@ -26,7 +26,7 @@ def test_self_compare_is_clean(spark, data):
 def test_injected_changes_are_found(spark, data, changed):
     src = spark.createDataFrame(data, SCHEMA)
     tgt = spark.createDataFrame([(i, s, n + 100 if i in changed else n) for i, s, n in data], SCHEMA)
-    r = R.keyed_counts(R.keyed_join(src, tgt, "id", ["s", "n"]), ["s", "n"]).first()
+    r = R.KeyedCompare(src, tgt, "id", ["s", "n"]).counts().first()
     assert r.mismatched_rows == len({i for i, _, _ in data} & changed)
 
 

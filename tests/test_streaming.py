@@ -117,8 +117,90 @@ def test_late_rows_of_any_age_are_counted_once(spark):
     fact = spark.read.parquet(out).where("brand = 'B1'")
     got = {(r.interval_start.hour, r.interval_start.minute): r.message_count for r in fact.where("message_count > 0").collect()}
     assert got == {(10, 0): 2, (12, 0): 1, (12, 30): 1}
-    assert fact.count() == 6  # 10:00 .. 12:30 zero-filled
-    # Replaying batch 1 (same batch id) leaves the fact unchanged.
-    S._apply_increment(spark, spark.createDataFrame(b1, schema).withColumn("enqueued_time", F.col("enqueued_time").cast("timestamp")), 0, out, cfg)
+    assert fact.count() == 26  # 00:00 .. 12:30 zero-filled
+    # Replaying the last batch (same batch id) leaves the fact unchanged.
+    S._apply_increment(spark, S.with_clock(S.event_time(spark.createDataFrame(b2, schema), "enqueued_time"), None, cfg), 1, out, cfg)
     again = {(r.interval_start.hour, r.interval_start.minute): r.message_count for r in spark.read.parquet(out).where("brand = 'B1' AND message_count > 0").collect()}
     assert again == got
+
+
+EVENTS = "event_id long, enqueued_time timestamp_ntz, message_type string, brand_raw string"
+ONE = FeedConfig(expected_types=("click",), spine_brands=("B1",), expected_brands=("B1",))
+
+
+def at(day: int, hour: int = 0, minute: int = 0) -> dt.datetime:
+    return dt.datetime(2024, 1, day, hour, minute)
+
+
+def batch(spark, events=(), ticks=()):
+    e = S.event_time(spark.createDataFrame([(i, t, "click", "B1") for i, t in enumerate(events)], EVENTS), "enqueued_time")
+    return S.with_clock(e, spark.createDataFrame([(t,) for t in ticks], "clock_time timestamp_ntz"), ONE)
+
+
+def counts_of(spark, path):
+    return {r.interval_start: r.message_count for r in spark.read.parquet(path).collect()}
+
+
+def test_clock_fills_silent_slots_and_days(spark):
+    out = stage_path(spark, "clock-fact")
+    S._apply_increment(spark, batch(spark, [at(1, 10, 5), at(1, 10, 40)], [at(1, 10, 10)]), 0, out, ONE, True)
+    assert counts_of(spark, out) == {at(1, h, m): 0 for h in range(10) for m in (0, 30)}  # 10:00 isn't over yet
+    S._apply_increment(spark, batch(spark, [], [at(1, 10, 59), at(1, 11, 1)]), 1, out, ONE, True)
+    assert {k: v for k, v in counts_of(spark, out).items() if k >= at(1, 10)} == {at(1, 10): 1, at(1, 10, 30): 1}
+    S._apply_increment(spark, batch(spark, [], [at(4, 0, 5)]), 2, out, ONE, True)  # two and a half days without an event
+    got = counts_of(spark, out)
+    assert len(got) == 3 * 48 and sum(got.values()) == 2
+    S._apply_increment(spark, batch(spark, [at(2, 7, 0)], []), 3, out, ONE, True)  # a late event of a silent day
+    S._apply_increment(spark, batch(spark, [], []), 4, out, ONE, True)
+    got = counts_of(spark, out)
+    assert len(got) == 3 * 48 and got[at(2, 7)] == 1 and sum(got.values()) == 3
+
+
+def test_compacted_increments_give_the_same_fact(spark):
+    from tidemark.sinks import children
+
+    facts = []
+    for every in (2, 100):
+        out = stage_path(spark, "compact-fact")
+        for i in range(7):
+            S._apply_increment(spark, batch(spark, [at(1 + i % 3, 3, j) for j in range(i + 1)], [at(1 + i, 12)]), i, out, ONE, True, every)
+            if i == 5:  # a replay after a lost commit
+                S._apply_increment(spark, batch(spark, [at(1 + i % 3, 3, j) for j in range(i + 1)], [at(1 + i, 12)]), i, out, ONE, True, every)
+        facts.append(counts_of(spark, out))
+        if every == 2:
+            assert len([x for x in children(spark, out + "__increments") if x.startswith("batch_id=")]) <= 3
+    assert facts[0] == facts[1] and sum(facts[0].values()) == 28
+
+
+def test_windows_drop_rows_beyond_the_watermark(spark):
+    folder, out = stage_path(spark, "late-src"), stage_path(spark, "late-windows")
+    parts = [[at(1, 10, 5), at(3, 12, 10)], [at(1, 10, 6), at(2, 12, 5), at(2, 11, 59), at(3, 12, 20)], [at(3, 12, 25), at(3, 9)]]
+    for i, events in enumerate(parts):  # each to a restarted job
+        spark.createDataFrame([(10 * i + k, t, "click", "B1") for k, t in enumerate(events)], EVENTS).coalesce(1).write.parquet(f"{folder}/{i}")
+        stream = S.event_time(S.read_files(spark, folder, spark.read.parquet(f"{folder}/0").schema, recursive=True), "enqueued_time")
+        q = S.upsert_windows(spark, stream, out, ONE, "1 day", checkpoint=out + "-ck")
+        q.awaitTermination()
+    # Mark after the first part: the 2nd, 12:10, so slots that ended by then are closed; 12:00 of the 2nd is open.
+    assert counts_of(spark, out) == {at(1, 10): 1, at(3, 12): 3, at(2, 12): 1, at(3, 9): 1}
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert state[-1] <= 3  # the slots of the 1st are evicted
+
+
+def test_merge_keeps_text_partitions(spark):
+    from tidemark.sinks import children
+
+    path = stage_path(spark, "text-parts")
+    for v in ("a", "b"):
+        merge_into(spark, path, spark.createDataFrame([("001", 1, v), ("1", 1, v + "1")], "run_date string, k int, v string"), ["run_date", "k"])
+    assert [x for x in children(spark, path) if "=" in x] == ["run_date=001", "run_date=1"]
+    assert sorted(tuple(r) for r in spark.read.schema("k int, v string, run_date string").parquet(path).collect()) == [(1, "b", "001"), (1, "b1", "1")]
+
+
+def test_retention_removes_folders_only(spark):
+    from tidemark.sinks import children, drop_older_folders
+
+    path = stage_path(spark, "retention")
+    spark.createDataFrame([(dt.date(2024, 1, d), d) for d in (1, 2, 3)], "run_date date, k int").write.partitionBy("run_date").parquet(path)
+    kept = children(spark, f"{path}/run_date=2024-01-03")
+    assert drop_older_folders(spark, path, "run_date", "2024-01-02") == ["run_date=2024-01-01"]
+    assert children(spark, f"{path}/run_date=2024-01-03") == kept and spark.read.parquet(path).count() == 2

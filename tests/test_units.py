@@ -41,26 +41,64 @@ def test_breach_streak_corrected(spark):
     assert _col(out, "s") == [1, 2, 0, 1, 2, 3, 0, 0, 1]
 
 
+def counts(spark, s, t, schema="id long, v string", cols=("v",)):
+    return R.KeyedCompare(spark.createDataFrame(s, schema), spark.createDataFrame(t, schema), "id", list(cols)).counts().first()
+
+
 def test_null_and_duplicate_keys(spark):
-    # NULL keys never match (counted on both sides); duplicates are counted, not multiplied into pairs.
-    s = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (None, "n")], "id long, v string")
-    t = spark.createDataFrame([(2, "y"), (3, "z"), (None, "n")], "id long, v string")
-    r = R.keyed_counts(R.keyed_join(s, t, "id", ["v"]), ["v"]).first()
-    assert (r.rows_only_in_source, r.rows_only_in_target) == (2, 2)
-    assert r.matched_row_count == 2 and r.duplicate_keys == 1 and r.mismatched_rows == 0
+    # NULL keys never match (counted on both sides); a key's rows are matched one to one, the surplus has no partner.
+    r = counts(spark, [(1, "x"), (2, "y"), (2, "y"), (None, "n")], [(2, "y"), (3, "z"), (None, "n")])
+    assert (r.source_row_count, r.target_row_count, r.rows_only_in_source, r.rows_only_in_target) == (4, 3, 3, 2)
+    assert r.matched_row_count == 1 and r.duplicate_keys == 1 and r.mismatched_rows == 0
+
+
+def test_surplus_and_pairs_of_repeated_keys(spark):
+    r = counts(spark, [(1, "a"), (1, "b"), (2, "x")], [(1, "a"), (1, "b"), (1, "c"), (2, "x")])
+    assert (r.matched_row_count, r.rows_only_in_source, r.rows_only_in_target, r.mismatched_rows) == (3, 0, 1, 0)
+    r = counts(spark, [(1, "a"), (1, "b")], [(1, "ZZZ"), (1, "YYY")])
+    assert (r.matched_row_count, r.mismatched_rows) == (2, 2)
+
+
+def multiset_pairs(s, t):
+    """Brute force: equal rows cancel, the rest of a key is sorted by digest and paired."""
+    import hashlib
+    from collections import Counter
+
+    digest = lambda row: hashlib.md5("".join("N;" if v is None else f"{len(str(v))}:{v};" for v in row[1:]).encode()).hexdigest()
+    left, right = (Counter(r for r in x if r[0] is not None) for x in (s, t))
+    left, right = left - right, right - left
+    out = []
+    for k in {r[0] for r in left} & {r[0] for r in right}:
+        a, b = (sorted((r for r in x.elements() if r[0] == k), key=digest) for x in (left, right))
+        out += [(str(k), i, x[i], y[i]) for x, y in zip(a, b, strict=False) for i in range(1, len(x)) if x[i] != y[i]]
+    return sorted(out, key=str)
+
+
+def test_mismatches_of_repeated_keys_are_those_of_the_multisets(spark):
+    import random
+
+    r = random.Random(3)
+    rows = lambda n: [(r.choice([1, 1, 1, 1, 2, 3, None]), r.choice("ABCD") * 3, r.choice([None, "x", "y", "z"])) for _ in range(n)]
+    for a, b in ((rows(400), rows(300)), (rows(5), rows(40)), ([], rows(3))):
+        both = R.KeyedCompare(*[spark.createDataFrame(x, "id long, v string, w string") for x in (a, b)], "id", ["v", "w"])
+        got = sorted(((m.key, {"v": 1, "w": 2}[m.column_name], m.source_value, m.target_value) for m in both.mismatches().collect()), key=str)
+        assert got == multiset_pairs(a, b)
+        c = both.counts().first()
+        n = lambda x, k: sum(y[0] == k for y in x)
+        pairs = sum(min(n(a, k), n(b, k)) for k in (1, 2, 3))
+        assert (c.matched_row_count, c.rows_only_in_source, c.rows_only_in_target) == (pairs, len(a) - pairs, len(b) - pairs)
+        assert c.mismatched_rows == both.unequal_pairs().count()
 
 
 def test_compare_is_clean_on_itself(spark):
-    s = spark.createDataFrame([(i, f"v{i}", float(i)) for i in range(50)], "id long, a string, b double")
-    r = R.keyed_counts(R.keyed_join(s, s, "id", ["a", "b"]), ["a", "b"]).first()
+    s = [(i, f"v{i}", float(i)) for i in range(50)]
+    r = counts(spark, s, s, "id long, a string, b double", ("a", "b"))
     assert (r.rows_only_in_source, r.rows_only_in_target, r.mismatched_rows, r.matched_row_count) == (0, 0, 0, 50)
 
 
 def test_swap_mirrors_only_in_counts(spark):
-    s = spark.createDataFrame([(i, "a") for i in range(0, 30)], "id long, v string")
-    t = spark.createDataFrame([(i, "a") for i in range(20, 45)], "id long, v string")
-    a = R.keyed_counts(R.keyed_join(s, t, "id", ["v"]), ["v"]).first()
-    b = R.keyed_counts(R.keyed_join(t, s, "id", ["v"]), ["v"]).first()
+    s, t = [(i, "a") for i in range(0, 30)], [(i, "a") for i in range(20, 45)]
+    a, b = counts(spark, s, t), counts(spark, t, s)
     assert (a.rows_only_in_source, a.rows_only_in_target) == (b.rows_only_in_target, b.rows_only_in_source) == (20, 15)
 
 
@@ -89,17 +127,17 @@ def test_examples_are_ordered_by_key(spark):
 def test_sample_is_deterministic(spark):
     # Hash-bucket sampling does not depend on partitioning.
     s = spark.range(5000).withColumnRenamed("id", "k")
-    thr = R.sample_threshold(500, 5000)
+    thr = R.sample_share(500, 5000)
     a = {r.k for r in s.where(R.key_bucket(F.col("k")) < thr).collect()}
     b = {r.k for r in s.repartition(7).where(R.key_bucket(F.col("k")) < thr).collect()}
     assert a == b and 350 < len(a) < 650
 
 
 def test_sample_size_rule():
-    cfg = R.ReconConfig()
-    assert R.sample_size(15000, 15014, cfg) == 3000
-    assert R.sample_size(100, 5000, cfg) == 100
-    assert R.sample_size(30_000_000, 30_000_000, cfg) == 500_000
+    rule = R.SampleRule()
+    assert rule.size(15000, 15014) == 3000
+    assert rule.size(100, 5000) == 100
+    assert rule.size(30_000_000, 30_000_000) == 500_000
 
 
 def test_ddl_exclusion_case_insensitive_and_null_safe_precision(spark):
@@ -158,12 +196,79 @@ def test_boolean_recode_modes(spark):
     assert pats == {"b": "tf"}
 
 
+def mismatches(left, right, cols):
+    return {(r.key, r.column_name): r.mismatch_type for r in R.KeyedCompare(left, right, "id", cols).mismatches().collect()}
+
+
 def test_decimal_text_is_format_not_value(spark):
-    # 1.50 vs 1.5 and case/whitespace are FORMAT differences.
+    # 1.50 vs 1.5 and case/whitespace are FORMAT differences of texts.
     s = spark.createDataFrame([(1, "1.50", "Active"), (2, "2.0", "x")], "id long, a string, b string")
     t = spark.createDataFrame([(1, "1.5", " active "), (2, "3.0", "x")], "id long, a string, b string")
-    m = {(r.key, r.column_name): r.mismatch_type for r in R.mismatch_rows(R.keyed_join(s, t, "id", ["a", "b"]), ["a", "b"]).collect()}
-    assert m == {("1", "a"): "FORMAT", ("1", "b"): "FORMAT", ("2", "a"): "VALUE"}
+    assert mismatches(s, t, ["a", "b"]) == {("1", "a"): "FORMAT", ("1", "b"): "FORMAT", ("2", "a"): "VALUE"}
+
+
+@pytest.mark.parametrize(
+    ("left", "right", "equal", "other"),
+    [
+        ("CAST(10000000 AS DOUBLE)", "CAST(10000000 AS DECIMAL(12, 2))", True, "CAST(10000000.01 AS DECIMAL(12, 2))"),
+        ("CAST(1.50 AS DECIMAL(10, 2))", "CAST(1.5 AS DECIMAL(20, 1))", True, "CAST(1.6 AS DECIMAL(20, 1))"),
+        ("CAST(7 AS INT)", "CAST(7 AS BIGINT)", True, "CAST(8 AS BIGINT)"),
+        ("CAST(7 AS BIGINT)", "CAST(7.00 AS DECIMAL(10, 2))", True, "CAST(7.01 AS DECIMAL(10, 2))"),
+        ("CAST(0.1 AS FLOAT)", "CAST(0.1 AS DOUBLE)", True, "CAST(0.1000001 AS DOUBLE)"),
+        ("CAST('-0.0' AS DOUBLE)", "CAST(0 AS DECIMAL(3, 1))", True, "CAST(0.1 AS DECIMAL(3, 1))"),
+        ("CAST('12345678901234567890123456789012345678' AS DECIMAL(38, 0))", "CAST('12345678901234567890123456789012345678' AS DECIMAL(38, 0))", True, "CAST('12345678901234567890123456789012345679' AS DECIMAL(38, 0))"),
+        ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DECIMAL(10, 2))", True, "CAST(0 AS DECIMAL(10, 2))"),
+        ("'123.50'", "CAST(123.5 AS DECIMAL(10, 1))", False, "CAST(123.4 AS DECIMAL(10, 1))"),
+        ("'1e7'", "CAST(10000000 AS DOUBLE)", False, "CAST(10000001 AS DOUBLE)"),
+        ("' 2 '", "CAST(2 AS INT)", False, "CAST(3 AS INT)"),
+    ],
+)
+def test_numbers_of_other_types(spark, left, right, equal, other):
+    # Numeric pairs by value; a number beside a text that reads as it differs in format alone.
+    a, b, c = (spark.range(1).selectExpr("id", f"{x} AS v") for x in (left, right, other))
+    assert mismatches(a, b, ["v"]) == ({} if equal else {("0", "v"): "FORMAT"})
+    assert mismatches(b, a, ["v"]) == ({} if equal else {("0", "v"): "FORMAT"})
+    assert mismatches(a, c, ["v"]) == {("0", "v"): "VALUE"}
+
+
+def test_keys_of_other_types_meet(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string"), spark.createDataFrame([(1.0, "x"), (2.0, "z")], "ID double, v string")
+    r = R.KeyedCompare(a, b, "id", ["v"]).counts().first()
+    assert (r.matched_row_count, r.mismatched_rows, r.rows_only_in_source) == (2, 1, 0)
+
+
+def cycle_pair(spark):
+    s = [(1, "a", "2024-05-09 10:00:00"), (2, "b", "2024-05-10 02:59:59"), (3, "c", "2024-05-08 00:00:00"), (4, "d", "2024-05-09 03:00:00"), (6, "f", "2024-05-10 03:00:00"), (7, "g", None)]
+    t = [(1, "a", "2024-05-09 10:00:00"), (2, "B", "2024-05-10 03:00:00"), (3, "C", "2024-05-08 00:00:00"), (5, "e", "2024-05-09 12:00:00"), (6, "f", "2024-05-10 02:00:00"), (7, "h", "2024-05-09 05:00:00")]
+    schema = "id long, v string, UpdateTime string"
+    return [spark.createDataFrame(x, schema).withColumn("UpdateTime", F.col("UpdateTime").cast("timestamp_ntz")) for x in (s, t)]
+
+
+def test_cycle_looks_up_keys_that_straddle_it(spark):
+    from tidemark.operators import recon_run as RR
+
+    # In the cycle: 1, 2, 4 in the source; 1, 5, 6, 7 in the target. 2, 6 and 7 are on the other side too, but outside.
+    cfg = R.ReconConfig(cycle=R.Cycle(cutoff_hour=3))
+    run = RR.Run("r", dt.datetime(2024, 5, 10, 4))
+    r = RR.reconcile_many(spark, [RR.PairSpec("s", "t", *cycle_pair(spark))], cfg, run).first()
+    assert (r.filter_applied, r.filter_column, r.filter_start, r.filter_end) == (True, "updatetime", "2024-05-09 03:00:00", "2024-05-10 03:00:00")
+    assert (r.source_row_count, r.target_row_count, r.matched_row_count, r.rows_only_in_source, r.rows_only_in_target, r.straddling_keys) == (3, 4, 4, 1, 1, 3)
+    assert r.value_mismatch_columns == "UpdateTime, v" and "updatetime from 2024-05-09 03:00:00 to 2024-05-10 03:00:00" in r.comments
+    whole = RR.reconcile_many(spark, [RR.PairSpec("s", "t", *cycle_pair(spark))], R.ReconConfig(), run).first()
+    assert (whole.filter_applied, whole.source_row_count, whole.straddling_keys) == (False, 6, 0) and whole.comments.startswith("whole tables")
+
+
+def test_cycle_filter_reaches_the_scan(spark):
+    from tidemark.sinks import stage_path
+
+    paths = [stage_path(spark, "cycle") for _ in range(2)]
+    for frame, path in zip(cycle_pair(spark), paths, strict=True):
+        frame.write.parquet(path)
+    both = R.KeyedCompare(*[spark.read.parquet(x) for x in paths], "id", ["v"], window=("updatetime", "2024-05-09 03:00:00", "2024-05-10 03:00:00"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = both.counts()._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert plan.count("GreaterThanOrEqual(UpdateTime,2024-05-09T03:00") >= 2 and plan.count("LessThan(UpdateTime,2024-05-10T03:00") >= 2
 
 
 def test_bad_json_timestamp_is_null(spark):
@@ -183,19 +288,20 @@ def test_outcome_modes(spark):
 
 
 @pytest.mark.parametrize(
-    "now,expected",
+    ("now", "expected"),
     [
         (dt.datetime(2024, 5, 10, 3, 15), ("2024-05-09 03:00:00", "2024-05-10 03:00:00")),
         (dt.datetime(2024, 5, 10, 2, 59), ("2024-05-08 03:00:00", "2024-05-09 03:00:00")),
         (dt.datetime(2024, 3, 31, 4, 0), ("2024-03-30 03:00:00", "2024-03-31 03:00:00")),  # DST change in London
+        (dt.datetime(2024, 6, 1, 2, 30, tzinfo=dt.timezone.utc), ("2024-05-31 03:00:00", "2024-06-01 03:00:00")),  # 03:30 there
     ],
 )
-def test_cycle_window(now, expected):
-    assert R.cycle_window(now, 3, "Europe/London", 1) == expected
+def test_cycle_bounds(now, expected):
+    assert R.Cycle(zone="Europe/London").bounds(now) == expected
 
 
-def test_cycle_window_override():
-    assert R.cycle_window(dt.datetime(2024, 1, 1), override=("2024-01-01", "2024-01-02")) == ("2024-01-01", "2024-01-02")
+def test_given_cycle():
+    assert R.Cycle(given=("2024-01-01", "2024-01-02")).bounds(dt.datetime(2024, 1, 1)) == ("2024-01-01", "2024-01-02")
 
 
 @pytest.mark.parametrize(
@@ -289,18 +395,67 @@ def test_csv_tsv_roundtrip_listing_and_sql(spark):
     assert R.pick_first(["x"], ["id"]) is None
 
 
-def test_distributed_quantiles_equal_percentile(spark):
-    # A14/Q-17: the path for unbounded value sets (forced with a tiny bound) is exact.
+def test_quantiles_equal_percentile(spark):
+    # A14/Q-17: whatever the distribution and the number of bins: ties, one value, outliers, NULL groups.
     from tidemark.operators.quantiles import exact_quantiles
 
-    rows = [(g, float((i * 37) % 101) if i % 9 else None, float(i % 5)) for g in ("a", "b") for i in range(400)] + [("c", 7.0, 1.0)]
-    df = spark.createDataFrame(rows, "g string, x double, y double")
+    rows = [(g, float((i * 37) % 101) if i % 9 else None, float(i % 5)) for g in ("a", None) for i in range(400)] + [("c", 7.0, 1.0)]
+    rows += [("d", 1e300 * (-1) ** i / (i + 1), 1e-300 * 2.0**i) for i in range(90)] + [("e", None, float("nan")), ("e", None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
     probs = [0.0, 0.25, 0.5, 0.95, 1.0]
-    want = {(r.g, c, p): r[c][i] for r in df.groupBy("g").agg(*[F.percentile(c, probs).alias(c) for c in ("x", "y")]).collect() for c in ("x", "y") for i, p in enumerate(probs)}
-    for bound in (10, 10_000):
-        got = {(r.g, r.column_name, r.prob): r.quantile for r in exact_quantiles(df, ["x", "y"], probs, by=["g"], partitions=3, max_values_per_task=bound).collect()}
+    clean = df.withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+    want = {(r.g, c, p): r[c][i] for r in clean.groupBy("g").agg(*[F.percentile(c, probs).alias(c) for c in ("x", "y")]).collect() for c in ("x", "y") if r[c] for i, p in enumerate(probs)}
+    for bins, rounds in ((3, 1), (16, 3), (2048, 2)):
+        out = exact_quantiles(df, ["x", "y"], probs, by=["g"], bins=bins, rounds=rounds)
+        got = {(r.g, r.column_name, r.prob): r.quantile for r in out.collect()}
         assert got.keys() == want.keys()
-        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+    assert exact_quantiles(df.where("g = 'nobody'"), ["x"], probs).count() == 0
+
+
+def jobs_of(spark, build):
+    """Number of jobs that building a frame starts."""
+    group = f"build-{build.__name__}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def test_building_the_status_spine_runs_no_job(spark):
+    from tests.conftest import SF_SMALL
+    from tidemark.sources import fixtures as fx
+
+    flow, registry = fx.flow(spark, SF_SMALL), fx.registry(spark, SF_SMALL)
+
+    def interactions():
+        return M.interaction_counts(spark, flow, registry, "2024-01-01 00:00:00", "2024-01-05 00:00:00")
+
+    assert jobs_of(spark, interactions) == 0
+    assert "ALL" in {r.status for r in interactions().select("status").distinct().collect()}
+
+
+def test_profile_takes_two_exchanges(spark):
+    from tidemark.operators import aggs as A
+
+    t = spark.range(100).selectExpr("id", "id % 3 AS m", "CAST(id % 7 AS DOUBLE) AS d", "IF(id % 4 = 0, NULL, CAST(id % 5 AS STRING)) AS s", "CAST(id % 2 AS DECIMAL(5, 1)) AS c", "date_add(DATE '2024-01-01', CAST(id % 6 AS INT)) AS day")
+    out = A.profile_tables({"a": t, "b": t.where("id < 50")})
+    got = {(r.table_name, r.column_name): (r.row_count, r.null_count, r.distinct_count) for r in out.collect()}
+    assert [got["a", c] for c in t.columns] == [(100, 0, 100), (100, 0, 3), (100, 0, 7), (100, 25, 5), (100, 0, 2), (100, 0, 6)]
+    assert got["b", "id"] == (50, 0, 50)
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 2
+
+
+def test_merged_sketches_estimate_the_whole(spark):
+    from tidemark.operators import aggs as A
+
+    t = spark.range(20_000).selectExpr("id % 5000 AS k", "id % 10 AS day", "IF(id % 2 = 0, NULL, 'x') AS v")
+    got = {r.column_name: r for r in A.merge_sketches(A.distinct_sketches(t, ["k", "v"], by=["day"])).collect()}
+    assert abs(got["k"].distinct_estimate - 5000) < 250 and (got["k"].row_count, got["v"].null_count, got["v"].distinct_estimate) == (20_000, 10_000, 1)
 
 
 def test_isolated_run_turns_a_failing_pair_into_an_error_row(spark):
@@ -314,6 +469,7 @@ def test_isolated_run_turns_a_failing_pair_into_an_error_row(spark):
     rows = {r.source_table: r for r in RR.reconcile_many(spark, specs, cfg, isolate=True, max_workers=2).collect()}
     assert rows["good"].overall_status == "PASS" and rows["good"].matched_row_count == 2
     assert (rows["bad"].table_status, rows["bad"].overall_status) == ("ERROR", "ERROR")
+    assert "CAST_INVALID_INPUT" in rows["bad"].comments and rows["bad"].duration_seconds >= 0 and rows["good"].duration_seconds > 0
     with pytest.raises(RuntimeError):
         RR.reconcile_many(spark, specs, cfg, isolate=True, max_error_rate=0.25)
 
@@ -380,7 +536,7 @@ def _pair(spark, s, t):
 
 def test_duplicate_keys_are_compared(spark):
     r = _pair(spark, [(1, "a"), (1, "b"), (2, "x")], [(1, "ZZZ"), (1, "YYY"), (2, "x")])
-    assert (r.overall_status, r.duplicate_keys, r.duplicate_key_differences, r.matched_row_count) == ("FAIL", 1, 1, 3)
+    assert (r.overall_status, r.duplicate_keys, r.value_mismatch_columns, r.matched_row_count) == ("FAIL", 1, "v", 3)
     r = _pair(spark, [(1, "a"), (1, "a"), (2, "x")], [(1, "a"), (2, "x")])
     assert (r.overall_status, r.rows_only_in_source) == ("FAIL", 1)
     assert _pair(spark, [(1, "a"), (1, "b")], [(1, "b"), (1, "a")]).overall_status == "PASS"
@@ -390,10 +546,38 @@ def test_differences_of_duplicate_keys_are_told(spark):
     from tidemark.operators import recon_run as RR
 
     src, tgt, same = (spark.createDataFrame(x, "id int, v string") for x in ([(1, "a"), (1, "b"), (2, "x")], [(1, "ZZZ"), (1, "YYY"), (2, "x")], [(1, "b"), (1, "a"), (2, "x")]))
-    assert [R.keyed_counts(R.keyed_join(src, t, "id", ["v"]), ["v"]).first().mismatched_rows for t in (tgt, same)] == [1, 0]
     differ, match = (RR.comments_many(spark, [RR.PairSpec("s", "t", src, t)]).first().comments for t in (tgt, same))
-    assert "1 duplicate key(s) with as many rows in SRC and TGT whose rows differ." in differ and "All compared columns match" not in differ
-    assert "duplicate key(s)" not in match and "All compared columns match on matched rows." in match
+    assert differ.startswith("whole tables; by id, 3 pairs; keys with several rows: 1; v differs in 2 (2 in value, 0 in format; 1: [")
+    assert match == "whole tables; by id, 3 pairs; keys with several rows: 1; no difference"
+    kinds = [(r.kind, r.rows) for r in RR.findings_many(spark, [RR.PairSpec("s", "t", src, tgt)]).orderBy("position").collect()]
+    assert kinds == [("WHOLE_TABLES", None), ("FULL_KEYED", 3), ("REPEATED_KEYS", 1), ("COLUMN", 2)]
+
+
+def test_all_columns_that_differ_are_told(spark):
+    from tidemark.operators import recon_run as RR
+
+    cols = [f"c{i}" for i in range(20)]
+    s, t = (spark.range(5).select("id", *[(F.col("id") + d).cast("string").alias(c) for c in cols]) for d in (0, 1))
+    r = RR.reconcile_many(spark, [RR.PairSpec("s", "t", s, t)]).first()
+    assert r.mismatched_column_count == 20 and all(f"{c} differs in 5" in r.comments for c in cols)
+    assert "c7 differs in 5 (5 in value, 0 in format; 0: [0] / [1], 1: [1] / [2], 2: [2] / [3])" in r.comments
+
+
+def test_a_pair_that_cannot_be_planned_is_an_error_row(spark):
+    from tidemark.operators import recon_run as RR
+
+    good = spark.createDataFrame([(1, "a")], "id long, v string")
+
+    class Broken:
+        columns = ["id"]
+
+        @property
+        def schema(self):
+            raise RuntimeError("no such store")
+
+    rows = {r.source_table: r for r in RR.reconcile_many(spark, [RR.PairSpec("good", "t", good, good), RR.PairSpec("bad", "t", Broken(), good)]).collect()}
+    assert rows["good"].overall_status == "PASS" and (rows["bad"].overall_status, rows["bad"].comments) == ("ERROR", "RuntimeError: no such store")
+    assert RR.reconcile_many(spark, []).count() == 0
 
 
 def test_no_size_is_sampled(spark):
@@ -402,7 +586,7 @@ def test_no_size_is_sampled(spark):
     src = spark.range(20_000).selectExpr("id", "'a' AS v")
     for tgt, status in ((spark.range(25_000).selectExpr("id", "'a' AS v"), "FAIL"), (src.selectExpr("id", "if(id = 77, 'b', v) AS v"), "FAIL"), (src, "PASS")):
         assert RR.reconcile_many(spark, [RR.PairSpec("s", "t", src, tgt)]).first().overall_status == status
-    r = RR.reconcile_many(spark, [RR.PairSpec("s", "t", src, src)], R.ReconConfig(sample=True)).first()
+    r = RR.reconcile_many(spark, [RR.PairSpec("s", "t", src, src)], R.ReconConfig(sample=R.SampleRule())).first()
     assert (r.comparison_mode, r.data_status, r.overall_status) == ("SAMPLE_KEYED", "SAMPLE_MATCH", "WARN")
 
 
@@ -423,3 +607,28 @@ def test_validation_window_holds_for_any_size(spark):
         src, tgt = (spark.range(n).selectExpr("id", "if(id < 10, '2024-01-01', '2024-02-01') AS creationtime", "'u' AS updatetime", v) for v in ("if(id = 5, 'b', 'a') AS v", "if(id >= 10, 'c', 'a') AS v"))
         r = RR.validate_table(spark, "t", src, tgt, window=("2024-01-01", "2024-01-31")).first()
         assert (r.source_count, r.target_full_count, r.target_filter_count, r.source_only_count, r.target_only_count) == (10, n, 10, 1, 1)
+
+
+def test_equal_tables_are_validated_without_a_shuffle(spark):
+    from tidemark.operators import recon_run as RR
+
+    s = spark.range(1000).selectExpr("id", "CAST(id % 7 AS STRING) AS v", "'2024-01-01' AS creationtime", "'u' AS updatetime")
+    out = RR.validate_table(spark, "t", s, s.repartition(3))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert (out.first().source_count, out.first().comment, out.first().differing_columns) == (1000, "All checks passed", [])
+    swapped = s.withColumn("v", F.expr("CAST((id + 1) % 7 AS STRING)"))
+    r = RR.validate_table(spark, "t", s.where("id < 994"), swapped.where("id < 994")).first()
+    assert r.differing_columns == [] and r.source_only_count == 994  # each column alone holds the same values
+
+
+def test_fingerprints_add_up(spark):
+    from tidemark.operators.setops import fingerprints, merge_fingerprints, same_fingerprints
+
+    df = spark.range(300).selectExpr("id", "id % 5 AS day", "IF(id % 9 = 0, NULL, CAST(id % 11 AS STRING)) AS v")
+    forms = {"v": "v", "id": "CAST(id AS STRING)"}
+    key = lambda f: sorted((str(r.column_name), r.row_count, r.h1, r.h2) for r in f.collect())
+    assert key(merge_fingerprints(fingerprints(df.repartition(7), forms, by=["day"]))) == key(fingerprints(df, forms))
+    other = df.withColumn("v", F.when(F.col("id") == 8, "x").otherwise(F.col("v")))
+    assert {r.column_name: r.same for r in same_fingerprints(fingerprints(df, forms), fingerprints(other, forms)).collect()} == {"v": False, "id": True, None: False}
+    empty = fingerprints(df.where("id < 0"), forms)
+    assert {r.same for r in same_fingerprints(empty, empty).collect()} == {True}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,70 +39,74 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, digits: int = 4) -> DataFrame:
-    """A6/A8-A10/Q-1: one aggregate for the whole table, then one row per column.
+def value_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``(table_name, column_no, whole, real, other, n)``: how often each value stands in each column of all tables, in one shuffle.
+
+    A value goes in its own kind (integers as long, floating as double, the rest as text), so that every table
+    and type shares one grouping; equal values combine before the shuffle.
+    """
+    out = None
+    for name, df in tables.items():
+        cells = []
+        for i, f in enumerate(df.schema.fields):
+            c = F.col(f"`{f.name}`")
+            kind = "whole" if isinstance(f.dataType, T.IntegralType) else "real" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else "other"
+            to = {"whole": "long", "real": "double", "other": "string"}
+            cells.append(F.struct(F.lit(i).alias("column_no"), *[(c if k == kind else F.lit(None)).cast(t).alias(k) for k, t in to.items()]))
+        part = df.select(F.lit(name).alias("table_name"), F.explode(F.array(*cells)).alias("p")).select("table_name", "p.*")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("table_name", "column_no", "whole", "real", "other").agg(F.count(F.lit(1)).alias("n"))
+
+
+def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """A9/A10/Q-2: ``(table_name, column_name, row_count, null_count, distinct_count)`` and their shares, for all columns of
+    all tables by two exchanges. A column without rows has no row."""
+    from tidemark.operators.windows import pct_round
+
+    absent = F.col("whole").isNull() & F.col("real").isNull() & F.col("other").isNull()
+    per = value_counts(tables).groupBy("table_name", "column_no").agg(
+        F.sum("n").cast("long").alias("row_count"), F.coalesce(F.sum(F.when(absent, F.col("n"))), F.lit(0)).cast("long").alias("null_count"), F.count(F.when(~absent, 1)).alias("distinct_count")
+    )
+    names = F.create_map(*[x for t, df in tables.items() for x in (F.lit(t), F.array(*[F.lit(c) for c in df.columns]))])
+    pct = lambda x: pct_round(x, F.col("row_count"), 2)
+    return per.select(
+        "table_name", names[F.col("table_name")][F.col("column_no")].alias("column_name"), "row_count", "null_count", "distinct_count",
+        pct(F.col("null_count")).alias("null_pct"), pct(F.col("row_count") - F.col("null_count")).alias("density_pct"), pct(F.col("distinct_count")).alias("distinct_pct"),
+    )
+
+
+def profile(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
+    """A6/A8-A10/Q-1: one row per column of a table.
 
     Columns: ``column_name, row_count, null_count, distinct_count, null_pct, density_pct,
-    distinct_pct, mean, stddev`` (mean/stddev only for numeric columns).
-    ``approx=True`` switches distinct counts to HyperLogLog for very wide/large tables.
+    distinct_pct, mean, stddev`` (mean/stddev only for numeric columns). Two scans: one grouping of all values
+    (``value_counts``) and one aggregate without a shuffle of values.
     """
+    df = df.select(*[f"`{c}`" for c in cols]) if cols is not None else df
+    numeric = numeric_columns(df)
+    x = lambda c: F.col(f"`{c}`").cast("double")
+    wide = df.agg(F.lit(0).alias("none"), *[e for i, c in enumerate(numeric) for e in (F.avg(x(c)).alias(f"m{i}"), F.stddev(x(c)).alias(f"s{i}"))])
+    rows = [F.struct(F.lit(c).alias("name"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("stddev")) for i, c in enumerate(numeric)]
+    moments = wide.select(F.explode(F.array(*rows).cast("array<struct<name: string, mean: double, stddev: double>>")).alias("p")).select("p.*")
+    shares = profile_tables({"": df}).drop("table_name")
+    out = shares.join(moments, F.col("column_name") == F.col("name"), "left")
+    return out.select(*shares.columns, F.round("mean", digits).alias("mean"), F.round("stddev", digits).alias("stddev"))
+
+
+def distinct_sketches(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (), lg_k: int = 12) -> DataFrame:
+    """A9 approximate: ``(*by, column_name, row_count, null_count, sketch)``; a sketch of some KB for each column (and day),
+    to be stored and merged: a day is read once, however often the table's distinct counts are asked for."""
     cols = list(cols) if cols is not None else df.columns
-    numeric = set(numeric_columns(df))
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    distinct = []
-    for i, c in enumerate(cols):
-        col = F.col(f"`{c}`")
-        aggs.append(F.count(F.when(col.isNull(), 1)).alias(f"n{i}"))
-        distinct.append((F.approx_count_distinct(col) if approx else F.countDistinct(col)).alias(f"d{i}"))
-        if c in numeric:
-            aggs.append(F.avg(col.cast("double")).alias(f"m{i}"))
-            aggs.append(F.stddev(col.cast("double")).alias(f"s{i}"))
-    if approx:
-        wide = df.agg(*aggs, *distinct)
-    else:
-        # Exact distinct counts: one single-column branch per column (group by the value
-        # in its own type, combined map-side, then count the non-NULL keys). Each branch
-        # scans one column; unlike Expand, rows are never replicated per column.
-        branches = [
-            df.groupBy(F.col(f"`{c}`").alias("__v")).agg(F.lit(1).alias("__x")).agg(F.count("__v").alias("__d")).select(F.lit(i).alias("__i"), "__d")
-            for i, c in enumerate(cols)
-        ]
-        dist_long = branches[0]
-        for b in branches[1:]:
-            dist_long = dist_long.unionByName(b)
-        # Pivot the (tiny, one row per column) result back into the wide row.
-        dist = dist_long.agg(*[F.max(F.when(F.col("__i") == i, F.col("__d"))).alias(f"d{i}") for i in range(len(cols))]).withColumn("__k", F.lit(1))
-        plain = df.agg(*aggs).withColumn("__k", F.lit(1))
-        wide = plain.join(dist, "__k")
-    structs = []
-    for i, c in enumerate(cols):
-        structs.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.col(f"n{i}").alias("null_count"),
-                F.col(f"d{i}").cast("long").alias("distinct_count"),
-                (F.col(f"m{i}") if c in numeric else F.lit(None).cast("double")).alias("mean"),
-                (F.col(f"s{i}") if c in numeric else F.lit(None).cast("double")).alias("stddev"),
-            )
-        )
-    rows = F.col("row_count")
-    out = wide.select(F.col("__rows").alias("row_count"), F.explode(F.array(*structs)).alias("p")).select("row_count", "p.*")
-
-    def pct(x: Column) -> Column:
-        from tidemark.operators.windows import pct_round
-
-        return pct_round(x, rows, 2)
-
-    return out.select(
-        "column_name",
-        "row_count",
-        "null_count",
-        "distinct_count",
-        pct(F.col("null_count")).alias("null_pct"),
-        pct(rows - F.col("null_count")).alias("density_pct"),
-        pct(F.col("distinct_count")).alias("distinct_pct"),
-        F.round("mean", digits).alias("mean"),
-        F.round("stddev", digits).alias("stddev"),
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), *[e for i, c in enumerate(cols) for e in (F.count(text(c)).alias(f"n{i}"), F.hll_sketch_agg(text(c), F.lit(lg_k)).alias(f"h{i}"))])
+    rows = [F.struct(F.lit(c).alias("column_name"), (F.col("row_count") - F.col(f"n{i}")).alias("null_count"), F.col(f"h{i}").alias("sketch")) for i, c in enumerate(cols)]
+    return wide.select(*by, "row_count", F.explode(F.array(*rows)).alias("p")).select(*by, "p.column_name", "row_count", "p.null_count", "p.sketch")
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """``(column_name, row_count, null_count, distinct_estimate)`` of the whole from sketches of its parts."""
+    return sketches.groupBy("column_name").agg(
+        F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_estimate")
     )
 
 
@@ -137,8 +141,8 @@ def null_counts(df: DataFrame) -> DataFrame:
     return wide.select(F.explode(arr).alias("p")).select("p.*")
 
 
-def top_values(df: DataFrame, cols: Sequence[str], n: int = 5) -> DataFrame:
-    """The ``n`` most frequent values per column (bounded output; ties by value).
+def top_values(df: DataFrame, cols: Sequence[str] | None = None, n: int | None = None) -> DataFrame:
+    """The values of each column (default: of all) with their counts and ranks (most frequent first, ties by value); ``n``: the first ones only.
 
     One unpivot + grouped count; the per-column ranking runs on the (column, value)
     counts, never on raw rows.
@@ -147,15 +151,23 @@ def top_values(df: DataFrame, cols: Sequence[str], n: int = 5) -> DataFrame:
 
     from tidemark.operators.windows import first_n_per
 
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
+    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in (cols or df.columns)])
     g = df.select(F.explode(arr).alias("p")).select("p.*").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("value_count"))
-    # A column can have as many distinct values as rows: rank in two salted levels (exact).
     order = [F.col("value_count").desc(), F.col("value").asc_nulls_first()]
+    if n is None:  # rank by (count, value) in two levels: values of one count are numbered together, counts are few
+        same = Window.partitionBy("column_name", "value_count").orderBy(F.col("value").asc_nulls_first())
+        more = Window.partitionBy("column_name").orderBy(F.col("value_count").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        levels = g.groupBy("column_name", "value_count").agg(F.count(F.lit(1)).alias("values"))
+        offsets = levels.select("column_name", "value_count", F.coalesce(F.sum("values").over(more), F.lit(0)).alias("above"))
+        ranked = g.withColumn("own", F.row_number().over(same)).join(offsets, ["column_name", "value_count"])
+        return ranked.select("column_name", "value", "value_count", (F.col("own") + F.col("above")).cast("long").alias("value_rank"))
+    # A column can have as many distinct values as rows: rank in two salted levels (exact).
     return first_n_per(g, ["column_name"], order, n, "value_rank", salt=F.xxhash64("value"))
 
 
-def correlation(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pearson correlation for every column pair in ONE aggregate, long form."""
+def correlation(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
+    """Pearson correlation for every pair of numeric columns in ONE aggregate, long form."""
+    cols = list(cols) if cols is not None else numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     arr = F.array(
@@ -184,11 +196,7 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def quartiles(df: DataFrame, cols: Sequence[str], digits: int = 4) -> DataFrame:
-    """A14 re-aimed: exact quartiles (linear interpolation) per column, long form.
-
-    ``quantiles.exact_quantiles`` checks the number of distinct values first and
-    never merges an unbounded value set in one task.
-    """
+    """A14 re-aimed: exact quartiles (linear interpolation) per column, long form."""
     from tidemark.operators.quantiles import exact_quantiles
 
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])

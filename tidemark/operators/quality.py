@@ -196,8 +196,8 @@ def trace(layers: Mapping[str, DataFrame], key: str) -> DataFrame:
 def latency(df: DataFrame, t1: str, t2: str, by: Sequence[str], sla_seconds: int) -> DataFrame:
     """Q-17: per group: rows, missing second timestamps, exact p50/p95/max latency (s) and SLA breaches.
 
-    The exact percentiles come from ``quantiles.exact_quantiles`` (size-checked, no
-    unbounded one-task merge); the counts are one aggregate; both are per group.
+    The exact percentiles come from ``quantiles.exact_quantiles`` (no one-task merge of a
+    group's values); the counts are one aggregate; both are per group.
     """
     from tidemark.operators.quantiles import exact_quantiles
 

@@ -1,104 +1,68 @@
-"""Exact quantiles without collecting a group into one task (A14, Q-17).
+"""Exact quantiles by selection, for all groups, columns and ranks at once (A14, Q-17).
 
-``percentile`` keeps a value->count map of a whole group and merges it in one
-final task: memory grows with the number of distinct values. Here:
+Spark's exact ``percentile`` merges a whole group's value -> count map in one task. Here the wanted ranks are
+narrowed down instead: a group's values lie in one interval first; a round cuts every interval that holds a wanted rank
+into equal bins, counts the values of each bin (combined map-side: a bin is one row however many values it holds), and
+goes on with the bin in which the rank falls, shrunk to the least and greatest value found in it.
+After the rounds a rank's bin holds one value, or about ``bins ** -rounds`` of the group's range; its distinct
+values are then counted and the rank is read off. Every step is exact, whatever the distribution (a bin that
+holds too much costs time, not correctness). One lazy plan of ``rounds`` + 2 scans: no job while it is built, no Python worker, no
+hint: the frames of bins and ranks have some rows a group, and adaptive execution sees their size.
 
-1. ``(group, value) -> count`` is aggregated (map-side combined: a hot value is one row);
-2. the counted values are range-partitioned by ``(group, value)`` and sorted;
-3. each partition computes running counts (pandas, per Arrow batch, state kept
-   across the batches of the partition);
-4. per-partition totals (one row per partition and group) give the offsets;
-5. the rows covering the two ranks around ``p * (n - 1)`` are selected and
-   interpolated linearly, which is exactly what ``percentile`` / SQL
-   ``quantile_cont`` return.
+A quantile is interpolated between the two ranks around ``p * (n - 1)``, which is exactly what ``percentile`` / SQL
+``quantile_cont`` return. NULL, NaN and infinite values are left out.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Workers need no copy of the library on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+def exact_quantiles(df: DataFrame, value_cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), bins: int = 2048, rounds: int = 2) -> DataFrame:
+    """Rows ``(*by, column_name, prob, quantile)``."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("value")) for c in value_cols])
+    values = df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").where("value > -double('infinity') AND value < double('infinity')")
+    group = [*by, "column_name"]
 
-def _running_counts(batches):
-    import pandas as pd
+    # One interval a group, and the ranks wanted of it: floor and ceiling of p * (n - 1).
+    whole = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    at = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
+    asked = whole.select(*group, "n", "lo", "hi", at).withColumn("x", F.col("prob") * (F.col("n") - 1))
+    aims = asked.select(*group, "prob", "x", "lo", "hi", F.lit(0).cast("long").alias("below"), F.explode(F.array_distinct(F.array(F.floor("x"), F.ceil("x")))).alias("rank"))
+    for _ in range(rounds):
+        # Halves keep the width finite; values and bins rise together, since every step is monotonous.
+        bin_of = f"IF(lo = hi, 0, least({bins - 1}, CAST(floor((value / 2 - lo / 2) / (hi / 2 - lo / 2) * {bins}) AS INT))) AS bin"
+        cells = _inside(values, aims, group).selectExpr(*[f"`{c}`" for c in group], "lo", "hi", "below", "value", bin_of)
+        found = cells.groupBy(*group, "lo", "hi", "below", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("least"), F.max("value").alias("most"))
+        aims = _aimed(aims, found, group, "bin")
+    counted = _inside(values, aims, group).groupBy(*group, "lo", "hi", "below", "value").agg(F.count(F.lit(1)).alias("c"))
+    picked = _aimed(aims, counted.withColumn("least", F.col("value")).withColumn("most", F.col("value")), group, "value")
+    value = lambda r: F.max(F.when(F.col("rank") == r(F.col("x")), F.col("lo")))
+    ends = picked.groupBy(*group, "prob", "x").agg(value(F.floor).alias("v0"), value(F.ceil).alias("v1"))
+    return ends.select(*group, "prob", (F.col("v0") + (F.col("x") - F.floor("x")) * (F.col("v1") - F.col("v0"))).alias("quantile"))
 
-    run: dict = {}
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        pdf = pdf.copy()
-        ends = []
-        for g, c in zip(pdf["__g"], pdf["__c"]):
-            run[g] = run.get(g, 0) + int(c)
-            ends.append(run[g])
-        pdf["__end"] = pd.Series(ends, index=pdf.index, dtype="int64")
-        yield pdf
 
+def _same(a: str, b: str, names: Sequence[str]):
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}"))
+    return cond
 
-def exact_quantiles(
-    df: DataFrame, value_cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), partitions: int | None = None, max_values_per_task: int = 5_000_000
-) -> DataFrame:
-    """Rows ``(*by, column_name, prob, quantile)``; NULL values are ignored.
 
-    Size check first: when every group has at most ``max_values_per_task``
-    distinct values, ``percentile`` with a frequency column runs over the
-    pre-counted values (its one-task merge is then bounded); otherwise the
-    range-partitioned path below is used. Both are exact.
-    """
-    # Size check. A group cannot have more distinct values than rows, and counting rows
-    # is cheap (a bare parquet count reads footers only); only groups above the bound
-    # need the one-pass HyperLogLog estimate (2x margin for its error).
-    rows = df.count() if not by else (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
-    if rows <= max_values_per_task:
-        widest = rows
-    else:
-        est = df.groupBy(*by).agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"__d{i}") for i, c in enumerate(value_cols)])
-        widest = 2 * (est.agg(F.greatest(*[F.max(f"__d{i}") for i in range(len(value_cols))]) if len(value_cols) > 1 else F.max("__d0")).first()[0] or 0)
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    if widest <= max_values_per_task:
-        # Bounded: the built-in exact percentile, one per column in ONE aggregate (its partial
-        # aggregation combines equal values map-side); only the small result is unpivoted.
-        g = df.groupBy(*by).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), [float(p) for p in probs]).alias(f"__q{i}") for i, c in enumerate(value_cols)])
-        arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__q{i}").alias("qs")) for i, c in enumerate(value_cols)])
-        x = g.select(*by, F.explode(arr).alias("__p")).select(*by, "__p.column_name", "__p.qs").where(F.col("qs").isNotNull())
-        return x.select(*by, "column_name", F.posexplode("qs").alias("__i", "quantile")).select(
-            *by, "column_name", F.element_at(plist, F.col("__i") + 1).alias("prob"), "quantile"
-        )
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("value")) for c in value_cols])
-    long = df.select(*by, F.explode(arr).alias("__p")).select(*by, "__p.column_name", "__p.value").where(F.col("value").isNotNull())
-    counted = long.groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("__c"))
-    counted = counted.withColumn("__g", F.to_json(F.struct(*[F.col(b) for b in by], F.col("column_name"))))
-    return distributed_quantiles(counted, by, probs, partitions)
+def _inside(values: DataFrame, aims: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Values within the intervals of some rank, with the interval. Intervals of a group don't overlap."""
+    spans = aims.select(*group, "lo", "hi", "below").distinct()
+    j = values.alias("v").join(spans.alias("a"), _same("v", "a", group) & (F.col("v.value") >= F.col("a.lo")) & (F.col("v.value") <= F.col("a.hi")))
+    return j.select(*[F.col(f"v.{c}").alias(c) for c in group], "a.lo", "a.hi", "a.below", "v.value")
 
 
-def distributed_quantiles(counted: DataFrame, by: Sequence[str], probs: Sequence[float], partitions: int | None = None) -> DataFrame:
-    """Exact quantiles over ``(__g, *by, column_name, value, __c)`` counts without a one-task merge."""
-    df = counted
-    nparts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(nparts, "__g", "value").sortWithinPartitions("__g", "value").withColumn("__pid", F.spark_partition_id())
-    schema = T.StructType(ranged.schema.fields + [T.StructField("__end", T.LongType())])
-    run = ranged.mapInPandas(_running_counts, schema)
-    # Offsets: per (partition, group) totals, cumulated over partitions in order (small).
-    tot = run.groupBy("__g", "__pid").agg(F.max("__end").alias("__t"))
-    w = Window.partitionBy("__g").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.withColumn("__off", F.coalesce(F.sum("__t").over(w), F.lit(0))).withColumn("__n", F.sum("__t").over(Window.partitionBy("__g")))
-    pos = run.join(F.broadcast(offs.select("__g", "__pid", "__off", "__n")), ["__g", "__pid"])
-    pos = pos.withColumn("__hi", F.col("__off") + F.col("__end")).withColumn("__lo", F.col("__hi") - F.col("__c"))
-    # Ranks needed per group: floor and ceil of p * (n - 1) (0-based), for every p.
-    targets = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    t = pos.select("__g", "__n").distinct().select("__g", "__n", targets)
-    t = t.withColumn("__x", F.col("prob") * (F.col("__n") - 1)).withColumn("__r0", F.floor("__x").cast("long")).withColumn("__r1", F.ceil("__x").cast("long"))
-    pick = lambda r: pos.join(F.broadcast(t), "__g").where((F.col(r) >= F.col("__lo")) & (F.col(r) < F.col("__hi")))
-    lo = pick("__r0").select("__g", *by, "column_name", "prob", "__x", "__r0", F.col("value").alias("__v0"))
-    hi = pick("__r1").select("__g", "prob", F.col("value").alias("__v1"))
-    j = lo.join(hi, ["__g", "prob"])
-    q = F.col("__v0") + (F.col("__x") - F.col("__r0")) * (F.col("__v1") - F.col("__v0"))
-    return j.select(*by, "column_name", "prob", q.alias("quantile"))
+def _aimed(aims: DataFrame, found: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """Every rank with the part of its interval it falls in: ``found`` has the parts' counts ``c`` and bounds, in rising ``order``."""
+    span = [*group, "lo", "hi", "below"]
+    before = Window.partitionBy(*span).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = found.withColumn("start", F.col("below") + F.coalesce(F.sum("c").over(before), F.lit(0)))
+    j = aims.alias("a").join(parts.alias("f"), _same("a", "f", span) & (F.col("a.rank") >= F.col("f.start")) & (F.col("a.rank") < F.col("f.start") + F.col("f.c")))
+    return j.select(*[F.col(f"a.{c}").alias(c) for c in group], "a.prob", "a.x", F.col("f.least").alias("lo"), F.col("f.most").alias("hi"), F.col("f.start").alias("below"), "a.rank")

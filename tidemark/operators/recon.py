@@ -1,191 +1,253 @@
-"""Row-level reconciliation of a table pair.
-
-Shape of the keyed compare at scale: each side is first reduced to one row per
-key (``count`` plus ``min`` of every compared column, combined map-side), then the
-two reduced sides are full-outer joined on the key. A hot or duplicated key is
-collapsed before the shuffle, so it neither skews one task nor multiplies rows;
-the join output holds exactly one row per distinct key. Column values are only
-compared where the key is unique on both sides; duplicated keys are counted, reported
-and compared as multisets (the reference would compare every pair, which we never emit).
+"""Row-level reconciliation of a table pair.
+
+Keys need not be unique. The rows of a key are two multisets of contents, and one rule holds everywhere: equal rows
+cancel, what is left on both sides is numbered in each key and paired number by number, and the rest of the longer
+side has no partner. A key's rows are so matched one to one, and never multiplied. Rows with a NULL key match nothing.
+
+At scale: both sides first go as narrow rows (key, digest of the compared columns, one) into one grouped
+count. Copies combine before the shuffle, and a key that holds a third of all rows is spread by the digests. All
+counts come from these cells. Only cells that don't cancel are numbered; a key's cells are numbered in
+256 runs of digests at once, so a hot key isn't sorted by one task. The columns of just these rows are
+then fetched from the tables, two rows of a pair meet by (key, number), and columns are compared by the
+rules of ``lattice``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import lattice
 
 KEY = "__key__"
 
 
 @dataclass(frozen=True)
-class ReconConfig:
-    key_priority: tuple[str, ...] = ("id", "publicid", "externalid")
-    filter_priority: tuple[str, ...] = ("updatetime", "createtime")
-    excluded_columns: tuple[str, ...] = ()
-    target_suffix: str = "_cda"
-    sample_size: int = 50_000
-    sample_fraction_cap: float = 0.20
-    min_sample_size: int = 1_000
-    full_compare_row_limit: int = 20_000_000
-    large_table_sample_size: int = 500_000
-    max_examples: int = 3
-    max_comment_columns: int = 15
-    sample: bool = False  # compare samples of keys; by default every row is compared
-    detect_format: bool = True
-    source_label: str = "SRC"
-    target_label: str = "TGT"
-    extra: dict = field(default_factory=dict)
+class SampleRule:
+    """How many keys a sampled comparison takes, by the sizes of both sides."""
 
+    usual: int = 50_000
+    large: int = 500_000
+    large_from: int = 20_000_000
+    share_of_smaller: float = 0.20
+    at_least: int = 1_000
 
-def pick_first(columns: Sequence[str], priority: Sequence[str]) -> str | None:
-    """R2: first candidate (case-insensitive) present in ``columns``."""
-    lowered = {c.lower() for c in columns}
-    return next((p for p in priority if p.lower() in lowered), None)
+    def size(self, source_rows: int, target_rows: int) -> int:
+        wanted = max(self.at_least, int(max(1, min(source_rows, target_rows)) * self.share_of_smaller))
+        most = self.large if max(source_rows, target_rows) > self.large_from else self.usual
+        return max(1, min(wanted, most, source_rows))
 
 
-def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
-def reduce_by_key(df: DataFrame, key: str, cols: Sequence[str], prefix: str) -> DataFrame:
-    """One row per key: ``__{prefix}_n`` rows, ``__{prefix}_h`` (their contents as a multiset) and ``{prefix}__<col>`` values (exact when n = 1).
+@dataclass(frozen=True)
+class Cycle:
+    """Compare the rows of the last completed business cycle only, by the first of ``columns`` that both sides have.
 
-    The count name cannot collide with a prefixed column name (``{prefix}__<col>``).
+    A cycle is ``days`` long and ends at ``cutoff_hour`` in ``zone``; ``given`` bounds stand instead of the
+    computed ones.
     """
-    # The rows of a key as a multiset: the sum of their hashes (order and partitioning don't matter).
-    whole = F.xxhash64(*[F.coalesce(_c(c).cast("string"), F.lit("\u0000")) for c in sorted(cols, key=str.lower)]) if cols else F.lit(0)
-    aggs = [F.count(F.lit(1)).alias(f"__{prefix}_n"), F.sum(whole.cast("decimal(38,0)")).alias(f"__{prefix}_h")] + [F.min(_c(c)).alias(f"{prefix}__{c}") for c in cols]
-    return df.groupBy(_c(key).alias(KEY)).agg(*aggs)
-
-
-def keyed_join(src: DataFrame, tgt: DataFrame, key: str, cols: Sequence[str], how: str = "full_outer") -> DataFrame:
-    """One full-outer join of the key-reduced sides (presence = ``__s_n``/``__t_n`` not NULL)."""
-    return reduce_by_key(src, key, cols, "s").join(reduce_by_key(tgt, key, cols, "t"), KEY, how)
-
 
-def _both_unique() -> Column:
-    return (F.col("__s_n") == 1) & (F.col("__t_n") == 1)
+    columns: tuple[str, ...] = ("updatetime", "createtime")
+    cutoff_hour: int = 3
+    zone: str = "UTC"
+    days: int = 1
+    given: tuple[str, str] | None = None
 
+    def bounds(self, now: dt.datetime) -> tuple[str, str]:
+        """First instant in, and first instant after the cycle, as local times of ``zone``; ``now`` may be naive (local)."""
+        from zoneinfo import ZoneInfo
 
-# The per-column expressions below are built as SQL text: one JVM call per
-# expression instead of one per function node (wide tables have many columns).
+        if self.given:
+            return self.given
+        local = now.astimezone(ZoneInfo(self.zone)).replace(tzinfo=None) if now.tzinfo else now
+        cutoff = dt.timedelta(hours=self.cutoff_hour)
+        # Times move so that cycles begin at midnight: the present one's day is not complete.
+        end = dt.datetime.combine((local - cutoff).date(), dt.time()) + cutoff
+        return tuple(f"{t:%Y-%m-%d %H:%M:%S}" for t in (end - dt.timedelta(days=self.days), end))
 
 
-def sql_ident(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
+@dataclass(frozen=True)
+class ReconConfig:
+    """How table pairs are compared. Every row is, unless a sample is asked for."""
 
-def sql_str(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    key_priority: tuple[str, ...] = ("id", "publicid", "externalid")
+    excluded_columns: tuple[str, ...] = ()
+    source_label: str = "SRC"
+    target_label: str = "TGT"
+    detect_format: bool = True
+    examples: int = 3
+    sample: SampleRule | None = None
+    cycle: Cycle | None = None
 
 
-def normalize_format_sql(x: str) -> str:
-    """SQL twin of ``functions.columns.normalize_format`` (same regular expressions)."""
-    y = f"regexp_replace(trim(lower({x})), '\\\\s+', ' ')"
-    return (
-        f"CASE WHEN {y} RLIKE '^-?\\\\d+\\\\.\\\\d+$' "
-        f"THEN regexp_replace(regexp_replace({y}, '0+$', ''), '\\\\.$', '') ELSE {y} END"
-    )
+def pick_first(columns: Sequence[str], priority: Sequence[str]) -> str | None:
+    """R2: the first candidate that is there, whatever its case."""
+    there = {c.lower() for c in columns}
+    return next((p for p in priority if p.lower() in there), None)
 
 
-def _side(c: str, p: str) -> str:
-    return f"CAST({sql_ident(p + '__' + c)} AS STRING)"
+def _c(name: str) -> Column:
+    return F.col(lattice.ident(name))
 
 
-def raw_mismatch_sql(c: str) -> str:
-    return f"(NOT ({_side(c, 's')} <=> {_side(c, 't')}))"
+# ------------------------------------------------------------------ presence join
 
 
-def is_format_sql(c: str) -> str:
-    s, t = _side(c, "s"), _side(c, "t")
-    return f"({raw_mismatch_sql(c)} AND {s} IS NOT NULL AND {t} IS NOT NULL AND ({normalize_format_sql(s)} <=> {normalize_format_sql(t)}))"
+def reduce_by_key(df: DataFrame, key: str, cols: Sequence[str], prefix: str) -> DataFrame:
+    """One row per key: its number of rows and the least value of every column (the value, where there is one row)."""
+    return df.groupBy(_c(key).alias(KEY)).agg(F.count(F.lit(1)).alias(f"__{prefix}_n"), *[F.min(_c(c)).alias(f"{prefix}__{c}") for c in cols])
 
 
-def _raw_mismatch(c: str) -> Column:
-    return F.expr(raw_mismatch_sql(c))
+def keyed_join(src: DataFrame, tgt: DataFrame, key: str, cols: Sequence[str], how: str = "full_outer") -> DataFrame:
+    """One row per key of either side (presence: ``__s_n`` / ``__t_n`` not NULL)."""
+    return reduce_by_key(src, key, cols, "s").join(reduce_by_key(tgt, key, cols, "t"), KEY, how)
 
 
-def _is_format(c: str) -> Column:
-    return F.expr(is_format_sql(c))
+# ------------------------------------------------------------------ keyed compare
 
 
-def mismatch_rows(joined: DataFrame, cols: Sequence[str], detect_format: bool = True) -> DataFrame:
-    """Long-form mismatches ``(key, column_name, source_value, target_value, mismatch_type)``.
+class KeyedCompare:
+    """The comparison of two tables by a key, as lazy frames.
 
-    Values are compared on their string form (types may differ between sides);
-    one array-of-struct + explode covers all columns in a single pass.
+    ``window`` (column, from, to) holds both sides to ``from <= column < to``. A key with rows in the window on one
+    side only is looked up in the whole other side: its rows there are compared too, so that a row whose time
+    moved over the edge isn't taken for a missing one. ``share`` (of 2**32) keeps the keys of that many hash buckets.
     """
-    if not cols:
-        return joined.limit(0).select(
-            F.col(KEY).cast("string").alias("key"),
-            *[F.lit(None).cast("string").alias(n) for n in ("column_name", "source_value", "target_value", "mismatch_type")],
-        )
-    items = []
-    for c in cols:
-        mtype = f"CASE WHEN {is_format_sql(c)} THEN 'FORMAT' ELSE 'VALUE' END" if detect_format else "'VALUE'"
-        items.append(
-            f"CASE WHEN {raw_mismatch_sql(c)} THEN named_struct('column_name', {sql_str(c)}, 'source_value', {_side(c, 's')}, "
-            f"'target_value', {_side(c, 't')}, 'mismatch_type', {mtype}) END"
+
+    def __init__(self, source: DataFrame, target: DataFrame, key: str, columns: Sequence[str], detect_format: bool = True, window: tuple[str, str, str] | None = None, share: int | None = None):
+        self.detect_format = detect_format
+        self.key = lattice.pairs(source.schema, target.schema, [key])[0]
+        self.columns = lattice.pairs(source.schema, target.schema, columns)
+        self.plain_key = source.schema[_named(source, key)].dataType == target.schema[_named(target, key)].dataType
+        frames = [self._keyed(source, _named(source, key), self.key.source, share), self._keyed(target, _named(target, key), self.key.target, share)]
+        if window:
+            frames = self._in_window(frames, window)
+        else:
+            frames = [f.withColumn("__beyond", F.lit(0)) for f in frames]
+        self.sides = [self._side(f, "s" if i == 0 else "t") for i, f in enumerate(frames)]
+
+    def _keyed(self, df: DataFrame, key: str, form: str, share: int | None) -> DataFrame:
+        out = df.withColumn("__k", _c(key) if self.plain_key else F.expr(form))
+        return out if share is None else out.where(key_bucket(F.col("__k")) < F.lit(share))
+
+    @staticmethod
+    def _in_window(frames: list[DataFrame], window: tuple[str, str, str]) -> list[DataFrame]:
+        column, start, end = window
+        inside = [within(f, column, start, end) for f in frames]
+        keys = [f.where("__k IS NOT NULL").select("__k").distinct() for f in inside]
+        out = []
+        for i in (0, 1):
+            alone = keys[1 - i].join(keys[i], "__k", "left_anti")
+            beyond = frames[i].join(alone, "__k", "left_semi")  # none of its rows are in the window here
+            out.append(inside[i].withColumn("__beyond", F.lit(0)).unionByName(beyond.withColumn("__beyond", F.lit(1))))
+        return out
+
+    def _side(self, df: DataFrame, side: str) -> DataFrame:
+        forms = [p.source if side == "s" else p.target for p in self.columns]
+        names = {c.lower(): c for c in df.columns}
+        texts = [f"CAST({lattice.ident(names[p.name.lower()])} AS STRING)" for p in self.columns]
+        tokens = [f"coalesce(concat(length({f}), ':', {f}, ';'), 'N;')" for f in forms]
+        digest = f"md5(concat({', '.join(tokens)}))" if tokens else "''"
+        return df.selectExpr("__k", f"{digest} AS __h", f"CAST(array({', '.join(texts)}) AS ARRAY<STRING>) AS __texts", "__beyond", f"'{side}' AS __side")
+
+    def cells(self) -> DataFrame:
+        """``(__k, __h, s, t)``: rows of a key and content on both sides; ``beyond`` and ``beyond_s``: those outside the window."""
+        u = self.sides[0].unionByName(self.sides[1])
+        one = lambda side: F.sum(F.when(F.col("__side") == side, 1).otherwise(0))
+        return u.groupBy("__k", "__h").agg(one("s").alias("s"), one("t").alias("t"), F.sum("__beyond").alias("beyond"), F.sum(F.when(F.col("__side") == "s", F.col("__beyond")).otherwise(0)).alias("beyond_s"))
+
+    def keys(self) -> DataFrame:
+        """One row per key: rows on both sides ``s`` and ``t``, and ``equal``, the pairs that are alike."""
+        return self.cells().groupBy("__k").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.sum(F.least("s", "t")).alias("equal"), F.sum("beyond").alias("beyond"), F.sum("beyond_s").alias("beyond_s"))
+
+    def counts(self) -> DataFrame:
+        """One row. ``matched_row_count``: pairs; ``mismatched_rows``: pairs that aren't alike; rows without partner on
+        either side; keys with several rows on a side; keys in the window on one side only."""
+        total = lambda x, name: F.expr(f"CAST(coalesce(sum({x}), 0) AS BIGINT)").alias(name)
+        pairs = "IF(__k IS NULL, 0, least(s, t))"
+        return self.keys().agg(
+            total("s - beyond_s", "source_row_count"),
+            total("t - (beyond - beyond_s)", "target_row_count"),
+            total(f"s - {pairs}", "rows_only_in_source"),
+            total(f"t - {pairs}", "rows_only_in_target"),
+            total(pairs, "matched_row_count"),
+            total("IF(__k IS NOT NULL AND (s > 1 OR t > 1), 1, 0)", "duplicate_keys"),
+            total(f"{pairs} - IF(__k IS NULL, 0, equal)", "mismatched_rows"),
+            total("IF(beyond > 0, 1, 0)", "straddling_keys"),
         )
-    arr = f"filter(array({', '.join(items)}), x -> x IS NOT NULL) AS __m"
-    return (
-        joined.where(_both_unique())
-        .selectExpr(KEY, arr)
-        .where(F.size("__m") > 0)
-        .select(F.col(KEY).cast("string").alias("key"), F.explode("__m").alias("m"))
-        .select("key", "m.column_name", "m.source_value", "m.target_value", "m.mismatch_type")
-    )
+
+    def _numbered(self) -> DataFrame:
+        """Cells that don't cancel: ``n`` rows on ``__side``, numbered in their key from ``first`` on, by digest."""
+        left = self.cells().where("__k IS NOT NULL AND s <> t").selectExpr("__k", "__h", "left(__h, 2) AS run", "greatest(s - t, 0) AS s", "greatest(t - s, 0) AS t")
+        in_run = Window.partitionBy("__k", "run").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+        runs = Window.partitionBy("__k").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        before = lambda c, w, name: F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name)
+        own = left.select("*", before("s", in_run, "s_in"), before("t", in_run, "t_in"))
+        sums = left.groupBy("__k", "run").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).select("__k", "run", before("s", runs, "s_off"), before("t", runs, "t_off"))
+        placed = own.join(sums, ["__k", "run"])
+        return placed.selectExpr("__k", "__h", "IF(s > 0, 's', 't') AS __side", "IF(s > 0, s, t) AS n", "IF(s > 0, s_in + s_off, t_in + t_off) AS first")
+
+    def unequal_pairs(self) -> DataFrame:
+        """``(__k, number, s, t)``: paired rows that aren't alike, as arrays of their columns' texts."""
+        rows = self.sides[0].unionByName(self.sides[1]).drop("__beyond").join(self._numbered(), ["__side", "__k", "__h"]).distinct()
+        each = rows.select("__k", "__side", "__texts", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("number"))
+        side = lambda x: F.max(F.when(F.col("__side") == x, F.col("__texts"))).alias(x)
+        return each.groupBy("__k", "number").agg(side("s"), side("t")).where("s IS NOT NULL AND t IS NOT NULL")
+
+    def mismatches(self) -> DataFrame:
+        """``(key, column_name, source_value, target_value, mismatch_type)``, a row for each column that differs in a pair."""
+        items = []
+        for i, p in enumerate(self.columns):
+            s, t = f"s[{i}]", f"t[{i}]"
+            kind = f"IF({p.same_but_format(s, t)}, 'FORMAT', 'VALUE')" if self.detect_format else "'VALUE'"
+            items.append(f"IF({p.differs(s, t)}, named_struct('column_name', {lattice.text(p.name)}, 'source_value', {s}, 'target_value', {t}, 'mismatch_type', {kind}), NULL)")
+        if not items:
+            items = ["CAST(NULL AS STRUCT<column_name: STRING, source_value: STRING, target_value: STRING, mismatch_type: STRING>)"]
+        return self.unequal_pairs().selectExpr("CAST(__k AS STRING) AS key", f"explode(array({', '.join(items)})) AS m").where("m IS NOT NULL").select("key", "m.*")
+
+
+def _named(df: DataFrame, name: str) -> str:
+    return next(c for c in df.columns if c.lower() == name.lower())
+
+
+def within(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
+    """Rows with ``start <= column < end``. The bounds take the column's type, so that the filter reaches the scan."""
+    c = _named(df, column)
+    kind = df.schema[c].dataType
+    return df.where((_c(c) >= F.lit(start).cast(kind)) & (_c(c) < F.lit(end).cast(kind)))
 
 
 def mismatch_summary(mismatches: DataFrame) -> DataFrame:
-    """Per-column totals split VALUE / FORMAT."""
-    return mismatches.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("mismatch_count"),
-        F.count(F.when(F.col("mismatch_type") == "VALUE", 1)).alias("value_mismatch_count"),
-        F.count(F.when(F.col("mismatch_type") == "FORMAT", 1)).alias("format_mismatch_count"),
-    )
+    """Per column, how many values differ, and how many of them in value or in format alone."""
+    of = lambda kind: F.count(F.when(F.col("mismatch_type") == kind, 1))
+    return mismatches.groupBy("column_name").agg(F.count(F.lit(1)).alias("mismatch_count"), of("VALUE").alias("value_mismatch_count"), of("FORMAT").alias("format_mismatch_count"))
 
 
 def mismatch_examples(mismatches: DataFrame, n: int = 3, key_order: Column | None = None) -> DataFrame:
-    """Up to ``n`` examples per column, first keys first (stable, unlike a generated id).
-
-    Two-level (salted by a hash of the key) so a column with billions of
-    mismatches is ranked by many tasks; the result is exact.
-    """
+    """The first ``n`` mismatches of each column by key (then by values), ranked in two levels, so that a column with
+    billions of them is ranked by many tasks."""
     from tidemark.operators.windows import first_n_per
 
-    order = [key_order if key_order is not None else F.col("key"), F.col("key")]
-    return first_n_per(mismatches, ["column_name"], order, n, "example_rank", salt=F.xxhash64("key"))
+    order = [key_order if key_order is not None else F.col("key"), F.col("key"), F.col("source_value"), F.col("target_value")]
+    return first_n_per(mismatches, ["column_name"], order, n, "example_rank", salt=F.xxhash64("key", "source_value"))
 
 
-def keyed_counts(joined: DataFrame, cols: Sequence[str] = (), detect_format: bool = True) -> DataFrame:
-    """R4 summary in ONE aggregate over the join: presence classes, duplicates and per-column mismatch counts.
+def column_findings(mismatches: DataFrame, examples: int, salts: int = 64) -> DataFrame:
+    """R7 and R8 in one pass: per column the totals and its first ``examples`` as an array of (key, source, target, type).
 
-    A duplicated key with as many rows on both sides counts as one mismatched row if its rows differ as a multiset.
+    Mismatches are ranked within hash buckets first; a bucket hands on its totals and no more than ``examples`` rows.
     """
-    both = F.col("__s_n").isNotNull() & F.col("__t_n").isNotNull()
-    aggs = [
-        F.coalesce(F.sum("__s_n"), F.lit(0)).cast("long").alias("source_row_count"),
-        F.coalesce(F.sum("__t_n"), F.lit(0)).cast("long").alias("target_row_count"),
-        F.coalesce(F.sum(F.when(F.col("__t_n").isNull(), F.col("__s_n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
-        F.coalesce(F.sum(F.when(F.col("__s_n").isNull(), F.col("__t_n"))), F.lit(0)).cast("long").alias("rows_only_in_target"),
-        F.coalesce(F.sum(F.when(both, F.col("__s_n") * F.col("__t_n"))), F.lit(0)).cast("long").alias("matched_row_count"),
-        F.count(F.when(both & ~_both_unique(), 1)).alias("duplicate_keys"),
-    ]
-    any_mismatch = " OR ".join(raw_mismatch_sql(c) for c in cols) or "FALSE"
-    duplicates = "(__s_n > 1 AND __s_n = __t_n AND __s_h <> __t_h)" if cols else "FALSE"
-    aggs.append(F.expr(f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND ({any_mismatch}) OR {duplicates} THEN 1 END)").alias("mismatched_rows"))
-    return joined.agg(*aggs)
-
-
-def compare_keyed(src: DataFrame, tgt: DataFrame, key: str, cols: Sequence[str], detect_format: bool = True):
-    """(summary 1-row frame, long-form mismatches) from one keyed join."""
-    joined = keyed_join(src, tgt, key, cols)
-    return keyed_counts(joined, cols, detect_format), mismatch_rows(joined, cols, detect_format)
+    one = F.struct("key", "source_value", "target_value", "mismatch_type")
+    w = Window.partitionBy("column_name", "salt").orderBy("key", "source_value", "target_value")
+    ranked = mismatches.withColumn("salt", F.pmod(F.xxhash64("key", "source_value"), F.lit(salts))).withColumn("rank", F.row_number().over(w))
+    of = lambda kind: F.count(F.when(F.col("mismatch_type") == kind, 1))
+    parts = ranked.groupBy("column_name", "salt").agg(of("VALUE").alias("v"), of("FORMAT").alias("f"), F.collect_list(F.when(F.col("rank") <= examples, one)).alias("e"))
+    return parts.groupBy("column_name").agg(
+        F.sum("v").alias("value_mismatches"), F.sum("f").alias("format_mismatches"), F.slice(F.array_sort(F.flatten(F.collect_list("e"))), 1, examples).alias("examples")
+    )
 
 
 # ------------------------------------------------------------------ hash compare
@@ -225,105 +287,39 @@ def key_bucket(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("long")
 
 
-def sample_threshold(sample_n: int, source_count: int) -> int:
-    return int(min(1.0, sample_n / max(source_count, 1)) * 4294967296.0)
-
-
-def sample_size(source_count: int, target_count: int, cfg: ReconConfig) -> int:
-    """R10 sample-size rule: default or large size, capped at a fraction of the smaller side, floor of a minimum."""
-    smaller = min(source_count, target_count) or 1
-    base = cfg.large_table_sample_size if max(source_count, target_count) > cfg.full_compare_row_limit else cfg.sample_size
-    n = min(base, max(cfg.min_sample_size, int(smaller * cfg.sample_fraction_cap)))
-    return max(1, min(n, source_count))
+def sample_share(keys: int, source_rows: int) -> int:
+    """Buckets (of 2**32) that hold about ``keys`` of the source's keys."""
+    return min(1 << 32, (keys << 32) // max(source_rows, 1))
 
 
 def plan_compare(counts: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """R10/R11 for many pairs at once: ``counts`` has ``source_row_count``, ``target_row_count``,
-    ``has_key`` and ``has_filter``; adds ``comparison_mode`` and ``sample_size``. Sampling is never chosen by size, only on request."""
-    s, t = F.col("source_row_count"), F.col("target_row_count")
-    bigger = F.greatest(s, t)
-    smaller = F.when(F.least(s, t) == 0, F.lit(1)).otherwise(F.least(s, t))
-    base = F.when(bigger > cfg.full_compare_row_limit, F.lit(cfg.large_table_sample_size)).otherwise(F.lit(cfg.sample_size))
-    n = F.least(base, F.greatest(F.lit(cfg.min_sample_size), F.floor(smaller * F.lit(cfg.sample_fraction_cap)).cast("long")))
-    n = F.greatest(F.lit(1), F.least(n, s))
-    full = F.lit(not cfg.sample)
-    mode = (
-        F.when(~F.col("has_key"), "FULL_HASH")
-        .when((s == 0) | (t == 0), "FULL_KEYED")
-        .when(full, "FULL_KEYED")
-        .otherwise("SAMPLE_KEYED")
-    )
-    return counts.withColumn("comparison_mode", mode).withColumn(
-        "sample_size", F.when(mode == "SAMPLE_KEYED", n.cast("long"))
-    )
-
-
-def compare_sampled(src: DataFrame, tgt: DataFrame, key: str, cols: Sequence[str], threshold: int, detect_format: bool = True):
-    """Deterministic hash-bucket sample of source keys, left join to the target.
-
-    Only source-side absence is measurable; ``rows_only_in_target`` stays NULL (X8).
+    """R10/R11 for many pairs at once: ``counts`` has ``source_row_count``, ``target_row_count`` and
+    ``has_key``; adds ``comparison_mode`` and ``sample_size``. A sample is never chosen by size, only on request."""
+    rule = cfg.sample
+    if rule is None:
+        return counts.withColumn("comparison_mode", F.expr("IF(has_key, 'FULL_KEYED', 'FULL_HASH')")).withColumn("sample_size", F.lit(None).cast("long"))
+    mode = "CASE WHEN NOT has_key THEN 'FULL_HASH' WHEN least(source_row_count, target_row_count) = 0 THEN 'FULL_KEYED' ELSE 'SAMPLE_KEYED' END"
+    wanted = f"greatest({rule.at_least}, CAST(floor(least(source_row_count, target_row_count) * {rule.share_of_smaller}D) AS BIGINT))"
+    most = f"IF(greatest(source_row_count, target_row_count) > {rule.large_from}, {rule.large}, {rule.usual})"
+    size = f"greatest(1, least({wanted}, {most}, source_row_count))"
+    return counts.withColumn("comparison_mode", F.expr(mode)).withColumn("sample_size", F.expr(f"CAST(IF(comparison_mode = 'SAMPLE_KEYED', {size}, NULL) AS BIGINT)"))
+
+
+def compare_sampled(src: DataFrame, tgt: DataFrame, key: str, cols: Sequence[str], share: int, detect_format: bool = True):
+    """The keys of a deterministic sample of hash buckets, compared in full. Returns (one-row summary, mismatches).
+
+    The sample is of the source's keys: ``rows_only_in_target`` stays NULL (X8).
     """
-    sampled = src.where(key_bucket(_c(key)) < F.lit(threshold))
-    joined = keyed_join(sampled, tgt, key, cols, how="left")
-    both = F.col("__t_n").isNotNull()
-    summary = joined.agg(
-        F.count(F.lit(1)).alias("sampled_keys"),
-        F.coalesce(F.sum("__s_n"), F.lit(0)).cast("long").alias("sampled_rows"),
-        F.coalesce(F.sum(F.when(~both, F.col("__s_n"))), F.lit(0)).cast("long").alias("rows_only_in_source"),
-        F.lit(None).cast("long").alias("rows_only_in_target"),
-        F.coalesce(F.sum(F.when(both, F.col("__s_n") * F.col("__t_n"))), F.lit(0)).cast("long").alias("matched_row_count"),
-    )
-    return summary, mismatch_rows(joined, cols, detect_format)
-
-
-# ------------------------------------------------------------------ status
-
-
-def data_status(mode: Column, only_src: Column, only_tgt: Column, value_cols: Column, format_cols: Column, hash_mismatch: Column) -> Column:
-    """NOT_COMPARED / DATA_MISMATCH / FORMAT_VARIANCE / DATA_MATCH."""
-    value_issue = F.when(mode == "FULL_HASH", F.coalesce(hash_mismatch, F.lit(0)) > 0).otherwise(
-        (F.coalesce(only_src, F.lit(0)) > 0) | (F.coalesce(only_tgt, F.lit(0)) > 0) | (F.coalesce(value_cols, F.lit(0)) > 0)
-    )
-    return (
-        F.when(mode == "SKIPPED", "NOT_COMPARED")
-        .when(value_issue, "DATA_MISMATCH")
-        .when((mode != "FULL_HASH") & (F.coalesce(format_cols, F.lit(0)) > 0), "FORMAT_VARIANCE")
-        .otherwise("DATA_MATCH")
+    both = KeyedCompare(src, tgt, key, cols, detect_format, share=share)
+    sampled = both.keys().where("s > 0").agg(F.count(F.lit(1)).alias("sampled_keys"))
+    c = both.counts().select("source_row_count", "rows_only_in_source", "matched_row_count", F.lit(1).alias("__one"))
+    summary = sampled.withColumn("__one", F.lit(1)).join(c, "__one").select(
+        "sampled_keys", F.col("source_row_count").alias("sampled_rows"), "rows_only_in_source", F.lit(None).cast("long").alias("rows_only_in_target"), "matched_row_count"
     )
+    return summary, both.mismatches()
 
 
-def overall_status(table_status: Column, data_status_col: Column) -> Column:
-    """PASS / WARN / FAIL / ERROR."""
-    return (
-        F.when(table_status == "MISSING_IN_TARGET", "FAIL")
-        .when(table_status == "ERROR", "ERROR")
-        .when(data_status_col == "DATA_MISMATCH", "FAIL")
-        .when(data_status_col.isin("NOT_COMPARED", "FORMAT_VARIANCE"), "WARN")
-        .otherwise("PASS")
-    )
-
-
-# ------------------------------------------------------------------ window
-
-
-def cycle_window(now, cutoff_hour: int = 3, tz: str = "UTC", lookback_days: int = 1, override: tuple[str, str] | None = None):
-    """The last completed ``[cutoff - n days, cutoff)`` cycle for an injected ``now``.
-
-    ``now`` is a timezone-aware datetime (or naive, read as ``tz``). Returns strings
-    ``YYYY-MM-DD HH:MM:SS`` in ``tz``. Rolls back a day before today's cutoff.
-    """
-    from datetime import timedelta
-    from zoneinfo import ZoneInfo
-
-    if override and override[0] and override[1]:
-        return override
-    zone = ZoneInfo(tz)
-    local = now.astimezone(zone) if now.tzinfo else now.replace(tzinfo=zone)
-    cutoff = local.replace(hour=cutoff_hour, minute=0, second=0, microsecond=0)
-    end = cutoff if local >= cutoff else cutoff - timedelta(days=1)
-    start = end - timedelta(days=lookback_days)
-    fmt = "%Y-%m-%d %H:%M:%S"
-    return start.strftime(fmt), end.strftime(fmt)
+# ------------------------------------------------------------------ business cycle
 
 
 def business_cycle(ts: Column, cutoff_hour: int = 3) -> Column:

@@ -1,14 +1,15 @@
 """Multi-table reconciliation run (R10-R14) and table/database validation.
 
-A run is: ONE count job over all pairs (a union of per-side counts), a plan
-decision per pair on the driver (counts only), then one lazily unioned result
-frame with one summary row per pair. Each pair's summary is one aggregate over its
-keyed join, so per-column VALUE/FORMAT counts and presence counts come from a
-single pass.
+A pair's result row is lazy: its counts, its columns' totals and examples and its comment come from one
+``KeyedCompare`` (whose cells are shared), and the rows of all pairs are one union. Nothing is counted
+beforehand but for a sample. What a pair was found to be is kept as a list of findings (kind, subject, rows,
+detail); the comment is that list in words.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,230 +17,246 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import lattice
 from tidemark.operators import recon as R
 
-RESULT_SCHEMA = T.StructType(
-    [
-        T.StructField("source_table", T.StringType()),
-        T.StructField("target_table", T.StringType()),
-        T.StructField("table_status", T.StringType()),
-        T.StructField("data_status", T.StringType()),
-        T.StructField("overall_status", T.StringType()),
-        T.StructField("source_row_count", T.LongType()),
-        T.StructField("target_row_count", T.LongType()),
-        T.StructField("comparison_mode", T.StringType()),
-        T.StructField("key_column", T.StringType()),
-        T.StructField("matched_row_count", T.LongType()),
-        T.StructField("rows_only_in_source", T.LongType()),
-        T.StructField("rows_only_in_target", T.LongType()),
-        T.StructField("duplicate_keys", T.LongType()),
-        T.StructField("duplicate_key_differences", T.LongType()),
-        T.StructField("sample_size", T.LongType()),
-        T.StructField("mismatched_columns", T.StringType()),
-        T.StructField("mismatched_column_count", T.LongType()),
-        T.StructField("value_mismatch_columns", T.StringType()),
-        T.StructField("format_only_mismatch_columns", T.StringType()),
-    ]
-)
+# Names, order and types of a result row (readers of the result table rely on them); the rest is added.
+RESULT_DDL = """run_id string, run_timestamp timestamp_ntz, domain string, source_table string, target_table string,
+table_status string, data_status string, overall_status string, source_row_count long, target_row_count long,
+comparison_mode string, key_column string, filter_applied boolean, filter_column string, matched_row_count long,
+rows_only_in_source long, rows_only_in_target long, sample_size long, mismatched_columns string,
+mismatched_column_count long, value_mismatch_columns string, format_only_mismatch_columns string,
+duration_seconds double, comments string"""
+MORE_DDL = "duplicate_keys long, straddling_keys long, filter_start string, filter_end string"
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
+RESULT_SCHEMA = T.StructType([T.StructField(n, _TYPES[k]) for n, k in (f.split() for f in f"{RESULT_DDL}, {MORE_DDL}".split(","))])
+FINDING = "struct<kind: string, subject: string, rows: bigint, detail: string>"
 
 
 @dataclass
 class PairSpec:
+    """A table pair. ``target`` is None if there is no such table; ``domain`` is the caller's label."""
+
     source_table: str
     target_table: str
     source: DataFrame
     target: DataFrame | None
     excluded: Sequence[str] = field(default_factory=tuple)
+    domain: str | None = None
+
+
+@dataclass(frozen=True)
+class Run:
+    """What the rows of one run share. ``now`` (the clock is an input) also sets the cycle that ``ReconConfig.cycle`` asks for."""
+
+    run_id: str | None = None
+    now: dt.datetime | None = None
+
+
+@dataclass(frozen=True)
+class PairPlan:
+    """What is compared of a pair, from its schemas alone."""
 
-    def comparable(self) -> list[str]:
-        if self.target is None:
-            return []
-        ex = {e.lower() for e in self.excluded}
-        tl = {c.lower() for c in self.target.columns}
-        return sorted(c for c in self.source.columns if c.lower() in tl and c.lower() not in ex)
+    mode: str  # MISSING, SKIPPED, FULL_HASH, FULL_KEYED, SAMPLE_KEYED
+    key: str | None
+    columns: tuple[str, ...]
+    only_source: tuple[str, ...]
+    only_target: tuple[str, ...]
+    excluded: tuple[str, ...]
+    window: tuple[str, str, str] | None
 
 
-def _column_stats(cols: Sequence[str]) -> list[Column]:
+def plan_pair(spec: PairSpec, cfg: R.ReconConfig, run: Run = Run()) -> PairPlan:
+    """R2, R3, R10, R11."""
+    here = {c.lower(): c for c in spec.source.columns}
+    if spec.target is None:
+        return PairPlan("MISSING", None, (), (), (), (), None)
+    there = {c.lower() for c in spec.target.columns}
+    left_out = {c.lower() for c in (*spec.excluded, *cfg.excluded_columns)}
+    both = sorted(here.keys() & there)
+    kept = [c for c in both if c not in left_out]
+    rest = (tuple(sorted(here.keys() - there)), tuple(sorted(there - here.keys())), tuple(c for c in both if c in left_out))
+    timed = R.pick_first(both, cfg.cycle.columns) if cfg.cycle and (run.now or cfg.cycle.given) else None
+    window = (timed, *cfg.cycle.bounds(run.now)) if timed else None
+    key = R.pick_first(kept, cfg.key_priority)
+    if not kept:
+        return PairPlan("SKIPPED", None, (), *rest, window)
+    if key is None:
+        return PairPlan("FULL_HASH", None, tuple(here[c] for c in kept), *rest, window)
+    others = tuple(here[c] for c in kept if c != key.lower())
+    return PairPlan("SAMPLE_KEYED" if cfg.sample else "FULL_KEYED", here[key.lower()], others, *rest, window)
+
+
+def sample_of(spec: PairSpec, plan: PairPlan, cfg: R.ReconConfig) -> tuple[int, int] | None:
+    """Keys of the sample and their share of hash buckets, from one count of both sides; None if a side is empty."""
+    tagged = [f.select(F.lit(side).alias("side")) for side, f in zip("st", _windowed(spec, plan), strict=True)]
+    n = {r["side"]: r["count"] for r in tagged[0].unionByName(tagged[1]).groupBy("side").count().collect()}
+    if len(n) < 2:
+        return None
+    keys = cfg.sample.size(n["s"], n["t"])
+    return keys, R.sample_share(keys, n["s"])
+
+
+def _windowed(spec: PairSpec, plan: PairPlan) -> list[DataFrame]:
+    return [R.within(f, *plan.window) if plan.window else f for f in (spec.source, spec.target)]
+
+
+_NO_COLUMNS = "CAST(array() AS ARRAY<STRUCT<column_name: STRING, value_mismatches: BIGINT, format_mismatches: BIGINT, examples: ARRAY<STRUCT<key: STRING, source_value: STRING, target_value: STRING, mismatch_type: STRING>>>>)"
+_COUNTS = ("source_row_count", "target_row_count", "matched_row_count", "rows_only_in_source", "rows_only_in_target", "duplicate_keys", "straddling_keys")
+
+
+def _measured(spark: SparkSession, spec: PairSpec, plan: PairPlan, cfg: R.ReconConfig) -> tuple[str, int | None, DataFrame]:
+    """The mode that ran, the sample's size, and one row of counts and ``columns`` (worst first)."""
+    if plan.mode in ("MISSING", "SKIPPED"):
+        n = "NULL" if plan.mode == "MISSING" else "0"
+        return "SKIPPED", None, spark.range(1).selectExpr(*[f"CAST({n} AS BIGINT) AS {c}" for c in _COUNTS], f"{_NO_COLUMNS} AS columns")
+    if plan.mode == "FULL_HASH":
+        s, t = _windowed(spec, plan)
+        names = {c.lower(): c for c in t.columns}
+        rules = lattice.pairs(s.schema, t.schema, plan.columns)
+        forms = [f.select(*[F.expr(x).alias(p.name) for p, x in zip(rules, xs, strict=True)]) for f, xs in ((s, [p.source for p in rules]), (t, [p.target for p in rules]))]
+        assert all(c.lower() in names for c in plan.columns)
+        h = R.hash_diff(*forms, list(plan.columns))
+        return "FULL_HASH", None, h.selectExpr("*", *[f"CAST(0 AS BIGINT) AS {c}" for c in ("matched_row_count", "duplicate_keys", "straddling_keys")], f"{_NO_COLUMNS} AS columns")
+    sample = sample_of(spec, plan, cfg) if plan.mode == "SAMPLE_KEYED" else None
+    both = R.KeyedCompare(spec.source, spec.target, plan.key, plan.columns, cfg.detect_format, plan.window, sample and sample[1])
+    found = R.column_findings(both.mismatches(), cfg.examples)
+    worst = F.array_sort(F.collect_list(F.struct((-F.col("value_mismatches") - F.col("format_mismatches")).alias("less"), F.struct(*found.columns).alias("c"))))
+    columns = found.agg(F.transform(worst, lambda x: x["c"]).alias("columns")).withColumn("__one", F.lit(1))
+    counts = both.counts().withColumn("__one", F.lit(1))  # both are single rows
+    if sample:
+        counts = counts.withColumn("rows_only_in_target", F.lit(None).cast("long"))
+    return "SAMPLE_KEYED" if sample else "FULL_KEYED", sample and sample[0], counts.join(columns, "__one").drop("__one")
+
+
+def _findings(spec: PairSpec, plan: PairPlan, mode: str, sample: int | None, cfg: R.ReconConfig) -> str:
+    """R13 as SQL: the array of findings, over a row of counts and ``columns``."""
+    src, tgt = cfg.source_label, cfg.target_label
+
+    def one(kind: str, subject: str | None = None, rows: str = "NULL", detail: str = "NULL", when: str | None = None) -> str:
+        row = f"named_struct('kind', {lattice.text(kind)}, 'subject', {lattice.text(subject) if subject else 'NULL'}, 'rows', CAST({rows} AS BIGINT), 'detail', {detail})"
+        return f"IF({when}, {row}, NULL)" if when else row
+
     out = []
-    for i, c in enumerate(cols):
-        raw, fmt = R.raw_mismatch_sql(c), R.is_format_sql(c)
-        out.append(F.expr(f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND {raw} AND NOT {fmt} THEN 1 END) AS __v{i}"))
-        out.append(F.expr(f"count(CASE WHEN __s_n = 1 AND __t_n = 1 AND {fmt} THEN 1 END) AS __f{i}"))
-    return out
+    if plan.mode == "MISSING":
+        out.append(one("NO_TARGET", spec.target_table))
+    for kind, names in (("ONLY_SOURCE_COLUMNS", plan.only_source), ("ONLY_TARGET_COLUMNS", plan.only_target), ("EXCLUDED_COLUMNS", plan.excluded)):
+        if names:
+            out.append(one(kind, ", ".join(names), str(len(names))))
+    if plan.mode == "SKIPPED":
+        out.append(one("NOTHING_COMMON"))
+    if plan.mode not in ("MISSING", "SKIPPED"):
+        if plan.window:
+            out.append(one("WINDOW", plan.window[0], "straddling_keys", lattice.text(f"{plan.window[1]} to {plan.window[2]}")))
+        else:
+            out.append(one("WHOLE_TABLES"))
+        out.append(one(mode, plan.key, str(sample) if sample else "matched_row_count"))
+        sizes = f"concat('{src} ', source_row_count, ', {tgt} ', target_row_count)"
+        out.append(one("ROW_COUNTS", None, "NULL", sizes, "source_row_count <> target_row_count"))
+        out.append(one("ONLY_SOURCE_ROWS", None, "rows_only_in_source", "NULL", "rows_only_in_source > 0"))
+        out.append(one("ONLY_TARGET_ROWS", None, "rows_only_in_target", "NULL", "rows_only_in_target > 0"))
+        out.append(one("REPEATED_KEYS", None, "duplicate_keys", "NULL", "duplicate_keys > 0"))
+    shown = "array_join(transform(c.examples, e -> concat(coalesce(e.key, 'NULL'), ': ', coalesce(concat('[', e.source_value, ']'), 'NULL'), ' / ', coalesce(concat('[', e.target_value, ']'), 'NULL'))), ', ')"
+    column = f"named_struct('kind', 'COLUMN', 'subject', c.column_name, 'rows', c.value_mismatches + c.format_mismatches, 'detail', concat(c.value_mismatches, ' in value, ', c.format_mismatches, ' in format; ', {shown}))"
+    same = "size(columns) = 0 AND coalesce(rows_only_in_source, 0) + coalesce(rows_only_in_target, 0) = 0"
+    last = [one("NO_DIFFERENCE", None, "NULL", "NULL", same)] if plan.mode not in ("MISSING", "SKIPPED") else []
+    whole = f"concat(array({', '.join(out)}), transform(columns, c -> {column}), array({', '.join(last)}))" if last else f"array({', '.join(out)})"
+    return f"filter(CAST({whole} AS ARRAY<{FINDING}>), x -> x IS NOT NULL)"
+
+
+def _words(cfg: R.ReconConfig) -> dict[str, str]:
+    """The clause of each kind of finding: ``{s}`` subject, ``{n}`` rows, ``{d}`` detail."""
+    src, tgt = cfg.source_label, cfg.target_label
+    return {
+        "NO_TARGET": "{s} doesn't exist",
+        "ONLY_SOURCE_COLUMNS": f"{src} alone has {{s}}",
+        "ONLY_TARGET_COLUMNS": f"{tgt} alone has {{s}}",
+        "EXCLUDED_COLUMNS": "left out by request: {s}",
+        "NOTHING_COMMON": "no common column is left to compare",
+        "WINDOW": "{s} from {d}, keys with rows on one side only: {n}",
+        "WHOLE_TABLES": "whole tables",
+        "FULL_HASH": "no key, so whole rows were compared",
+        "FULL_KEYED": "by {s}, {n} pairs",
+        "SAMPLE_KEYED": "by {s}, a sample of {n} keys",
+        "ROW_COUNTS": "sizes differ: {d}",
+        "ONLY_SOURCE_ROWS": f"rows that {src} alone has: {{n}}",
+        "ONLY_TARGET_ROWS": f"rows that {tgt} alone has: {{n}}",
+        "REPEATED_KEYS": "keys with several rows: {n}",
+        "COLUMN": "{s} differs in {n} ({d})",
+        "NO_DIFFERENCE": "no difference",
+    }
 
 
-def _lists(cols: Sequence[str]) -> list[Column]:
-    """mismatched / value / format-only column lists ordered by mismatch count (desc), then name."""
-    if not cols:
-        return [F.expr(x) for x in ("'' AS mismatched_columns", "CAST(0 AS BIGINT) AS mismatched_column_count", "'' AS value_mismatch_columns", "'' AS format_only_mismatch_columns")]
-    arr = "array(" + ", ".join(
-        f"named_struct('neg', -(__v{i} + __f{i}), 'name', {R.sql_str(c)}, 'v', __v{i}, 'f', __f{i})" for i, c in enumerate(cols)
-    ) + ")"
-    srt = f"array_sort(filter({arr}, x -> x.neg < 0))"
-    return [
-        F.expr(f"array_join(transform({srt}, x -> x.name), ', ') AS mismatched_columns"),
-        F.expr(f"CAST(size({srt}) AS BIGINT) AS mismatched_column_count"),
-        F.expr(f"array_join(transform(filter({srt}, x -> x.v > 0), x -> x.name), ', ') AS value_mismatch_columns"),
-        F.expr(f"array_join(transform(filter({srt}, x -> x.v = 0 AND x.f > 0), x -> x.name), ', ') AS format_only_mismatch_columns"),
-    ]
-
-
-def _finish(df: DataFrame, spec: PairSpec, mode: str, key: str | None, sample_n: int | None) -> DataFrame:
-    """Status columns and constants in ONE projection written as SQL text (one JVM call)."""
-    value_issue = (
-        "coalesce(rows_only_in_source, 0) + coalesce(rows_only_in_target, 0) > 0"
-        if mode == "FULL_HASH"
-        else "coalesce(rows_only_in_source, 0) > 0 OR coalesce(rows_only_in_target, 0) > 0 OR value_mismatch_columns <> '' OR coalesce(duplicate_key_differences, 0) > 0"
-    )
-    # A sample that matches says nothing of the other rows: it is no pass, and counts that differ are a mismatch.
-    matched = "'DATA_MATCH'"
-    if mode == "SAMPLE_KEYED":
-        value_issue += " OR source_row_count <> target_row_count"
-        matched = "'SAMPLE_MATCH'"
-    fmt = "FALSE" if mode == "FULL_HASH" else "format_only_mismatch_columns <> ''"
-    ds = (
-        "'NOT_COMPARED'" if mode == "SKIPPED"
-        else f"CASE WHEN {value_issue} THEN 'DATA_MISMATCH' WHEN {fmt} THEN 'FORMAT_VARIANCE' ELSE {matched} END"
-    )
-    overall = f"CASE WHEN ({ds}) = 'DATA_MISMATCH' THEN 'FAIL' WHEN ({ds}) IN ('NOT_COMPARED', 'FORMAT_VARIANCE', 'SAMPLE_MATCH') THEN 'WARN' ELSE 'PASS' END"
-    consts = {
-        "source_table": R.sql_str(spec.source_table),
-        "target_table": R.sql_str(spec.target_table),
-        "table_status": "'OK'",
-        "data_status": ds,
-        "overall_status": overall,
-        "comparison_mode": R.sql_str(mode),
-        "key_column": R.sql_str(key) if key else "NULL",
-        "sample_size": str(sample_n) if sample_n is not None else "NULL",
+def _clause(kind: str, words: str) -> str:
+    """A clause as a SQL ``WHEN`` over the finding ``x``."""
+    fields = {"{s}": "x.subject", "{n}": "CAST(x.rows AS STRING)", "{d}": "x.detail"}
+    parts, rest = [], words
+    while rest:
+        at = min((rest.find(f) for f in fields if f in rest), default=len(rest))
+        if at:
+            parts.append(lattice.text(rest[:at]))
+        if rest[at : at + 3] in fields:
+            parts.append(fields[rest[at : at + 3]])
+        rest = rest[at + 3 :]
+    return f"WHEN {lattice.text(kind)} THEN concat({', '.join(parts)})"
+
+
+def _pair_row(spark: SparkSession, spec: PairSpec, cfg: R.ReconConfig, run: Run) -> DataFrame:
+    """The result row of a pair with its ``findings``."""
+    plan = plan_pair(spec, cfg, run)
+    mode, sample, measured = _measured(spark, spec, plan, cfg)
+    found = measured.withColumn("findings", F.expr(_findings(spec, plan, mode, sample, cfg)))
+    names = lambda keep: f"array_join(transform(filter(columns, c -> {keep}), c -> c.column_name), ', ')"
+    missing, skipped = plan.mode == "MISSING", plan.mode == "SKIPPED"
+    # A sample that matches says nothing of the other rows: it is no pass, and sizes that differ are a mismatch.
+    differs = "coalesce(rows_only_in_source, 0) + coalesce(rows_only_in_target, 0) > 0 OR exists(columns, c -> c.value_mismatches > 0)"
+    data = "'NOT_COMPARED'" if missing or skipped else f"CASE WHEN {differs} THEN 'DATA_MISMATCH' WHEN size(columns) > 0 THEN 'FORMAT_VARIANCE' ELSE {lattice.text('SAMPLE_MATCH' if sample else 'DATA_MATCH')} END"
+    stated = {
+        "run_id": lattice.text(run.run_id) if run.run_id else "NULL",
+        "run_timestamp": lattice.text(f"{run.now.replace(tzinfo=None):%Y-%m-%d %H:%M:%S.%f}") if run.now else "NULL",
+        "domain": lattice.text(spec.domain) if spec.domain else "NULL",
+        "source_table": lattice.text(spec.source_table),
+        "target_table": lattice.text(spec.target_table),
+        "table_status": "'MISSING_IN_TARGET'" if missing else "'OK'",
+        "data_status": data,
+        "overall_status": "'FAIL'" if missing else f"element_at(map('DATA_MISMATCH', 'FAIL', 'DATA_MATCH', 'PASS', 'FORMAT_VARIANCE', 'WARN', 'SAMPLE_MATCH', 'WARN', 'NOT_COMPARED', 'WARN'), {data})",
+        "comparison_mode": lattice.text(mode),
+        "key_column": lattice.text(plan.key) if plan.key else "NULL",
+        "filter_applied": "TRUE" if plan.window else "FALSE",
+        "filter_column": lattice.text(plan.window[0]) if plan.window else "NULL",
+        "filter_start": lattice.text(plan.window[1]) if plan.window else "NULL",
+        "filter_end": lattice.text(plan.window[2]) if plan.window else "NULL",
+        "sample_size": str(sample) if sample else "NULL",
+        "mismatched_columns": "NULL" if missing else names("TRUE"),
+        "mismatched_column_count": "NULL" if missing else "size(columns)",
+        "value_mismatch_columns": "NULL" if missing else names("c.value_mismatches > 0"),
+        "format_only_mismatch_columns": "NULL" if missing else names("c.value_mismatches = 0"),
+        "duration_seconds": "NULL",
+        "comments": f"array_join(transform(findings, x -> CASE x.kind {' '.join(_clause(k, w) for k, w in _words(cfg).items())} END), '; ')",
     }
-    exprs = [f"CAST({consts.get(f.name, R.sql_ident(f.name))} AS {f.dataType.simpleString()}) AS {f.name}" for f in RESULT_SCHEMA.fields]
-    return df.selectExpr(*exprs)
+    return found.selectExpr(*[f"CAST({stated.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}" for f in RESULT_SCHEMA.fields], "findings")
 
 
-_NO_DUPLICATE_SQL = ("CAST(0 AS BIGINT) AS duplicate_keys", "CAST(0 AS BIGINT) AS duplicate_key_differences")
+def _error_row(spec: PairSpec, run: Run, error: Exception, seconds: float | None) -> tuple:
+    said = {
+        "run_id": run.run_id, "run_timestamp": run.now and run.now.replace(tzinfo=None), "domain": spec.domain, "source_table": spec.source_table, "target_table": spec.target_table,
+        "table_status": "ERROR", "data_status": "NOT_COMPARED", "overall_status": "ERROR", "comparison_mode": "NONE", "filter_applied": False, "duration_seconds": seconds, "comments": f"{type(error).__name__}: {error}",
+    }
+    return tuple(said.get(n) for n in RESULT_SCHEMA.fieldNames())
 
 
-def plan_pair(spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig):
-    """R2/R10/R11 for one pair: ``(mode, key, other_columns, sample_n, threshold)``."""
-    if spec.target is None:
-        return "MISSING", None, [], None, None
-    run_excluded = {e.lower() for e in cfg.excluded_columns}
-    cols = [c for c in spec.comparable() if c.lower() not in run_excluded]
-    if not cols:
-        return "SKIPPED", None, [], None, None
-    sc, tc = counts
-    key = R.pick_first(cols, cfg.key_priority)
-    key = next((c for c in cols if key and c.lower() == key.lower()), None)
-    if key is None:
-        return "FULL_HASH", None, cols, None, None
-    others = [c for c in cols if c != key]
-    if sc == 0 or tc == 0:
-        return "EMPTY_SIDE", key, others, None, None
-    if not cfg.sample:
-        return "FULL_KEYED", key, others, None, None
-    n = R.sample_size(sc, tc, cfg)
-    return "SAMPLE_KEYED", key, others, n, R.sample_threshold(n, sc)
-
-
-def pair_join(spec: PairSpec, plan) -> DataFrame | None:
-    """The keyed join a planned pair is compared on (full outer, or sampled left join)."""
-    mode, key, others, _n, thr = plan
-    if mode == "FULL_KEYED":
-        return R.keyed_join(spec.source, spec.target, key, others)
-    if mode == "SAMPLE_KEYED":
-        sampled = spec.source.where(R.key_bucket(F.col(f"`{key}`")) < F.lit(thr))
-        return R.keyed_join(sampled, spec.target, key, others, how="left")
-    return None
-
-
-def pair_result(spark: SparkSession, spec: PairSpec, counts: tuple[int, int] | None, cfg: R.ReconConfig) -> DataFrame:
-    """One summary row for one pair (the per-pair body of R14)."""
-    plan = plan_pair(spec, counts, cfg)
-    mode, key, others, n, _thr = plan
-    if mode == "MISSING":
-        from tidemark.sources.readers import literal_rows
-
-        row = (spec.source_table, spec.target_table, "MISSING_IN_TARGET", "NOT_COMPARED", "FAIL", None, None, "SKIPPED", None, None, None, None, None, None, None, None, None, None, None)
-        return literal_rows(spark, [row], RESULT_SCHEMA)
-    if mode == "SKIPPED":
-        base = spark.range(1).select(*[F.lit(0).cast("long").alias(x) for x in ("source_row_count", "target_row_count", "matched_row_count", "rows_only_in_source", "rows_only_in_target", "duplicate_keys", "duplicate_key_differences")], *_lists([]))
-        return _finish(base, spec, "SKIPPED", None, None)
-    sc, tc = counts
-    if mode == "FULL_HASH":
-        h = R.hash_diff(spec.source.select(*others), spec.target.select(*others), others)
-        return _finish(h.select("*", F.lit(0).cast("long").alias("matched_row_count"), *[F.expr(x) for x in _NO_DUPLICATE_SQL], *_lists([])), spec, "FULL_HASH", None, None)
-    if mode == "EMPTY_SIDE":
-        # Nothing to join; every row of the non-empty side is unmatched.
-        base = spark.range(1).select(
-            F.lit(sc).cast("long").alias("source_row_count"), F.lit(tc).cast("long").alias("target_row_count"),
-            F.lit(0).cast("long").alias("matched_row_count"), F.lit(sc).cast("long").alias("rows_only_in_source"),
-            F.lit(tc).cast("long").alias("rows_only_in_target"), *[F.expr(x) for x in _NO_DUPLICATE_SQL], *_lists([]),
-        )
-        return _finish(base, spec, "FULL_KEYED", key, None)
-    j = pair_join(spec, plan)
-    # A key's rows are matched one to one; what one side has more of is only there.
-    total = lambda x: F.expr(f"CAST(coalesce(sum({x}), 0) AS BIGINT)")
-    s_n, t_n = "coalesce(__s_n, 0)", "coalesce(__t_n, 0)"
-    only_t = total(f"greatest({t_n} - {s_n}, 0)") if mode == "FULL_KEYED" else F.lit(None).cast("long")
-    agg = j.agg(
-        total(f"greatest({s_n} - {t_n}, 0)").alias("rows_only_in_source"),
-        only_t.alias("rows_only_in_target"),
-        total(f"least({s_n}, {t_n})").alias("matched_row_count"),
-        total("CASE WHEN __s_n > 1 OR __t_n > 1 THEN 1 ELSE 0 END").alias("duplicate_keys"),
-        total("CASE WHEN __s_n > 1 AND __s_n = __t_n AND __s_h <> __t_h THEN 1 ELSE 0 END").alias("duplicate_key_differences"),
-        *_column_stats(others),
-    )
-    base = agg.select("*", F.lit(sc).cast("long").alias("source_row_count"), F.lit(tc).cast("long").alias("target_row_count"), *_lists(others))
-    return _finish(base, spec, mode, key, n)
-
-
-def pair_comment(spark: SparkSession, spec: PairSpec, counts, cfg: R.ReconConfig) -> DataFrame:
-    """``(source_table, comments)`` for one pair: result row + capped column text."""
-    plan = plan_pair(spec, counts, cfg)
-    mode, key, others, _n, _thr = plan
-    result = pair_result(spark, spec, counts, cfg)
-    j = pair_join(spec, plan)
-    if j is not None and others:
-        cc = mismatch_comment(comment_column_parts(R.mismatch_rows(j, others, cfg.detect_format), key, cfg), cfg).select("column_comment")
-    else:
-        cc = spark.range(1).select(F.lit("").alias("column_comment"))
-    only_src, only_tgt = [], []
-    if spec.target is not None:
-        ex = {e.lower() for e in spec.excluded} | {e.lower() for e in cfg.excluded_columns}
-        tl, sl = {c.lower() for c in spec.target.columns}, {c.lower() for c in spec.source.columns}
-        only_src = sorted(c for c in spec.source.columns if c.lower() not in tl or c.lower() in ex)
-        only_tgt = sorted(c for c in spec.target.columns if c.lower() not in sl or c.lower() in ex)
-    # Both sides are single rows: tag them with the table name and join on it.
-    k = F.lit(spec.source_table).alias("__pair")
-    r = result.select(k, "*").join(cc.select(k, "column_comment"), "__pair")
-    return r.select("source_table", comment_expr(cfg, only_src, only_tgt).alias("comments"))
-
-
-def side_counts(specs: Sequence[PairSpec]) -> dict[int, tuple[int, int]]:
-    """Row counts of every present pair in ONE job (tagged union, one grouped count)."""
-    parts = []
-    for i, s in enumerate(specs):
-        if s.target is None or not s.comparable():
-            continue
-        parts.append(s.source.select(F.lit(i).alias("pair"), F.lit(0).alias("side")))
-        parts.append(s.target.select(F.lit(i).alias("pair"), F.lit(1).alias("side")))
-    if not parts:
-        return {}
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    rows = u.groupBy("pair").agg(F.count(F.when(F.col("side") == 0, 1)).alias("s"), F.count(F.when(F.col("side") == 1, 1)).alias("t")).collect()
-    got = {r["pair"]: (r["s"], r["t"]) for r in rows}
-    for i, s in enumerate(specs):
-        if s.target is not None and s.comparable() and i not in got:
-            got[i] = (0, 0)
-    return got
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def reconcile_many(
     spark: SparkSession,
     specs: Sequence[PairSpec],
     cfg: R.ReconConfig = R.ReconConfig(),
+    run: Run = Run(),
     isolate: bool = False,
     max_workers: int = 8,
     retries: int = 1,
@@ -247,51 +264,55 @@ def reconcile_many(
 ) -> DataFrame:
     """Result rows for all pairs.
 
-    Default: one count job, then ONE lazily unioned frame (cheapest; a runtime
-    error in any pair fails the whole job). ``isolate=True`` follows the
-    reference's run semantics: every pair is compared in its own job on a bounded
-    thread pool, retried ``retries`` times, a pair that still fails becomes an
-    ERROR row, and the run raises when the share of errors exceeds
-    ``max_error_rate``. Only the one-row results reach the driver.
+    Default: one lazy frame; a pair whose comparison can't even be planned is an ERROR row, an error while
+    rows are read fails the job. ``isolate=True`` follows the reference's run semantics: every pair is compared in its own job
+    on a bounded thread pool and timed, retried ``retries`` times, a pair that still fails becomes an ERROR row with the
+    whole error text, and the run raises when the share of errors exceeds ``max_error_rate``. Only the one-row results
+    reach the driver.
     """
-    if not isolate:
-        counts = side_counts(specs)
-        out = None
-        for i, s in enumerate(specs):
-            r = pair_result(spark, s, counts.get(i), cfg)
-            out = r if out is None else out.unionByName(r)
-        return out
     from concurrent.futures import ThreadPoolExecutor
 
     from tidemark.sources.readers import literal_rows
 
+    names = RESULT_SCHEMA.fieldNames()
+    if not specs:
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    if not isolate:
+        rows = []
+        for spec in specs:
+            try:
+                rows.append(_pair_row(spark, spec, cfg, run).select(*names))
+            except Exception as e:  # noqa: BLE001  (a pair that can't be planned becomes an ERROR row)
+                rows.append(literal_rows(spark, [_error_row(spec, run, e, None)], RESULT_SCHEMA))
+        return _union(rows)
+
     def one(spec: PairSpec):
-        err = None
+        began, error = time.monotonic(), None
         for _ in range(retries + 1):
             try:
-                counts = side_counts([spec]).get(0)
-                return tuple(pair_result(spark, spec, counts, cfg).first()), None
+                row = _pair_row(spark, spec, cfg, run).select(*names).first().asDict()
+                return tuple((row | {"duration_seconds": round(time.monotonic() - began, 3)}).values()), None
             except Exception as e:  # noqa: BLE001  (a failed table becomes an ERROR row)
-                err = e
-        row = (spec.source_table, spec.target_table, "ERROR", "NOT_COMPARED", "ERROR", None, None, "NONE") + (None,) * 11
-        return row, f"{type(err).__name__}: {str(err).splitlines()[0][:300]}"
+                error = e
+        return _error_row(spec, run, error, round(time.monotonic() - began, 3)), error
 
     with ThreadPoolExecutor(max_workers=max(1, max_workers)) as pool:
         results = list(pool.map(one, specs))
     errors = [e for _, e in results if e]
-    if max_error_rate is not None and specs and len(errors) / len(specs) > max_error_rate:
-        raise RuntimeError(f"reconciliation error rate {len(errors) / len(specs):.1%} above {max_error_rate:.1%}: {errors[:3]}")
+    if max_error_rate is not None and len(errors) / len(specs) > max_error_rate:
+        raise RuntimeError(f"{len(errors)} of {len(specs)} pairs failed, more than {max_error_rate:.1%}: {errors[:3]}")
     return literal_rows(spark, [r for r, _ in results], RESULT_SCHEMA)
 
 
-def comments_many(spark: SparkSession, specs: Sequence[PairSpec], cfg: R.ReconConfig = R.ReconConfig()) -> DataFrame:
+def findings_many(spark: SparkSession, specs: Sequence[PairSpec], cfg: R.ReconConfig = R.ReconConfig(), run: Run = Run()) -> DataFrame:
+    """R13 as data: ``(source_table, position, kind, subject, rows, detail)``."""
+    rows = [_pair_row(spark, s, cfg, run).select("source_table", F.posexplode("findings").alias("position", "f")).select("source_table", "position", "f.*") for s in specs]
+    return _union(rows)
+
+
+def comments_many(spark: SparkSession, specs: Sequence[PairSpec], cfg: R.ReconConfig = R.ReconConfig(), run: Run = Run()) -> DataFrame:
     """R13 for all pairs: ``(source_table, comments)``."""
-    counts = side_counts(specs)
-    out = None
-    for i, s in enumerate(specs):
-        r = pair_comment(spark, s, counts.get(i), cfg)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return _union([_pair_row(spark, s, cfg, run).select("source_table", "comments") for s in specs])
 
 
 def triage(results: DataFrame, statuses: Sequence[str] = ("FAIL", "WARN", "ERROR")) -> DataFrame:
@@ -303,88 +324,6 @@ def triage(results: DataFrame, statuses: Sequence[str] = ("FAIL", "WARN", "ERROR
     return results.where(F.col("overall_status").isin(list(statuses))).withColumn("triage_rank", F.row_number().over(w).cast("long"))
 
 
-# ------------------------------------------------------------------ comments
-
-
-def comment_column_parts(mismatches: DataFrame, key_label: str, cfg: R.ReconConfig) -> DataFrame:
-    """Per column: ``COL: N row(s) differ [v VALUE, f FORMAT] (e.g. ...)`` with up to ``max_examples`` examples."""
-    summary = R.mismatch_summary(mismatches)
-    ex = R.mismatch_examples(mismatches, cfg.max_examples)
-    ex_txt = ex.select(
-        "column_name",
-        "example_rank",
-        F.concat(
-            F.lit(f"{key_label}="), F.col("key"), F.lit(f": {cfg.source_label}='"), F.coalesce(F.col("source_value"), F.lit("None")),
-            F.lit(f"' vs {cfg.target_label}='"), F.coalesce(F.col("target_value"), F.lit("None")), F.lit("' ["), F.col("mismatch_type"), F.lit("]"),
-        ).alias("txt"),
-    )
-    ex_agg = ex_txt.groupBy("column_name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example_rank", "txt"))), lambda x: x["txt"]), "; ").alias("examples")
-    )
-    j = summary.join(ex_agg, "column_name", "left")
-    return j.select(
-        "column_name",
-        "mismatch_count",
-        F.concat(
-            F.upper("column_name"), F.lit(": "), F.col("mismatch_count").cast("string"), F.lit(" row(s) differ ["),
-            F.col("value_mismatch_count").cast("string"), F.lit(" VALUE, "), F.col("format_mismatch_count").cast("string"), F.lit(" FORMAT]"),
-            F.when(F.col("examples").isNotNull(), F.concat(F.lit(" (e.g. "), F.col("examples"), F.lit(")"))).otherwise(F.lit("")),
-        ).alias("part"),
-    )
-
-
-def mismatch_comment(parts: DataFrame, cfg: R.ReconConfig) -> DataFrame:
-    """The capped ``COLUMN MISMATCHES -> ...`` text (one row; empty input gives an empty text)."""
-    ranked = parts.select(F.struct((-F.col("mismatch_count")).alias("neg"), F.col("column_name"), F.col("part")).alias("s"))
-    g = ranked.agg(F.array_sort(F.collect_list("s")).alias("a"))
-    shown = F.slice(F.col("a"), 1, cfg.max_comment_columns)
-    rest = F.size("a") - F.size(shown)
-    txt = F.concat(F.lit("COLUMN MISMATCHES -> "), F.array_join(F.transform(shown, lambda x: x["part"]), "; "), F.lit("."))
-    txt = F.concat(txt, F.when(rest > 0, F.concat(F.lit(" (+"), rest.cast("string"), F.lit(" more mismatched column(s) not shown)."))).otherwise(F.lit("")))
-    return g.select(F.when(F.size("a") > 0, txt).otherwise(F.lit("")).alias("column_comment"), F.size("a").cast("long").alias("mismatched_column_count"))
-
-
-def comment_expr(cfg: R.ReconConfig, only_src: Sequence[str], only_tgt: Sequence[str]) -> Column:
-    """R13 sentence chain over a result row that also has ``column_comment``."""
-    s, t = cfg.source_label, cfg.target_label
-    parts = []
-    if only_src:
-        parts.append(F.lit(f"{len(only_src)} column(s) in {s} not comparable (absent in {t}, or excluded): {', '.join(only_src)}."))
-    if only_tgt:
-        parts.append(F.lit(f"{len(only_tgt)} column(s) in {t} not comparable (absent in {s}, or excluded): {', '.join(only_tgt)}."))
-    mode = F.col("comparison_mode")
-    count_mm = F.when(
-        F.col("source_row_count") != F.col("target_row_count"),
-        F.concat(F.lit(f"Row count mismatch (expected in this env): {s}="), F.col("source_row_count").cast("string"), F.lit(f", {t}="), F.col("target_row_count").cast("string"), F.lit(".")),
-    )
-    hash_txt = F.when(
-        mode == "FULL_HASH",
-        F.concat(
-            F.lit("No key column found -- fell back to full-row hash compare; column-level diagnostics unavailable for this table. "),
-            F.when(
-                (F.col("rows_only_in_source") > 0) | (F.col("rows_only_in_target") > 0),
-                F.concat(F.col("rows_only_in_source").cast("string"), F.lit(f" row-hash(es) only in {s}, "), F.col("rows_only_in_target").cast("string"), F.lit(f" only in {t}.")),
-            ).otherwise(F.lit("All row hashes match.")),
-        ),
-    )
-    label = F.when(mode == "FULL_KEYED", F.lit("Full")).otherwise(F.concat(F.lit("Sample ("), F.col("sample_size").cast("string"), F.lit(" keys)")))
-    key_label = F.coalesce(F.upper("key_column"), F.lit("N/A (empty table)"))
-    keyed = F.concat_ws(
-        " ",
-        F.concat(label, F.lit(" key-based compare on "), key_label, F.lit(": "), F.col("matched_row_count").cast("string"), F.lit(" matched row(s) checked.")),
-        F.when(F.col("rows_only_in_source") > 0, F.concat(F.col("rows_only_in_source").cast("string"), F.lit(f" key(s) present in {s} but not found in {t}."))),
-        F.when((mode == "FULL_KEYED") & (F.col("rows_only_in_target") > 0), F.concat(F.col("rows_only_in_target").cast("string"), F.lit(f" key(s) present in {t} but not found in {s}."))),
-        F.when(F.col("duplicate_key_differences") > 0, F.concat(F.col("duplicate_key_differences").cast("string"), F.lit(f" duplicate key(s) with as many rows in {s} and {t} whose rows differ."))),
-        F.when(F.col("column_comment") != "", F.col("column_comment")).when((F.col("matched_row_count") > 0) & (F.coalesce("duplicate_key_differences", F.lit(0)) == 0), F.lit("All compared columns match on matched rows.")),
-    )
-    body = F.when(mode == "SKIPPED", F.lit("No comparable common columns after exclusions -- data comparison skipped.")).otherwise(
-        F.concat_ws(" ", count_mm, F.when(mode == "FULL_HASH", hash_txt).otherwise(keyed), F.lit("No time filter column found -- full table compared, no date filter."))
-    )
-    missing = F.concat(F.lit(f"Table exists in {s} but was not found in {t} (expected name: "), F.col("target_table"), F.lit(")."))
-    full = F.concat_ws(" ", *parts, body)
-    return F.when(F.col("table_status") == "MISSING_IN_TARGET", missing).otherwise(full)
-
-
 # ------------------------------------------------------------------ table validation (R15) and database compare
 
 
@@ -397,7 +336,7 @@ def validate_table(
     table_name: str,
     source: DataFrame,
     target: DataFrame,
-    drop_target: Sequence[str] = ("azure_load_date",),
+    drop_target: Sequence[str] = (),
     created_col: str = "creationtime",
     updated_col: str = "updatetime",
     window: tuple[str, str] | None = None,
@@ -409,53 +348,65 @@ def validate_table(
     target decimals become doubles; the target is de-duplicated unless it carries
     both time columns; both sides are filtered to ``window`` whenever it is given, of
     whatever size they are (the target needs the creation column for it); the common columns are compared as
-    text with EXCEPT ALL semantics (grouped row-hash counts, one shuffle per side).
+    text with EXCEPT ALL semantics.
+
+    A target that needs no de-duplication is compared by additive fingerprints first: equal tables take one
+    scan of each side and no shuffle. Else digests alone are shuffled, never the rows: a target row goes as the digest of all
+    its columns, which tells duplicates, and that of the common ones.
     """
     from tidemark.functions.columns import boolean_patterns, decimals_to_double, lower_columns, recode_boolean
+    from tidemark.operators.setops import fingerprints, same_fingerprints
 
-    src = lower_columns(source)
-    tgt = lower_columns(target)
+    src, tgt = lower_columns(source), lower_columns(target)
     tgt = tgt.drop(*[c for c in drop_target if c in tgt.columns])
     dec_cols = sorted(f.name for f in tgt.schema.fields if isinstance(f.dataType, T.DecimalType))
     tgt = decimals_to_double(tgt)
     bool_cols = sorted(r["column_name"] for r in boolean_patterns(src).collect() if r["pattern"] is not None)
     dedup = not (created_col in tgt.columns and updated_col in tgt.columns)
-    # Full and de-duplicated target counts in one grouped pass over row hashes (one row).
-    tcounts = _row_hash_counts(tgt, tgt.columns, "n").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("__full"), F.count(F.lit(1)).cast("long").alias("__distinct")
-    )
-    tgt_d = tgt.dropDuplicates() if dedup else tgt
-    if window and created_col in tgt.columns:
-        lo, hi = window
-        cond = (F.col(created_col) >= F.lit(lo)) & (F.col(created_col) <= F.lit(hi))
-        src, tgt_d = src.where(cond), tgt_d.where(cond)
-    common = sorted(set(src.columns) & set(tgt_d.columns))
-    s = src.select(*[(recode_boolean(F.col(c), null_mode) if c in bool_cols else F.col(c)).cast("string").alias(c) for c in common])
-    t = tgt_d.select(*[F.col(c).cast("string").alias(c) for c in common])
-    diff = R.hash_diff(s, t, common)
-    miss_src = sorted(set(tgt_d.columns) - set(src.columns))
-    miss_tgt = sorted(set(src.columns) - set(tgt_d.columns))
-    arr = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    post = F.col("__distinct") if dedup else F.col("__full")
-    # Both sides are single rows: joined on a constant key.
-    both = diff.withColumn("__k", F.lit(1)).join(tcounts.withColumn("__k", F.lit(1)), "__k")
+    timed = window is not None and created_col in tgt.columns
+    here = F.col(created_col).between(*[F.lit(x) for x in window]) if timed else F.lit(True)
+    common = sorted(set(src.columns) & set(tgt.columns))
+    s = src.where(here).select(*[(recode_boolean(F.col(c), null_mode) if c in bool_cols else F.col(c)).cast("string").alias(c) for c in common])
+    texts = {c: f"CAST(`{c}` AS STRING)" for c in common}
+    differing = None
+    if not dedup:
+        found = same_fingerprints(fingerprints(s, texts), fingerprints(tgt.where(here), texts)).collect()
+        differing = sorted(r["column_name"] for r in found if r["column_name"] is not None and not r["same"])
+        same = next(r for r in found if r["column_name"] is None)
+    if not dedup and same["same"]:
+        n = F.lit(same["source_rows"]).cast("long")
+        full = tgt.agg(F.count(F.lit(1)).alias("full")) if timed else spark.range(1).select(n.alias("full"))
+        none = F.lit(0).cast("long")
+        both = full.select("full", F.col("full").alias("kept"), n.alias("s"), n.alias("t"), none.alias("only_s"), none.alias("only_t"))
+    else:
+        rows = tgt.select(R.row_hash(tgt, tgt.columns).alias("row"), R.row_hash(tgt, common).alias("h"), F.coalesce(here, F.lit(False)).alias("here"))
+        counted = rows.groupBy("row", "h", "here").agg(F.count(F.lit(1)).alias("n"))
+        once = F.lit(1) if dedup else F.col("n")
+        cells = counted.select("h", F.lit(0).alias("s"), F.when(F.col("here"), once).otherwise(0).alias("t"), F.col("n").alias("full"), once.alias("kept"))
+        cells = cells.unionByName(_row_hash_counts(s, common, "s").select("h", "s", F.lit(0).alias("t"), F.lit(0).alias("full"), F.lit(0).alias("kept")))
+        total = lambda x, name: F.expr(f"CAST(coalesce(sum({x}), 0) AS BIGINT) AS {name}")
+        per = cells.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("s", "t", "full", "kept")])
+        both = per.agg(*[total(c, c) for c in ("s", "t", "full", "kept")], total("greatest(s - t, 0)", "only_s"), total("greatest(t - s, 0)", "only_t"))
+    names = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    miss_src, miss_tgt = sorted(set(tgt.columns) - set(src.columns)), sorted(set(src.columns) - set(tgt.columns))
     out = both.select(
         F.lit(table_name).alias("table_name"),
-        F.col("source_row_count").alias("source_count"),
-        F.col("__full").alias("target_full_count"),
-        F.col("target_row_count").alias("target_filter_count"),
-        post.alias("target_post_dedup_count"),
-        (F.col("__full") - post).alias("duplicate_count"),
-        arr(bool_cols).alias("converted_boolean_columns"),
-        arr(dec_cols).alias("decimal_columns"),
-        F.col("rows_only_in_source").alias("source_only_count"),
-        F.col("rows_only_in_target").alias("target_only_count"),
-        arr(miss_src).alias("missing_in_source"),
-        arr(miss_tgt).alias("missing_in_target"),
+        F.col("s").alias("source_count"),
+        F.col("full").alias("target_full_count"),
+        F.col("t").alias("target_filter_count"),
+        F.col("kept").alias("target_post_dedup_count"),
+        (F.col("full") - F.col("kept")).alias("duplicate_count"),
+        names(bool_cols).alias("converted_boolean_columns"),
+        names(dec_cols).alias("decimal_columns"),
+        F.col("only_s").alias("source_only_count"),
+        F.col("only_t").alias("target_only_count"),
+        names(miss_src).alias("missing_in_source"),
+        names(miss_tgt).alias("missing_in_target"),
+        (names(differing) if differing is not None else F.lit(None).cast("array<string>")).alias("differing_columns"),
     )
     comment = F.concat_ws(
         " | ",
-        F.when(F.col("source_count") != F.col("target_post_dedup_count"), F.lit("count mismatch")),
+        F.when(F.col("source_count") != F.col("target_filter_count"), F.lit("count mismatch")),
         F.lit("missing columns in source") if miss_src else F.lit(None),
         F.lit("missing columns in target") if miss_tgt else F.lit(None),
         F.when(F.col("source_only_count") + F.col("target_only_count") > 0, F.lit("data mismatch")),
@@ -468,7 +419,7 @@ def compare_database(
     spark: SparkSession,
     source: dict[str, DataFrame],
     destination: dict[str, DataFrame],
-    exclude: Sequence[str] = ("source_system", "valid_from_dt"),
+    exclude: Sequence[str] = (),
     windows: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Per source table: missing -> DDL (column count) -> ordered (name, type) list ->

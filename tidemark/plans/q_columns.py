@@ -64,7 +64,7 @@ def boolean_recode_zero(spark, sf):
     ("typed_target",),
 )
 def align_types(spark, sf):
-    """P10: target columns cast to the source types (try_cast, source wins)."""
+    """P10: source columns cast to the target's types (try_cast, the target wins)."""
     return C.align_types(fx.typed_target(spark, sf), fx.src_orders(spark, sf))
 
 

@@ -59,31 +59,42 @@ _PD_SQL = f"WITH {', '.join(_pd_ctes)}\nSELECT table_name, column_name, row_coun
 
 @query("profile_distinct", _PD_SQL)
 def profile_distinct(spark, sf):
-    """Q-2/A9: distinct count and distinct share per column for a list of tables."""
-    out = None
-    for t, cols in _PD_TABLES.items():
-        p = A.profile(fx.load(spark, sf, t).select(*cols), cols).select(
-            F.lit(t).alias("table_name"), "column_name", "row_count", "distinct_count", "distinct_pct"
-        )
-        out = p if out is None else out.unionByName(p)
-    return out
+    """Q-2/A9: distinct count and distinct share per column for a list of tables, in one grouping."""
+    out = A.profile_tables({t: fx.load(spark, sf, t).select(*cols) for t, cols in _PD_TABLES.items()})
+    return out.select("table_name", "column_name", "row_count", "distinct_count", "distinct_pct")
+
+
+_SK = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query(
+    "profile_sketches",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, TRUE AS close FROM tgt_orders" for c in _SK),
+    ("tgt_orders",),
+)
+def profile_sketches(spark, sf):
+    """A9 approximate: sketches by month, merged, against the exact counts (within 5 %)."""
+    t = fx.tgt_orders(spark, sf)
+    merged = A.merge_sketches(A.distinct_sketches(t.withColumn("month", F.date_trunc("month", "o_orderdate")), _SK, by=["month"]))
+    exact = A.profile_tables({"": t.select(*_SK)}).select(F.col("column_name").alias("name"), "distinct_count")
+    close = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count")
+    return merged.join(exact, F.col("column_name") == F.col("name")).select("column_name", "row_count", "null_count", close.alias("close"))
 
 
-_TV = ["p_brand", "p_type", "p_size"]
+_TV = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 _TV_SQL = (
     "WITH u AS ("
     + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM part" for c in _TV)
     + """),
 g AS (SELECT column_name, value, count(*) AS value_count FROM u GROUP BY 1, 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY value_count DESC, value ASC NULLS FIRST) AS value_rank FROM g)
-WHERE value_rank <= 5"""
+SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY value_count DESC, value ASC NULLS FIRST) AS value_rank FROM g"""
 )
 
 
 @query("profile_top_values", _TV_SQL)
 def profile_top_values(spark, sf):
-    """Q-3/A11: five most frequent values per column (bounded output)."""
-    return A.top_values(fx.load(spark, sf, "part"), _TV, 5)
+    """Q-3/A11: all values of all columns with their frequency, most frequent first."""
+    return A.top_values(fx.load(spark, sf, "part"), _TV)
 
 
 _DESC_SQL = "WITH a AS (SELECT " + ", ".join(
@@ -113,7 +124,7 @@ def eda_nulls(spark, sf):
     return A.null_counts(fx.tgt_orders(spark, sf))
 
 
-_CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_CORR = LI_NUM
 _PAIRS = [(a, b) for i, a in enumerate(_CORR) for b in _CORR[i + 1 :]]
 _CORR_SQL = "WITH a AS (SELECT " + ", ".join(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r{i}" for i, (a, b) in enumerate(_PAIRS)) + " FROM lineitem)\n" + "\nUNION ALL\n".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(r{i}, 6) AS correlation FROM a" for i, (a, b) in enumerate(_PAIRS)
@@ -123,7 +134,7 @@ _CORR_SQL = "WITH a AS (SELECT " + ", ".join(f"corr(CAST({a} AS DOUBLE), CAST({b
 @query("eda_correlation", _CORR_SQL)
 def eda_correlation(spark, sf):
     """Pearson correlation of every numeric pair in one aggregate."""
-    return A.correlation(fx.load(spark, sf, "lineitem"), _CORR)
+    return A.correlation(fx.load(spark, sf, "lineitem"))
 
 
 @query(
@@ -139,7 +150,7 @@ def eda_histogram(spark, sf):
     return A.histogram(fx.load(spark, sf, "lineitem"), "l_extendedprice", 10)
 
 
-_Q = ["l_quantity", "l_extendedprice", "l_discount"]
+_Q = LI_NUM
 _Q_SQL = "WITH a AS (SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.5, 0.75]) AS q{i}" for i, c in enumerate(_Q)) + " FROM lineitem)\n" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, round(q{i}[1], 4) AS q1, round(q{i}[2], 4) AS median, round(q{i}[3], 4) AS q3 FROM a" for i, c in enumerate(_Q)
 )

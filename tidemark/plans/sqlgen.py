@@ -13,9 +13,9 @@ def s(expr: str) -> str:
 
 
 def norm(expr: str) -> str:
-    """Twin of ``normalize_format``."""
-    x = f"regexp_replace(trim(lower({expr})), '\\s+', ' ', 'g')"
-    return f"(CASE WHEN regexp_matches({x}, '^-?\\d+\\.\\d+$') THEN regexp_replace(regexp_replace({x}, '0+$', ''), '\\.$', '') ELSE {x} END)"
+    """P20 in DuckDB."""
+    x = f"trim(regexp_replace(lower({expr}), '[\\x09-\\x0D ]+', ' ', 'g'))"
+    return f"(CASE WHEN regexp_matches({x}, '^-?[0-9]+\\.[0-9]+$') THEN rtrim(rtrim({x}, '0'), '.') ELSE {x} END)"
 
 
 def reduced(alias: str, table: str, key: str, cols: Sequence[str], prefix: str, where: str = "") -> str:
@@ -36,37 +36,49 @@ def keyed_join_ctes(src: str, tgt: str, key: str, cols: Sequence[str], how: str
     )
 
 
-def raw_mismatch(c: str) -> str:
-    return f"({s('s__' + c)} IS DISTINCT FROM {s('t__' + c)})"
+def tokens(cols: Sequence[str]) -> str:
+    """The compared text of a row: every value with its length, NULL as a token of its own."""
+    return " || ".join(f"coalesce(length({c}) || ':' || {c} || ';', 'N;')" for c in cols)
 
 
-def is_format(c: str) -> str:
-    sc, tc = s("s__" + c), s("t__" + c)
-    return f"({raw_mismatch(c)} AND {sc} IS NOT NULL AND {tc} IS NOT NULL AND {norm(sc)} IS NOT DISTINCT FROM {norm(tc)})"
+def multiset_ctes(src: str, tgt: str, key: str, cols: Sequence[str], name: str = "j") -> str:
+    """CTEs of a keyed multiset comparison: ``<name>_k`` (k, s, t: rows of a key on both sides; a NULL key's sides
+    stay apart) and ``<name>_p`` (pairs of rows that aren't alike: k, s__col, t__col). Equal rows go by EXCEPT ALL;
+    the rest is numbered in each key by the digest of its text."""
+    row = lambda t: f"SELECT {key} AS k, {', '.join(f'{s(c)} AS {c}' for c in cols)} FROM {t}"
+    left = lambda a, b: f"SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5({tokens(cols)})) AS r FROM (SELECT * FROM {name}_{a} WHERE k IS NOT NULL EXCEPT ALL SELECT * FROM {name}_{b})"
+    pick = ", ".join(f"a.{c} AS s__{c}, b.{c} AS t__{c}" for c in cols)
+    return f"""{name}_s AS ({row(src)}), {name}_t AS ({row(tgt)}),
+{name}_k AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS s, coalesce(b.n, 0) AS t FROM (SELECT k, count(*) AS n FROM {name}_s GROUP BY k) a
+  FULL OUTER JOIN (SELECT k, count(*) AS n FROM {name}_t GROUP BY k) b ON a.k = b.k),
+{name}_p AS (SELECT a.k, {pick} FROM ({left('s', 't')}) a JOIN ({left('t', 's')}) b ON a.k = b.k AND a.r = b.r)"""
 
 
-def mismatch_rows_sql(joined: str, cols: Sequence[str]) -> str:
-    parts = []
-    for c in cols:
-        parts.append(
-            f"SELECT {s('k')} AS key, '{c}' AS column_name, {s('s__' + c)} AS source_value, {s('t__' + c)} AS target_value, "
-            f"CASE WHEN {is_format(c)} THEN 'FORMAT' ELSE 'VALUE' END AS mismatch_type "
-            f"FROM {joined} WHERE __s_n = 1 AND __t_n = 1 AND {raw_mismatch(c)}"
-        )
-    return "\nUNION ALL\n".join(parts)
+def differs(c: str) -> str:
+    return f"(s__{c} IS DISTINCT FROM t__{c})"
 
 
-def keyed_counts_sql(joined: str, cols: Sequence[str]) -> str:
-    anym = " OR ".join(raw_mismatch(c) for c in cols) or "FALSE"
-    return f"""SELECT
-  CAST(coalesce(sum(__s_n), 0) AS BIGINT) AS source_row_count,
-  CAST(coalesce(sum(__t_n), 0) AS BIGINT) AS target_row_count,
-  CAST(coalesce(sum(CASE WHEN __t_n IS NULL THEN __s_n END), 0) AS BIGINT) AS rows_only_in_source,
-  CAST(coalesce(sum(CASE WHEN __s_n IS NULL THEN __t_n END), 0) AS BIGINT) AS rows_only_in_target,
-  CAST(coalesce(sum(CASE WHEN __s_n IS NOT NULL AND __t_n IS NOT NULL THEN __s_n * __t_n END), 0) AS BIGINT) AS matched_row_count,
-  count(CASE WHEN __s_n IS NOT NULL AND __t_n IS NOT NULL AND NOT (__s_n = 1 AND __t_n = 1) THEN 1 END) AS duplicate_keys,
-  count(CASE WHEN __s_n = 1 AND __t_n = 1 AND ({anym}) THEN 1 END) AS mismatched_rows
-FROM {joined}"""
+def format_only(c: str) -> str:
+    return f"coalesce({norm('s__' + c)} = {norm('t__' + c)}, FALSE)"
+
+
+def mismatch_rows_sql(name: str, cols: Sequence[str]) -> str:
+    """R6 over ``<name>_p``."""
+    return "\nUNION ALL\n".join(
+        f"SELECT {s('k')} AS key, '{c}' AS column_name, s__{c} AS source_value, t__{c} AS target_value, "
+        f"CASE WHEN {format_only(c)} THEN 'FORMAT' ELSE 'VALUE' END AS mismatch_type FROM {name}_p WHERE {differs(c)}"
+        for c in cols
+    )
+
+
+def keyed_counts_sql(name: str, straddling: str = "0", beyond_s: str = "0", beyond_t: str = "0") -> str:
+    """R4 over ``<name>_k`` and ``<name>_p``."""
+    n = lambda x: f"CAST(coalesce(sum({x}), 0) AS BIGINT)"
+    return f"""SELECT {n('s')} - {beyond_s} AS source_row_count, {n('t')} - {beyond_t} AS target_row_count,
+  {n('s - least(s, t)')} AS rows_only_in_source, {n('t - least(s, t)')} AS rows_only_in_target, {n('least(s, t)')} AS matched_row_count,
+  count(*) FILTER (WHERE k IS NOT NULL AND (s > 1 OR t > 1)) AS duplicate_keys, (SELECT count(*) FROM {name}_p) AS mismatched_rows,
+  CAST({straddling} AS BIGINT) AS straddling_keys
+FROM {name}_k"""
 
 
 def key_bucket(expr: str) -> str:

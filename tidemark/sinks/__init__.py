@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.monitor import merge_rows
 from tidemark.session import checkpoint_root
@@ -70,10 +71,26 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in any store that Spark reads; none if it isn't there."""
+    fs, p = _folder(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library wrote."""
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
 
 
 def stage_path(spark: SparkSession, name: str = "stage") -> str:
@@ -91,16 +108,18 @@ def merge_into(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[
     parts = [r[0] for r in batch.select(part_col).distinct().collect()]  # partition values only (days)
     if not parts:
         return
+    merged = batch
     if _exists(spark, path):
         known = [p for p in parts if p is not None]
         touched = F.col(part_col).isin(known) | F.col(part_col).isNull() if None in parts else F.col(part_col).isin(known)
-        existing = spark.read.parquet(path).where(touched)
+        # Columns that the table alone has stay; the batch's schema keeps a partition value like '001' a text.
+        stored = spark.read.parquet(path).schema
+        mine = {f.name: f for f in batch.schema.fields}
+        existing = spark.read.schema(T.StructType([mine.get(f.name, f) for f in stored.fields])).parquet(path).where(touched)
         merged = merge_rows(existing, batch.select(*existing.columns), keys)
-    else:
-        merged = batch
     stage = stage_path(spark, "merge")
     merged.write.mode("overwrite").partitionBy(part_col).parquet(stage)
-    staged = spark.read.parquet(stage)
+    staged = spark.read.schema(merged.schema).parquet(stage)
     (
         staged.select(*merged.columns)
         .write.mode("overwrite")
@@ -108,6 +127,15 @@ def merge_into(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[
         .partitionBy(part_col)
         .parquet(path)
     )
+    remove(spark, stage)
+
+
+def drop_older_folders(spark: SparkSession, path: str, part_col: str, cutoff: str) -> list[str]:
+    """K6 on a partitioned folder: removes the folders of days before ``cutoff`` (ISO), without reading or rewriting rows."""
+    old = [x for x in children(spark, path) if x.startswith(f"{part_col}=") and x.partition("=")[2] < cutoff]
+    for x in old:
+        remove(spark, f"{path}/{x}")
+    return old
 
 
 def drop_older_partitions(spark: SparkSession, table: str, part_col: str, cutoff: str) -> list[str]:
