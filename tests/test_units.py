@@ -60,18 +60,23 @@ def test_surplus_and_pairs_of_repeated_keys(spark):
 
 
 def multiset_pairs(s, t):
-    """Brute force: equal rows cancel, the rest of a key is sorted by digest and paired."""
+    """Brute force: equal rows cancel, the rest of a key is sorted by digest and paired, within digests that begin alike first."""
     import hashlib
     from collections import Counter
 
     digest = lambda row: hashlib.md5("".join("N;" if v is None else f"{len(str(v))}:{v};" for v in row[1:]).encode()).hexdigest()
     left, right = (Counter(r for r in x if r[0] is not None) for x in (s, t))
     left, right = left - right, right - left
-    out = []
-    for k in {r[0] for r in left} & {r[0] for r in right}:
-        a, b = (sorted((r for r in x.elements() if r[0] == k), key=digest) for x in (left, right))
-        out += [(str(k), i, x[i], y[i]) for x, y in zip(a, b, strict=False) for i in range(1, len(x)) if x[i] != y[i]]
-    return sorted(out, key=str)
+    pairs, rest = [], ([], [])
+    for k, run in {(r[0], digest(r)[:2]) for x in (left, right) for r in x}:
+        a, b = (sorted((r for r in x.elements() if (r[0], digest(r)[:2]) == (k, run)), key=digest) for x in (left, right))
+        n = min(len(a), len(b))
+        pairs += zip(a[:n], b[:n], strict=True)
+        rest[0].extend(a[n:])
+        rest[1].extend(b[n:])
+    for k in {r[0] for r in rest[0]}:
+        pairs += zip(*[sorted((r for r in x if r[0] == k), key=digest) for x in rest], strict=False)
+    return sorted(((str(x[0]), i, x[i], y[i]) for x, y in pairs for i in range(1, len(x)) if x[i] != y[i]), key=str)
 
 
 def test_mismatches_of_repeated_keys_are_those_of_the_multisets(spark):

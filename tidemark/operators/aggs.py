@@ -40,22 +40,23 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def value_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """``(table_name, column_no, whole, real, other, n)``: how often each value stands in each column of all tables, in one shuffle.
+    """``(column_no, whole, real, other, n)``: how often each value stands in each column of all tables (numbered
+    through), in one shuffle.
 
     A value goes in its own kind (integers as long, floating as double, the rest as text), so that every table
     and type shares one grouping; equal values combine before the shuffle.
     """
-    out = None
-    for name, df in tables.items():
+    to = {"whole": "long", "real": "double", "other": "string"}
+    out, no = None, 0
+    for df in tables.values():
         cells = []
-        for i, f in enumerate(df.schema.fields):
-            c = F.col(f"`{f.name}`")
+        for f in df.schema.fields:
             kind = "whole" if isinstance(f.dataType, T.IntegralType) else "real" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else "other"
-            to = {"whole": "long", "real": "double", "other": "string"}
-            cells.append(F.struct(F.lit(i).alias("column_no"), *[(c if k == kind else F.lit(None)).cast(t).alias(k) for k, t in to.items()]))
-        part = df.select(F.lit(name).alias("table_name"), F.explode(F.array(*cells)).alias("p")).select("table_name", "p.*")
+            cells.append(F.struct(F.lit(no).alias("column_no"), *[(F.col(f"`{f.name}`") if k == kind else F.lit(None)).cast(t).alias(k) for k, t in to.items()]))
+            no += 1
+        part = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("table_name", "column_no", "whole", "real", "other").agg(F.count(F.lit(1)).alias("n"))
+    return out.groupBy("column_no", *to).agg(F.count(F.lit(1)).alias("n"))
 
 
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -64,13 +65,13 @@ def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     from tidemark.operators.windows import pct_round
 
     absent = F.col("whole").isNull() & F.col("real").isNull() & F.col("other").isNull()
-    per = value_counts(tables).groupBy("table_name", "column_no").agg(
+    per = value_counts(tables).groupBy("column_no").agg(
         F.sum("n").cast("long").alias("row_count"), F.coalesce(F.sum(F.when(absent, F.col("n"))), F.lit(0)).cast("long").alias("null_count"), F.count(F.when(~absent, 1)).alias("distinct_count")
     )
-    names = F.create_map(*[x for t, df in tables.items() for x in (F.lit(t), F.array(*[F.lit(c) for c in df.columns]))])
+    named = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, df in tables.items() for c in df.columns])
     pct = lambda x: pct_round(x, F.col("row_count"), 2)
-    return per.select(
-        "table_name", names[F.col("table_name")][F.col("column_no")].alias("column_name"), "row_count", "null_count", "distinct_count",
+    return per.withColumn("name", named[F.col("column_no")]).select(
+        "name.table_name", "name.column_name", "row_count", "null_count", "distinct_count",
         pct(F.col("null_count")).alias("null_pct"), pct(F.col("row_count") - F.col("null_count")).alias("density_pct"), pct(F.col("distinct_count")).alias("distinct_pct"),
     )
 

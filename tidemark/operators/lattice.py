@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import normal_text_sql
 
+#: Types whose values are equal exactly if their texts are.
+AS_IS = (T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Decimal digits that hold every value of an integer type.
 DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
 
@@ -52,11 +54,14 @@ def number_sql(value: str, kind: T.DataType, to: T.DataType) -> str:
 
 @dataclass(frozen=True)
 class ColumnPair:
-    """A column of both sides. ``source`` and ``target`` are the texts by which values are equal."""
+    """A column of both sides, as SQL: the values by which it is compared (of one type on both sides), and their
+    texts, where ``{}`` stands for the column."""
 
     name: str
-    source: str
-    target: str
+    source_value: str
+    target_value: str
+    source_text: str
+    target_text: str
     rule: str  # NUMBER, MIXED or TEXT
     number: T.DataType | None
 
@@ -83,16 +88,18 @@ class ColumnPair:
 
 def pair(name: str, source: str, a: T.DataType, target: str, b: T.DataType) -> ColumnPair:
     """The pair of column ``source`` (of type ``a``) and column ``target`` (of type ``b``)."""
-    s, t = ident(source), ident(target)
     number = common_number(a, b)
     if number is not None:
-        return ColumnPair(name, f"CAST({number_sql(s, a, number)} AS STRING)", f"CAST({number_sql(t, b, number)} AS STRING)", "NUMBER", number)
-    beside = [x for x in (a, b) if isinstance(x, T.NumericType)]
-    mixed = len(beside) == 1 and any(isinstance(x, T.StringType) for x in (a, b))
-    floating = mixed and isinstance(beside[0], (T.FloatType, T.DoubleType))
-    # Wide enough that '2.504' isn't read as 2.50.
-    reads_as = T.DoubleType() if floating else T.DecimalType(38, 18) if mixed else None
-    return ColumnPair(name, f"CAST({s} AS STRING)", f"CAST({t} AS STRING)", "MIXED" if mixed else "TEXT", reads_as)
+        forms, rule = [number_sql("{}", x, number) for x in (a, b)], "NUMBER"
+    else:
+        beside = [x for x in (a, b) if isinstance(x, T.NumericType)]
+        rule = "MIXED" if len(beside) == 1 and any(isinstance(x, T.StringType) for x in (a, b)) else "TEXT"
+        # Some types are equal as they are; others are compared by their text.
+        forms = ["{}" if a == b and isinstance(a, AS_IS) else "CAST({} AS STRING)"] * 2
+        if rule == "MIXED":  # wide enough that '2.504' isn't read as 2.50
+            number = T.DoubleType() if isinstance(beside[0], (T.FloatType, T.DoubleType)) else T.DecimalType(38, 18)
+    values = [f.replace("{}", ident(n)) for f, n in zip(forms, (source, target), strict=True)]
+    return ColumnPair(name, *values, *[f"CAST({f} AS STRING)" for f in forms], rule, number)
 
 
 def pairs(source: T.StructType, target: T.StructType, names: Sequence[str]) -> list[ColumnPair]:

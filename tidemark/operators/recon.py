@@ -1,15 +1,15 @@
 """Row-level reconciliation of a table pair.
 
 Keys need not be unique. The rows of a key are two multisets of contents, and one rule holds everywhere: equal rows
-cancel, what is left on both sides is numbered in each key and paired number by number, and the rest of the longer
+cancel, what is left on both sides is put in the order of a digest and paired one by one, and the rest of the longer
 side has no partner. A key's rows are so matched one to one, and never multiplied. Rows with a NULL key match nothing.
 
-At scale: both sides first go as narrow rows (key, digest of the compared columns, one) into one grouped
-count. Copies combine before the shuffle, and a key that holds a third of all rows is spread by the digests. All
-counts come from these cells. Only cells that don't cancel are numbered; a key's cells are numbered in
-256 runs of digests at once, so a hot key isn't sorted by one task. The columns of just these rows are
-then fetched from the tables, two rows of a pair meet by (key, number), and columns are compared by the
-rules of ``lattice``.
+At scale: both sides first go as narrow rows (key, 128 bits of hash of the compared columns, one) into one grouped
+count. Copies combine before the shuffle, and a key that holds a third of all rows is spread by the hashes. All
+counts come from these cells. The columns of just the cells that don't cancel are then fetched from the tables and
+turned into texts. They are numbered by the digest of their texts, in 256 runs of digests for each key, so that a hot key
+isn't sorted by one task; only what finds no partner in its run is numbered through the key. Two rows of a
+pair meet by number, and columns are compared by the rules of ``lattice``.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import lattice
 
 KEY = "__key__"
+CELL = ["__k", "__h1", "__h2"]
 
 
 @dataclass(frozen=True)
@@ -122,7 +123,7 @@ class KeyedCompare:
         self.key = lattice.pairs(source.schema, target.schema, [key])[0]
         self.columns = lattice.pairs(source.schema, target.schema, columns)
         self.plain_key = source.schema[_named(source, key)].dataType == target.schema[_named(target, key)].dataType
-        frames = [self._keyed(source, _named(source, key), self.key.source, share), self._keyed(target, _named(target, key), self.key.target, share)]
+        frames = [self._keyed(source, _named(source, key), self.key.source_text, share), self._keyed(target, _named(target, key), self.key.target_text, share)]
         if window:
             frames = self._in_window(frames, window)
         else:
@@ -130,7 +131,7 @@ class KeyedCompare:
         self.sides = [self._side(f, "s" if i == 0 else "t") for i, f in enumerate(frames)]
 
     def _keyed(self, df: DataFrame, key: str, form: str, share: int | None) -> DataFrame:
-        out = df.withColumn("__k", _c(key) if self.plain_key else F.expr(form))
+        out = df.withColumn("__k", _c(key) if self.plain_key else F.expr(form.replace("{}", lattice.ident(key))))
         return out if share is None else out.where(key_bucket(F.col("__k")) < F.lit(share))
 
     @staticmethod
@@ -146,18 +147,16 @@ class KeyedCompare:
         return out
 
     def _side(self, df: DataFrame, side: str) -> DataFrame:
-        forms = [p.source if side == "s" else p.target for p in self.columns]
-        names = {c.lower(): c for c in df.columns}
-        texts = [f"CAST({lattice.ident(names[p.name.lower()])} AS STRING)" for p in self.columns]
-        tokens = [f"coalesce(concat(length({f}), ':', {f}, ';'), 'N;')" for f in forms]
-        digest = f"md5(concat({', '.join(tokens)}))" if tokens else "''"
-        return df.selectExpr("__k", f"{digest} AS __h", f"CAST(array({', '.join(texts)}) AS ARRAY<STRING>) AS __texts", "__beyond", f"'{side}' AS __side")
+        """``__k``, the hash ``__h1``, ``__h2`` of the compared values, ``__beyond``, and the columns as they are."""
+        names = {c.lower(): lattice.ident(c) for c in df.columns}
+        h1, h2 = hashes([p.source_value if side == "s" else p.target_value for p in self.columns])
+        return df.selectExpr("__k", f"{h1} AS __h1", f"{h2} AS __h2", "__beyond", *[f"{names[p.name.lower()]} AS __c{i}" for i, p in enumerate(self.columns)])
 
     def cells(self) -> DataFrame:
-        """``(__k, __h, s, t)``: rows of a key and content on both sides; ``beyond`` and ``beyond_s``: those outside the window."""
-        u = self.sides[0].unionByName(self.sides[1])
-        one = lambda side: F.sum(F.when(F.col("__side") == side, 1).otherwise(0))
-        return u.groupBy("__k", "__h").agg(one("s").alias("s"), one("t").alias("t"), F.sum("__beyond").alias("beyond"), F.sum(F.when(F.col("__side") == "s", F.col("__beyond")).otherwise(0)).alias("beyond_s"))
+        """``(__k, __h1, __h2, s, t)``: rows of a key and content on both sides; ``beyond`` and ``beyond_s``: those outside the window."""
+        one = lambda side, s, t: side.select("__k", "__h1", "__h2", F.lit(s).alias("s"), F.lit(t).alias("t"), F.col("__beyond").alias("beyond"), (F.col("__beyond") * s).alias("beyond_s"))
+        u = one(self.sides[0], 1, 0).unionByName(one(self.sides[1], 0, 1))
+        return u.groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in ("s", "t", "beyond", "beyond_s")])
 
     def keys(self) -> DataFrame:
         """One row per key: rows on both sides ``s`` and ``t``, and ``equal``, the pairs that are alike."""
@@ -179,23 +178,35 @@ class KeyedCompare:
             total("IF(beyond > 0, 1, 0)", "straddling_keys"),
         )
 
-    def _numbered(self) -> DataFrame:
-        """Cells that don't cancel: ``n`` rows on ``__side``, numbered in their key from ``first`` on, by digest."""
-        left = self.cells().where("__k IS NOT NULL AND s <> t").selectExpr("__k", "__h", "left(__h, 2) AS run", "greatest(s - t, 0) AS s", "greatest(t - s, 0) AS t")
-        in_run = Window.partitionBy("__k", "run").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
-        runs = Window.partitionBy("__k").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-        before = lambda c, w, name: F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name)
-        own = left.select("*", before("s", in_run, "s_in"), before("t", in_run, "t_in"))
-        sums = left.groupBy("__k", "run").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).select("__k", "run", before("s", runs, "s_off"), before("t", runs, "t_off"))
-        placed = own.join(sums, ["__k", "run"])
-        return placed.selectExpr("__k", "__h", "IF(s > 0, 's', 't') AS __side", "IF(s > 0, s, t) AS n", "IF(s > 0, s_in + s_off, t_in + t_off) AS first")
+    def _left(self, side: int) -> DataFrame:
+        """Rows of a side that don't cancel, copies as one: ``n`` of them, their ``texts`` and the digest of their compared texts."""
+        alone = self.cells().where("__k IS NOT NULL").selectExpr(*CELL, f"{'s - t' if side == 0 else 't - s'} AS n").where("n > 0")
+        rows = self.sides[side].drop("__beyond").join(alone, CELL)
+        texts = ", ".join(f"CAST(__c{i} AS STRING)" for i, _ in enumerate(self.columns))
+        forms = [(p.source_text if side == 0 else p.target_text).replace("{}", f"__c{i}") for i, p in enumerate(self.columns)]
+        tokens = [f"coalesce(concat(length({f}), ':', {f}, ';'), 'N;')" for f in forms]
+        shown = rows.selectExpr(*CELL, "n", f"CAST(array({texts}) AS ARRAY<STRING>) AS texts", f"md5(concat({', '.join(tokens)})) AS digest" if tokens else "'' AS digest")
+        once = shown.groupBy(*CELL).agg(F.max(F.struct("n", "digest", "texts")).alias("row")).select("__k", "row.*")
+        return once.select("__k", "n", "texts", "digest", F.left("digest", F.lit(2)).alias("run"), F.lit("st"[side]).alias("side"))
 
     def unequal_pairs(self) -> DataFrame:
-        """``(__k, number, s, t)``: paired rows that aren't alike, as arrays of their columns' texts."""
-        rows = self.sides[0].unionByName(self.sides[1]).drop("__beyond").join(self._numbered(), ["__side", "__k", "__h"]).distinct()
-        each = rows.select("__k", "__side", "__texts", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("number"))
-        side = lambda x: F.max(F.when(F.col("__side") == x, F.col("__texts"))).alias(x)
-        return each.groupBy("__k", "number").agg(side("s"), side("t")).where("s IS NOT NULL AND t IS NOT NULL")
+        """``(__k, number, s, t)``: paired rows that aren't alike, as arrays of their columns' texts.
+
+        Rows of a key meet within runs of digests first, number by number. Of a hot key's evenly spread digests
+        this leaves few; these are then numbered through the whole key.
+        """
+        left = self._left(0).unionByName(self._left(1))
+        run, key = Window.partitionBy("__k", "run"), Window.partitionBy("__k", "side").orderBy("digest")
+        of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))).over(run), F.lit(0))
+        so_far = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        met = left.withColumn("pairs", F.least(of("s"), of("t")))
+        met = met.withColumn("first", so_far(Window.partitionBy("__k", "run", "side").orderBy("digest"), "n"))
+        paired = met.where("first < pairs").select("__k", "side", "texts", "run", "first", F.expr("least(first + n, pairs) - first").alias("n"))
+        rest = met.where("first + n > pairs").withColumn("n", F.expr("first + n - greatest(first, pairs)"))
+        rest = rest.select("__k", "side", "texts", F.lit("").alias("run"), so_far(key, "n").alias("first"), "n")
+        each = paired.unionByName(rest).select("__k", "run", "side", "texts", F.explode(F.expr("sequence(first, first + n - 1)")).alias("number"))
+        one = lambda x: F.max(F.when(F.col("side") == x, F.col("texts"))).alias(x)
+        return each.groupBy("__k", "run", "number").agg(one("s"), one("t")).where("s IS NOT NULL AND t IS NOT NULL")
 
     def mismatches(self) -> DataFrame:
         """``(key, column_name, source_value, target_value, mismatch_type)``, a row for each column that differs in a pair."""
@@ -209,6 +220,12 @@ class KeyedCompare:
         return self.unequal_pairs().selectExpr("CAST(__k AS STRING) AS key", f"explode(array({', '.join(items)})) AS m").where("m IS NOT NULL").select("key", "m.*")
 
 
+def hashes(values: Sequence[str]) -> tuple[str, str]:
+    """SQL of two 64-bit hashes of a row of values (SQL, of any type). NULLs count by their place, which ``xxhash64`` skips."""
+    nulls = [f"concat({', '.join(f'isnull({v})' for v in values[i : i + 32])})" for i in range(0, len(values), 32)]
+    return tuple(f"xxhash64({', '.join([str(seed), *values, *nulls])})" for seed in (1, 2))
+
+
 def _named(df: DataFrame, name: str) -> str:
     return next(c for c in df.columns if c.lower() == name.lower())
 

@@ -112,10 +112,8 @@ def _measured(spark: SparkSession, spec: PairSpec, plan: PairPlan, cfg: R.ReconC
         return "SKIPPED", None, spark.range(1).selectExpr(*[f"CAST({n} AS BIGINT) AS {c}" for c in _COUNTS], f"{_NO_COLUMNS} AS columns")
     if plan.mode == "FULL_HASH":
         s, t = _windowed(spec, plan)
-        names = {c.lower(): c for c in t.columns}
         rules = lattice.pairs(s.schema, t.schema, plan.columns)
-        forms = [f.select(*[F.expr(x).alias(p.name) for p, x in zip(rules, xs, strict=True)]) for f, xs in ((s, [p.source for p in rules]), (t, [p.target for p in rules]))]
-        assert all(c.lower() in names for c in plan.columns)
+        forms = [s.select(*[F.expr(p.source_value).alias(p.name) for p in rules]), t.select(*[F.expr(p.target_value).alias(p.name) for p in rules])]
         h = R.hash_diff(*forms, list(plan.columns))
         return "FULL_HASH", None, h.selectExpr("*", *[f"CAST(0 AS BIGINT) AS {c}" for c in ("matched_row_count", "duplicate_keys", "straddling_keys")], f"{_NO_COLUMNS} AS columns")
     sample = sample_of(spec, plan, cfg) if plan.mode == "SAMPLE_KEYED" else None
@@ -379,13 +377,15 @@ def validate_table(
         none = F.lit(0).cast("long")
         both = full.select("full", F.col("full").alias("kept"), n.alias("s"), n.alias("t"), none.alias("only_s"), none.alias("only_t"))
     else:
-        rows = tgt.select(R.row_hash(tgt, tgt.columns).alias("row"), R.row_hash(tgt, common).alias("h"), F.coalesce(here, F.lit(False)).alias("here"))
-        counted = rows.groupBy("row", "h", "here").agg(F.count(F.lit(1)).alias("n"))
+        h = lambda cols, name: [F.expr(f"{x} AS {name}{i}") for i, x in enumerate(R.hashes([f"CAST({lattice.ident(c)} AS STRING)" for c in cols]))]
+        rows = tgt.select(*h(sorted(tgt.columns), "row"), *h(common, "h"), F.coalesce(here, F.lit(False)).alias("here"))
+        counted = rows.groupBy("row0", "row1", "h0", "h1", "here").agg(F.count(F.lit(1)).alias("n"))
         once = F.lit(1) if dedup else F.col("n")
-        cells = counted.select("h", F.lit(0).alias("s"), F.when(F.col("here"), once).otherwise(0).alias("t"), F.col("n").alias("full"), once.alias("kept"))
-        cells = cells.unionByName(_row_hash_counts(s, common, "s").select("h", "s", F.lit(0).alias("t"), F.lit(0).alias("full"), F.lit(0).alias("kept")))
+        cells = counted.select("h0", "h1", F.lit(0).alias("s"), F.when(F.col("here"), once).otherwise(0).alias("t"), F.col("n").alias("full"), once.alias("kept"))
+        none = [F.lit(0).alias(c) for c in ("t", "full", "kept")]
+        cells = cells.unionByName(s.select(*h(common, "h")).groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("s")).select("h0", "h1", "s", *none))
         total = lambda x, name: F.expr(f"CAST(coalesce(sum({x}), 0) AS BIGINT) AS {name}")
-        per = cells.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("s", "t", "full", "kept")])
+        per = cells.groupBy("h0", "h1").agg(*[F.sum(c).alias(c) for c in ("s", "t", "full", "kept")])
         both = per.agg(*[total(c, c) for c in ("s", "t", "full", "kept")], total("greatest(s - t, 0)", "only_s"), total("greatest(t - s, 0)", "only_t"))
     names = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     miss_src, miss_tgt = sorted(set(tgt.columns) - set(src.columns)), sorted(set(src.columns) - set(tgt.columns))

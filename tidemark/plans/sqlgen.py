@@ -44,14 +44,20 @@ def tokens(cols: Sequence[str]) -> str:
 def multiset_ctes(src: str, tgt: str, key: str, cols: Sequence[str], name: str = "j") -> str:
     """CTEs of a keyed multiset comparison: ``<name>_k`` (k, s, t: rows of a key on both sides; a NULL key's sides
     stay apart) and ``<name>_p`` (pairs of rows that aren't alike: k, s__col, t__col). Equal rows go by EXCEPT ALL;
-    the rest is numbered in each key by the digest of its text."""
+    the rest of a key is paired by the order of the digests of its text, within digests that begin alike first."""
     row = lambda t: f"SELECT {key} AS k, {', '.join(f'{s(c)} AS {c}' for c in cols)} FROM {t}"
-    left = lambda a, b: f"SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5({tokens(cols)})) AS r FROM (SELECT * FROM {name}_{a} WHERE k IS NOT NULL EXCEPT ALL SELECT * FROM {name}_{b})"
+    left = lambda a, b: f"SELECT *, md5({tokens(cols)}) AS d FROM (SELECT * FROM {name}_{a} WHERE k IS NOT NULL EXCEPT ALL SELECT * FROM {name}_{b})"
+    numbered = lambda a, by: f"SELECT *, row_number() OVER (PARTITION BY k{by} ORDER BY d) AS r FROM {name}_{a}"
+    rest = lambda a, b: f"SELECT a.* EXCLUDE (r) FROM {name}_{a}1 a WHERE NOT EXISTS (SELECT 1 FROM {name}_{b}1 b WHERE a.k = b.k AND left(a.d, 2) = left(b.d, 2) AND a.r = b.r)"
     pick = ", ".join(f"a.{c} AS s__{c}, b.{c} AS t__{c}" for c in cols)
     return f"""{name}_s AS ({row(src)}), {name}_t AS ({row(tgt)}),
 {name}_k AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS s, coalesce(b.n, 0) AS t FROM (SELECT k, count(*) AS n FROM {name}_s GROUP BY k) a
   FULL OUTER JOIN (SELECT k, count(*) AS n FROM {name}_t GROUP BY k) b ON a.k = b.k),
-{name}_p AS (SELECT a.k, {pick} FROM ({left('s', 't')}) a JOIN ({left('t', 's')}) b ON a.k = b.k AND a.r = b.r)"""
+{name}_ls AS ({left('s', 't')}), {name}_lt AS ({left('t', 's')}),
+{name}_ls1 AS ({numbered('ls', ', left(d, 2)')}), {name}_lt1 AS ({numbered('lt', ', left(d, 2)')}),
+{name}_ls2 AS ({rest('ls', 'lt')}), {name}_lt2 AS ({rest('lt', 'ls')}),
+{name}_p AS (SELECT a.k, {pick} FROM {name}_ls1 a JOIN {name}_lt1 b ON a.k = b.k AND left(a.d, 2) = left(b.d, 2) AND a.r = b.r
+  UNION ALL SELECT a.k, {pick} FROM ({numbered('ls2', '')}) a JOIN ({numbered('lt2', '')}) b ON a.k = b.k AND a.r = b.r)"""
 
 
 def differs(c: str) -> str:
