@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def full_outer_keyed(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer equi-join on a composite key; ``join(on=[...])`` coalesces the key columns."""
-    return a.join(b, list(keys), "full_outer")
-
-
 def full_outer_three(a: DataFrame, b: DataFrame, c: DataFrame, key: str, flags: Sequence[str]) -> DataFrame:
     """Presence of each key on three sides.
 
@@ -26,16 +21,6 @@ def full_outer_three(a: DataFrame, b: DataFrame, c: DataFrame, key: str, flags:
     return j.select(key, *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags])
 
 
-def semi(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``a`` whose key occurs in ``b``."""
-    return a.join(b.select(*keys), list(keys), "left_semi")
-
-
-def anti(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``a`` whose key does not occur in ``b``."""
-    return a.join(b.select(*keys), list(keys), "left_anti")
-
-
 def spine(slots: DataFrame, dims: Mapping[str, Sequence[str]]) -> DataFrame:
     """Slots x dimension values without a join: each dimension is an exploded literal array.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,6 +217,33 @@ def latency(df: DataFrame, t1: str, t2: str, by: Sequence[str], sla_seconds: int
     return counts.join(qs, list(by), "left").select(*by, "row_count", "missing_ingest", "p50_seconds", "p95_seconds", "max_seconds", "sla_breaches")
 
 
+def carried_forward(rows: DataFrame, states: DataFrame, key: str, at: str, value: str, order: str, held: str) -> DataFrame:
+    """Q-20: ``rows`` with ``expected``, the last ``value`` known of their ``key`` at their time ``at`` (a state of the same time
+    is known; of several the last by ``order``), and ``verdict`` on the value they ``held``: MATCH, STALE (an older
+    one or none), UNKNOWN (held without any state before).
+
+    Both layers go through one window, cut by key and day; what a key knew at the start of a day comes from the last state of
+    each day, a row a day. So a hot key is spread over its days.
+    """
+    state = F.struct(F.col(at).alias("t"), F.col(order).alias("o"), F.col(value).alias("v"))
+    last = states.where(F.col(at).isNotNull()).groupBy(F.col(key).alias("__k"), F.to_date(at).alias("__d")).agg(F.max(state).alias("s"))
+    days = last.select("__k", "__d", "s").unionByName(rows.select(F.col(key).alias("__k"), F.to_date(at).alias("__d"), F.lit(None).cast(last.schema["s"].dataType).alias("s")).distinct())
+    per_day = days.groupBy("__k", "__d").agg(F.max("s").alias("s"))
+    before = F.last("s", ignorenulls=True).over(Window.partitionBy("__k").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1))
+    known = per_day.select("__k", "__d", before.alias("__before"))
+    both = states.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(0).alias("__row"), state.alias("__s"), F.lit(None).cast(T.StructType(rows.schema.fields)).alias("__r"))
+    both = both.unionByName(rows.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__row"), F.lit(None).cast(last.schema["s"].dataType).alias("__s"), F.struct(*rows.columns).alias("__r")))
+    today = Window.partitionBy("__k", F.to_date("__t")).orderBy("__t", "__row", F.col("__s.o")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__now", F.last("__s", ignorenulls=True).over(today)).where("__row = 1").withColumn("__d", F.to_date("__t"))
+    k = known.select(F.col("__k").alias("__k2"), F.col("__d").alias("__d2"), "__before")
+    j = seen.join(k, F.col("__k").eqNullSafe(F.col("__k2")) & F.col("__d").eqNullSafe(F.col("__d2")), "left")
+    state_known = F.coalesce("__now", "__before")
+    out = j.select("__r.*", state_known["v"].alias("expected"), state_known.isNull().alias("__none"))
+    h = F.col(held)
+    verdict = F.when(F.col("__none") & h.isNotNull(), "UNKNOWN").when(h.eqNullSafe(F.col("expected")), "MATCH").otherwise("STALE")
+    return out.withColumn("verdict", verdict).drop("__none")
+
+
 def coverage(df: DataFrame, col: str, expected: Sequence[str]) -> DataFrame:
     """Q-18: rows per expected value in ONE conditional aggregate; an expected value with 0 rows is uncovered."""
     wide = df.agg(*[F.count(F.when(_c(col) == v, 1)).alias(f"c{i}") for i, v in enumerate(expected)])
@@ -275,8 +302,6 @@ def reconcile_metrics(df: DataFrame, formulas: Mapping[str, str], reported: Mapp
 
 def count_match(layers: Mapping[str, DataFrame], period: Column | str | None = None) -> DataFrame:
     """Rows per layer (and period) next to the first layer's count; missing = base - layer when positive."""
-    from pyspark.sql import Window
-
     u = None
     for i, (n, df) in enumerate(layers.items()):
         p = (F.col(period) if isinstance(period, str) else period) if period is not None else F.lit("all")

@@ -26,14 +26,6 @@ def except_both(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
     return left.unionByName(right)
 
 
-def union_all(*dfs: DataFrame, allow_missing: bool = False) -> DataFrame:
-    """U4: UNION ALL by name."""
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d, allowMissingColumns=allow_missing)
-    return out
-
-
 def dedup_rows(df: DataFrame, keys: Sequence[str] | None = None, keep: str = "min") -> DataFrame:
     """Distinct rows, or exactly one row per key.
 

@@ -73,12 +73,6 @@ def first_n_per(df: DataFrame, part: Sequence[str], order: Sequence, n: int, nam
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long")).where(F.col(name) <= n)
 
 
-def pct_of_total(df: DataFrame, col: str, name: str = "pct", digits: int = 2) -> DataFrame:
-    """Share of the grand total; meant for already aggregated (small) frames."""
-    total = F.sum(col).over(Window.partitionBy(F.lit(1)))
-    return df.withColumn(name, F.round(F.col(col) * 100.0 / total, digits).cast("double"))
-
-
 def pct_round(num: Column, den: Column, digits: int = 1) -> Column:
     """``ROUND(100 * num / NULLIF(den, 0), digits)`` with exact half-up rounding.
 

@@ -82,3 +82,42 @@ def doc_chunks_rows(spark, sf):
     c = fx.load(spark, sf, "conversations").withColumn("row_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     ch = D.chunk(c, id_col="row_id", size=200, overlap=20, keep=["conv_id", "turn"])
     return ch.select("conv_id", "turn", F.col("chunk_no").cast("int").alias("chunk_no"), "chunk_id", F.col("chunk_start").cast("int").alias("chunk_start"), "chunk_text")
+
+
+def _pieces(name: str, src: str, sep: str) -> str:
+    """Pieces of the texts of ``src`` (doc_id, pos, t) after each separator, with their place ``pos`` in the whole text and
+    ``run``: pieces that fit (run 0, 1, ... between those that don't) or not."""
+    return f"""{name}0 AS (SELECT doc_id, pos AS base, unnest(parts) AS p, unnest(range(1, len(parts) + 1)) AS i, len(parts) AS n
+  FROM (SELECT doc_id, pos, string_split(t, {sep}) AS parts FROM {src})),
+{name}1 AS (SELECT doc_id, base, i, p || CASE WHEN i < n THEN {sep} ELSE '' END AS t FROM {name}0),
+{name} AS (SELECT doc_id, base, i, t, base + sum(length(t)) OVER (PARTITION BY doc_id, base ORDER BY i) - length(t) AS pos,
+  sum(CASE WHEN length(t) > {SIZE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, base ORDER BY i) AS run FROM {name}1 WHERE length(t) > 0)"""
+
+
+_LEVELS = ["chr(10) || chr(10)", "chr(10)", "' '"]
+_fits = lambda i: f"SELECT doc_id, {i} AS level, base, run, pos, length(t) AS len FROM p{i} WHERE length(t) <= {SIZE}"
+_SPLIT_SQL = f"""WITH RECURSIVE t0 AS (SELECT doc_id, 0 AS pos, text AS t FROM documents WHERE length(text) > 0),
+{", ".join(f"{_pieces(f'p{i}', f't{i}', sep)}, t{i + 1} AS (SELECT doc_id, pos, t FROM p{i} WHERE length(t) > {SIZE})" for i, sep in enumerate(_LEVELS))},
+atoms AS (SELECT *, row_number() OVER (PARTITION BY doc_id, level, base, run ORDER BY pos) AS a FROM
+  ({" UNION ALL ".join(_fits(i) for i in range(3))}
+  UNION ALL SELECT doc_id, 3, pos, 0, pos + k, least({SIZE}, length(t) - k) FROM (SELECT doc_id, pos, t, unnest(range(0, length(t), {SIZE})) AS k FROM t3))),
+b AS (SELECT doc_id, level, base, run, a, pos, pos + len AS ending, max(pos + len) OVER w AS last FROM atoms WINDOW w AS (PARTITION BY doc_id, level, base, run)),
+reach AS (SELECT x.doc_id, x.level, x.base, x.run, x.a, x.pos, max(y.ending) AS ending, any_value(x.last) AS last
+  FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.level = y.level AND x.base = y.base AND x.run = y.run AND y.a >= x.a AND y.a < x.a + {SIZE + 1} AND y.ending <= x.pos + {SIZE} GROUP BY ALL),
+follow AS (SELECT r.*, n.ending AS next_ending FROM reach r LEFT JOIN b n ON n.doc_id = r.doc_id AND n.level = r.level AND n.base = r.base AND n.run = r.run AND n.pos = r.ending),
+steps AS (SELECT f.doc_id, f.level, f.base, f.run, f.a, f.pos, f.ending, min(y.a) AS nxt FROM follow f LEFT JOIN b y
+  ON f.doc_id = y.doc_id AND f.level = y.level AND f.base = y.base AND f.run = y.run AND y.a > f.a AND y.a < f.a + {SIZE + 2} AND f.ending < f.last
+  AND y.pos >= greatest(f.ending - {OVERLAP}, f.next_ending - {SIZE}) GROUP BY ALL),
+walk AS (SELECT * FROM steps WHERE a = 1
+  UNION ALL SELECT s.* FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.level = w.level AND s.base = w.base AND s.run = w.run AND s.a = w.nxt)
+SELECT w.doc_id, CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY w.pos) AS INTEGER) AS chunk_no, CAST(w.pos + 1 AS INTEGER) AS chunk_start,
+  substring(d.text, CAST(w.pos + 1 AS BIGINT), CAST(w.ending - w.pos AS BIGINT)) AS chunk_text, CAST(w.ending - w.pos AS INTEGER) AS chunk_chars
+FROM walk w JOIN documents d ON d.doc_id = w.doc_id"""
+
+
+@query("doc_chunks_recursive", _SPLIT_SQL)
+def doc_chunks_recursive(spark, sf):
+    """2.16: whole documents split at blank lines, lines, blanks, merged up to 500 characters with 50 of overlap."""
+    from tidemark.operators.splitter import split_recursive
+
+    return split_recursive(fx.load(spark, sf, "documents"), size=SIZE, overlap=OVERLAP)

@@ -249,3 +249,49 @@ def layer_count_match(spark, sf):
     """Rows per layer and order year against the source layer."""
     layers = {"source": fx.src_orders(spark, sf), "target": fx.tgt_orders(spark, sf), "third": fx.third_orders(spark, sf)}
     return Q.count_match(layers, F.year("o_orderdate"))
+
+
+# Scores of the rating stream by quote; the silver rows parsed from the payload hold what the pipeline carried along.
+_SILVER = """SELECT p.mqs_quote_id, p.event_ts, p.status, p.event_id, CASE WHEN p.event_id % 23 = 0 THEN NULL WHEN p.event_id % 19 = 0 THEN -1 ELSE e.value END AS score
+FROM flow_parsed p JOIN events e ON e.event_id = p.event_id"""
+_CARRIED = f"""WITH s AS ({_SILVER}), b AS (SELECT CAST(user_id AS VARCHAR) AS k, ts, event_id, value FROM events WHERE event_id % 3 <> 0),
+u AS (SELECT mqs_quote_id AS k, event_ts AS t, 1 AS r, event_id AS o, CAST(NULL AS DOUBLE) AS v, status, score FROM s
+  UNION ALL SELECT k, ts, 0, event_id, value, NULL, NULL FROM b),
+w AS (SELECT *, max(CASE WHEN r = 0 THEN {{'t': t, 'o': o, 'v': v}} END) OVER (PARTITION BY k ORDER BY t, r, o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM u)
+SELECT o AS event_id, k AS mqs_quote_id, status, score, last.v AS expected,
+  CASE WHEN last IS NULL AND score IS NOT NULL THEN 'UNKNOWN' WHEN score IS NOT DISTINCT FROM last.v THEN 'MATCH' ELSE 'STALE' END AS verdict
+FROM w WHERE r = 1"""
+
+
+@query("dq_carry_forward", _CARRIED, ("flow_parsed",))
+def dq_carry_forward(spark, sf):
+    """Q-20: the score that each parsed silver row holds against the last one its quote had by then (as-of compare)."""
+    from tidemark.operators.monitor import parse_flow
+
+    e = fx.load(spark, sf, "events")
+    states = e.where(F.col("event_id") % 3 != 0).select(F.col("user_id").cast("string").alias("mqs_quote_id"), F.col("ts").alias("event_ts"), "event_id", "value")
+    score = F.when(F.col("event_id") % 23 == 0, F.lit(None)).when(F.col("event_id") % 19 == 0, F.lit(-1.0)).otherwise(F.col("value"))
+    silver = parse_flow(fx.flow(spark, sf)).join(e.select("event_id", "value"), "event_id").select("event_id", "mqs_quote_id", "event_ts", "status", score.alias("score"))
+    out = Q.carried_forward(silver, states, "mqs_quote_id", "event_ts", "value", "event_id", "score")
+    return out.select("event_id", "mqs_quote_id", "status", "score", "expected", "verdict")
+
+
+@query(
+    "field_mapping",
+    """SELECT p.event_id, p.status IS DISTINCT FROM s.status AS status_differs, p.mqs_quote_id IS DISTINCT FROM s.quote AS quote_differs, p.brand IS DISTINCT FROM s.brand AS brand_differs
+FROM flow_parsed p JOIN (SELECT event_id, CASE WHEN event_id % 31 = 0 THEN lower(status) ELSE status END AS status, mqs_quote_id AS quote, CASE WHEN event_id % 37 = 0 THEN NULL ELSE brand END AS brand FROM flow_parsed) s
+ON p.event_id = s.event_id WHERE p.event_id % 31 = 0 AND p.status <> lower(p.status) OR p.event_id % 37 = 0""",
+    ("flow_parsed",),
+)
+def field_mapping(spark, sf):
+    """Q-20: payload fields against the columns that a silver table keeps of them, by the keyed compare."""
+    from tidemark.operators.monitor import parse_flow
+    from tidemark.operators.recon import KeyedCompare
+
+    bronze = parse_flow(fx.flow(spark, sf)).select("event_id", "status", "mqs_quote_id", "brand")
+    k = F.col("event_id")
+    silver = bronze.select("event_id", F.when(k % 31 == 0, F.lower("status")).otherwise(F.col("status")).alias("status"), "mqs_quote_id", F.when(k % 37 != 0, F.col("brand")).alias("brand"))
+    found = KeyedCompare(bronze, silver, "event_id", ["status", "mqs_quote_id", "brand"]).mismatches()
+    has = lambda c: F.max((F.col("column_name") == c).cast("int")) == 1
+    names = (("status", "status_differs"), ("mqs_quote_id", "quote_differs"), ("brand", "brand_differs"))
+    return found.groupBy(F.col("key").cast("long").alias("event_id")).agg(*[has(c).alias(n) for c, n in names])

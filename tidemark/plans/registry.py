@@ -43,5 +43,6 @@ def load_all() -> None:
         q_schema,
         q_sources,
         q_streams,
+        q_tables,
         q_widgets,
     )

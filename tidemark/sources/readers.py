@@ -22,9 +22,9 @@ def read_path(spark: SparkSession, path: str, fmt: str = "parquet", **options) -
     return spark.read.format(fmt).options(**options).load(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",") -> DataFrame:
     """S3: CSV with header. Without a schema every column is a string (no inference pass)."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("sep", sep)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)
