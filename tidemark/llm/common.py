@@ -16,6 +16,23 @@ BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def hidden(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns numbered, so that no name of theirs meets one that an operator uses inside."""
+    return docs.toDF(*[f"__{i}" for i, _ in enumerate(docs.columns)])
+
+
+def hidden_name(docs: DataFrame, name: str) -> str:
+    """What ``hidden`` calls a column, found whatever its case."""
+    return f"__{[c.lower() for c in docs.columns].index(name.lower())}"
+
+
+def shown(out: DataFrame, docs: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+    """``out`` with the columns of ``docs`` under their names again (without ``but``), before those that were added."""
+    names = {f"__{i}": c for i, c in enumerate(docs.columns)}
+    mine = [F.col(h).alias(c) for h, c in names.items() if c not in but]
+    return out.select(*mine, *[c for c in out.columns if c not in names])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,11 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_global_order, staged, table
+from tidemark.llm.common import hidden, hidden_name, in_global_order, shown, staged, table
+
+
+#: Intervals that one query refines; the first ones decide where the later cuts can be.
+AT_ONCE = 256
 
 
 class Sketch:
@@ -44,17 +48,22 @@ class Sketch:
         return [i for i in range(max(1, bisect_left(self.at, lo)), min(bisect_right(self.at, hi) + 1, len(self.at))) if self.groups[i] > 1]
 
     def refine(self, ends: DataFrame, which: list[int], cells: int) -> None:
-        """One query: each of the intervals is cut into equal cells, two or more; a cell gives its first
-        and last end and its groups, so an interval always comes out with fewer unknown ends."""
+        """One query: each of the intervals (of the first ``AT_ONCE``) is cut into equal cells, two or more; a cell gives its
+        first and last end and its groups, so an interval always comes out with fewer unknown ends.
+
+        A row finds its interval by halving, so neither its cost nor the depth of the expression grows with their number.
+        """
+        which = which[:AT_ONCE]
         each = max(2, cells // len(which))
-        inside, number, cell = F.lit(False), F.lit(0), F.lit(None).cast("long")
-        for i in which:
-            lo, hi = self.at[i - 1], self.at[i]
-            here = (F.col("end") > lo) & (F.col("end") <= hi)
-            inside = inside | here
-            number = F.when(here, i).otherwise(number)
-            cell = F.when(here, F.floor((F.col("end") - lo - 1) * each / F.lit(hi - lo))).otherwise(cell)
-        found = ends.filter(inside).groupBy(number.alias("interval"), cell.alias("cell")).agg(F.min("end").alias("first"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
+        lo, hi = [self.at[i - 1] for i in which], [self.at[i] for i in which]
+
+        def place(a: int, b: int) -> str:
+            m = (a + b) // 2
+            return str(a) if b - a == 1 else f"IF(end <= {hi[m - 1]}L, {place(a, m)}, {place(m, b)})"
+
+        bound = lambda xs: f"element_at(array({', '.join(f'{x}L' for x in xs)}), interval + 1)"
+        here = ends.selectExpr("end", f"{place(0, len(which))} AS interval").selectExpr("end", "interval", f"{bound(lo)} AS lo", f"{bound(hi)} AS hi").where("end > lo AND end <= hi")
+        found = here.groupBy("interval", F.expr(f"((end - lo - 1) * {each}) DIV (hi - lo)").alias("cell")).agg(F.min("end").alias("first"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
         got = {}
         for r in found.collect():  # at most `cells` rows, or two for each interval
             got[r["end"]] = r["n"] - 1
@@ -142,15 +151,17 @@ def shard(docs: DataFrame, shards: int, text_col: str = "text", id_col: str = "d
     ``row_bytes``: added to a row's bytes. ``cells``: rows of prefix sums that the driver asks for in a round.
     """
     spark = docs.sparkSession
-    bytes_of: Column = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        *[F.col(c) for c in docs.columns if c != text_col],
+    rows, text = hidden(docs), hidden_name(docs, text_col)
+    bytes_of: Column = F.coalesce(F.col(text), F.lit(""))
+    rows = rows.select(
+        *[c for c in rows.columns if c != text],
         (F.octet_length(bytes_of) + row_bytes).cast("long").alias("s_size"),
         F.crc32(bytes_of).alias("s_crc32"),
         F.unhex(F.sha2(bytes_of, 256)).alias("s_digest"),
-        F.col(id_col).alias("s_id"),
+        F.col(hidden_name(docs, id_col)).alias("s_id"),
         F.monotonically_increasing_id().alias("s_row"),
     )
+    carried = [c for c in rows.columns if c.startswith("__")]
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = staged(in_global_order(rows, ["s_digest", "s_id", "s_row"], parts, {"s_end": "s_size"}, "shard-order"), "shard-placed")
     ends = staged(placed.groupBy("s_digest").agg(F.max("s_end").alias("end"), F.sum("s_size").alias("size")).select("end", "size"), "shard-ends")
@@ -163,7 +174,8 @@ def shard(docs: DataFrame, shards: int, text_col: str = "text", id_col: str = "d
     number = sum((F.when(F.col("s_end") > c, 1).otherwise(0) for c in cuts[:-1]), F.lit(0))
     out = placed.withColumn("s_shard", number.cast("int"))
     first = out.groupBy("s_shard").agg(F.min("pos").alias("s_first"))  # one row for each shard
-    return out.join(F.broadcast(first), "s_shard").select(*[F.col(c) for c in docs.columns if c != text_col], "s_size", "s_crc32", "s_shard", (F.col("pos") - F.col("s_first")).alias("s_slot"))
+    out = out.join(F.broadcast(first), "s_shard").select(*carried, "s_size", "s_crc32", "s_shard", (F.col("pos") - F.col("s_first")).alias("s_slot"))
+    return shown(out, docs, but=(next(c for c in docs.columns if c.lower() == text_col.lower()),))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
