@@ -91,7 +91,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             of, f = np.divmod(cell, buckets)
             good = np.asarray(b.column(3))[of]
             ratio = np.log(target[f] - own * good + smooth) - np.log((raw[f] - own) * rate[(f >= buckets // 2).astype(int)] + smooth)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(np.bincount(of, own * ratio, minlength=b.num_rows))], ["id", "key", "good", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(np.bincount(of, own * ratio, minlength=b.num_rows).astype(np.float64))], ["id", "key", "good", "log_weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     weights = staged(marked.mapInArrow(weigh, f"id {kind}, key long, good boolean, log_weight double").distinct(), "weights")
