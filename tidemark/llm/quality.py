@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK_CHARS, BLANKS, blank_words, let, staged, table
+from tidemark.llm.common import BLANK_CHARS, BLANKS, blank_words, hidden, hidden_name, let, shown, staged, table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -33,12 +33,15 @@ def repeated_words(words: Column) -> Column:
         starts = F.sequence(F.lit(0), last)
         high = lambda k: F.call_function("shiftright", k, bits)
         low = lambda k: k.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
-        keys = F.sort_array(F.transform(starts, lambda i: F.coalesce(F.call_function("shiftleft", high(F.xxhash64(w[i], w[i + 1], w[i + 2])), bits) + i, F.lit(0).cast("long"))))
+        hashed = F.transform(starts, lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+        keys = lambda h: F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", high(x), bits) + i))
         alike = lambda a, b: (w[a] == w[b]) & (w[a + 1] == w[b + 1]) & (w[a + 2] == w[b + 2])
         twin = lambda s, i, j: (high(s[i]) == high(s[j])) & alike(low(s[i]), low(s[j]))
         found = lambda s: F.sort_array(F.transform(F.filter(starts, lambda i: ((i > 0) & twin(s, i - 1, i)) | ((i < last) & twin(s, i, i + 1))), lambda i: low(s[i])))
         covered = lambda p: F.aggregate(p, F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(x.alias("at"), (a["n"] + F.least(F.lit(3), x - a["at"])).alias("n")))["n"]
-        return F.when(last < 0, F.lit(0).cast("long")).otherwise(let(keys, lambda s: let(found(s), covered)))
+        none = F.lit(0).cast("long")
+        # Most texts have no window twice; that is seen from the hashes alone.
+        return F.when(last < 0, none).otherwise(let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == last + 1, none).otherwise(let(keys(h), lambda s: let(found(s), covered)))))
 
     return let(words, count)
 
@@ -86,6 +89,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``min_docs`` and ``max_share_pct``: a line of a host is removed if more distinct documents than both
     hold it. ``max_lost_pct``: a document that loses more of its words is depleted and rejected.
     """
+    given, docs = docs, hidden(docs)
+    id_col, text_col, host_col = (hidden_name(given, c) for c in (id_col, text_col, host_col))
     text, host = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(host_col), F.lit(""))
     keyed = docs.withColumns({"q_id": F.col(id_col), "q_key": F.xxhash64(host, text)})
     cells = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANK_CHARS, "")) > 0), lambda x: F.struct(line_key(x).alias("line"), F.size(blank_words(x)).alias("n")))
@@ -103,13 +108,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = F.col("bad")
     kept_lines = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(gone, line_key(x))), "\n")
     lost_words = F.coalesce(F.col("lost"), F.lit(0).cast("long"))
-    return out.select(
-        *[F.col(c) for c in docs.columns],
+    out = out.select(
+        *docs.columns,
         *[F.col(f"q_{k}") for k in [*base, "base_failed"]],
         lost_words.alias("q_lost_words"),
         F.when(gone.isNull(), F.col(text_col)).otherwise(kept_lines).alias("q_text"),
         (~F.col("q_base_failed") & (100 * lost_words <= max_lost_pct * F.col("q_n_words"))).alias("q_kept"),
     )
+    return shown(out, given)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
