@@ -3,7 +3,8 @@
 Both tokenizers cut a text before a run of ASCII blanks that follows another character, and between an ASCII letter
 or digit and a full stop or comma; what stands behind the cut doesn't depend on what stands before it. So a
 piece between such cuts is encoded once, however often it occurs. A text with other blanks, where that isn't
-so, is encoded whole. Pieces are found and hashed (64 bits) over a whole batch at once.
+so, is encoded whole, and so is one that holds a string which the tokenizer takes for a special id. Pieces are found
+and hashed (64 bits) over a whole batch at once.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # pieces may look like special strings only once they are folded
         self.odd = re.compile(r"[^\S \t-\r]").search
         self.most = most
         self.folded = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz") if fold else None
@@ -93,6 +95,21 @@ class Encoder:
     def __call__(self, texts: list):
         import numpy as np
 
+        odd = [k for k, t in enumerate(texts) if t and any(s in t for s in self.special)]
+        if not odd:
+            return self.by_pieces(texts)
+        alone = set(odd)
+        flat, sizes = self.by_pieces([None if k in alone else t for k, t in enumerate(texts)])
+        parts = np.split(flat, np.cumsum(sizes)[:-1])
+        self.tokenizer.encode_special_tokens = False
+        for k in odd:
+            parts[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+        self.tokenizer.encode_special_tokens = True
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def by_pieces(self, texts: list):
+        import numpy as np
+
         raw = [(t or "").encode() for t in texts]
         if self.folded:
             raw = [t if b"\xcc" in t or b"\xcd" in t else t.translate(self.folded) for t in raw]
@@ -115,7 +132,7 @@ class Encoder:
         end = np.append(start[1:], len(data))
         self.learn([names[i] for i in fresh], [whole[start[first[i]] : end[first[i]]].decode() for i in fresh])
         which = np.array([self.at[n] for n in names], np.int64)[which]
-        ids, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
+        ids, ends = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.ends, np.int64)  # not copied: the table may be long
         sizes = ends[which + 1] - ends[which]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         flat = ids[np.arange(upto[-1]) + np.repeat(ends[which] - upto[:-1], sizes)]
