@@ -7,8 +7,10 @@ adjacent duplicates then grows byte by byte, by up to so many bytes on each side
 those around the first occurrence of its first and last chunk, so that chunk ends don't limit what is found. Runs of
 at least ``run_bytes`` are removed from the text.
 
-Digests combine before they are shuffled, only the repeated ones meet the occurrences again, and adaptive
-execution splits a digest that many documents hold. A document's removed chunks never outnumber its chunks.
+Most chunks occur once: a first round sends halves of digests, packed by unit and range, to learn which ones may repeat; only
+those become rows with digest and place, combine before they are shuffled and meet the first occurrence. A unit
+sends a digest once, and adaptive execution splits a digest that many documents hold. A document's removed chunks
+never outnumber its chunks.
 
 Defined results: a null text stays null and has no bytes; rows alike in id and text are one document, and each
 of them gets its result; null ids come first; an empty table gives no rows. Columns of ``docs`` are carried
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_bytes, staged, table
+from tidemark.llm.exchange import UNIT_BYTES, arrays, meet, parts, ranges_of, split_by_range, unit_name
 
 WINDOW = 16
 #: What the query and the pipeline run with: chunks of about 32 bytes find passages of some 50 words, whose runs grow to their ends.
@@ -73,40 +76,83 @@ def chunk_ends(data, starts, gear, least: int, most: int, bits: int) -> list[lis
     return out
 
 
-def chunks(docs: DataFrame, least: int, most: int, bits: int) -> DataFrame:
-    """``docs`` has ``id``, ``key``, ``text``; one row for each chunk: ``h1``, ``h2``, ``id``, ``key``, ``start``, ``size``."""
-    kind = docs.schema["id"].dataType.simpleString()
+def unit_of(batch, gear, least: int, most: int, bits: int):
+    """A batch's chunks in order: their digests (two longs each), sizes, and each document's number of them."""
+    import numpy as np
+    import pyarrow as pa
+    from xxhash import xxh3_128_digest
 
-    def cut(batches):
+    texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+    whole = b"".join(texts)
+    starts = [0, *np.cumsum([len(t) for t in texts]).tolist()]
+    ends = chunk_ends(np.frombuffer(whole, np.uint8), starts, gear, least, most, bits)
+    flat = [x for e in ends for x in e]  # a document's first chunk starts where the one before it ends
+    names = b"".join(xxh3_128_digest(whole[f:e]) for f, e in zip([0, *flat], flat, strict=False))
+    return np.frombuffer(names, np.int64).reshape(-1, 2), np.diff(np.array([0, *flat], np.int64)), np.array([len(e) for e in ends], np.int64)
+
+
+def repeated_chunks(docs: DataFrame, least: int, most: int, bits: int) -> DataFrame:
+    """``docs`` has ``id``, ``key``, ``text``. Chunks whose 64 bits occur twice or more: ``h1``, ``h2``, ``id``, ``key``, ``start``, ``size``.
+
+    Most chunks occur once. A unit of texts sends the first half of each distinct digest to its range, and whether the unit holds
+    it twice; it keeps the other halves and the sizes in a row of its own, and only the chunks that the ranges
+    know from elsewhere become rows.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, ranges = docs.schema["id"].dataType, ranges_of(docs.sparkSession)
+    id_type = to_arrow_type(kind)
+
+    def pack(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh3_128_digest
 
         gear = gear_table()
-        for b in by_bytes(batches, 2):
-            texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
-            whole = b"".join(texts)
-            starts = [0, *np.cumsum([len(t) for t in texts]).tolist()]
-            ends = chunk_ends(np.frombuffer(whole, np.uint8), starts, gear, least, most, bits)
-            counts = np.array([len(e) for e in ends])
-            flat = np.array([x for e in ends for x in e], np.int64)
-            of = np.repeat(np.arange(len(ends)), counts)
-            base = np.array(starts[:-1], np.int64)[of]
-            first = np.concatenate([[0], flat[:-1]]) if len(flat) else flat
-            first = np.maximum(first, base)
-            names = b"".join(xxh3_128_digest(whole[f:e]) for f, e in zip(first.tolist(), flat.tolist(), strict=True))
-            pair = np.frombuffer(names, np.int64).reshape(-1, 2)
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), b.column(0).take(take), b.column(1).take(take), pa.array((first - base).astype(np.int32)), pa.array((flat - first).astype(np.int32))], ["h1", "h2", "id", "key", "start", "size"])
-
-    return docs.mapInArrow(cut, f"h1 long, h2 long, id {kind}, key long, start int, size int")
+        for b in by_bytes(batches, 2, UNIT_BYTES):
+            digest, size, counts = unit_of(b, gear, least, most, bits)
+            distinct, which, often = np.unique(digest[:, 0].view(np.uint64), return_inverse=True, return_counts=True)
+            cut = split_by_range(distinct, ranges)[1]  # in order already
+            keys = np.asarray(b.column(1)).astype(np.int64)
+            own = arrays(b.column(0).to_pylist(), keys, counts, digest[:, 1], size.astype(np.uint16 if most < 60_000 else np.uint32), which.astype(np.uint32), cut)
+            data = [arrays(distinct[cut[r] : cut[r + 1]], np.packbits(often[cut[r] : cut[r + 1]] > 1)) for r in range(ranges)]
+            unit = pa.array([unit_name(keys, counts)] * (ranges + 1))
+            yield pa.RecordBatch.from_arrays([unit, pa.array([*range(ranges), -1], pa.int32()), pa.array([*data, None], pa.binary()), pa.array([None] * ranges + [own], pa.binary())], ["unit", "range", "data", "own"])
+
+    def answer(blobs):
+        import numpy as np
+
+        sent = [parts(x) for x in blobs]
+        every = np.concatenate([h for h, _ in sent])
+        _, of, units = np.unique(every, return_inverse=True, return_counts=True)
+        again = (units > 1)[of] | np.concatenate([np.unpackbits(t, count=len(h)) for h, t in sent]).astype(bool)
+        ends = np.cumsum([len(h) for h, _ in sent])
+        return [arrays(np.packbits(again[e - len(h) : e]), h[again[e - len(h) : e]]) for (h, _), e in zip(sent, ends.tolist(), strict=True)]
+
+    def gather(unit, own, answers):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, keys, counts, h2, size, which, cut = parts(own)
+        said = [parts(x) for x in answers]
+        again = np.concatenate([np.unpackbits(bits_, count=int(n)) for (bits_, _), n in zip(said, np.diff(cut), strict=True)]).astype(bool)
+        h1 = np.zeros(len(again), np.uint64)
+        h1[again] = np.concatenate([h for _, h in said])
+        at = np.flatnonzero(again[which])
+        of = np.repeat(np.arange(len(counts)), counts)
+        ends = np.cumsum(size.astype(np.int64))
+        base = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+        start = ends[at] - size[at] - base[of[at]]
+        return pa.table([pa.array(h1[which[at]].view(np.int64)), pa.array(h2[at]), pa.array([ids[i] for i in of[at].tolist()], id_type), pa.array(keys[of[at]]), pa.array(start.astype(np.int32)), pa.array(size[at].astype(np.int32))], ["h1", "h2", "id", "key", "start", "size"])
+
+    return meet(docs.select("id", "key", "text").mapInArrow(pack, "unit long, range int, data binary, own binary"), answer, gather, f"h1 long, h2 long, id {kind.simpleString()}, key long, start int, size int")
 
 
 def duplicate_chunks(docs: DataFrame, least: int, most: int, bits: int) -> DataFrame:
     """Occurrences but the first: one row for each document that has any, ``id``, ``key``, ``cells`` (``start``, ``size``, ``first``)."""
     place = F.struct("id", "key", "start")
-    first = chunks(docs, least, most, bits).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = chunks(docs, least, most, bits).join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    found = staged(repeated_chunks(docs, least, most, bits), "chunk-repeats")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = found.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     return again.groupBy("id", "key").agg(F.collect_set(F.struct("start", "size", "first")).alias("cells"))
 
 
