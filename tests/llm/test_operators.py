@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tidemark.llm import chunks, decontaminate, jaccard, packing, quality, resample, shard, simple8b, suffixes, trie
@@ -20,6 +21,8 @@ from tidemark.llm.registry import ORACLES, QUERIES
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa la mu nu xi omicron pi rho sigma tau".split()
 SCHEMA = "doc_id long, text string, source string, n_words int, kept string, key int"
+#: Names that operators use inside, all at once.
+CLASHES = ["lost", "bad", "l_id", "l_key", "row", "line", "host", "cells", "items", "h_id", "h_key", "id", "at", "gram", "width", "pos", "end", "s_end", "q_id", "c_key", "__n", "__pid", "interval", "x", "n"]
 
 
 def prose(seed: int, n: int) -> str:
@@ -69,6 +72,18 @@ def test_sql(spark, duck, name):
     assert not type_diffs(got.schema, duck.sql(ORACLES[name]))
 
 
+@pytest.mark.parametrize("name", ["quality", "decontaminate", "shard"])
+def test_names_that_operators_use_inside(spark, stored, name):
+    bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    run = {"quality": quality.quality_rules, "decontaminate": lambda d: decontaminate.decontaminate(d, bench), "shard": lambda d: shard.shard(d, 5)}[name]
+    wide = stored.select("*", *[(F.col("doc_id") + i).alias(c) for i, c in enumerate(CLASHES)])
+    plain, got = run(stored), run(wide)
+    new = [c for c in plain.columns if c not in stored.columns]
+    assert got.columns == [c for c in wide.columns if name != "shard" or c != "text"] + new
+    assert sorted(map(str, got.select("doc_id", *new).collect())) == sorted(map(str, plain.select("doc_id", *new).collect()))
+    assert all(r[c] == (None if r.doc_id is None else r.doc_id + i) for r in got.collect() for i, c in enumerate(CLASHES))
+
+
 # quality rules
 
 
@@ -138,7 +153,6 @@ def tokenizer():
 
     def load(name):
         t = Tokenizer.from_file(public_tokenizers.path(name))
-        t.encode_special_tokens = True
         return public_tokenizers.path(name), lambda x: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4")
 
     return load
@@ -240,6 +254,33 @@ def test_shards(stored, shards, cells):
         assert set(by) <= set(range(shards))
 
 
+def test_many_groups_at_registered_parameters(spark, tmp_path):
+    # More groups than cells, so that hundreds of intervals are refined at once.
+    n = 60_000
+    text = F.concat(F.col("doc_id").cast("string"), F.expr("repeat('x', CAST(doc_id * doc_id % 397 AS INT))"), F.expr("IF(doc_id % 5000 = 7, repeat('y', 200000), '')"))
+    spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", text).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op5_sharding"](spark, str(tmp_path)).toPandas()
+    assert len(got) == n
+    texts = [f"{i}" + "x" * (i * i % 397) + ("y" * 200_000 if i % 5000 == 7 else "") for i in range(n)]
+    order = [x for _, x in sorted((hashlib.sha256(t.encode()).digest(), len(t) + 16) for t in texts)]
+    ends = np.cumsum(order)
+
+    def feasible(capacity):
+        at = 0
+        for _ in range(40):
+            k = np.searchsorted(ends, at + capacity, side="right")
+            at = ends[k - 1] if k else at
+        return at >= ends[-1]
+
+    lo, hi = max(max(order), -(-ends[-1] // 40)), ends[-1]
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if feasible(mid) else (mid + 1, hi)
+    per = got.groupby("shard")
+    assert per["size"].sum().max() <= lo and set(got["shard"]) <= set(range(40))
+    assert all(sorted(s) == list(range(len(s))) for _, s in per["slot"])
+
+
 # chunks
 
 
@@ -510,6 +551,51 @@ def test_trie_query_keeps_ngrams_found_once(spark, tmp_path):
 # importance resampling
 
 
+def brute_weights(texts, good, buckets, smooth):
+    """Log weights by the operator's formula, feature by feature."""
+    from tidemark.llm.words import mix, word_hashes
+
+    import pyarrow as pa
+
+    def features(text):
+        h, _ = word_hashes(pa.array([text], pa.string()))
+        h = [int(x) for x in h]
+        pairs = [int(mix(np.array([a * 3 + b & (2**64 - 1)], np.uint64))[0]) for a, b in zip(h, h[1:], strict=False)]
+        half = buckets // 2
+        return Counter([x % half for x in h] + [x % half + half for x in pairs])
+
+    own = [features(t) for t in texts]
+    raw, target = Counter(), Counter()
+    for f, g in zip(own, good, strict=True):
+        raw.update(f)
+        target.update(f if g else {})
+    sums = lambda c, hi: sum(n for b, n in c.items() if (b >= buckets // 2) == hi)
+    rate = {hi: (sums(target, hi) + 1) / (sums(raw, hi) + 1) for hi in (False, True)}
+    return [sum(n * (math.log(target[b] - n * g + smooth) - math.log((raw[b] - n) * rate[b >= buckets // 2] + smooth)) for b, n in f.items()) for f, g in zip(own, good, strict=True)]
+
+
+def test_resample_against_brute_force(spark):
+    r = random.Random(8)
+    texts = [None, "", "  ", "one"] + [" ".join(r.choice(WORDS) for _ in range(r.randrange(1, 30))) for _ in range(40)]
+    labels = [(i, int(i % 3 == 0), int(i % 9 == 0)) for i in range(len(texts)) if i % 2]
+    good = [(i, 1, 0) in labels for i in range(len(texts))]
+    got = resample.resample(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), buckets=1 << 12, share=0.25).collect()
+    want = brute_weights(texts, good, 1 << 12, 3.0)
+    keys = {x.id: x for x in spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "xxhash64(id, xxhash64(text), 0) AS h").collect()}
+    noisy = {i: w - math.log(-math.log((((keys[i].h & (2**64 - 1)) >> 12) + 0.5) / 2.0**52)) for i, w in enumerate(want)}
+    order = sorted(noisy, key=lambda i: -noisy[i])
+    for x in got:
+        assert math.isclose(x.r_log_weight, want[x.doc_id], abs_tol=1e-9)
+        assert x.r_rank == order.index(x.doc_id) and x.r_kept == (x.r_rank < 11)
+
+
+def test_resample_without_a_word(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["op10_importance_resampling"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3] and {r.log_weight for r in got} == {0.0}
+
+
 def test_resample(spark, tmp_path):
     texts = [(i, prose(i, 80) + (" junk idiot scum trash" * 6 if i % 5 == 0 else "")) for i in range(300)] + [(900, None), (901, ""), (902, prose(9, 5_000)), (None, prose(4, 60))]
     spark.createDataFrame(texts, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/d")

@@ -93,3 +93,25 @@ def test_run_is_the_stages(spark, staged):
     frames, top = staged
     key = lambda f: sorted(f.select("doc_id", "piece", "start", "length", "ids_crc32").collect(), key=str)
     assert key(corpus_pipeline.run(spark, top)) == key(frames["packing"])
+
+
+CLASHES = ["__id", "__key", "q_text", "q_kept", "x_text", "c_text", "c_contaminated", "k_own", "lost", "cells", "id", "key", "first", "__0"]
+
+
+def test_columns_with_clashing_names(spark, staged):
+    from pyspark.sql import functions as F
+
+    frames, top = staged
+    docs = frames["documents"].select("*", *[(F.col("doc_id") + i).alias(c) for i, c in enumerate(CLASHES)])
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        f(spark, docs, top).write.parquet(f"{top}/clash-{name}")
+        docs = spark.read.parquet(f"{top}/clash-{name}")
+        assert docs.columns == [*frames["documents"].columns, *CLASHES]
+        assert sorted(texts(docs), key=str) == sorted(texts(frames[name]), key=str)
+        assert all(r[c] == (None if r.doc_id is None else r.doc_id + i) for r in docs.collect() for i, c in enumerate(CLASHES))
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, let, table
+from tidemark.llm.common import ascii_lower, hidden, hidden_name, let, shown, table
 
 #: Separators of words: ASCII but digits and letters (after lower-casing).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -64,6 +64,8 @@ def hit_words(cells: Column) -> Column:
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with ``c_n_words``, ``c_n_hit``, ``c_n_items``, ``c_items`` (sorted), ``c_spans`` (hit windows
     as ``(at, width)`` in words), ``c_contaminated`` and ``c_text``, the text without its hit words."""
+    given, docs = docs, hidden(docs)
+    id_col, text_col = hidden_name(given, id_col), hidden_name(given, text_col)
     hits = find_hits(docs, bench, id_col, text_col, **how)
     # A document's hits come from one task, so they combine there before the shuffle.
     per = hits.groupBy(F.col("id").alias("h_id"), F.col("key").alias("h_key")).agg(F.collect_set(F.struct("at", "width")).alias("cells"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -75,8 +77,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     text = F.col(text_col)
     pieces = F.regexp_extract_all(F.regexp_replace(text, f"^{SEPARATORS}+", ""), F.lit(rf"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+{SEPARATORS.replace('x60', 'x40').replace(']', chr(92) + 'x5B-' + chr(92) + 'x60]')}*)"), F.lit(1))
     left = F.array_join(F.filter(pieces, lambda p, i: ~F.exists(F.col("cells"), lambda c: (i >= c["at"]) & (i < c["at"] + c["width"]))), "")
-    return out.select(
-        *[F.col(c) for c in docs.columns],
+    out = out.select(
+        *docs.columns,
         "c_n_words",
         n_hit.alias("c_n_hit"),
         F.size(items).cast("long").alias("c_n_items"),
@@ -85,6 +87,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         (n_hit > 0).alias("c_contaminated"),
         F.when(F.col("cells").isNull(), text).otherwise(left).alias("c_text"),
     )
+    return shown(out, given)
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
