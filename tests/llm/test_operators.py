@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from tidemark.llm import chunks, decontaminate, jaccard, packing, quality, resample, shard, simple8b, suffixes, trie
 from tidemark.llm.common import blank_words
-from tidemark.llm.eliasfano import EliasFano, coded
+from tidemark.llm.eliasfano import EliasFano, coded, decoded
 from tidemark.llm.registry import ORACLES, QUERIES
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa la mu nu xi omicron pi rho sigma tau".split()
@@ -478,6 +478,18 @@ def test_elias_fano(values, asked, universe):
     assert not len(v) or e.access(np.arange(len(v))).tolist() == v.tolist()
     place, here = e.successor(np.array(asked, np.uint64))
     assert place.tolist() == np.searchsorted(v, np.array(asked, np.uint64)).tolist() and here.tolist() == [x in values for x in asked]
+    c = coded(v, universe, "a")
+    assert decoded(c["a_low"], c["a_high"], len(v), e.bits).tolist() == v.tolist()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(0, (1 << 64) - 1) | st.integers(0, 200), st.integers(1, 3) | st.integers(250, 1 << 40), min_size=1, max_size=200))
+def test_trie_counts_as_sent(found):
+    keys = np.array(sorted(found), np.uint64)
+    count = np.array([found[int(k)] for k in keys], np.int64)
+    back, n = trie.received(trie.sent(keys, count))
+    assert back.tolist() == keys.tolist() and n.tolist() == count.tolist()
+    assert trie.counts_at(trie.narrow(count), np.arange(len(keys))).tolist() == count.tolist()
 
 
 def brute_model(texts, order=3, least=2):
@@ -548,6 +560,25 @@ def test_trie_query_keeps_ngrams_found_once(spark, tmp_path):
         assert row.score == pytest.approx(whole, abs=0.003 * row.n_tokens + 1e-6)
 
 
+def test_trie_null_ids_repeated_rows_frequent_pairs(spark, tmp_path):
+    rows = [(None, "a b c d"), (None, None), (3, "a b c d"), (3, "a b c d"), (4, "x y " * 400), (5, ""), (7, "a b")]
+    rows += [(100 + i, f"a b w{i}") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    held_out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    _, score, n, grams = brute_model([t for i, t in rows if not held_out(i)], least=1)
+    assert grams[1][b"a", b"b"] > 255 or grams[1][b"x", b"y"] > 255
+    out = [r.asDict() for r in QUERIES["op7_ngram_trie"](spark, str(tmp_path)).collect()]
+    assert sorted(r["doc_id"] or -1 for r in out) == sorted(i or -1 for i, _ in rows)
+    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in out) == sorted((i or -1, len(low_words(t)) + 1) for i, t in rows)
+    by_id = {i: t for i, t in rows if i is not None}
+    for r in out:
+        assert r["held_out"] == held_out(r["doc_id"]) and r["train_tokens"] == n
+        if r["doc_id"] is not None:
+            whole, base, known = score(by_id[r["doc_id"]])
+            assert r["n_known"] == known and r["base_score"] == pytest.approx(base, abs=1e-6)
+            assert r["score"] == pytest.approx(whole, abs=0.003 * r["n_tokens"] + 1e-6)
+
+
 # importance resampling
 
 
