@@ -505,24 +505,26 @@ def recon_sample_keyed(spark, sf):
     return summary.select(F.lit(n).cast("long").alias("sample_size"), "*")
 
 
-_PLAN_PAIRS = [("orders", "src_orders", "tgt_orders", True), ("customer", "customer", "customer_fmt", True), ("part", "part", "part", True),
-               ("supplier", "supplier", "supplier_chg", False), ("orders_empty", "src_orders", "tgt_empty", True)]
+_PLAN_PAIRS = [("orders", "src_orders", "tgt_orders", True, False), ("orders_filtered", "src_orders", "tgt_orders", True, True),
+               ("customer", "customer", "customer_fmt", True, False), ("part", "part", "part", True, False),
+               ("supplier", "supplier", "supplier_chg", False, False), ("orders_empty", "src_orders", "tgt_empty", True, True)]
 
 
 def _plan_sql() -> str:
     parts = " UNION ALL ".join(
-        f"SELECT '{n}' AS pair, (SELECT count(*) FROM {s}) AS source_row_count, (SELECT count(*) FROM {t}) AS target_row_count, {str(k).upper()} AS has_key"
-        for n, s, t, k in _PLAN_PAIRS
+        f"SELECT '{n}' AS pair, (SELECT count(*) FROM {s}) AS source_row_count, (SELECT count(*) FROM {t}) AS target_row_count, {str(k).upper()} AS has_key, {str(h).upper()} AS has_filter"
+        for n, s, t, k, h in _PLAN_PAIRS
     )
     size = _SIZE.replace("sc", "source_row_count").replace("tc", "target_row_count")
     return f"""WITH c AS ({parts}),
-p AS (SELECT *, CASE WHEN NOT has_key THEN 'FULL_HASH' WHEN source_row_count = 0 OR target_row_count = 0 THEN 'FULL_KEYED' ELSE 'SAMPLE_KEYED' END AS comparison_mode FROM c)
-SELECT *, CAST(CASE WHEN comparison_mode = 'SAMPLE_KEYED' THEN {size} END AS BIGINT) AS sample_size FROM p"""
+p AS (SELECT *, CASE WHEN has_key THEN 'FULL_KEYED' ELSE 'FULL_HASH' END AS comparison_mode, CAST(NULL AS BIGINT) AS sample_size,
+  CASE WHEN NOT has_key THEN 'FULL_HASH' WHEN source_row_count = 0 OR target_row_count = 0 THEN 'FULL_KEYED' ELSE 'SAMPLE_KEYED' END AS asked_mode FROM c)
+SELECT *, CAST(CASE WHEN asked_mode = 'SAMPLE_KEYED' THEN {size} END AS BIGINT) AS asked_sample_size FROM p"""
 
 
 @query("recon_plan", _plan_sql(), ("src_orders", "tgt_orders", "customer_fmt", "supplier_chg", "tgt_empty"))
 def recon_plan(spark, sf):
-    """R10/R11 for many pairs in one pass, samples asked for: mode and sample size."""
+    """R10/R11 for many pairs in one pass: the mode, which is in full, and mode and size where a sample is asked for."""
     cust = fx.load(spark, sf, "customer")
     sup = fx.load(spark, sf, "supplier")
     frames = {
@@ -531,12 +533,14 @@ def recon_plan(spark, sf):
         "tgt_empty": fx.tgt_orders(spark, sf).where(F.col(KEY) < 0),
     }
     u = None
-    for n, s, t, k in _PLAN_PAIRS:
+    for n, s, t, k, h in _PLAN_PAIRS:
         for side, name in ((0, s), (1, t)):
-            part = frames[name].select(F.lit(n).alias("pair"), F.lit(side).alias("side"), F.lit(k).alias("has_key"))
+            part = frames[name].select(F.lit(n).alias("pair"), F.lit(side).alias("side"), F.lit(k).alias("has_key"), F.lit(h).alias("has_filter"))
             u = part if u is None else u.unionByName(part)
-    g = u.groupBy("pair").agg(F.count(F.when(F.col("side") == 0, 1)).alias("source_row_count"), F.count(F.when(F.col("side") == 1, 1)).alias("target_row_count"), F.max("has_key").alias("has_key"))
-    return R.plan_compare(g, dataclasses.replace(CFG, sample=R.SampleRule()))
+    of_side = [F.count(F.when(F.col("side") == i, 1)).alias(f"{name}_row_count") for i, name in enumerate(("source", "target"))]
+    g = u.groupBy("pair").agg(*of_side, F.max("has_key").alias("has_key"), F.max("has_filter").alias("has_filter"))
+    asked = R.plan_compare(g, dataclasses.replace(CFG, sample=R.SampleRule())).withColumnsRenamed({"comparison_mode": "asked_mode", "sample_size": "asked_sample_size"})
+    return R.plan_compare(asked, CFG).select(*g.columns, "comparison_mode", "sample_size", "asked_mode", "asked_sample_size")
 
 
 _U3_SQL = (
