@@ -153,12 +153,14 @@ def rewrite_table(df: DataFrame, path: str, casts: Mapping[str, str] | None = No
     """K9: widen column types and compact files in one rewrite (OPTIMIZE / ALTER TYPE without Delta).
 
     Rewrites into ``path`` which must differ from the source path; swap by name afterwards (K8).
+    ``files`` is how many the rows are dealt to while each stays within the advisory size of a partition. Adaptive execution cuts
+    longer ones, so a value of ``part_col`` that a third of all rows have isn't sorted and written by one task.
     """
     out = df
     for c, t in (casts or {}).items():
         out = out.withColumn(c, F.col(c).cast(t))
     if files:
-        out = out.repartition(files, part_col) if part_col else out.repartition(files)
+        out = out.hint("rebalance", files, *([F.col(part_col)] if part_col else []))
     w = out.write.mode("overwrite")
     if part_col:
         w = w.partitionBy(part_col)
