@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import REGISTERED, dedup_chunks
-from tidemark.llm.common import BLANK_CHARS, hidden, hidden_name, shown, stage_dir, table
+from tidemark.llm.common import BLANK_CHARS, hidden, hidden_name, shown, shuffles_freed, stage_dir, table
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard import jaccard_join
 from tidemark.llm.packing import pack
@@ -105,6 +105,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = stage_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        with shuffles_freed(spark):
+            out.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

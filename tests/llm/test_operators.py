@@ -330,6 +330,26 @@ def test_chunks(spark, stored):
         assert (r.x_text or "").encode() == left and r.x_n_removed == len(data) - len(left)
 
 
+def test_staged_rows_leave_no_shuffle_files(spark):
+    import glob
+    import os
+    import tempfile
+    import time
+
+    from tidemark.llm.common import staged
+
+    roots = (os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())).split(",")
+    files = lambda: {f for r in roots for f in glob.glob(f"{r}/**/blockmgr-*/*/shuffle_*", recursive=True)}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(name), files()
+    out = staged(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(name) == was and {r["k"]: r["count"] for r in out.collect()} == {k: 143 if k < 6 else 142 for k in range(7)}
+
+
 def test_chunks_resist_shifts(spark):
     passage = prose(77, 200)
     docs = spark.createDataFrame([(i, f"{prose(i, 30 + i)} {passage} {prose(50 + i, 20)}") for i in range(12)], "doc_id long, text string")

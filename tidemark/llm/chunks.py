@@ -248,6 +248,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cells = staged(cells, "chunks")
         around = surroundings(named, cells, context).select(F.col("id").alias("x_id"), F.col("key").alias("x_key"), "around")
         cells = cells.join(around, (F.col("key") == F.col("x_key")) & F.col("id").eqNullSafe(F.col("x_id")), "left").select("id", "key", "cells", "around")
+        cells = staged(cells, "chunk-surroundings")  # frees the texts that went to the runs' ends
     else:
         cells = cells.withColumn("around", F.lit(None).cast("array<struct<at:int,left:boolean,bytes:binary>>"))
     cells = cells.select(F.struct("id", "key", "cells", "around").alias("x_cells"))
