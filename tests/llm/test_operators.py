@@ -403,6 +403,19 @@ def test_substrings(spark, stored):
         assert r.kept_sha256 == hashlib.sha256(left).hexdigest() and len(r.spans) == spans
 
 
+def test_entries_that_stay_are_bits():
+    # A unit of which all entries but one stay keeps less than a byte for each, and gets their codes back.
+    n = 10_000
+    values, ids = np.full(n, 7, np.uint64), np.array([3])
+    t = suffixes.send(1, values, values, np.zeros(n, np.int64), ids, np.array([5], np.uint32), 32, ())
+    own = t["own"].to_pylist()[-1]
+    assert len(own) < n // 2
+    answers = suffixes.answer([x for x in t["data"].to_pylist() if x is not None][:1])
+    assert suffixes.codes(suffixes.parts(own), answers).tolist() == [0] + [1] * (n - 1)
+    assert suffixes.windows_of(np.array([[3, 5], [9, 9]])).tolist() == [3, 4, 5, 9]
+    assert suffixes.windows_of(np.zeros((0, 2), np.int64)).tolist() == []
+
+
 def test_substrings_of_units(spark, stored, monkeypatch):
     monkeypatch.setattr(suffixes, "UNIT_BYTES", 4_000)
     monkeypatch.setattr(suffixes, "SLICE", 1_500)

@@ -160,11 +160,19 @@ def send(unit: int, names, values, docs, ids, keys, ranges: int, own: tuple):
         s = slice(cut[r], cut[r + 1])
         mine, of = np.unique(who[s], return_inverse=True)
         rows.append(arrays(low[s], high[s], narrow(ids[mine]), keys[mine].astype(np.uint32), narrow(of), narrow(which[s])))
-    held = arrays(*own, np.flatnonzero(go)[at].astype(np.uint32), cut, again)
+    held = arrays(*own, np.flatnonzero(go)[at].astype(np.uint32), cut, np.packbits(again))
     columns = [[unit] * (ranges + 1), [*range(ranges), -1], [*rows, None], [None] * ranges + [held]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["unit", "range", "data", "own"])
 
 
+def windows_of(runs):
+    """The windows of runs (first, last), one run after the other."""
+    import numpy as np
+
+    count = runs[:, 1] - runs[:, 0] + 1
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(runs[:, 0], count)
+
+
 def answer(blobs: list[bytes]) -> list[bytes]:
     """For each entry of a range: 0, its rank is its own; 1, an earlier entry has its value; 2, only its rank is shared."""
     import numpy as np
@@ -211,7 +219,9 @@ def codes(own: tuple, answers: list[bytes]):
     import numpy as np
 
     at, cut, again = own
-    out = again.astype(np.uint8)
+    stayed = np.unpackbits(again)  # up to seven more, for whole bytes
+    n = len(at) + int(stayed.sum())
+    out = stayed[:n].copy()
     out[at] = np.frombuffer(b"".join(answers), np.uint8)
     return out
 
@@ -272,13 +282,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             seen += len(at)
             done = mine == 1
             sure.append(np.stack([lo[done], hi[done] + length], axis=1) + base[first])
-            lo, hi = lo[mine == 2], hi[mine == 2]
-            count = hi - lo + 1
-            s = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            runs = np.stack([lo[mine == 2], hi[mine == 2]], axis=1)
+            s = windows_of(runs)
             values.append(one.of(s, s + length) ^ Prefixes(data, 1).of(s, s + length) if len(s) else np.zeros(0, np.uint64))
             of.append(first + np.searchsorted(starts, s, side="right") - 1)
-            where.append(s + base[first])
-        own = (ids, null, keys, sizes, whole, np.concatenate(sure), np.concatenate(where))
+            where.append(runs + base[first])
+        own = (ids, null, keys, sizes, whole, narrow(np.concatenate(sure).ravel()), narrow(np.concatenate(where).ravel()))
         ranks = np.concatenate(values)
         return pa.Table.from_batches([send(unit, ranks, ranks, np.concatenate(of), ids, keys.astype(np.uint32), ranges, own)])
 
@@ -286,7 +295,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         import numpy as np
         import pyarrow as pa
 
-        ids, null, keys, sizes, _, texts, (sure, where, *rest) = open_unit(parts(own))
+        ids, null, keys, sizes, _, texts, (sure, open_runs, *rest) = open_unit(parts(own))
+        sure, where = wide(sure).reshape(-1, 2), windows_of(wide(open_runs).reshape(-1, 2))
         again = codes(tuple(rest), answers) == 1
         runs = np.concatenate([sure, np.stack([where[again], where[again] + length], axis=1)])
         base = np.concatenate([[0], np.cumsum(sizes)])
