@@ -477,6 +477,41 @@ def test_components(spark, tmp_path, how):
     assert sorted(str((r.id, r.n_shingles, r.component_id)) for r in got) == sorted(str((d, *want[d, t])) for d, t in items)
 
 
+def sets_frame(spark, sets, path):
+    """``sets``: label and tokens of each node."""
+    data = [(i, 1000 - i % 7, len(t), np.sort(np.array([*t], np.uint64)).tobytes(), label) for i, (label, t) in enumerate(sets)]
+    spark.createDataFrame(data, "node long, score int, n int, tokens binary, label long").write.parquet(path)
+    df = spark.read.parquet(path)
+    return df.drop("label"), df.select("node", "label")
+
+
+def test_rare_groups_lose_no_link(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)  # groups of many blocks, some of them without a member
+    r, sets = random.Random(8), []
+    for base in range(6):
+        own = [*range(base * 100, base * 100 + 90)] + [*range(9_000, 9_010)]  # a passage that all share
+        for _ in range(25):
+            t = {x for x in own if r.random() > 0.13} | {r.randrange(1 << 40) for _ in range(r.randrange(4))} | {r.randrange(600) for _ in range(r.randrange(3))}
+            sets.append((r.choice([-base - 1, len(sets) + 1]), t))
+    sets += [(len(sets) + i, {77_000 + i % 3}) for i in range(6)] + [(len(sets) + 50, set(range(500)))]
+    want = {(i, j) for i, (la, a) in enumerate(sets) for j, (lb, b) in enumerate(sets[:i]) if la != lb and 100 * len(a & b) >= 75 * len(a | b)}
+    frame, left = sets_frame(spark, sets, f"{tmp_path}/s")
+    pairs = jaccard.close_pairs(jaccard.rare_groups(left, frame, 75), frame, 75).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    assert len(want) > 100 and {(x.b, x.a) for x in jaccard.verify(pairs, frame, 75).collect()} == want
+
+
+def test_rows_of_blocks_grow_with_the_group(spark, tmp_path):
+    """Blocks of a large component don't meet each other, and lists with the same members meet once."""
+    made = []
+    for size in (600, 2_400):
+        common = range(10_000, 10_080)  # each of these is a list of all members
+        sets = [(-1, {*common, 1 + i % 9, 30 + i % 11}) for i in range(size)] + [(i, {*common, *range(100 * i, 100 * i + 25)}) for i in range(1, 21)] + [(i + 30, {*common, *range(100 * i, 100 * i + 25)}) for i in range(1, 21)]
+        frame, left = sets_frame(spark, sets, f"{tmp_path}/{size}")
+        made.append(jaccard.in_blocks(jaccard.rare_groups(left, frame, 75)).count())
+        assert 0 < made[-1] < 3 * len(sets)
+    assert made[1] < 5 * made[0]
+
+
 def test_segments_find_all_partners():
     """Whatever two sets differ by within the bound, a probe of the one meets the index of the other, or a set says
     that its segments don't suffice."""

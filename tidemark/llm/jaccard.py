@@ -308,8 +308,8 @@ def linked_components(sets: DataFrame, percent: int, rounds: int = 1, delete_upt
 
     In a turn each list's member of the highest score is the pivot and is held against the members of other
     components. The list goes on without its pivot while its members are of several components; after
-    ``rounds`` turns the pairs of different components that are left are bounded in blocks, and those within
-    the bound are verified.
+    ``rounds`` turns the sets that are left meet by their rarest shingles, their pairs are bounded in blocks, and those
+    within the bound are verified.
     """
     made = staged(candidates(sets, Bands(percent), delete_upto), "jaccard-lists")
     labels, tested = sets.select("node", F.col("node").alias("label")), None
@@ -336,23 +336,68 @@ def linked_components(sets: DataFrame, percent: int, rounds: int = 1, delete_upt
         test(others.filter("label <> pivot_label").select(F.col("node").alias("x"), F.col("pivot").alias("y")))
         members = others.select("list", "node", "probe", "score")
     now = members.join(labels, "node")
-    mixed = now.groupBy("list").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("probe").alias("any"), F.count(F.lit(1)).alias("size")).filter("l0 <> l1 AND any").select("list", "size")
-    left = staged(now.join(mixed, "list"), "jaccard-left")
+    mixed = now.groupBy("list").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("probe").alias("any")).filter("l0 <> l1 AND any").select("list")
+    left = staged(now.join(mixed, "list").select("node", "label").distinct(), "jaccard-left")
     if left.limit(1).count():
-        test(close_pairs(left, sets, percent))
+        test(close_pairs(rare_groups(left, sets, percent), sets, percent))
     return labels
 
 
-#: Members of a list that are held against each other in one place.
+def rare_groups(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Groups in which any two linked sets of ``left`` (``node``, ``label``) of different labels meet: ``list`` (the member
+    that shares most), ``node``, ``label``, ``main`` (whether that is the group's largest component), ``mains`` and ``rest``
+    (the group's members in that component and out of it).
+
+    A set of ``n`` shares at least ``percent`` per cent of ``n`` with a partner, all of it in shingles of several labels. In an
+    order of these by rarity, partners' first common one is among the first of each, those before the last that it can't miss.
+    """
+
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            h = [np.frombuffer(t, "<i8") for t in b.column(2).to_pylist()]
+            if h:
+                of = pa.array(np.repeat(np.arange(len(h)), [len(x) for x in h]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(h))], ["node", "label", "shingle"])
+
+    single = sets.join(left, "node").select("node", "label", "tokens").mapInArrow(each, "node long, label long, shingle long")
+    common = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("shingle", "holders")
+    own = Window.partitionBy("node")
+    ranked = single.join(common, "shingle").withColumns({"at": F.row_number().over(own.orderBy("holders", "shingle")), "shared": F.count(F.lit(1)).over(own)})
+    first = ranked.join(sets.select("node", "n", "score"), "node").filter(f"at <= shared - (n * {percent} + 99) div 100 + 1")
+    met = staged(first.select("shingle", "node", "label", "score"), "jaccard-rare")
+    top = met.groupBy("shingle").agg(F.max(F.struct("score", "node")).alias("top"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("shingle", F.col("top.node").alias("list"))
+    groups = staged(met.join(top, "shingle").select("list", "node", "label").distinct(), "jaccard-groups")
+    by_label = groups.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
+    sizes = by_label.groupBy("list").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("size")).select("list", F.col("most.label").alias("of"), F.col("most.k").alias("mains"), (F.col("size") - F.col("most.k")).alias("rest"))
+    return groups.join(sizes, "list").select("list", "node", "label", (F.col("label") == F.col("of")).alias("main"), "mains", "rest")
+
+
+#: Members of a group that are held against each other in one place.
 BLOCK = 128
 
 
-def close_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``x``, ``y`` of different labels in a list of ``left`` (``list``, ``node``, ``label``, ``size``) that may link.
+def in_blocks(groups: DataFrame) -> DataFrame:
+    """``list``, ``node``, ``label``, ``block`` and each two blocks ``lo``, ``hi`` of the group in which a row meets others.
+
+    Blocks of the largest component come last and meet only those of the others, so a member of it has a row for each
+    block of theirs.
+    """
+    mains, rest = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("mains", "rest"))
+    hashed = F.xxhash64("node", "list")
+    one = groups.withColumn("block", F.when(F.col("main"), rest + F.pmod(hashed, mains)).otherwise(F.pmod(hashed, rest)))
+    met = one.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("main"), rest).otherwise(rest + mains) - 1)))
+    return met.select("list", "node", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
+def close_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x``, ``y`` of different labels in a group (see ``rare_groups``) that may link.
 
-    A list is cut into blocks, and each two of them meet with 16 bits of each shingle: common ones there, and
-    shingles of a set that have the same 16 bits, bound the intersection from above. Only pairs whose bound
-    reaches the limit leave the task.
+    Each two blocks of a group meet with 16 bits of each shingle: common ones there, and shingles of a set that
+    have the same 16 bits, bound the intersection from above. Only pairs whose bound reaches the limit leave the
+    task.
     """
 
     def short(batches):
@@ -390,11 +435,10 @@ def close_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
-    places = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    one = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "list"), F.col("blocks")))
-    met = one.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("list", "node", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    cut = sets.select("node", "n", "tokens").mapInArrow(short, "node long, n int, cut binary")
+    places = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    met = in_blocks(groups)
+    needed = sets.join(groups.select("node").distinct(), "node", "left_semi")
+    cut = needed.select("node", "n", "tokens").mapInArrow(short, "node long, n int, cut binary")
     sent = met.join(cut, "node").withColumn("place", F.pmod(F.xxhash64("list", "lo", "hi"), F.lit(places)))
     return sent.groupBy("place").applyInArrow(bound, "x long, y long")
 
