@@ -477,6 +477,29 @@ def test_components(spark, tmp_path, how):
     assert sorted(str((r.id, r.n_shingles, r.component_id)) for r in got) == sorted(str((d, *want[d, t])) for d, t in items)
 
 
+@pytest.mark.parametrize("name, fold", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_pieces_are_kept_from_task_to_task(name, fold):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import Encoder, encoder
+
+    path = public_tokenizers.path(name)
+    assert encoder(path, fold) is encoder(path, fold)
+    whole, r = Tokenizer.from_file(path), random.Random(4)
+    small, large = Encoder(path, most=300, fold=fold), Encoder(path, fold=fold)
+    learn, learned = large.learn, []
+    large.learn = lambda names, new: (learned.append(len(new)), learn(names, new))
+    batches = [[prose(50 * k + i, 60) + f" rare{r.randrange(10**9)}, x{k}." for i in range(8)] + [None, ""] for k in range(12)]
+    for b in [*batches, *batches[:3]]:
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in b]
+        for e in (small, large):  # the small table forgets pieces again and again
+            ids, sizes = e(b)
+            assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(learned) == 12 and learned[-1] < learned[0] / 3  # batches met before have nothing to learn
+    assert len(small.ends) - 1 <= 300 + 8 * 70 and sum(len(names) for names, _ in small.levels) == len(small.ends) - 1
+
+
 def sets_frame(spark, sets, path):
     """``sets``: label and tokens of each node."""
     data = [(i, 1000 - i % 7, len(t), np.sort(np.array([*t], np.uint64)).tobytes(), label) for i, (label, t) in enumerate(sets)]

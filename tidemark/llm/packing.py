@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_bytes, staged, table
-from tidemark.llm.tokens import Encoder, with_end
+from tidemark.llm.tokens import encoder, with_end
 
 
 def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, vocab: str, room: int, id_col: str = "doc_id", text_
         import numpy as np
         import pyarrow as pa
 
-        encode = Encoder(vocab, fold=fold)
+        encode = encoder(vocab, fold=fold)
         for b in by_bytes(batches, 2, 1 << 20):
             ids, sizes = with_end(*encode(b.column(2).to_pylist()), end)
             data = memoryview(ids.astype("<u4").tobytes())

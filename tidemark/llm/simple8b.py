@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_bytes, stage_dir, staged, table
-from tidemark.llm.tokens import Encoder, with_end
+from tidemark.llm.tokens import encoder, with_end
 
 MAGIC = b"S8BWORDS"
 HEADER = "<8sIIQQQQ"  # magic, version, ids in a block, blocks, words, escaped values, documents
@@ -178,7 +178,7 @@ def write_ids(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", te
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encode, part, number = Encoder(vocab), TaskContext.get().partitionId(), 0
+        encode, part, number = encoder(vocab), TaskContext.get().partitionId(), 0
         store, folder = fs.FileSystem.from_uri(path)
         ids, names, sizes = [], [], []
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
 from itertools import chain
 
 from tidemark.llm.words import mix
@@ -45,12 +46,12 @@ def hashes_of(data, start):
 class Encoder:
     """``Encoder(path)(texts)`` gives all ids (uint32) and each text's number of ids; null counts as empty.
 
-    ``most``: the distinct pieces that are held at once; beyond it the table starts anew. ``fold``: the tokenizer
+    ``most``: the distinct pieces that are held at once; beyond it the half that was met last goes, which has the rarer ones. ``fold``: the tokenizer
     lower-cases and takes all blanks alike, so texts are folded before pieces are told apart (but not those with
     combining marks, which may compose with a small letter alone).
     """
 
-    def __init__(self, path: str, most: int = 600_000, fold: bool = False):
+    def __init__(self, path: str, most: int = 1_200_000, fold: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,8 +63,43 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        import numpy as np
+
         self.ids, self.ends = array("I"), array("q", [0])
+        self.fresh: list = []  # names of pieces not sorted in yet, in the order of their places
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2  # sorted names and their places: many, and the latest
+
+    def find(self, names):
+        """Places of pieces by name (sorted), -1 for those that aren't held."""
+        import numpy as np
+
+        out = np.full(len(names), -1)
+        for known, place in self.levels:
+            if len(known):
+                k = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                out = np.where(known[k] == names, place[k], out)
+        return out
+
+    def sort_in(self) -> None:
+        """Fresh pieces join the latest ones; when these are many, they join the others."""
+        import numpy as np
+
+        def merged(*levels):
+            names, places = (np.concatenate(x) for x in zip(*levels, strict=True))
+            order = np.argsort(names, kind="stable")
+            return names[order], places[order]
+
+        many, late = self.levels
+        late = merged(late, (np.array(self.fresh, np.uint64), len(self.ends) - 1 - len(self.fresh) + np.arange(len(self.fresh))))
+        self.levels = [many, late] if len(late[0]) < 1 << 16 else [merged(many, late), (late[0][:0], late[1][:0])]
+        self.fresh = []
+
+    def forget(self) -> None:
+        """The later half of the pieces goes."""
+        left = min(self.most // 2, len(self.ends) - 1)
+        self.levels = [(names[places < left], places[places < left]) for names, places in self.levels]
+        del self.ids[self.ends[left] :]
+        del self.ends[left + 1 :]
 
     def learn(self, names: list[int], new: list[str]) -> None:
         """Pieces of one blank and letters are words to both tokenizers. They are encoded end to end in one text, and
@@ -87,8 +123,7 @@ class Encoder:
             self.keep(part, list(chain.from_iterable(ids)), np.array([len(x) for x in ids]))
 
     def keep(self, part: list, ids: list[int], sizes) -> None:
-        first = len(self.ends) - 1
-        self.at.update(zip([n for n, _ in part], range(first, first + len(part)), strict=True))
+        self.fresh += [n for n, _ in part]
         self.ends.frombytes((sizes.cumsum() + len(self.ids)).astype("i8").tobytes())
         self.ids.extend(ids)
 
@@ -124,14 +159,18 @@ class Encoder:
                 new[limits[k] + 1 : limits[k + 1]] = False
         start = np.flatnonzero(new)
         distinct, first, which = np.unique(hashes_of(data, start), return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        fresh = [i for i, n in enumerate(names) if n not in self.at]
-        if len(self.at) + len(fresh) > self.most:
-            self.clear()
-            fresh = range(len(names))
-        end = np.append(start[1:], len(data))
-        self.learn([names[i] for i in fresh], [whole[start[first[i]] : end[first[i]]].decode() for i in fresh])
-        which = np.array([self.at[n] for n in names], np.int64)[which]
+        at = self.find(distinct)
+        if len(self.ends) + np.count_nonzero(at < 0) > self.most:
+            self.forget()
+            at = self.find(distinct)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            end = np.append(start[1:], len(data))
+            lo, hi = start[first[fresh]].tolist(), end[first[fresh]].tolist()
+            self.learn(distinct[fresh].tolist(), [whole[i:e].decode() for i, e in zip(lo, hi, strict=True)])
+            self.sort_in()
+            at = self.find(distinct)
+        which = at[which]
         ids, ends = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.ends, np.int64)  # not copied: the table may be long
         sizes = ends[which + 1] - ends[which]
         upto = np.concatenate([[0], np.cumsum(sizes)])
@@ -140,6 +179,12 @@ class Encoder:
         return flat, np.diff(upto[docs])
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, fold: bool = False) -> Encoder:
+    """The worker's encoder, kept from task to task: its table then holds the frequent pieces."""
+    return Encoder(path, fold=fold)
+
+
 def with_end(ids, sizes, end: int = 0):
     """The same with an end id behind each text's ids."""
     import numpy as np
