@@ -376,6 +376,18 @@ def test_short_passages_go_whole(spark, tmp_path):
     assert {r.doc_id: r.n_removed for r in QUERIES["op3_chunk_dedup"](spark, str(tmp_path)).collect()} == {d: r.x_n_removed for d, r in got.items()}
 
 
+def test_adjacent_chunks_travel_as_one_run(spark, tmp_path):
+    passage = prose(900, 400)
+    items = [(1, prose(901, 50) + passage), (2, passage + prose(902, 50)), (None, "x" + passage), (None, None)]
+    spark.createDataFrame(items, "id long, text string").select("id", F.xxhash64("text").alias("key"), "text").write.parquet(f"{tmp_path}/d")
+    cells = chunks.duplicate_chunks(spark.read.parquet(f"{tmp_path}/d"), 16, 512, 4)
+    runs = {r.id: r.runs for r in chunks.joined_runs(cells).collect()}
+    for r in cells.collect():
+        want = chunks.runs_of([c.asDict(recursive=True) for c in r.cells])
+        assert len(r.cells) > 20 > 3 >= len(want)
+        assert [[x.start, x.stop, x["head"].asDict(recursive=True), x["tail"].asDict(recursive=True)] for x in runs[r.id]] == want
+
+
 # exact substrings
 
 

@@ -167,7 +167,25 @@ def runs_of(cells) -> list[list]:
     return runs
 
 
-def surroundings(docs: DataFrame, cells: DataFrame, context: int) -> DataFrame:
+def joined_runs(cells: DataFrame) -> DataFrame:
+    """``id``, ``key``, ``runs``: of each run of ``cells`` its ``start`` and ``stop`` and its first and last cell, ``head`` and ``tail``.
+    What is inside a run isn't needed after this."""
+    kind = cells.schema["id"].dataType.simpleString()
+    cell = cells.schema["cells"].dataType.elementType.simpleString()
+
+    def join(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            one = b.column(2).type.value_type
+            run = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("head", one), ("tail", one)])
+            runs = [[dict(zip(("start", "stop", "head", "tail"), r, strict=True)) for r in runs_of(x)] for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(runs, pa.list_(run))], ["id", "key", "runs"])
+
+    return cells.select("id", "key", "cells").mapInArrow(join, f"id {kind}, key long, runs array<struct<start:int,stop:int,head:{cell},tail:{cell}>>")
+
+
+def surroundings(docs: DataFrame, runs: DataFrame, context: int) -> DataFrame:
     """What stands around the first occurrences of the runs' ends: ``id``, ``key``, ``around`` (``at``, ``left``, ``bytes``):
     the bytes before the run that starts at ``at``, or behind the one that ends there."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -177,18 +195,18 @@ def surroundings(docs: DataFrame, cells: DataFrame, context: int) -> DataFrame:
 
         for b in batches:
             of, own, left, places, at = [], [], [], [], []
-            for i, marks in enumerate(b.column(2).to_pylist()):
-                for start, stop, head, tail in runs_of(marks):
-                    for edge, is_left, cell in ((start, True, head), (stop, False, tail)):
+            for i, found in enumerate(b.column(2).to_pylist()):
+                for run in found:
+                    for edge, is_left, cell in ((run["start"], True, run["head"]), (run["stop"], False, run["tail"])):
                         there = cell["first"]["start"] + (0 if is_left else cell["size"])
-                        if not is_left or start and there:
+                        if not is_left or edge and there:
                             of.append(i), own.append(edge), left.append(is_left), places.append(cell["first"]), at.append(there)
             take = pa.array(of, pa.int64())
             f_id = pa.array([f["id"] for f in places], b.column(0).type)
             f_key = pa.array([f["key"] for f in places], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(own, pa.int32()), pa.array(left, pa.bool_()), f_id, f_key, pa.array(at, pa.int32())], ["id", "key", "own", "left", "f_id", "f_key", "at"])
 
-    edges = cells.mapInArrow(ends, f"id {kind}, key long, own int, left boolean, f_id {kind}, f_key long, at int")
+    edges = runs.select("id", "key", "runs").mapInArrow(ends, f"id {kind}, key long, own int, left boolean, f_id {kind}, f_key long, at int")
     wanted = edges.groupBy("f_id", "f_key").agg(F.collect_set(F.struct("at", "left")).alias("wanted"))
     meant = (F.col("key") == F.col("f_key")) & F.col("id").eqNullSafe(F.col("f_id"))
 
@@ -213,12 +231,13 @@ def surroundings(docs: DataFrame, cells: DataFrame, context: int) -> DataFrame:
     return edges.join(there, same).groupBy("id", "key").agg(F.collect_set(F.struct(F.col("own").alias("at"), "left", F.col("t_bytes").alias("bytes"))).alias("around"))
 
 
-def grown(t: bytes, doc, runs: list[list], around) -> list[list[int]]:
+def grown(t: bytes, doc, runs: list[dict], around) -> list[list[int]]:
     """``runs`` of the document ``doc`` (id, key), each grown while its bytes are those of ``around``; runs that meet are one. Whole characters only;
     a run doesn't grow into the first occurrence it is told by."""
     near = {(x["at"], x["left"]): x["bytes"] for x in around or ()}
     out: list[list[int]] = []
-    for a, e, head, _ in runs:
+    for run in runs:
+        a, e, head = run["start"], run["stop"], run["head"]
         before, behind = near.get((a, True), b""), near.get((e, False), b"")
         first = head["first"]
         floor = first["start"] + head["size"] if (first["id"], first["key"]) == doc else 0
@@ -243,15 +262,15 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with ``x_text`` (what is left), ``x_n_bytes``, ``x_n_removed`` and ``x_spans`` (removed runs as
     ``start``, ``end`` in bytes)."""
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    cells = duplicate_chunks(named, least, most, bits)
+    runs = joined_runs(duplicate_chunks(named, least, most, bits))
     if context:
-        cells = staged(cells, "chunks")
-        around = surroundings(named, cells, context).select(F.col("id").alias("x_id"), F.col("key").alias("x_key"), "around")
-        cells = cells.join(around, (F.col("key") == F.col("x_key")) & F.col("id").eqNullSafe(F.col("x_id")), "left").select("id", "key", "cells", "around")
-        cells = staged(cells, "chunk-surroundings")  # frees the texts that went to the runs' ends
+        runs = staged(runs, "chunks")
+        around = surroundings(named, runs, context).select(F.col("id").alias("x_id"), F.col("key").alias("x_key"), "around")
+        runs = runs.join(around, (F.col("key") == F.col("x_key")) & F.col("id").eqNullSafe(F.col("x_id")), "left").select("id", "key", "runs", "around")
+        runs = staged(runs, "chunk-surroundings")  # frees the texts that went to the runs' ends
     else:
-        cells = cells.withColumn("around", F.lit(None).cast("array<struct<at:int,left:boolean,bytes:binary>>"))
-    cells = cells.select(F.struct("id", "key", "cells", "around").alias("x_cells"))
+        runs = runs.withColumn("around", F.lit(None).cast("array<struct<at:int,left:boolean,bytes:binary>>"))
+    cells = runs.select(F.struct("id", "key", "runs", "around").alias("x_cells"))
     marked = docs.withColumn("x_key2", F.xxhash64(text_col)).join(cells, (F.col("x_key2") == F.col("x_cells.key")) & F.col(id_col).eqNullSafe(F.col("x_cells.id")), "left").drop("x_key2")
     where, text_at = marked.columns.index("x_cells"), marked.columns.index(text_col)
     names = [*docs.columns, "x_text", "x_n_bytes", "x_n_removed", "x_spans"]
@@ -262,7 +281,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in by_bytes(batches, text_at):
             left, sizes, removed, spans = [], [], [], []
             for t, marks in zip(b.column(text_at).cast(pa.binary()).to_pylist(), b.column(where).to_pylist(), strict=True):
-                runs = grown(t, (marks["id"], marks["key"]), runs_of(marks["cells"]), marks["around"]) if marks else []
+                runs = grown(t, (marks["id"], marks["key"]), marks["runs"], marks["around"]) if marks else []
                 runs = [r for r in runs if r[1] - r[0] >= run_bytes]
                 if runs:
                     at, out = 0, []
