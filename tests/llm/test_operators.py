@@ -439,6 +439,20 @@ def test_substrings_of_units(spark, stored, monkeypatch):
         assert bytes(r.kept) == want[(r.id,)][0]
 
 
+def test_hashing_a_unit_holds_little():
+    import tracemalloc
+
+    texts = [random.Random(k).randbytes(3_000) for k in range(700)]
+    tracemalloc.start()
+    found = 0
+    for _, _, data, starts in suffixes.slices(texts):
+        at, lo, hi = suffixes.chosen(data, starts, suffixes.Prefixes(data, 0), 100)
+        found += int((hi - lo + 1).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 700 * 2_901 and peak < 20 << 20
+
+
 # Jaccard
 
 

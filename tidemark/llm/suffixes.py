@@ -33,7 +33,8 @@ from tidemark.llm.exchange import UNIT_BYTES, arrays, meet, parts, ranges_of, sp
 from tidemark.llm.words import mix
 
 SHORT = 32
-SLICE = 1 << 19
+#: Bytes that are hashed at once: about a dozen numbers of 8 bytes are held for each.
+SLICE = 1 << 17
 
 
 class Prefixes:
