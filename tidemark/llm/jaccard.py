@@ -271,7 +271,8 @@ def candidates(sets: DataFrame, bands: Bands, delete_upto: int) -> DataFrame:
 def allocated(made: DataFrame) -> DataFrame:
     """``list``, ``node``, ``probe``, ``score`` of lists that two sets share: a set spares its longest lists as probes."""
     lists = made.filter("list IS NOT NULL")
-    shared = lists.join(lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "list")
+    # Staged, so that the shuffles behind it go before those of the windows and groups come.
+    shared = staged(lists.join(lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "list"), "jaccard-shared")
     own = Window.partitionBy("node", "band", F.col("spare") >= 0).orderBy(F.desc("size"), "list")
     ranked = shared.withColumn("probe", (F.col("spare") >= 0) & (F.row_number().over(own) > F.col("spare")))
     members = ranked.groupBy("list", "node").agg(F.max("probe").alias("probe"), F.max("score").alias("score"))
@@ -462,7 +463,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n.astype(np.int32)), pa.array([h[e - s : e].tobytes() for e, s in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], ["node", "score", "n", "tokens"])
 
     # Rows alike in id and text give the same set; one is kept.
-    texts = named.select(F.col("key").alias("node"), "text").join(reps, "node").select("node", "text", "score")
+    # Texts are shuffled at any size: the few that are left of a small table would be broadcast, those of a large one couldn't.
+    texts = named.select(F.col("key").alias("node"), "text").join(reps.hint("merge"), "node").select("node", "text", "score")
     sets = staged(texts.mapInArrow(tokens, "node long, score int, n int, tokens binary").groupBy("node").agg(F.max("score").alias("score"), F.max("n").alias("n"), F.first("tokens").alias("tokens")), "jaccard-tokens")
     label = linked_components(sets, percent, **how)
     # From classes to documents: a class has the label of its representative, or stands alone.
