@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -663,6 +664,24 @@ def test_trie(spark, tmp_path):
         assert sum(p(context, w) for (w,) in grams[0]) + p(context, "unknown") == pytest.approx(1)
 
 
+def test_trie_looks_up_distinct_ngrams_once(spark, monkeypatch):
+    texts = [f"{prose(k % 6, 40)} {prose(80 + k % 4, 25)}" for k in range(48)]
+    model = trie.build_model(spark.createDataFrame([(t,) for t in texts[:30]], "text string").repartition(3), least=1)
+    asked = []
+    for name in ("weight", "of"):
+        was = getattr(trie.Level, name)
+        monkeypatch.setattr(trie.Level, name, lambda self, places, *a, was=was: (asked.append(places), was(self, places, *a))[1])
+    tokens, sizes = trie.with_ends(pa.array([*texts, None, "unheard of"]))
+    value, base, count = model.score(tokens, sizes)
+    assert asked and all((np.diff(a) > 0).all() for a in asked)  # each one once, in the files' order
+    assert sum(map(len, asked)) < len(tokens)
+    at = 0
+    for t, n in zip([*texts, None, "unheard of"], sizes.tolist(), strict=True):
+        alone = model.score(*trie.with_ends(pa.array([t], pa.string())))
+        assert [x.tolist() for x in alone] == [x[at : at + n].tolist() for x in (value, base, count)]
+        at += n
+
+
 def test_trie_query_keeps_ngrams_found_once(spark, tmp_path):
     r = random.Random(5)
     texts = [" ".join(r.choice(WORDS) for _ in range(r.randrange(1, 40))) for _ in range(60)]
