@@ -389,6 +389,17 @@ def test_adjacent_chunks_travel_as_one_run(spark, tmp_path):
         assert [[x.start, x.stop, x["head"].asDict(recursive=True), x["tail"].asDict(recursive=True)] for x in runs[r.id]] == want
 
 
+def test_texts_are_left_behind_when_bytes_meet_runs(spark, tmp_path):
+    passage = prose(910, 60)
+    items = [(1, prose(911, 50) + passage + prose(912, 9)), (2, prose(913, 50) + passage + prose(914, 9)), (None, None)]
+    spark.createDataFrame(items, "id long, text string").select("id", F.xxhash64("text").alias("key"), "text").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    around = chunks.surroundings(docs, chunks.joined_runs(chunks.duplicate_chunks(docs, 16, 512, 4)), 512)
+    own = {f.rpartition("/")[2] for f in docs.inputFiles()}
+    assert own and not own & {f.rpartition("/")[2] for f in around.inputFiles()}  # neither texts nor their shuffles wait for the runs
+    assert [(r.id, {a.left for a in r.around}) for r in around.collect()] == [(2, {True, False})]
+
+
 # exact substrings
 
 

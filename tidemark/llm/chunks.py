@@ -226,6 +226,7 @@ def surroundings(docs: DataFrame, runs: DataFrame, context: int) -> DataFrame:
     texts = docs.join(wanted, meant).select("id", "key", "text", "wanted")
     # Rows alike in id and text give the same bytes.
     there = texts.mapInArrow(cut, f"f_id {kind}, f_key long, at int, left boolean, bytes binary").groupBy("f_id", "f_key", "at", "left").agg(F.min("bytes").alias("bytes"))
+    there = staged(there, "chunk-contexts")  # frees the texts before the bytes go to the runs
     there = there.select(*[F.col(c).alias(f"t_{c}") for c in there.columns])
     same = (F.col("f_key") == F.col("t_f_key")) & F.col("f_id").eqNullSafe(F.col("t_f_id")) & (F.col("at") == F.col("t_at")) & (F.col("left") == F.col("t_left"))
     return edges.join(there, same).groupBy("id", "key").agg(F.collect_set(F.struct(F.col("own").alias("at"), "left", F.col("t_bytes").alias("bytes"))).alias("around"))
@@ -267,7 +268,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         runs = staged(runs, "chunks")
         around = surroundings(named, runs, context).select(F.col("id").alias("x_id"), F.col("key").alias("x_key"), "around")
         runs = runs.join(around, (F.col("key") == F.col("x_key")) & F.col("id").eqNullSafe(F.col("x_id")), "left").select("id", "key", "runs", "around")
-        runs = staged(runs, "chunk-surroundings")  # frees the texts that went to the runs' ends
+        runs = staged(runs, "chunk-surroundings")  # frees the bytes on their way, before the texts go again
     else:
         runs = runs.withColumn("around", F.lit(None).cast("array<struct<at:int,left:boolean,bytes:binary>>"))
     cells = runs.select(F.struct("id", "key", "runs", "around").alias("x_cells"))
