@@ -538,6 +538,48 @@ def test_pieces_are_kept_from_task_to_task(name, fold):
     assert len(small.ends) - 1 <= 300 + 8 * 70 and sum(len(names) for names, _ in small.levels) == len(small.ends) - 1
 
 
+def test_tokenizer_starts_no_threads(tmp_path):
+    """A worker has one core; the tokenizer's threads would each hold memory of their own."""
+    import os
+    import subprocess
+    import sys
+
+    import public_tokenizers
+
+    code = """
+import re, sys
+import numpy
+from tidemark.llm.tokens import encoder
+threads = lambda: int(re.search(r"Threads:\\s+(\\d+)", open("/proc/self/status").read())[1])
+before = threads()
+encoder(sys.argv[1])([" ".join(f"{i:x}.{k}" for k in range(300)) for i in range(40)])
+print(before, threads())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    out = subprocess.run([sys.executable, "-c", code, public_tokenizers.path("byte_bpe_50k.json")], env=env | {"PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, timeout=120, check=True)
+    before, after = out.stdout.split()
+    assert before == after
+
+
+def test_token_files_bound_the_batches_bytes(spark, tokenizer, tmp_path, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was, seen = spark.conf.get(name, None), []
+    stage = simple8b.staged
+
+    def noted(df, to):
+        long = spark.range(0, 9_000, 1, 1).select(F.repeat(F.lit("x"), 4_000).alias("t"))
+        rows = long.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        seen.extend(r.n for r in rows.collect())
+        return stage(df, to)
+
+    monkeypatch.setattr(simple8b, "staged", noted)
+    docs = spark.createDataFrame([(2, "b c"), (1, None), (None, "a")], "doc_id long, text string")
+    got = simple8b.read_ids(simple8b.write_ids(docs, str(tmp_path / "f"), tokenizer("byte_bpe_50k.json")[0])).collect()
+    assert sum(seen) == 9_000 and max(seen) * 4_000 <= 5 << 20
+    assert spark.conf.get(name, None) == was
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, 1, 2]
+
+
 def sets_frame(spark, sets, path):
     """``sets``: label and tokens of each node."""
     data = [(i, 1000 - i % 7, len(t), np.sort(np.array([*t], np.uint64)).tobytes(), label) for i, (label, t) in enumerate(sets)]

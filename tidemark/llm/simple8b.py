@@ -18,7 +18,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, stage_dir, staged, table
+from tidemark.llm.common import by_bytes, small_batches, stage_dir, staged, table
 from tidemark.llm.tokens import encoder, with_end
 
 MAGIC = b"S8BWORDS"
@@ -206,7 +206,8 @@ def write_ids(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", te
     uri = path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}"
     path = uri
     spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri))
-    made = staged(ranged.mapInArrow(files, "part int, file int, path string, docs long, ids long"), "s8b-manifest")
+    with small_batches(spark):
+        made = staged(ranged.mapInArrow(files, "part int, file int, path string, docs long, ids long"), "s8b-manifest")
     before = lambda *by: Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     totals = made.groupBy("part").agg(F.sum("ids").alias("n"))  # one row for each partition
     offsets = totals.select("part", F.coalesce(F.sum("n").over(before("part")), F.lit(0)).alias("first"))

@@ -9,6 +9,7 @@ and hashed (64 bits) over a whole batch at once.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from functools import lru_cache
@@ -181,7 +182,9 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str, fold: bool = False) -> Encoder:
-    """The worker's encoder, kept from task to task: its table then holds the frequent pieces."""
+    """The worker's encoder, kept from task to task: its table then holds the frequent pieces. A task has one core, so the
+    tokenizer starts no threads (each with memory of its own), unless the worker's environment says so."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path, fold=fold)
 
 
